@@ -7,6 +7,7 @@ import importlib
 #: Query name: module of quillon.llm that has a function of this name.
 MODULES = {
     "op1_token_output": "token_output",
+    "op3_minhash": "minhash",
     "op7_pieces": "pieces",
 }
 
