@@ -7,7 +7,9 @@ import importlib
 #: Query name: module of quillon.llm that has a function of this name.
 MODULES = {
     "op1_token_output": "token_output",
+    "op2_embedding_dedup": "embed_dedup",
     "op3_minhash": "minhash",
+    "op5_warc": "warc",
     "op7_pieces": "pieces",
 }
 
