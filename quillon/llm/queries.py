@@ -9,8 +9,10 @@ MODULES = {
     "op1_token_output": "token_output",
     "op2_embedding_dedup": "embed_dedup",
     "op3_minhash": "minhash",
+    "op4_quality_rules": "quality_rules",
     "op5_warc": "warc",
     "op7_pieces": "pieces",
+    "op9_mixing": "mixing",
 }
 
 
