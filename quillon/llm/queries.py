@@ -12,6 +12,7 @@ MODULES = {
     "op4_quality_rules": "quality_rules",
     "op5_warc": "warc",
     "op7_pieces": "pieces",
+    "op8_toxicity": "toxicity",
     "op9_mixing": "mixing",
 }
 
