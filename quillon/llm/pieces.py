@@ -29,7 +29,7 @@ class PieceCodec:
     """Encodes and decodes exactly as the sentencepiece library does for a BPE model with byte fallback, identity
     normalisation and a dummy prefix (others are refused). limit bounds each cache; a full cache starts anew."""
 
-    def __init__(self, path: str, bos: bool = True, eos: bool = True, limit: int = 700_000):
+    def __init__(self, path: str, bos: bool = True, eos: bool = True, limit: int = 300_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -118,7 +118,7 @@ class PieceCodec:
         """Whether pieces a and b side by side stay as they are. Of merges at the same time the left one comes first."""
         key = a << 20 | b
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 4 * self.limit:
+            if len(self.pairs) > 2 * self.limit:
                 self.pairs.clear()
             if self.monotone:
                 known = True

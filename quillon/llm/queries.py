@@ -11,9 +11,11 @@ MODULES = {
     "op3_minhash": "minhash",
     "op4_quality_rules": "quality_rules",
     "op5_warc": "warc",
+    "op6_perplexity": "perplexity",
     "op7_pieces": "pieces",
     "op8_toxicity": "toxicity",
     "op9_mixing": "mixing",
+    "op10_language": "language",
 }
 
 

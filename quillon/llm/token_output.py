@@ -116,17 +116,18 @@ class _Seen(dict):
 class CachedEncoder:
     """Whole texts to ids by the tokenizers library, which sees each distinct part of a text once.
 
-    A byte-level pre-tokenizer never joins what stands before a space and that space when a non-space follows, so texts
-    are cut there; nor does it join a letter and the punctuation mark after it, or a single line end and the letter after
-    it, so the words that are not yet known are cut there too. limit bounds each of the two caches; a full cache starts anew. Texts whose spaces are followed by more white space are cut by a pattern that leaves
-    such runs whole.
+    A byte-level pre-tokenizer never joins what stands before a space and that space when a non-space follows; nor a letter
+    or digit and the comma or full stop after it; nor, behind a non-space, a single line end and the letter after it. Texts
+    are cut there and the parts' ids are put together. limit bounds the cache; a full one starts anew. Texts whose spaces
+    are followed by more white space are cut by a pattern that leaves such runs whole.
     """
 
     _cut = re.compile(r"(?= \S)")
-    _odd = re.compile(r" (?:\s|$)")
-    _parts = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?\n])|(?<=\S\n)(?=[^\W\d_])")
+    _odd = re.compile(r" (?:\s|$)|\x01")
+    _stop = re.compile(r"[.,](?=[ \n])(?<=[^\W_][.,])")
+    _line = re.compile(r"\n(?=[^\W\d_])(?<=\S\n)")
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 900_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -140,67 +141,60 @@ class CachedEncoder:
         # The byte alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [x for x in range(256) if x not in printable]
-        self.alphabet = {x: chr(x) for x in printable} | {x: chr(256 + k) for k, x in enumerate(others)}
+        self.alphabet = {x: chr(x) for x in printable} | {x: chr(256 + k) for k, x in enumerate(others)} | {10: "\n"}
         vocabulary = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for x, k in vocabulary.items():
             self.lengths[k] = len(x)
-        self.words, self.parts = _Seen(), {}
-
-    def _library(self, parts: list[str]) -> None:
-        """Letters with a space or none before them are one token group of the pre-tokenizer: the library gets them in its
-        byte alphabet, many in a text, and byte counts part their ids. All else goes through its own pre-tokenizer."""
-        letters = [x for x in parts if (x[1:] if x[:1] == " " else x).isalpha()]
+        self.parts = _Seen()
+
+    def _library(self, parts: list[str], keys: list[str]) -> None:
+        """Learn parts under keys. Letters with a space or none before them are one token group of the pre-tokenizer: the
+        library gets them in its byte alphabet, many in a text, and byte counts part their ids. All else goes through its
+        own pre-tokenizer."""
+        letters, rest = [], []
+        for x, key in zip(parts, keys, strict=True):
+            (letters if (x[1:] if x[:1] == " " else x).isalpha() else rest).append((x, key))
         for k in range(0, len(letters), 20_000):
             some = letters[k : k + 20_000]
-            mapped = [x.encode().decode("latin-1").translate(self.alphabet) for x in some]
-            ids = np.array(self.bare.encode_batch_fast(["\n".join(mapped)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(x) for x in mapped])) + 1
+            mapped = "\n".join([x for x, _ in some]).encode().decode("latin-1").translate(self.alphabet)
+            ids = np.array(self.bare.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(x) for x in mapped.split("\n")])) + 1
             raw, lo = ids.tobytes(), 0
-            for x, hi in zip(some, (4 * ends).tolist(), strict=True):
-                self.parts[x] = raw[lo:hi]
+            for (_, key), hi in zip(some, (4 * ends).tolist(), strict=True):
+                self.parts[key] = raw[lo:hi]
                 lo = hi
-        rest = [x for x in parts if x not in self.parts]
         for k in range(0, len(rest), 20_000):
             some = rest[k : k + 20_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.parts[x] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """words: with the space before them."""
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        cut = [self._parts.split(x) for x in words]
-        self._library(list({p: None for x in cut for p in x if p not in self.parts}))
-        for x, parts in zip(words, cut, strict=True):
-            self.words[x[1:]] = b"".join([self.parts[p] for p in parts])
-
-    def _plainly(self, parts: list[str]) -> bytes:
-        self._library([x for x in dict.fromkeys(parts) if x not in self.parts])
-        return b"".join(map(self.parts.__getitem__, parts))
+            for (_, key), e in zip(some, self.tokenizer.encode_batch_fast([x for x, _ in some], add_special_tokens=False), strict=True):
+                self.parts[key] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: Sequence[str], end: bytes = b"") -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, end appended. Texts of some millions of characters at a time."""
-        if len(self.words) > self.limit:
-            self.words.clear()
-        out: list = []
-        again = []
+        """Little-endian unsigned 32-bit ids of each text, end appended. Texts of some millions of characters at a time.
+
+        A part is known by its text without the space before it; parts without a space are marked by a character 1.
+        """
+        parts = self.parts
+        if len(parts) > self.limit:
+            parts.clear()
+        out, again = [], []
         for k, text in enumerate(texts):
             if self._odd.search(text):
-                out.append(self._plainly(self._cut.split(text)) + end)
-                continue
-            first, *words = text.split(" ")
-            known = len(self.words.lacks)
-            ids = b"".join(map(self.words.__getitem__, words))
-            if len(self.words.lacks) > known or known and not self.words.lacks.keys().isdisjoint(words):
-                again.append((k, words))
-            out.append((first, ids))
-        if self.words.lacks:
-            self._learn([" " + x for x in self.words.lacks])
-            self.words.lacks.clear()
-        for k, words in again:
-            out[k] = (out[k][0], b"".join(map(self.words.__getitem__, words)))
-        return [x if isinstance(x, bytes) else (self._plainly([x[0]]) if x[0] else b"") + x[1] + end for x in out]
+                keys = ["\x01" + x for x in self._cut.split(text) if x]
+            else:
+                keys = ("\x01" + self._line.sub("\n \x01", self._stop.sub(" \x01\\g<0>", text))).split(" ")
+            known = len(parts.lacks)
+            ids = b"".join(map(parts.__getitem__, keys))
+            if len(parts.lacks) > known or known and not parts.lacks.keys().isdisjoint(keys):
+                again.append((k, keys))
+            out.append(ids)
+        if parts.lacks:
+            new = list(parts.lacks)
+            self._library([x[1:] if x[0] == "\x01" else " " + x for x in new], new)
+            parts.lacks.clear()
+        for k, keys in again:
+            out[k] = b"".join(map(parts.__getitem__, keys))
+        return [x + end for x in out]
 
 
 _encoders: dict[str, CachedEncoder] = {}
