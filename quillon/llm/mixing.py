@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.quality_rules import words_of
-from quillon.llm.shared import materialize
+from quillon.llm.shared import materialize, small_side
 
 #: Slices of a pattern's documents in seeded order; only the slice at the border is put in full order.
 SLICES = 4096
@@ -156,7 +156,7 @@ def mixed_documents(docs: DataFrame, sources: Column, weights: dict | None = Non
     chosen = plan.where("taken > 0").select(F.col("_order").alias("_o"), "rounds", "rest", "size").dropDuplicates(["_o"])
     chosen = materialize(chosen, "mix-chosen")
     order = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.xxhash64(text_col))
-    joined = docs.withColumn("_o", order).join(chosen, "_o")
+    joined = docs.withColumn("_o", order).join(small_side(chosen, chosen.count()), "_o")
     copies = (F.col("rounds") + (F.col("rest") > 0).cast("long")).cast("int")
     rows = joined.withColumn("_k", F.explode(F.sequence(F.lit(1), copies)))
     part = (F.col("_k") > F.col("rounds")) & (F.col("rest") < F.col("size"))

@@ -186,6 +186,14 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, quantile:
     return found.select(id_col, lang_col, "perplexity", limit.alias("threshold"), good.alias("kept"))
 
 
+def keep_good(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
+    """docs' rows whose id classify() keeps, as they are (a null id goes with the rows of null ids)."""
+    kept = classify(docs, trusted_ids, id_col=id_col, **more).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
+    kept = materialize(kept, "kn-kept")
+    side = small_side(kept, kept.count())
+    return docs.join(side, docs[id_col].eqNullSafe(side["_kept_id"]), "left_semi")
+
+
 def op6_perplexity(spark, sf_dir: str) -> DataFrame:
     """All documents against those labelled as of good quality."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -262,6 +262,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, passages array<struct<first_word:bigint,words:bigint,expected:double,text:string>>")
 
 
+def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """docs' rows whose score is below the threshold, as they are. One pass, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                yield batch.filter(pa.array([probability(model, excess(model, x)[0]) < threshold for x in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 PASSAGES = pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("expected", pa.float64()), ("text", pa.string())]))
 
 
