@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("ratings",)
+
+
+def _modules() -> list:
+    return [importlib.import_module(f"quillon.plans.{m}") for m in MODULES]
+
 
 def flagship(spark, sf_dir: str):
     return queries()["general_recommendations"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _modules() for k, f in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: f for m in _modules() for k, f in m.oracle_sql().items()}
