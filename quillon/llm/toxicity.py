@@ -122,9 +122,9 @@ def excess(model: Model, text: str | None, limit: float = 0.05) -> tuple[float,
         return -10.0, []
     base = math.log(model.scale * len(words))
     each = [(lo, hi, model.rate * s - base) for lo, hi, s in found]
-    good = [(lo, hi, math.exp(-x)) for lo, hi, x in each if math.exp(-x) <= limit]
+    good = [(lo, hi, x) for lo, hi, x in each if x >= -math.log(limit)]
     if good:
-        return min(12.0, sum(-math.log(e) for _, _, e in good)), good
+        return min(12.0, sum(x for _, _, x in good)), [(lo, hi, math.exp(-x)) for lo, hi, x in good]
     return max(-10.0, max(x for _, _, x in each)), []
 
 
