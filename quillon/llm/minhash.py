@@ -5,8 +5,10 @@ of either collection. With a and b hashes there are a*b tables of 2*rows minima
 Documents that share a key are candidates; a link is a candidate pair whose full shingle sets are similar enough.
 
 Equal sets become one class first. Then each class is verified against the best of its buckets' smallest members, the
-links' components are formed, and only pairs that share a bucket but not yet a component are verified after that. Buckets
-of any size are cut into blocks that meet block by block, so no task holds a whole bucket.
+links' components are formed, and only what shares a bucket but not yet a component goes on. Sketches (all minima) tell which of
+these pairs can be similar enough; such pairs only join clusters, they are never emitted. Within a cluster every pair of
+different components that the sketches let pass is verified on full sets. Buckets and clusters of any size are cut into
+blocks that meet block by block, so no task holds a whole one, and a task gives the edges of a forest, not all links.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import components, materialize, small_side
+from quillon.llm.shared import components, materialize, small_side, stars
 
 #: Distinct words whose hashes a worker keeps.
 WORD_CACHE = 500_000
@@ -129,44 +131,101 @@ def _keyed(classes: DataFrame, a: int, b: int, rows: int) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def _block_pairs(matches: int, ratio_num: int, ratio_den: int):
-    """Of rows sorted by (key, low, high): pairs of different components with similar sizes and at least so many equal
-    minima. A group is two blocks of one bucket, of bounded rows."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """Runs of equal (key, low, high) of sorted rows: these, and the columns' values. A run is two blocks, of bounded rows."""
+    at, held = None, None
+    for batch in batches:
+        names = batch.schema.names
+        cols = [c.to_pylist() for c in batch.columns]
+        for row in zip(*cols, strict=True):
+            if row[:3] != at:
+                if held:
+                    yield at, held
+                at, held = row[:3], {x: [] for x in names}
+            for x, v in zip(names, row, strict=True):
+                held[x].append(v)
+    if held:
+        yield at, held
+
+
+def _possible(group: dict, at: tuple, matches: int, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Position i of a group's row and those of the others, of another component, that can be similar enough by their sizes
+    and minima."""
+    comp, n, block = (np.array(group[x]) for x in ("comp", "n", "block"))
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(comp), -1)
+    left, right = np.flatnonzero(block == at[1]), np.flatnonzero(block == at[2])
+    for i in left.tolist():
+        j = right[right > i] if at[1] == at[2] else right
+        j = j[(comp[j] != comp[i]) & (den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i]))]
+        if len(j):
+            j = j[(sig[j] == sig[i]).sum(axis=1) >= matches]
+        if len(j):
+            yield i, j
+
+
+def _candidates(matches: int, num: int, den: int):
+    """Edges a, b that connect the rows of a group whose pairs are possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, group in _groups(batches):
+            ids = np.array(group["id"])
+            found = [(np.full(len(j), ids[i]), ids[j]) for i, j in _possible(group, at, matches, num, den)]
+            if found:
+                yield _edges(*stars(*(np.concatenate(x) for x in zip(*found, strict=True))))
+
+    return run
 
-    def emit(group: dict, out: list) -> None:
-        ids, comp, n, sig, block = (np.array(group[k]) for k in ("id", "comp", "n", "sig", "block"))
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(ids), -1)
-        low, high = group["pair"]
-        left = np.flatnonzero(block == low)
-        right = np.flatnonzero(block == high)
-        for i in left:
-            j = right[right > i] if low == high else right
-            j = j[(comp[j] != comp[i]) & (ratio_den * np.minimum(n[j], n[i]) >= ratio_num * np.maximum(n[j], n[i]))]
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= matches] if len(j) else j
-            out.extend((min(ids[i], x), max(ids[i], x)) for x in ids[j].tolist())
+
+def _similar(matches: int, num: int, den: int, shingle: int):
+    """Edges a, b that connect the rows of a group whose full sets are similar enough. Components that links join within
+    the group count as one from then on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, out = None, None, []
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for key, low, high, block, i, comp, n, sig in zip(*cols, strict=True):
-                if (key, low, high) != at:
-                    if group:
-                        emit(group, out)
-                    at, group = (key, low, high), {"id": [], "comp": [], "n": [], "sig": [], "block": [], "pair": (low, high)}
-                    if len(out) > 100_000:
-                        yield _pairs(out)
-                        out = []
-                for name, x in (("id", i), ("comp", comp), ("n", n), ("sig", sig), ("block", block)):
-                    group[name].append(x)
-        if group:
-            emit(group, out)
-        if out:
-            yield _pairs(out)
+        for at, group in _groups(batches):
+            sets = [shingles(x, shingle) for x in group["text"]]
+            size = np.array([len(x) for x in sets])
+            top: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in top:
+                    x = top[x]
+                return x
+
+            comp, out = group["comp"], []
+            for i, js in _possible(group, at, matches, num, den):
+                own = root(comp[i])
+                js = [j for j in js.tolist() if root(comp[j]) != own]
+                for k in range(0, len(js), 256):
+                    some = [j for j in js[k : k + 256] if root(comp[j]) != root(comp[i])]
+                    if not some:
+                        continue
+                    flat = np.concatenate([sets[j] for j in some])
+                    place = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+                    ends = np.cumsum(size[some])
+                    both = np.add.reduceat((sets[i][place] == flat).astype(np.int64), np.concatenate([[0], ends[:-1]]))
+                    for j in np.array(some)[den * both >= num * (size[i] + size[some] - both)].tolist():
+                        out.append((group["id"][i], group["id"][j]))
+                        a, b = root(comp[i]), root(comp[j])
+                        if a != b:
+                            top[max(a, b)] = min(a, b)
+            if out:
+                yield _pairs(out)
 
     return run
 
 
+def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
+
+
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """rows (key, size of the key's group, id, ...) dealt to pairs of blocks of a group: key, low, high, block, id, ..."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    rest = [c for c in rows.columns if c not in ("key", "size")]
+    rows = rows.select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), *rest, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    return rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *rest)
+
+
 def _pairs(out: list) -> pa.RecordBatch:
     a = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0].copy()), pa.array(a[:, 1].copy())], ["a", "b"])
@@ -235,25 +294,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, a: int
     first = _verify(best.select(F.col("lead").alias("a"), F.col("id").alias("b")), texts, n, num, den, "minhash-first")
     parts = materialize(components(first, "minhash-one"), "minhash-parts")
 
-    # Second round: what shares a bucket and no component.
+    # Second round: what shares a bucket and no component. First which of these can be similar, as clusters.
+    matches = needed_matches(threshold, (a + b) * rows)
     labelled = shared.join(parts, shared["id"] == parts["node"], "left").select("key", "size", "id", F.coalesce("component", "id").alias("comp"))
     labelled = materialize(labelled, "minhash-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("s")).where("lo < hi and s > 2").select("key")
-    # A bucket of two has had its pair in the first round only if each was the other's best; it needs no bucket of its own
-    # but a pair.
-    two = labelled.where("size = 2").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and a < b").select("a", "b").distinct()
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     sized = classes.select(F.col("id").alias("i"), "n", "sig")
-    rest = labelled.join(mixed, "key", "left_semi").join(sized, F.col("id") == F.col("i"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    rest = rest.select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id", "comp", "n", "sig", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rest = rest.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "comp", "n", "sig")
-    ordered = rest.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    many = ordered.mapInArrow(_block_pairs(needed_matches(threshold, (a + b) * rows), num, den), "a long, b long")
-    left, right = sized.select(F.col("i").alias("a"), F.col("n").alias("na")), sized.select(F.col("i").alias("b"), F.col("n").alias("nb"))
-    two = two.join(left, "a").join(right, "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b")
-    tested = best.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-    more = materialize(many.unionByName(two).distinct().join(tested, ["a", "b"], "left_anti"), "minhash-more")
-    second = _verify(more, texts, n, num, den, "minhash-second")
+    rest = labelled.join(mixed, "key", "left_semi").join(sized, F.col("id") == F.col("i")).select("key", "size", "id", "comp", "n", "sig")
+    ordered = _in_blocks(rest, block).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    possible = ordered.mapInArrow(_candidates(matches, num, den), "a long, b long")
+    clusters = materialize(components(possible, "minhash-possible"), "minhash-clusters")
+    # Then every possible pair of a cluster on its full sets.
+    sizes = clusters.groupBy(F.col("component").alias("key")).agg(F.count("*").alias("size"))
+    members = clusters.select(F.col("node").alias("id"), F.col("component").alias("key")).join(sizes, "key")
+    named = labelled.select("id", "comp").distinct()
+    members = members.join(named, "id").join(sized, F.col("id") == F.col("i")).select("key", "size", "id", "comp", "n", "sig")
+    dealt = _in_blocks(materialize(members, "minhash-members"), block // 4)
+    dealt = dealt.join(texts.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select("key", "low", "high", "block", "id", "comp", "n", "sig", "text")
+    ordered = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    second = materialize(ordered.mapInArrow(_similar(matches, num, den, n), "a long, b long"), "minhash-second")
     final = materialize(components(first.unionByName(second), "minhash-two"), "minhash-components")
 
     named = digests.join(final, digests["id"] == final["node"], "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "id").alias("c"))
