@@ -104,7 +104,7 @@ def event_weight(e: dict[str, Column], as_of: Column) -> Column:
     avg, most = F.coalesce(e["avg_minutes"], F.lit(0.0)), F.coalesce(e["max_minutes"], F.lit(0.0))
     half_life = F.when((many >= 3) | (avg >= 15) | (most >= 120), 4.0).otherwise(2.0)
     when = F.coalesce(e["finished_at"], e["last_read_at"])
-    years = F.greatest(F.lit(0.0), (F.unix_seconds(as_of) - F.unix_seconds(when)) / (365.0 * 86400.0))
+    years = F.greatest(F.lit(0.0), (F.unix_seconds(as_of) - F.unix_seconds(when.cast("timestamp"))) / (365.0 * 86400.0))
     recency = F.when(when.isNull(), 1.0).otherwise(F.pow(F.lit(0.5), years / half_life))
     time = 1.0 + F.least(F.lit(1.0), F.log10(hours + 1.0))
     lately = F.when(F.coalesce(e["last30_ms"], F.lit(0)) > 0, 1.1).otherwise(1.0)

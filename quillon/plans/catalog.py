@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ratings",)
+MODULES = ("ratings", "reading")
 
 
 def _modules() -> list:
