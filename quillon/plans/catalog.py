@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ratings", "reading")
+MODULES = ("ratings", "reading", "recommend")
 
 
 def _modules() -> list:
