@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import materialize
+from quillon.llm.shared import claim, materialize
 from quillon.llm.toxicity import EDGE, held_out, sample_bits
 
 NGRAMS = (1, 2, 3)
@@ -30,7 +30,7 @@ UNKNOWN = "und"
 class Presence:
     """n-gram buckets of words, kept for the words seen; a full cache starts anew."""
 
-    def __init__(self, buckets: int, limit: int = 500_000):
+    def __init__(self, buckets: int, limit: int = 250_000):
         self.buckets, self.limit = buckets, limit
         self.grams: dict[str, int] = {}
         self.words: dict[str, bytes] = {}
@@ -73,6 +73,7 @@ _presence: dict[int, Presence] = {}
 
 
 def presence(buckets: int) -> Presence:
+    claim("language", _presence.clear)
     return _presence.setdefault(buckets, Presence(buckets))
 
 

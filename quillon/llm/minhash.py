@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import components, materialize, small_side, stars
+from quillon.llm.shared import claim, components, materialize, small_side, stars
 
 #: Distinct words whose hashes a worker keeps.
-WORD_CACHE = 500_000
+WORD_CACHE = 300_000
 
 
 class _Words(dict):
@@ -97,6 +97,7 @@ def signatures(docs: DataFrame, n: int, count: int) -> DataFrame:
     """doc_id, n_shingles, d1 and d2 (128-bit digest of the set; null if empty), sig binary of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash", _words.clear)
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)

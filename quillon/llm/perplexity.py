@@ -17,7 +17,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import filesystem, materialize, shared_dir, small_side
+from quillon.llm.shared import claim, filesystem, materialize, shared_dir, small_side
 
 PAD = "\x02"  # stands before a word
 END = " "  # ends a word
@@ -90,6 +90,7 @@ def _distinct_grams(order: int):
     """file, gram: those of each task, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("perplexity", lambda: None)
         words: set[str] = set()
         done: set[str] = set()
         at = None
@@ -98,13 +99,13 @@ def _distinct_grams(order: int):
             grams = {g for w in words for g in grams_of(w, order)} - done
             done.update(grams)
             words.clear()
-            if len(done) > 2_000_000:
+            if len(done) > 1_000_000:
                 done.clear()
             return pa.RecordBatch.from_arrays([pa.array([file] * len(grams), pa.string()), pa.array(list(grams), pa.string())], ["file", "gram"])
 
         for batch in batches:
             for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if file != at or len(words) > 300_000:
+                if file != at or len(words) > 200_000:
                     if words:
                         yield flush(at)
                     if file != at:
@@ -135,6 +136,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(path)
         at, table, memo = None, {}, {}
+        claim("perplexity", memo.clear)
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
@@ -147,7 +149,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
                     if name != at:
                         t = pq.read_table(f"{base}/file={name}", filesystem=fs, columns=["gram", "lp"], partitioning=None)
                         at, table, memo = name, dict(zip(t.column("gram").to_pylist(), t.column("lp").to_pylist(), strict=True)), {}
-                    if len(memo) > 500_000:
+                    if len(memo) > 250_000:
                         memo.clear()
                     for w in set(words).difference(memo):
                         memo[w] = (sum(map(table.__getitem__, grams_of(w, order))), len(w) + 1)

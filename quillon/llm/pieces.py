@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.shared import claim
+
 SPACE = "▁"  # the mark that stands for a space
 # Fixed values of the model format's piece types.
 NORMAL, CONTROL, BYTE = 1, 3, 6
@@ -29,8 +31,7 @@ class PieceCodec:
     """Encodes and decodes exactly as the sentencepiece library does for a BPE model with byte fallback, identity
     normalisation and a dummy prefix (others are refused). limit bounds each cache; a full cache starts anew."""
 
-    def __init__(self, path: str, bos: bool = True, eos: bool = True, limit: int = 300_000):
-        import ahocorasick
+    def __init__(self, path: str, bos: bool = True, eos: bool = True, limit: int = 250_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -55,6 +56,15 @@ class PieceCodec:
         self.unk_id = train.unk_id
         self.head = np.array([train.bos_id] if bos else [], "<u4").tobytes()
         self.tail = np.array([train.eos_id] if eos else [], "<u4").tobytes()
+        self.automaton = None
+        self.pairs: dict[int, bool] = {}
+        self.units: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def _prepare(self) -> None:
+        """What only encoding needs, built when first used."""
+        import ahocorasick
+
         #: Pairs of characters inside pieces: a merge can cross no other pair.
         self.inner = {pair for x in self.ids for pair in zip(x, x[1:], strict=False)}
         #: Cutting before a space mark is exact only if no piece has one after another character.
@@ -69,9 +79,6 @@ class PieceCodec:
             self.edges[k] = (self._edge(tree, 2), self._edge(tree, 1))
             self.automaton.add_word(name, (k, len(name)))
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
-        self.units: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
 
     def _merge(self, text: str) -> list[tuple]:
         """Plain pairwise merging: trees (piece id or None, left, right, name)."""
@@ -176,6 +183,8 @@ class PieceCodec:
         """Little-endian unsigned 32-bit ids, with the begin and end ids asked for."""
         if not text:
             return self.head + self.tail
+        if self.automaton is None:
+            self._prepare()
         if len(self.chunks) > self.limit:
             self.chunks.clear()
         if len(self.units) > self.limit:
@@ -238,6 +247,7 @@ _codecs: dict[tuple, PieceCodec] = {}
 def codec(path: str, bos: bool, eos: bool) -> PieceCodec:
     """One codec for each worker process."""
     key = (path, bos, eos)
+    claim("pieces", _codecs.clear)
     if key not in _codecs:
         _codecs[key] = PieceCodec(path, bos, eos)
     return _codecs[key]

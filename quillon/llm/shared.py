@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
+#: What operators keep in a worker process from task to task: a function for each operator that drops it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, drop: Callable[[], None]) -> None:
+    """Called by an operator's tasks that keep caches: what other operators have kept in this worker process is dropped, so a
+    pipeline's workers hold one operator's caches at a time."""
+    for name in [x for x in _kept if x != owner]:
+        _kept.pop(name)()
+    _kept[owner] = drop
+
 #: Broadcast a side only up to so many rows of a few longs each (about 16 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import filesystem, shared_dir
+from quillon.llm.shared import claim, filesystem, shared_dir
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_DOCUMENTS = 0x184D2A50
@@ -37,7 +37,7 @@ _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("checksum", "<u4")])
 class ShardWriter:
     """Writes documents' ids to one shard, frame by frame; holds one document and the tables only."""
 
-    def __init__(self, out, level: int = 3, frame_ids: int = 1 << 20):
+    def __init__(self, out, level: int = 1, frame_ids: int = 1 << 20):
         self.out, self.frame_ids = out, frame_ids
         self.packer = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.entries: list[tuple[int, int, int]] = []
@@ -127,7 +127,7 @@ class CachedEncoder:
     _stop = re.compile(r"[.,](?=[ \n])(?<=[^\W_][.,])")
     _line = re.compile(r"\n(?=[^\W\d_])(?<=\S\n)")
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 1_300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -212,7 +212,7 @@ def _groups(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", level: int = 3, frame_ids: int = 1 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", level: int = 1, frame_ids: int = 1 << 20) -> DataFrame:
     """Write each document's ids to seekable shards under path, in ascending id order over all shards.
 
     Returns the shards' index: shard int, file string, documents long, tokens long. It is itself written next to the
@@ -224,7 +224,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(tokenizer, CachedEncoder(tokenizer))
+        claim("token_output", _encoders.clear)
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = CachedEncoder(tokenizer)
+        encoder = _encoders[tokenizer]
         shard = TaskContext.get().partitionId()
         file = f"shard-{shard:06d}-{uuid.uuid4().hex}.zst"
         writer = out = None

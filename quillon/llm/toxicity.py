@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import materialize
+from quillon.llm.shared import claim, materialize
 
 #: Marks stripped from both ends of a word, besides its case.
 EDGE = ".,;:!?\"'()[]{}*#$%&|<>-_=+/\\~`"
@@ -47,7 +47,7 @@ class Model:
         """Score of a raw word: its own log-odds, or its longest known beginning's, or the drift."""
         known = self.memo.get(word)
         if known is None:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 250_000:
                 self.memo.clear()
             plain = word.lower().strip(EDGE)
             known = self.odds.get(plain)
@@ -247,6 +247,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     docs. Null and wordless texts score as one without segments. Rows repeat as in docs; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", model.memo.clear)
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
@@ -266,6 +267,7 @@ def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.7, text_co
     """docs' rows whose score is below the threshold, as they are. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", model.memo.clear)
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
