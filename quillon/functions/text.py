@@ -119,7 +119,7 @@ def html_to_text(x: Column | str) -> Column:
     # Entities in the order of decoding.
     for name, to in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
         x = F.replace(x, F.lit(name), F.lit(to))
-    return F.trim(F.regexp_replace(F.regexp_replace(x, "[ \\t]+", " "), "\\n{3,}", "\n\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(x, "[ \\t]+", " "), "\\n{3,}", "\n\n"), F.lit(" \t\n\r"))
 
 
 def url_host(x: Column | str) -> Column:

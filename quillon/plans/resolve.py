@@ -137,7 +137,7 @@ def oracle_sql() -> dict[str, str]:
         html = f"regexp_replace({html}, '{a}', '{b}', 'g')"
     for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")):
         html = f"replace({html}, '{a}', '{b}')"
-    html = f"trim(regexp_replace(regexp_replace({html}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', '\n\n', 'g'))"
+    html = f"trim(regexp_replace(regexp_replace({html}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', '\n\n', 'g'), concat(' ', chr(9), chr(10), chr(13)))"
     ed = "select work_id, concat('i', page_count) isbn13, asin from edition where work_id < 400"
     return {
         "search_titles": sql("select work_id, title, score from found order by score desc, work_id limit 50", "work rating", **found),

@@ -37,8 +37,10 @@ def works(lines: DataFrame, most: int = 50) -> tuple[DataFrame, DataFrame, DataF
     year = text.year_of("j.first_publish_date", text.DUMP_YEAR)
     base = j.select(key.alias("ol_work_key"), "j.title", "j.subtitle", "description", year.alias("first_publish_year"), F.get("j.covers", F.lit(0)).alias("cover_id"))
     kinds = [("subjects", "subject"), ("subject_places", "place"), ("subject_people", "person"), ("subject_times", "time")]
-    tagged = [F.transform(F.coalesce(F.col(f"j.{c}"), F.array().cast("array<string>")), lambda x, t=t: F.struct(text.subject_key(x).alias("subject"), F.lit(t).alias("kind"))) for c, t in kinds]
-    subjects = j.select(key.alias("ol_work_key"), F.inline(F.slice(F.concat(*tagged), 1, most))).distinct()
+    def tagged(c: str, kind: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"j.{c}"), F.array().cast("array<string>")), lambda x: F.struct(text.subject_key(x).alias("subject"), F.lit(kind).alias("kind")))
+
+    subjects = j.select(key.alias("ol_work_key"), F.inline(F.slice(F.concat(*[tagged(c, t) for c, t in kinds]), 1, most))).distinct()
     authors = j.select(key.alias("ol_work_key"), F.explode("j.authors").alias("a")).select("ol_work_key", text.key_suffix("a.author.key").alias("ol_author_key")).where("ol_author_key is not null").distinct()
     return base, subjects, authors
 
