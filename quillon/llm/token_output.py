@@ -102,17 +102,6 @@ class ShardReader:
         return at
 
 
-class _Seen(dict):
-    """A cache that notes what it lacks and stands in nothing for it."""
-
-    def __init__(self):
-        self.lacks: dict[str, None] = {}
-
-    def __missing__(self, key: str) -> bytes:
-        self.lacks[key] = None
-        return b""
-
-
 class CachedEncoder:
     """Whole texts to ids by the tokenizers library, which sees each distinct part of a text once.
 
@@ -146,7 +135,7 @@ class CachedEncoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for x, k in vocabulary.items():
             self.lengths[k] = len(x)
-        self.parts = _Seen()
+        self.parts: dict[str, bytes] = {}
 
     def _library(self, parts: list[str], keys: list[str]) -> None:
         """Learn parts under keys. Letters with a space or none before them are one token group of the pre-tokenizer: the
@@ -177,24 +166,24 @@ class CachedEncoder:
         parts = self.parts
         if len(parts) > self.limit:
             parts.clear()
-        out, again = [], []
-        for k, text in enumerate(texts):
+        rows, holes, new = [], [], {}
+        for text in texts:
             if self._odd.search(text):
                 keys = ["\x01" + x for x in self._cut.split(text) if x]
             else:
                 keys = ("\x01" + self._line.sub("\n \x01", self._stop.sub(" \x01\\g<0>", text))).split(" ")
-            known = len(parts.lacks)
-            ids = b"".join(map(parts.__getitem__, keys))
-            if len(parts.lacks) > known or known and not parts.lacks.keys().isdisjoint(keys):
-                again.append((k, keys))
-            out.append(ids)
-        if parts.lacks:
-            new = list(parts.lacks)
-            self._library([x[1:] if x[0] == "\x01" else " " + x for x in new], new)
-            parts.lacks.clear()
-        for k, keys in again:
-            out[k] = b"".join(map(parts.__getitem__, keys))
-        return [x + end for x in out]
+            known = list(map(parts.get, keys))
+            if None in known:
+                at = [k for k, x in enumerate(known) if x is None]
+                holes.append((known, [(k, keys[k]) for k in at]))
+                new.update(dict.fromkeys([keys[k] for k in at]))
+            rows.append(known)
+        if new:
+            self._library([x[1:] if x[0] == "\x01" else " " + x for x in new], list(new))
+        for known, at in holes:
+            for k, key in at:
+                known[k] = parts[key]
+        return [b"".join(x) + end for x in rows]
 
 
 _encoders: dict[str, CachedEncoder] = {}
