@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import claim, materialize
+from quillon.llm.shared import bounded_batches, claim, materialize
 from quillon.llm.toxicity import EDGE, held_out, sample_bits
 
 NGRAMS = (1, 2, 3)
@@ -103,7 +103,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         limit = F.when(F.col("lang") == x, int(1_000_000 * min(1.0, max_docs / sizes[x]))).otherwise(limit)
         first = F.when(F.col("lang") == x, int(1_000_000 * min(1.0, 2 * each / sizes[x])) + 1).otherwise(first)
     rows = rows.withColumn("bits", sample_bits("id"))
-    sample = materialize(rows.where(F.col("bits") < limit).withColumn("mark", F.col("bits") < first), "language-sample")
+    sample = bounded_batches(materialize(rows.where(F.col("bits") < limit).withColumn("mark", F.col("bits") < first), "language-sample"))
 
     # Landmarks' presence rows: bits of `buckets`, at most about 2 * landmarks of them, whatever their texts' lengths.
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
                         scores[i] = float(min(1.0, max(0.0, (margin[i, best[i]] + 1) / 2)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return bounded_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import claim, filesystem, materialize, shared_dir, small_side
+from quillon.llm.shared import bounded_batches, claim, filesystem, materialize, shared_dir, small_side
 
 PAD = "\x02"  # stands before a word
 END = " "  # ends a word
@@ -127,7 +127,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
     tables = _orders(materialize(count_grams(trusted, order, text_col), f"kn-order{order}"), order)
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     file = F.md5(F.input_file_name())
-    asked = docs.select(file.alias("file"), F.col(text_col).alias("text")).mapInArrow(_distinct_grams(order), "file string, gram string")
+    asked = bounded_batches(docs).select(file.alias("file"), F.col(text_col).alias("text")).mapInArrow(_distinct_grams(order), "file string, gram string")
     asked = materialize(asked.distinct(), "kn-asked")
     lp = probabilities(asked.select("gram").distinct(), tables)
     path = shared_dir(spark, "kn-answers")

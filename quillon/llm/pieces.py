@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.shared import claim
+from quillon.llm.shared import bounded_batches, claim
 
 SPACE = "▁"  # the mark that stands for a space
 # Fixed values of the model format's piece types.
@@ -273,7 +273,7 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", out_col:
                 ids = [c.encode(x) for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
                 yield batch.append_column(out_col, pa.array(ids, pa.binary()))
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(out_col, T.BinaryType())]))
+    return bounded_batches(rest).mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
 
 def decode_pieces(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -287,13 +287,28 @@ def decode_pieces(rows: DataFrame, model: str, ids_col: str = "ids", out_col: st
                 ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
                 yield batch.append_column(out_col, pa.array([None if x is None else c.decode(x) for x in ids], pa.string()))
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(out_col, T.StringType())]))
+    return bounded_batches(rest).mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(out_col, T.StringType())]))
+
+
+def round_trip(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """encode_pieces() and decode_pieces() of its ids, with begin and end ids, by one worker in one pass."""
+    rest = docs.drop(ids_col, out_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model, True, True)
+        for whole in batches:
+            for batch in _slices(whole):
+                ids = [c.encode(x) for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+                batch = batch.append_column(ids_col, pa.array(ids, pa.binary()))
+                yield batch.append_column(out_col, pa.array(list(map(c.decode, ids)), pa.string()))
+
+    fields = [T.StructField(ids_col, T.BinaryType()), T.StructField(out_col, T.StringType())]
+    return bounded_batches(rest).mapInArrow(run, T.StructType([*rest.schema.fields, *fields]))
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document's round trip."""
-    ids = encode_pieces(docs.select("doc_id", "text"), model).select("doc_id", "ids")
-    return decode_pieces(ids, model).select(
+    return round_trip(docs.select("doc_id", "text"), model).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -22,9 +25,28 @@ _kept: dict[str, Callable[[], None]] = {}
 def claim(owner: str, drop: Callable[[], None]) -> None:
     """Called by an operator's tasks that keep caches: what other operators have kept in this worker process is dropped, so a
     pipeline's workers hold one operator's caches at a time."""
-    for name in [x for x in _kept if x != owner]:
+    others = [x for x in _kept if x != owner]
+    for name in others:
         _kept.pop(name)()
     _kept[owner] = drop
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # gives freed memory back where the C library can
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+#: Largest Arrow batch that goes to a worker, in bytes; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, for mapInArrow: its session's Arrow batches are held to BATCH_BYTES, whatever texts' lengths. A smaller setting
+    stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
 
 #: Broadcast a side only up to so many rows of a few longs each (about 16 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import claim, filesystem, shared_dir
+from quillon.llm.shared import bounded_batches, claim, filesystem, shared_dir
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_DOCUMENTS = 0x184D2A50
@@ -238,7 +238,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    ordered.mapInArrow(write, "shard int, file string, documents long, tokens long").write.parquet(f"{path}/index")
+    bounded_batches(ordered).mapInArrow(write, "shard int, file string, documents long, tokens long").write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
 

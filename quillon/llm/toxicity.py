@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import claim, materialize
+from quillon.llm.shared import bounded_batches, claim, materialize
 
 #: Marks stripped from both ends of a word, besides its case.
 EDGE = ".,;:!?\"'()[]{}*#$%&|<>-_=+/\\~`"
@@ -227,7 +227,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
                 size.append(len(words))
             yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(size, pa.int64()), batch.column(1)], ["best", "size", "toxic"])
 
-    held = rows.where("part = 0").select("text", "toxic")
+    held = bounded_batches(rows.where("part = 0").select("text", "toxic"))
     seen = held.mapInArrow(largest, "best double, size long, toxic long").where("size > 0").toPandas()  # max_docs rows at most
     clean = seen[(seen["toxic"] == 0) & (seen["best"] > 0)]
     model.rate, model.scale = _extreme_law(clean["best"].to_numpy(), clean["size"].to_numpy(float))
@@ -260,7 +260,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, PASSAGES)], [id_col, "score", "passages"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, passages array<struct<first_word:bigint,words:bigint,expected:double,text:string>>")
+    return bounded_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, passages array<struct<first_word:bigint,words:bigint,expected:double,text:string>>")
 
 
 def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -274,7 +274,7 @@ def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.7, text_co
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 yield batch.filter(pa.array([probability(model, excess(model, x)[0]) < threshold for x in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 PASSAGES = pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("expected", pa.float64()), ("text", pa.string())]))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import filesystem, materialize, shared_dir
+from quillon.llm.shared import bounded_batches, filesystem, materialize, shared_dir
 
 # Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
@@ -125,7 +125,7 @@ def write_monolithic(plan: DataFrame, path: str, level: int = 1) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "records": [n]})
 
-    return materialize(plan.mapInArrow(run, "file string, records long"), "warc-files")
+    return materialize(bounded_batches(plan).mapInArrow(run, "file string, records long"), "warc-files")
 
 
 def normalise(files: DataFrame, src: str, dst: str, level: int = 6) -> DataFrame:
