@@ -30,14 +30,18 @@ def _next(a: str, step: int):
     return F.transform(F.col(a), lambda x, i: F.xxhash64(x, F.get(F.col(a), i + step)))
 
 
-def _repeat_words(h8: Column) -> Column:
-    """Words in the windows whose hash occurs twice or more; h8: hashes of all windows by position."""
-    pairs = F.sort_array(F.transform(h8, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twice = F.transform(pairs, lambda p, k: F.when((p["h"] == F.get(pairs, k - 1)["h"]) | (p["h"] == F.get(pairs, k + 1)["h"]), p["i"]))
-    at = F.sort_array(F.filter(twice, lambda i: i.isNotNull()))
+def _with_repeat_words(rows: DataFrame, h8: str) -> DataFrame:
+    """rows with n_repeat_words: words in the windows whose hash occurs twice or more; h8: hashes of all windows by position.
+    Each step is a column of its own, as a function's body is evaluated anew for every element."""
+    pairs = F.sort_array(F.transform(F.col(h8), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    twice = F.size(F.array_distinct(h8)) < F.size(h8)
+    rows = rows.withColumn("_pairs", F.when(twice, pairs))
+    here = lambda k: F.get(F.col("_pairs"), k)["h"]
+    marked = F.transform(F.col("_pairs"), lambda p, k: F.when((p["h"] == here(k - 1)) | (p["h"] == here(k + 1)), p["i"]))
+    rows = rows.withColumn("_at", F.sort_array(F.filter(marked, lambda i: i.isNotNull())))
     start = F.struct(F.lit(0).alias("total"), F.lit(-WINDOW).alias("last"))
-    covered = F.aggregate(at, start, lambda acc, i: F.struct((acc["total"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("total"), i.alias("last")))
-    return F.when(F.size(F.array_distinct(h8)) < F.size(h8), covered["total"]).otherwise(0)
+    covered = F.aggregate(F.col("_at"), start, lambda acc, i: F.struct((acc["total"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("total"), i.alias("last")))
+    return rows.withColumn("n_repeat_words", F.coalesce(covered["total"], F.lit(0)).cast("long"))
 
 
 def hashed(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -73,7 +77,7 @@ def base_measures(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     rows = rows.withColumn("_w4", _next("w2", 2))
     rows = rows.withColumn("_w8", F.slice(_next("_w4", 4), F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))))
-    return rows.withColumn("n_repeat_words", _repeat_words(F.col("_w8")).cast("long"))
+    return _with_repeat_words(rows, "_w8")
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
