@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import bounded_batches, claim, components, materialize, small_side, stars
+from quillon.llm.shared import bounded_batches, claim, components, materialize, release, small_side, stars
 
 #: Distinct words whose hashes a worker keeps.
 WORD_CACHE = 300_000
@@ -113,6 +113,7 @@ def signatures(docs: DataFrame, n: int, count: int) -> DataFrame:
                     else:
                         d1.append(None), d2.append(None), sigs.append(None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+        release()
 
     return bounded_batches(docs).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 

@@ -17,7 +17,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import bounded_batches, claim, filesystem, materialize, shared_dir, small_side
+from quillon.llm.shared import bounded_batches, claim, filesystem, materialize, release, shared_dir, small_side
 
 PAD = "\x02"  # stands before a word
 END = " "  # ends a word
@@ -114,6 +114,8 @@ def _distinct_grams(order: int):
                 words.update(words_of(text))
         if words:
             yield flush(at)
+        done.clear()
+        release()
 
     return run
 
@@ -136,7 +138,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(path)
         at, table, memo = None, {}, {}
-        claim("perplexity", memo.clear)
+        claim("perplexity", lambda: None)
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
@@ -156,6 +158,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
                     total, n = (sum(x) for x in zip(*map(memo.__getitem__, words), strict=True))
                     out.append(math.exp(min(700.0, -total / n)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.float64())], [*batch.schema.names[2:], "perplexity"])
+        table, memo = {}, {}
+        release()
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(id_col, *others).dtypes)
     return docs.select(file.alias("_file"), F.col(text_col).alias("_text"), id_col, *others).mapInArrow(run, f"{fields}, perplexity double")

@@ -51,10 +51,14 @@ def hashed(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return rows.withColumn("w2", _next("w1", 1))
 
 
-def features(buckets: int) -> Column:
-    """Buckets of a document's words and word pairs."""
-    to = lambda x: F.pmod(x, F.lit(buckets)).cast("int")
-    return F.concat(F.transform("w1", to), F.transform("w2", to))
+def bucket(buckets: int) -> Column:
+    """Bucket of an exploded hash `h` (after the explode, as generated code then does it)."""
+    return F.pmod(F.col("h"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def grams() -> Column:
+    """Hashes of a document's words and word pairs."""
+    return F.concat("w1", "w2")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str, text_col: str, smooth: float = 1.0) -> DataFrame:
@@ -62,7 +66,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str, t
     added up before the shuffle; a row for each bucket at most comes out."""
     marked = docs.join(small_side(trusted, trusted.count()), docs[id_col] == trusted["trusted_id"], "left")
     rows = hashed(marked.withColumn("_in", F.col("trusted_id").isNotNull().cast("long")), text_col, ["_in"])
-    counts = rows.select("_in", F.explode(features(buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_in").alias("target"))
+    counts = rows.select("_in", F.explode(grams()).alias("h")).select("_in", bucket(buckets)).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_in").alias("target"))
     counts = materialize(counts, "rules-counts")
     total = counts.agg(F.sum("raw"), F.sum("target")).first()
     raw, target = (total[0] or 0) + smooth * buckets, (total[1] or 0) + smooth * buckets
@@ -96,7 +100,7 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, quantile:
     ids = materialize(ids.withColumn("half", half), "rules-trusted")
     llr = log_ratios(docs, ids.where("half = 0").select("trusted_id"), buckets, id_col, text_col)
     rows = base_measures(hashed(docs.withColumn("_row", F.monotonically_increasing_id()), text_col, ["_row", id_col]))
-    rows = rows.select("_row", id_col, *MEASURES, F.explode_outer(features(buckets)).alias("bucket"))
+    rows = rows.select("_row", id_col, *MEASURES, F.explode_outer(grams()).alias("h")).select("_row", id_col, *MEASURES, bucket(buckets))
     # The table of ratios has at most `buckets` rows, a parameter: it is broadcast.
     scored = rows.join(F.broadcast(llr), "bucket", "left").groupBy("_row", id_col, *MEASURES).agg(F.coalesce(F.avg("llr"), F.lit(0.0)).alias("score"))
     scored = materialize(scored.drop("_row"), "rules-scores")

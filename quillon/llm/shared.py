@@ -31,8 +31,14 @@ def claim(owner: str, drop: Callable[[], None]) -> None:
     _kept[owner] = drop
     if others:
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # gives freed memory back where the C library can
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release()
+
+
+def release() -> None:
+    """Give freed memory of this process back to the system, as far as the allocators can; idle workers then hold little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 #: Largest Arrow batch that goes to a worker, in bytes; a longer text is a batch of its own.

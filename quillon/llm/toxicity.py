@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import bounded_batches, claim, materialize
+from quillon.llm.shared import bounded_batches, claim, materialize, release
 
 #: Marks stripped from both ends of a word, besides its case.
 EDGE = ".,;:!?\"'()[]{}*#$%&|<>-_=+/\\~`"
@@ -247,7 +247,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     docs. Null and wordless texts score as one without segments. Rows repeat as in docs; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("toxicity", model.memo.clear)
+        claim("toxicity", lambda: None)
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
@@ -258,6 +258,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     words = words_of(text) if passages and segments else []
                     found.append([{"first_word": lo, "words": hi - lo, "expected": e, "text": " ".join(words[lo:hi])} for lo, hi, e in segments] if passages else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, PASSAGES)], [id_col, "score", "passages"])
+        model.memo.clear()
+        release()
 
     kind = dict(docs.dtypes)[id_col]
     return bounded_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, passages array<struct<first_word:bigint,words:bigint,expected:double,text:string>>")
@@ -267,12 +269,14 @@ def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.7, text_co
     """docs' rows whose score is below the threshold, as they are. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("toxicity", model.memo.clear)
+        claim("toxicity", lambda: None)
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 yield batch.filter(pa.array([probability(model, excess(model, x)[0]) < threshold for x in texts], pa.bool_()))
+        model.memo.clear()
+        release()
 
     return bounded_batches(docs).mapInArrow(run, docs.schema)
 
