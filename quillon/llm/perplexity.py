@@ -1,7 +1,8 @@
 """Operator 6. Quality classifier: interpolated modified Kneser-Ney character n-grams of trusted text.
 
-The n-grams of trusted words are counted and summed by shards; the lower orders count distinct left neighbours. To score,
-each input file's distinct n-grams are joined with the sharded counts, order by order, and the answers are written next to
+The n-grams of trusted texts are counted and summed by shards; the lower orders count distinct left neighbours. With across,
+a text is one stream of characters, a blank between words, so contexts run over word borders and order and repetition of
+words count; else each word stands alone. To score, each input file's distinct n-grams are joined with the sharded counts, order by order, and the answers are written next to
 each other for that file; the scan of the documents then reads its own file's answers. So texts are never shuffled, and no
 task or driver holds the whole model. A document's perplexity is judged by a quantile of its language's trusted documents
 that the model was not trained on.
@@ -23,9 +24,9 @@ PAD = "\x02"  # stands before a word
 END = " "  # ends a word
 
 
-def grams_of(word: str, order: int) -> list[str]:
-    """The n-gram ending at each character of a word, and at its end."""
-    text = PAD * (order - 1) + word + END
+def grams_of(word: str, order: int, before: str | None = None) -> list[str]:
+    """The n-gram ending at each character of a word, and at its end. before: the order - 1 characters that it follows."""
+    text = (PAD * (order - 1) if before is None else before) + word + END
     return [text[k : k + order] for k in range(len(word) + 1)]
 
 
@@ -34,10 +35,24 @@ def words_of(text: str | None) -> list[str]:
     return text.replace(PAD, "").split() if text else []
 
 
-def count_grams(trusted: DataFrame, order: int, text_col: str = "text") -> DataFrame:
-    """gram, n: occurrences of each n-gram of the highest order in the texts. Words are counted first, so each distinct word
-    is cut up once."""
+def border(word: str, order: int) -> tuple[str, str | None]:
+    """The start of a word, whose n-grams reach over its border, and what the next word follows (None: what comes before
+    the word is part of it)."""
+    text = word + END
+    return text[: order - 1], text[len(text) - order + 1 :] if len(text) >= order - 1 else None
+
+
+def count_grams(trusted: DataFrame, order: int, text_col: str = "text", across: bool = False) -> DataFrame:
+    """gram, n: occurrences of each n-gram of the highest order in the texts. Within words, words are counted first, so each
+    distinct word is cut up once; across words, n-grams are counted before the shuffle."""
     clean = F.translate(F.coalesce(F.col(text_col), F.lit("")), PAD, "")
+    if across:
+        rows = trusted.select(F.filter(F.split(clean, "\\s+"), lambda w: w != "").alias("w"))
+        # A word and its blank are two characters at least, so order // 2 words hold the order - 1 before a word.
+        back = lambda i: [F.coalesce(F.concat(F.when(i >= k, F.get(F.col("w"), i - k)), F.lit(END)), F.lit("")) for k in range(order // 2, 0, -1)]
+        spans = F.transform("w", lambda w, i: F.concat(F.right(F.concat(F.lit(PAD * (order - 1)), *back(i)), F.lit(order - 1)), w, F.lit(END)))
+        cut = F.transform(F.sequence(F.lit(1), F.length("span") - (order - 1)), lambda k: F.substring("span", k, F.lit(order)))
+        return rows.select(F.explode(spans).alias("span")).select(F.explode(cut).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     words = trusted.select(F.explode(F.split(clean, "\\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit(PAD * (order - 1)), F.col("word"), F.lit(END))
     cut = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda k: F.substring(padded, k, F.lit(order)))
@@ -86,17 +101,25 @@ def probabilities(requests: DataFrame, tables: dict[int, DataFrame]) -> DataFram
     return lower.select("gram", F.log("p").alias("lp"))
 
 
-def _distinct_grams(order: int):
+def _distinct_grams(order: int, across: bool = False):
     """file, gram: those of each task, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("perplexity", lambda: None)
         words: set[str] = set()
         done: set[str] = set()
+        spans: set[str] = set()  # across words: what a word follows, and its start
+        borders: dict[str, tuple] = {}
         at = None
 
         def flush(file: str) -> pa.RecordBatch:
-            grams = {g for w in words for g in grams_of(w, order)} - done
+            if across:
+                grams = {x[k : k + order] for x in spans for k in range(len(x) - order + 1)}
+                grams.update(x[k : k + order] for x in (w + END for w in words) for k in range(len(x) - order + 1))
+                grams -= done
+                spans.clear()
+            else:
+                grams = {g for w in words for g in grams_of(w, order)} - done
             done.update(grams)
             words.clear()
             if len(done) > 1_000_000:
@@ -105,13 +128,24 @@ def _distinct_grams(order: int):
 
         for batch in batches:
             for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if file != at or len(words) > 200_000:
+                if file != at or len(words) > 200_000 or len(spans) > 200_000:
                     if words:
                         yield flush(at)
                     if file != at:
                         done.clear()
                     at = file
-                words.update(words_of(text))
+                found = words_of(text)
+                if across:
+                    if len(borders) > 100_000:
+                        borders.clear()
+                    for w in set(found).difference(borders):
+                        borders[w] = border(w, order)
+                    before = PAD * (order - 1)
+                    for w in found:
+                        head, after = borders[w]
+                        spans.add(before + head)
+                        before = after if after is not None else (before + w + END)[1 - order :]
+                words.update(found)
         if words:
             yield flush(at)
         done.clear()
@@ -120,16 +154,38 @@ def _distinct_grams(order: int):
     return run
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and perplexity (a character; null without words) for each row of docs under the model of trusted's texts. docs'
-    other columns follow. The input is read by files; docs that come from elsewhere are written to files first."""
+def _stream(words: list[str], order: int, table: dict[str, float], memo: dict[str, tuple], starts: dict[str, float]) -> float:
+    """Mean log probability of the characters of a text, contexts running over word borders. memo keeps what lies within
+    each word, starts what reaches over its border."""
+    if len(memo) > 100_000:
+        memo.clear()
+    if len(starts) > 200_000:
+        starts.clear()
+    for w in set(words).difference(memo):
+        text = w + END
+        memo[w] = (sum(table[text[k : k + order]] for k in range(len(text) - order + 1)), *border(w, order))
+    total, before = 0.0, PAD * (order - 1)
+    for w in words:
+        inner, head, after = memo[w]
+        key = before + head
+        x = starts.get(key)
+        if x is None:
+            x = starts[key] = sum(table[key[k : k + order]] for k in range(len(head)))
+        total += inner + x
+        before = after if after is not None else (before + w + END)[1 - order :]
+    return total / (sum(map(len, words)) + len(words))
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: str = "doc_id", text_col: str = "text", across: bool = False) -> DataFrame:
+    """id and perplexity (a character; null without words) for each row of docs under the model of trusted's texts; across:
+    n-grams run over word borders. docs' other columns follow. The input is read by files; docs that come from elsewhere are written to files first."""
     spark = docs.sparkSession
     if docs.select(F.input_file_name().alias("f")).where("f = ''").limit(1).count():
         docs = materialize(docs, "kn-documents")
-    tables = _orders(materialize(count_grams(trusted, order, text_col), f"kn-order{order}"), order)
+    tables = _orders(materialize(count_grams(trusted, order, text_col, across), f"kn-order{order}"), order)
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     file = F.md5(F.input_file_name())
-    asked = bounded_batches(docs).select(file.alias("file"), F.col(text_col).alias("text")).mapInArrow(_distinct_grams(order), "file string, gram string")
+    asked = bounded_batches(docs).select(file.alias("file"), F.col(text_col).alias("text")).mapInArrow(_distinct_grams(order, across), "file string, gram string")
     asked = materialize(asked.distinct(), "kn-asked")
     lp = probabilities(asked.select("gram").distinct(), tables)
     path = shared_dir(spark, "kn-answers")
@@ -137,7 +193,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(path)
-        at, table, memo = None, {}, {}
+        at, table, memo, starts = None, {}, {}, {}
         claim("perplexity", lambda: None)
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
@@ -151,6 +207,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
                     if name != at:
                         t = pq.read_table(f"{base}/file={name}", filesystem=fs, columns=["gram", "lp"], partitioning=None)
                         at, table, memo = name, dict(zip(t.column("gram").to_pylist(), t.column("lp").to_pylist(), strict=True)), {}
+                        starts.clear()
+                    if across:
+                        out.append(math.exp(min(700.0, -_stream(words, order, table, memo, starts))))
+                        continue
                     if len(memo) > 250_000:
                         memo.clear()
                     for w in set(words).difference(memo):
@@ -158,14 +218,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
                     total, n = (sum(x) for x in zip(*map(memo.__getitem__, words), strict=True))
                     out.append(math.exp(min(700.0, -total / n)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.float64())], [*batch.schema.names[2:], "perplexity"])
-        table, memo = {}, {}
+        table, memo, starts = {}, {}, {}
         release()
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(id_col, *others).dtypes)
     return docs.select(file.alias("_file"), F.col(text_col).alias("_text"), id_col, *others).mapInArrow(run, f"{fields}, perplexity double")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, quantile: float = 0.99, slack: float = 1.05, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, quantile: float = 0.99, slack: float = 1.05, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", across: bool = False) -> DataFrame:
     """id, lang, perplexity, threshold, kept for each row of docs.
 
     The model is trained on half of the trusted documents (by crc32 of the id). The threshold of a language is the quantile
@@ -179,7 +239,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, quantile:
     rows = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col))
     one = ids.where("half = 0")
     train = rows.join(small_side(one, n), rows[id_col] == one["trusted_id"], "left_semi")
-    seen = materialize(perplexities(rows, train, order, id_col, text_col), "kn-scores")
+    seen = materialize(perplexities(rows, train, order, id_col, text_col, across), "kn-scores")
     two = ids.where("half = 1")
     held = seen.join(small_side(two, n), seen[id_col] == two["trusted_id"], "left_semi").where("perplexity is not null")
     each = held.groupBy(F.col(lang_col).alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit"), F.count("*").alias("_n"))
@@ -204,4 +264,4 @@ def op6_perplexity(spark, sf_dir: str) -> DataFrame:
     """All documents against those labelled as of good quality."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return classify(docs, trusted)
+    return classify(docs, trusted, across=True)

@@ -239,6 +239,39 @@ def test_perplexity(spark):
     assert perplexity.classify(d.limit(0), trusted, order=3).count() == 0
 
 
+def test_perplexity_across_words(spark):
+    r = random.Random(18)
+    ring = ["ka", "tomi", "resu", "a", "mire", "so"]
+    after = {w: [ring[(k + 1) % 6], ring[(k + 2) % 6]] for k, w in enumerate(ring)}
+
+    def text(n):
+        out = [r.choice(list(after))]
+        while len(out) < n:
+            out.append(r.choice(after[out[-1]]))
+        return out
+
+    good = [text(60) for _ in range(200)]
+    mixed = [r.sample(x, len(x)) for x in good[150:160]]
+    rows = [" ".join(x) for x in good + mixed] + ["ka " * 60, "so " * 60, "a", "a a\tb"]
+    d = spark.createDataFrame([(k, t, "en") for k, t in enumerate(rows)], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(k,) for k in range(150)], "doc_id long")
+    got = {x["doc_id"]: x for x in perplexity.classify(d, trusted, order=4, across=True).collect()}
+    import zlib
+
+    # The plain model over the whole stream: kneser_ney() cuts words, so blanks go in under another name and END is a part of each.
+    stream = lambda t: [s[k : k + 4] for s in ["\x02" * 3 + " ".join(t.split()) + " "] for k in range(len(s) - 3)]
+    train = [rows[k] for k in range(150) if zlib.crc32(str(k).encode()) % 2 == 0]
+    was, perplexity.grams_of = perplexity.grams_of, lambda t, order: stream(t.replace("_", " "))
+    try:
+        p = kneser_ney([t.replace(" ", "_") for t in train], 4)
+    finally:
+        perplexity.grams_of = was
+    for k in (0, 155, 203, 211, 212, 213):
+        assert got[k]["perplexity"] == pytest.approx(np.exp(-np.mean([np.log(p(g)) for g in stream(rows[k])])), rel=1e-9)
+    assert all(got[k + 200]["perplexity"] > 1.2 * got[k + 150]["perplexity"] for k in range(10))
+    assert not any(got[k]["kept"] for k in range(200, 212)) and sum(got[k]["kept"] for k in range(200)) > 190
+
+
 def test_language(spark):
     r = random.Random(9)
     syl = {"aa": ["ka", "to", "mi", "zu"], "bb": ["sch", "ein", "ung", "er"], "cc": ["eau", "oir", "que", "é"]}
