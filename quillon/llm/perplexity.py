@@ -22,6 +22,8 @@ from quillon.llm.shared import bounded_batches, claim, filesystem, materialize,
 
 PAD = "\x02"  # stands before a word
 END = " "  # ends a word
+#: Trusted documents of a language that count as much as all languages together do for its threshold.
+EVIDENCE = 20
 
 
 def grams_of(word: str, order: int, before: str | None = None) -> list[str]:
@@ -229,7 +231,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, quantile:
     """id, lang, perplexity, threshold, kept for each row of docs.
 
     The model is trained on half of the trusted documents (by crc32 of the id). The threshold of a language is the quantile
-    of the other half's perplexities, times slack; languages without trusted documents there, and null, take that of all.
+    of the other half's perplexities, times slack. With n of them it is drawn towards the quantile of all languages by
+    EVIDENCE / (n + EVIDENCE) where that is higher, and never lies below the language's own (of a few, their largest).
+    Languages without trusted documents there, and null, take that of all.
     kept: the perplexity is not above it. Texts without words have none and are not kept. Without trusted documents all
     texts with words are kept. Rows repeat as in docs; extra columns don't matter.
     """
@@ -244,8 +248,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, quantile:
     held = seen.join(small_side(two, n), seen[id_col] == two["trusted_id"], "left_semi").where("perplexity is not null")
     each = held.groupBy(F.col(lang_col).alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit"), F.count("*").alias("_n"))
     whole = held.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
+    drawn = (F.col("_n") * F.col("limit") + EVIDENCE * F.lit(whole).cast("double")) / (F.col("_n") + EVIDENCE)
     # A row for each language.
-    limits = each.where("_lang is not null and _n >= 20").select("_lang", "limit")
+    limits = each.where("_lang is not null").select("_lang", F.greatest("limit", drawn).alias("limit"))
     found = seen.join(F.broadcast(limits), seen[lang_col] == limits["_lang"], "left")
     limit = F.coalesce(F.col("limit"), F.lit(whole).cast("double")) * slack
     good = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= limit, F.lit(True))

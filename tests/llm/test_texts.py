@@ -272,6 +272,24 @@ def test_perplexity_across_words(spark):
     assert not any(got[k]["kept"] for k in range(200, 212)) and sum(got[k]["kept"] for k in range(200)) > 190
 
 
+def test_threshold_of_a_rare_language(spark):
+    import zlib
+
+    r = random.Random(28)
+    syl = {"en": ["ka", "to", "mi", "re", "su"], "xx": ["qua", "zön", "vyl", "ghw", "pfö", "ryx", "ßei", "ñud"]}
+    doc = lambda x: " ".join("".join(r.choice(syl[x]) for _ in range(r.randint(1, 3))) for _ in range(30))
+    rows = [(k, doc(x := "xx" if k % 40 == 0 else "en"), x) for k in range(800)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(k,) for k in range(400)], "doc_id long")
+    got = {x["doc_id"]: x for x in perplexity.classify(d, trusted, order=3).collect()}
+    held = {x: [got[k]["perplexity"] for k in range(400) if rows[k][2] == x and zlib.crc32(str(k).encode()) % 2] for x in syl}
+    assert 0 < len(held["xx"]) < 10 and min(held["xx"]) > 1.2 * np.median(held["en"])
+    rare = [got[k] for k in range(0, 800, 40)]
+    assert all(x["threshold"] >= 1.05 * max(held["xx"]) - 1e-9 for x in rare) and sum(x["kept"] for x in rare) >= 18
+    # The rare language's trusted documents do not loosen the other one's threshold beyond the pooled quantile.
+    assert got[1]["threshold"] <= 1.05 * max(held["en"] + held["xx"]) and got[1]["threshold"] < rare[0]["threshold"]
+
+
 def test_language(spark):
     r = random.Random(9)
     syl = {"aa": ["ka", "to", "mi", "zu"], "bb": ["sch", "ein", "ung", "er"], "cc": ["eau", "oir", "que", "é"]}
