@@ -27,8 +27,8 @@ EDGE = ".,;:!?\"'()[]{}*#$%&|<>-_=+/\\~`"
 BEGINNINGS = (8, 7, 6, 5, 4, 3)
 #: Log-odds below this are taken as no evidence: the token scores the drift.
 LEAST_ODDS = 1.5
-#: A token's later occurrences in a text, beyond so many, score the drift: repetition is no evidence.
-OCCURRENCES = 3
+#: Words after which a token's occurrence weighs 1/e in the discount of its next one.
+MEMORY = 50.0
 
 
 @dataclass
@@ -101,13 +101,16 @@ def words_of(text: str | None) -> list[str]:
 
 
 def token_scores(model: Model, words: list[str]) -> np.ndarray:
-    """Scores of a text's words; a token's occurrences beyond OCCURRENCES score the drift."""
+    """Scores of a text's words. Each occurrence of a token counts; close repetition adds little: a positive log-odds is
+    divided by 1 + the sum of exp(-distance / MEMORY) over the token's earlier occurrences, and comes back as these fall
+    behind. So what is found in a passage doesn't hang on what the text says far before it."""
     scores = np.fromiter(map(model.token, words), float, len(words))
-    seen: dict[str, int] = {}
+    seen: dict[str, tuple[int, float]] = {}
     for k in np.flatnonzero(scores > 0).tolist():
-        n = seen[words[k]] = seen.get(words[k], 0) + 1
-        if n > OCCURRENCES:
-            scores[k] = model.drift
+        at, near = seen.get(words[k], (k, 0.0))
+        near *= math.exp((at - k) / MEMORY)
+        seen[words[k]] = (k, near + 1.0)
+        scores[k] = (scores[k] - model.drift) / (1.0 + near) + model.drift
     return scores
 
 

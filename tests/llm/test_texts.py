@@ -155,6 +155,16 @@ def test_toxicity(spark):
     assert all(x["score"] < 0.7 for x in toxicity.score(tests, flat).collect())
 
 
+def test_a_dense_passage_after_earlier_mentions():
+    bad = [f"vile{k}" for k in range(6)]
+    model = toxicity.Model({w: 3.0 for w in bad} | {"be": 0.5}, -0.1, 1.0, 0.05)
+    early = [x for k in range(18) for x in (*["calm"] * 100, bad[k % 6])]
+    text = [*early, *["calm"] * 100, *bad, *["calm"] * 300, *bad, *["calm"] * 100]
+    found = toxicity.excess(model, " ".join(text))[1]
+    assert [(lo, hi) for lo, hi, _ in found] == [(1918, 1924), (2224, 2230)]
+    assert toxicity.excess(model, "be " * 5000)[1] == []  # close repetition of a slightly indicative word
+
+
 def test_quotas_and_flow():
     q = mixing.quotas({"a": 100, "b": 50, None: 10}, mixing.default_weights(["b", None, "a"]))
     assert mixing.default_weights(["b", None, "a"]) == {"a": 3, "b": 1, None: 2} and q[None] == 20 and sum(q.values()) == pytest.approx(240) and all(q[k] <= 2 * n for k, n in {"a": 100, "b": 50}.items())
