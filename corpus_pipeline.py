@@ -13,7 +13,7 @@ from quillon.llm.shared import materialize
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a toxicity below 0.7, learnt from the labels outside the held-out third."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~toxicity.held_out(3, 1))
-    return toxicity.keep_harmless(docs, toxicity.fit(toxicity.labelled_sample(docs.select("doc_id", "text"), labels)))
+    return toxicity.keep_harmless(docs, toxicity.fit(toxicity.labelled_sample(docs.select("doc_id", "text"), labels), weight_col="weight"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,16 +147,17 @@ def _extreme_law(largest: np.ndarray, lengths: np.ndarray) -> tuple[float, float
     return rate, math.exp(rate * (y.mean() - 0.5772156649 / rate))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """slope and bias of P(1 | x), a little shrunk; Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """slope and bias of P(1 | x), a little shrunk; Newton steps. Rows by their weights, scaled to a mean of 1."""
     if not len(x) or y.min() == y.max():
         return 1.0, -3.0
+    c = np.ones(len(x)) if weight is None else weight / weight.mean()
     w = np.array([0.5, -1.0])
     m = np.column_stack([x, np.ones(len(x))])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
-        g = m.T @ (p - y) + np.array([0.5 * w[0], 0])
-        h = (m * (p * (1 - p) + 1e-6)[:, None]).T @ m + np.diag([0.5, 0])
+        g = m.T @ (c * (p - y)) + np.array([0.5 * w[0], 0])
+        h = (m * (c * (p * (1 - p) + 1e-6))[:, None]).T @ m + np.diag([0.5, 0])
         step = np.linalg.solve(h, g)
         w -= np.clip(step, -1, 1)
         if abs(step).max() < 1e-8:
@@ -165,15 +166,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def count_contexts(train: DataFrame) -> DataFrame:
-    """token, bad, all: distinct contexts of each word, and of each word beginning (marked by a star), in toxic texts and
-    in all. train: text, toxic."""
+    """token, bad, all, square, n: distinct contexts of each word, and of each word beginning (marked by a star), in toxic
+    texts and in all, by weight; their weights' squares, and their number. train: text, toxic, weight (one for each label)."""
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), "\\s+")
     plain = F.transform(words, lambda w: F.btrim(w, F.lit(EDGE)))
-    rows = train.select("toxic", plain.alias("w"))
+    rows = train.select("toxic", "weight", plain.alias("w"))
     around = F.transform("w", lambda w, i: F.struct(w.alias("token"), F.xxhash64(F.when(i > 0, F.get(F.col("w"), i - 1)), F.get(F.col("w"), i + 1)).alias("context")))
-    seen = rows.select("toxic", F.inline(around)).where("token <> ''").groupBy("token", "context").agg(F.max("toxic").alias("toxic"))
-    by_word = materialize(seen.groupBy("token").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all")), "toxicity-words")
-    short = [by_word.where(F.length("token") > n).groupBy(F.concat(F.substring("token", 1, n), F.lit("*")).alias("token")).agg(F.sum("bad").alias("bad"), F.sum("all").alias("all")) for n in BEGINNINGS]
+    seen = rows.select("toxic", "weight", F.inline(around)).where("token <> ''").groupBy("token", "context").agg(F.max("toxic").alias("toxic"), F.max_by("weight", "toxic").alias("weight"))
+    by_word = materialize(seen.groupBy("token").agg(F.sum(F.col("toxic") * F.col("weight")).alias("bad"), F.sum("weight").alias("all"), F.sum(F.col("weight") * F.col("weight")).alias("square"), F.count("*").alias("n")), "toxicity-words")
+    short = [by_word.where(F.length("token") > n).groupBy(F.concat(F.substring("token", 1, n), F.lit("*")).alias("token")).agg(*[F.sum(c).alias(c) for c in ("bad", "all", "square", "n")]) for n in BEGINNINGS]
     out = by_word
     for x in short:
         out = out.unionByName(x)
@@ -181,13 +182,16 @@ def count_contexts(train: DataFrame) -> DataFrame:
 
 
 def fit_odds(counts: DataFrame, prior: float = 4.0, z: float = 2.5, max_entries: int = 200_000) -> Model:
-    """Log-odds of what differs clearly (z) from the share of all tokens. At most max_entries entries, the clearest ones."""
+    """Log-odds of what differs clearly (z) from the share of all tokens. At most max_entries entries, the clearest ones.
+    Weighted counts give the shares; certainty is that of all^2 / square contexts of equal weight."""
     total = counts.where(~F.col("token").endswith("*")).agg(F.sum("bad"), F.sum("all")).first()
     if not total[1] or not total[0] or total[0] == total[1]:
         return Model({}, -0.1)
     share = total[0] / total[1]
+    # Of as many contexts of equal weight: all.
+    even = counts.where("n >= 3").withColumn("part", F.col("bad") / F.col("all")).withColumn("all", F.col("all") * F.col("all") / F.col("square")).withColumn("bad", F.col("part") * F.col("all"))
     spread = F.sqrt(F.lit(share * (1 - share)) * F.col("all"))
-    differs = counts.where("all >= 3").withColumn("z", (F.col("bad") - F.lit(share) * F.col("all")) / spread).where(F.abs("z") >= z)
+    differs = even.withColumn("z", (F.col("bad") - F.lit(share) * F.col("all")) / spread).where(F.abs("z") >= z)
     rows = {r[0]: (r[1], r[2]) for r in differs.orderBy(F.abs("z").desc(), "token").limit(max_entries).select("token", "bad", "all").collect()}
     logit = lambda q: math.log(q / (1 - q))
 
@@ -210,15 +214,19 @@ def sample_bits(id_col: str | Column) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1_000_000))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 20_000) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 20_000, weight_col: str | None = None) -> Model:
     """Fit on labelled rows (label 0 or 1; others and null texts don't count), at most about max_docs of each label, picked by
-    a hash of the id. Four fifths give the log-odds, one fifth the calibration. Labels of one kind only: nothing scores."""
-    rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("long").alias("toxic"))
+    a hash of the id. Rows weigh as many labelled ones as they stand for (weight_col: each as many before), so shares and the
+    calibration are those of all labelled rows whatever their number. Four fifths give the log-odds, one fifth the calibration. Labels of one kind only: nothing scores."""
+    rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("long").alias("toxic"), (F.col(weight_col) if weight_col else F.lit(1.0)).cast("double").alias("weight"))
     rows = rows.withColumn("bits", sample_bits("id"))
-    sizes = dict(rows.groupBy("toxic").count().collect())
+    found = rows.groupBy("toxic").agg(F.count("*"), F.sum("weight")).collect()
+    sizes, whole = {r[0]: r[1] for r in found}, {r[0]: r[2] for r in found}
     share = F.when(F.col("toxic") == 1, min(1.0, max_docs / max(1, sizes.get(1, 0)))).otherwise(min(1.0, max_docs / max(1, sizes.get(0, 0))))
     # Far beyond the sample the labelled texts are read once more only.
     rows = materialize(rows.where(F.col("bits") < share * 1_000_000).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(5))), "toxicity-sample")
+    stands = {k: whole[k] / n for k, n in rows.groupBy("toxic").count().collect()}
+    rows = rows.withColumn("weight", F.when(F.col("toxic") == 1, stands.get(1, 1.0)).otherwise(stands.get(0, 1.0)))
     model = fit_odds(materialize(count_contexts(rows.where("part <> 0")), "toxicity-counts"))
 
     def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +249,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], ["x", "toxic"])
 
     seen = held.mapInArrow(sums, "x double, toxic long").toPandas()
-    model.slope, model.bias = _logistic(seen["x"].to_numpy(), seen["toxic"].to_numpy(float))
+    model.slope, model.bias = _logistic(seen["x"].to_numpy(), seen["toxic"].to_numpy(float), seen["toxic"].map(lambda k: stands.get(k, 1.0)).to_numpy(float))
     return model
 
 
@@ -296,13 +304,14 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     """All documents, learnt from labels outside the held-out third."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = fit(labelled_sample(docs, labels.where(~held_out(3, 1))))
+    model = fit(labelled_sample(docs, labels.where(~held_out(3, 1))), weight_col="weight")
     scored = score(docs, model, passages=False)
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", max_docs: int = 20_000) -> DataFrame:
-    """docs' labelled rows, at most about max_docs of each label, picked by a hash of the id. The picked labels are at most
+    """docs' labelled rows, at most about max_docs of each label, picked by a hash of the id, and weight: how many of its
+    label one stands for. The picked labels are at most
     2 * max_docs rows (about), so they are broadcast and the texts are not shuffled. Ids with differing labels are toxic."""
     one = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias(label_col))
     sizes = dict(one.groupBy(label_col).count().collect())
@@ -310,10 +319,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     for kind, n in sizes.items():
         if kind is None:
             continue
-        part = one.where((F.col(label_col) == kind) & (sample_bits(id_col) < int(1_000_000 * min(1.0, max_docs / n))))
+        bits = max(1, int(1_000_000 * min(1.0, max_docs / n)))
+        part = one.where((F.col(label_col) == kind) & (sample_bits(id_col) < bits)).withColumn("weight", F.lit(1_000_000 / bits))
         picked = part if picked is None else picked.unionByName(part)
     if picked is None:
-        picked = one.limit(0)
+        picked = one.withColumn("weight", F.lit(1.0)).limit(0)
     return docs.join(F.broadcast(picked), id_col)
 
 

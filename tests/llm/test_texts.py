@@ -165,6 +165,29 @@ def test_a_dense_passage_after_earlier_mentions():
     assert toxicity.excess(model, "be " * 5000)[1] == []  # close repetition of a slightly indicative word
 
 
+def test_toxicity_shares_do_not_hang_on_the_sample(spark):
+    r = random.Random(16)
+    clean, bad = [f"calm{k}" for k in range(300)], [f"vile{k}" for k in range(6)]
+    rows = []
+    for k in range(1600):
+        w = [r.choice(clean) for _ in range(r.randint(20, 60))]
+        for _ in range(4 if k % 10 == 0 else 0):
+            w.insert(r.randrange(len(w)), r.choice(bad))
+        rows.append((k, " ".join(w), int(k % 10 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    full, own = toxicity.fit(d), toxicity.fit(d, max_docs=160)
+    sample = toxicity.labelled_sample(d.select("doc_id", "text"), d.select("doc_id", "toxic"), max_docs=160)
+    assert abs(sample.agg(F.sum("weight")).first()[0] - 1600) < 400 and sample.count() < 450
+    two = toxicity.fit(sample, max_docs=160, weight_col="weight")
+    for model in (own, two):
+        assert all(abs(model.odds[w] - full.odds[w]) < 0.7 for w in bad)
+    x, y = np.array([-3, -2, -1, 0, 1, 2, -1, 0, 2, 3.0]), np.array([0, 0, 0, 0, 0, 0, 1, 1, 1, 1.0])
+    more = np.where(y == 0, 8, 1)
+    slope, bias = toxicity._logistic(x, y, more.astype(float))
+    far = toxicity._logistic(np.repeat(x, more), np.repeat(y, more))
+    assert abs(bias - far[1]) < 0.3 and bias < toxicity._logistic(x, y)[1] - 1.5
+
+
 def test_quotas_and_flow():
     q = mixing.quotas({"a": 100, "b": 50, None: 10}, mixing.default_weights(["b", None, "a"]))
     assert mixing.default_weights(["b", None, "a"]) == {"a": 3, "b": 1, None: 2} and q[None] == 20 and sum(q.values()) == pytest.approx(240) and all(q[k] <= 2 * n for k, n in {"a": 100, "b": 50}.items())
