@@ -98,6 +98,15 @@ def shared_identifiers(left: DataFrame, right: DataFrame, kinds: list[str]) -> D
     return pairs.groupBy("a", "b").agg(F.min_by("kind", "p").alias("match_type"))
 
 
+def identifier_classes(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """J11, D8 without the pairs, whose number grows with the square of a value's works: kind, value, work_id and the smallest
+    work of the value (representative), for each identifier that several works share. Two works are a pair where they share a class."""
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).cast("string").alias("value")) for kind in kinds])
+    flat = rows.select("work_id", F.inline(each)).where("value is not null").distinct()
+    least = flat.groupBy("kind", "value").agg(F.min("work_id").alias("representative"), F.max("work_id").alias("_most")).where("representative < _most").drop("_most")
+    return flat.join(least, ["kind", "value"])
+
+
 def resolve_isbns(inputs: DataFrame, known: DataFrame) -> DataFrame:
     """Work of each input by ISBN-13, else by ISBN-10 turned to 13. inputs: id, isbn; known: isbn13, work_id."""
     plain = text.normalize_isbn("isbn")

@@ -159,3 +159,23 @@ def test_stream_of_sessions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r[2], r[3]) for r in rows(spark.table("sessions"))] == [(2, 3.0), (1, 4.0)]
+
+
+def test_identifier_classes_hold_all_pairs(spark):
+    from collections import defaultdict
+    from itertools import combinations
+
+    from quillon.plans import catalog
+    from quillon.sources.fixtures import Catalogue
+
+    sf = "/root/testdata/sf0.001"
+    by, want = defaultdict(set), set()
+    for x in Catalogue(spark, sf).edition.collect():
+        by["isbn13", f"i{x['page_count']}"].add(x["work_id"])
+        by["asin", x["asin"]].add(x["work_id"])
+    for (kind, value), works in by.items():
+        want |= {(kind, value, a, min(works)) for a in works if len(works) > 1}
+    rows = catalog.queries()["shared_identifier_classes"](spark, sf).select("kind", "value", "work_id", "representative").collect()
+    assert len(rows) == len(want) and set(map(tuple, rows)) == want
+    few = {(x["a"], x["b"]) for x in catalog.queries()["shared_identifier"](spark, sf).collect()}
+    assert few <= {p for works in by.values() for p in combinations(sorted(works), 2)}
