@@ -103,6 +103,7 @@ def queries() -> dict:
         "title_dedupe_candidates": on(lambda c: rs.title_duplicates(c.work).select("x", "y", F.round("similarity", 6).alias("similarity"), "works_x", "works_y")),
         "asin_duplicates": on(lambda c: rs.asin_duplicates(c.edition)),
         "merge_works": on(lambda c: rs.merge_map(c.redirect.where("old_key % 8 <> 0").select(F.col("old_key").alias("a"), F.col("new_key").alias("b")), checkpoint=cut)),
+        "merge_works_whole": on(lambda c: rs.merge_map(c.redirect.select(F.col("old_key").alias("a"), F.col("new_key").alias("b")), checkpoint=cut)),
         "shared_identifier": on(lambda c: rs.shared_identifiers(*[c.edition.where("work_id < 400").select("work_id", F.concat(F.lit("i"), F.col("page_count").cast("string")).alias("isbn13"), "asin")] * 2, ["isbn13", "asin"])),
         "shared_identifier_classes": on(lambda c: rs.identifier_classes(c.edition.select("work_id", F.concat(F.lit("i"), F.col("page_count").cast("string")).alias("isbn13"), "asin"), ["isbn13", "asin"])),
         "isbn_normalise": on(lambda c: _isbns(c).select("id", text.normalize_isbn("isbn").alias("isbn10"), text.isbn10_to_13(text.normalize_isbn("isbn")).alias("isbn13"))),

@@ -179,3 +179,24 @@ def test_identifier_classes_hold_all_pairs(spark):
     assert len(rows) == len(want) and set(map(tuple, rows)) == want
     few = {(x["a"], x["b"]) for x in catalog.queries()["shared_identifier"](spark, sf).collect()}
     assert few <= {p for works in by.values() for p in combinations(sorted(works), 2)}
+
+
+def test_merges_of_all_redirects(spark):
+    from quillon.plans import catalog
+    from quillon.sources.fixtures import Catalogue
+
+    sf = "/root/testdata/sf0.001"
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in Catalogue(spark, sf).redirect.select("old_key", "new_key").collect():
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    rows = catalog.queries()["merge_works_whole"](spark, sf).collect()
+    assert len(rows) == len({x["from_id"] for x in rows})
+    assert {(x["from_id"], x["to_id"]) for x in rows} == {(x, top(x)) for x in up if top(x) != x}
+    assert any(x["from_id"] % 64 == 0 and x["to_id"] == 1 for x in rows)
