@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import bounded_batches, claim, materialize
+from quillon.llm.shared import ascii_words, bounded_batches, claim, materialize
 from quillon.llm.toxicity import EDGE, held_out, sample_bits
 
 NGRAMS = (1, 2, 3)
@@ -58,7 +58,7 @@ class Presence:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            own = set(text.lower().split())
+            own = set(ascii_words(text.lower()))
             if len(words) > self.limit:
                 words.clear()
             for w in own.difference(words):

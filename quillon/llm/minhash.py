@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import bounded_batches, claim, components, materialize, release, small_side, stars
+from quillon.llm.shared import bounded_batches, claim, components, materialize, release, small_side, stars, with_partner
 
 #: Distinct words whose hashes a worker keeps.
 WORD_CACHE = 300_000
@@ -166,21 +166,26 @@ def _possible(group: dict, at: tuple, matches: int, num: int, den: int) -> Itera
 
 
 def _candidates(matches: int, num: int, den: int):
-    """Edges a, b that connect the rows of a group whose pairs are possible."""
+    """id, comp, top of the rows of a group that have a possible partner: edges comp-top connect the components of possible pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, group in _groups(batches):
-            ids = np.array(group["id"])
-            found = [(np.full(len(j), ids[i]), ids[j]) for i, j in _possible(group, at, matches, num, den)]
+            ids, comp = np.array(group["id"]), np.array(group["comp"])
+            found = [(np.full(len(j), i), j) for i, j in _possible(group, at, matches, num, den)]
             if found:
-                yield _edges(*stars(*(np.concatenate(x) for x in zip(*found, strict=True))))
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                rows = np.unique(np.concatenate([i, j]))
+                node, low = stars(comp[i], comp[j])
+                place = np.minimum(np.searchsorted(node, comp[rows]), len(node) - 1)
+                top = np.where(node[place] == comp[rows], low[place], comp[rows])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[rows], comp[rows], top)], ["id", "comp", "top"])
 
     return run
 
 
 def _similar(matches: int, num: int, den: int, shingle: int):
-    """Edges a, b that connect the rows of a group whose full sets are similar enough. Components that links join within
-    the group count as one from then on."""
+    """Edges a, b that connect the components of a group's rows whose full sets are similar enough. Components that links
+    join within the group count as one from then on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, group in _groups(batches):
@@ -206,9 +211,9 @@ def _similar(matches: int, num: int, den: int, shingle: int):
                     ends = np.cumsum(size[some])
                     both = np.add.reduceat((sets[i][place] == flat).astype(np.int64), np.concatenate([[0], ends[:-1]]))
                     for j in np.array(some)[den * both >= num * (size[i] + size[some] - both)].tolist():
-                        out.append((group["id"][i], group["id"][j]))
                         a, b = root(comp[i]), root(comp[j])
                         if a != b:
+                            out.append((comp[i], comp[j]))
                             top[max(a, b)] = min(a, b)
             if out:
                 yield _pairs(out)
@@ -216,10 +221,6 @@ def _similar(matches: int, num: int, den: int, shingle: int):
     return run
 
 
-def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
-
-
 def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
     """rows (key, size of the key's group, id, ...) dealt to pairs of blocks of a group: key, low, high, block, id, ..."""
     blocks = F.ceil(F.col("size") / block).cast("int")
@@ -304,20 +305,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, a: int
     sized = classes.select(F.col("id").alias("i"), "n", "sig")
     rest = labelled.join(mixed, "key", "left_semi").join(sized, F.col("id") == F.col("i")).select("key", "size", "id", "comp", "n", "sig")
     ordered = _in_blocks(rest, block).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    possible = ordered.mapInArrow(_candidates(matches, num, den), "a long, b long")
-    clusters = materialize(components(possible, "minhash-possible"), "minhash-clusters")
+    possible = materialize(ordered.mapInArrow(_candidates(matches, num, den), "id long, comp long, top long").distinct(), "minhash-possible")
+    clusters = materialize(components(possible.select("comp", "top").distinct(), "minhash-possible"), "minhash-clusters")
     # Then every possible pair of a cluster on its full sets.
-    sizes = clusters.groupBy(F.col("component").alias("key")).agg(F.count("*").alias("size"))
-    members = clusters.select(F.col("node").alias("id"), F.col("component").alias("key")).join(sizes, "key")
-    named = labelled.select("id", "comp").distinct()
-    members = members.join(named, "id").join(sized, F.col("id") == F.col("i")).select("key", "size", "id", "comp", "n", "sig")
-    dealt = _in_blocks(materialize(members, "minhash-members"), block // 4)
+    members = possible.select("id", "comp").distinct()
+    members = with_partner(members, "comp", "id", clusters.select(F.col("node").alias("comp"), F.col("component").alias("key")))
+    members = materialize(members.join(sized, F.col("id") == F.col("i")).select("key", "id", "comp", "n", "sig"), "minhash-members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    members = with_partner(members, "key", "id", sizes).select("key", "size", "id", "comp", "n", "sig")
+    dealt = _in_blocks(members, block // 4)
     dealt = dealt.join(texts.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select("key", "low", "high", "block", "id", "comp", "n", "sig", "text")
     ordered = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    second = materialize(ordered.mapInArrow(_similar(matches, num, den, n), "a long, b long"), "minhash-second")
-    final = materialize(components(first.unionByName(second), "minhash-two"), "minhash-components")
+    second = materialize(ordered.mapInArrow(_similar(matches, num, den, n), "a long, b long").distinct(), "minhash-second")
+    joined = materialize(components(second, "minhash-two"), "minhash-components").select(F.col("node").alias("c"), "component")
 
-    named = digests.join(final, digests["id"] == final["node"], "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "id").alias("c"))
+    named = digests.join(parts.withColumnRenamed("component", "c"), digests["id"] == parts["node"], "left").select("d1", "d2", "id", F.coalesce("c", "id").alias("c"))
+    named = with_partner(named, "c", "id", joined, how="left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "c").alias("c"))
     found = sigs.select("doc_id", "n_shingles", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -85,6 +86,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: White space in the sense of str.split() that is none in ours.
+_OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_SPACES = re.compile("[ \\t-\\r]+")
+
+
+def ascii_words(text: str | None) -> list[str]:
+    """Runs of characters other than ASCII white space, as quality_rules.words_of has them on columns."""
+    if not text:
+        return []
+    if _OTHER_SPACE.search(text):
+        return [x for x in _SPACES.split(text) if x]
+    return text.split()
+
+
 def filesystem(uri: str):
     """pyarrow's file system for a path or URI of any store that it knows, and the path in it."""
     from pyarrow import fs
@@ -123,22 +138,49 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep].astype(np.int64), nodes[low[keep]].astype(np.int64)
 
 
+#: Parts into which a hot key's rows are dealt; its partner row in a unique table is repeated as often.
+SALTS = 64
+
+
+def with_partner(rows: DataFrame, key: str, salt_by: str, table: DataFrame, partial: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with the columns of table, whose rows are unique by key, where rows may hold one key very often.
+
+    Rows are dealt by (key, salt) and table is repeated for the salts that occur with a key, SALTS of them at most, so a key
+    of a third of all rows is spread over that many groups. partial: a table that holds each occurring (key, salt) once.
+    """
+    salt = F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int").alias("_salt")
+    if partial is None:
+        partial = rows.select(key, salt).distinct()
+    wide = partial.select(key, "_salt").join(table, key)
+    return rows.select("*", salt).join(wide, [key, "_salt"], how).drop("_salt")
+
+
+def _lowest(edges: DataFrame, itself: bool) -> tuple[DataFrame, DataFrame]:
+    """The smallest v of each u (or u itself): (u, _salt) once each, and u, m. The minimum is taken by (u, salt) first."""
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("_salt")
+    parts = edges.groupBy("u", salt).agg(F.min("v").alias("m"))
+    low = parts.groupBy("u").agg(F.min("m").alias("m"))
+    return parts, low.select("u", F.least("u", "m").alias("m")) if itself else low
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """node, component (smallest node reachable) of each node that an edge u-v touches.
 
-    Alternating large-star and small-star steps; each writes its edges to the shared folder, so no lineage grows, and
-    each groups with partial aggregates and joins on unique sides, so a component of a third of all nodes is no hot group
-    (the adaptive skew join splits the other side). Null ends and loops are left out. No edge: an empty table.
+    Alternating large-star and small-star steps; each writes its edges to the shared folder, so no lineage grows. Repeated
+    edges go first. A node's minimum is taken in two aggregates and goes back to its edges by salted joins
+    (with_partner), so a hub that a third of all edges touch is dealt to many tasks. Null ends and loops are left out. No
+    edge: an empty table.
     """
     e = edges.select(F.col(edges.columns[0]).cast("long").alias("u"), F.col(edges.columns[1]).cast("long").alias("v"))
-    e = materialize(e.where("u <> v").mapInArrow(_forest, "u long, v long"), f"{label}-edges")
+    e = materialize(e.where("u <> v").mapInArrow(_forest, "u long, v long").distinct(), f"{label}-edges")
     was = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        parts, low = _lowest(both, True)
+        large = with_partner(both.where("v > u"), "u", "v", low, parts).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, f"{label}-large")
+        parts, low = _lowest(large, False)
+        small = with_partner(large, "u", "v", low, parts).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{label}-stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == was:

@@ -20,13 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import bounded_batches, claim, materialize, release
+from quillon.llm.shared import ascii_words, bounded_batches, claim, materialize, release
 
 #: Marks stripped from both ends of a word, besides its case.
 EDGE = ".,;:!?\"'()[]{}*#$%&|<>-_=+/\\~`"
 BEGINNINGS = (8, 7, 6, 5, 4, 3)
-#: Log-odds below this are taken as no evidence: the token scores the drift.
-LEAST_ODDS = 1.5
+#: Taken from every token's log-odds, so that a harmless text's mean is below 0 and segments end.
+DRIFT = 0.5
+#: Longer words are not kept in a worker's cache, so that its size is bounded.
+CACHED_LENGTH = 64
+#: Bounds of a document's excess.
+LOWEST, HIGHEST = -10.0, 12.0
 #: Words after which a token's occurrence weighs 1/e in the discount of its next one.
 MEMORY = 50.0
 
@@ -36,7 +40,7 @@ class Model:
     """Fixed-size model: at most max_entries log-odds, and the calibration. It travels with the tasks."""
 
     odds: dict[str, float]
-    drift: float
+    drift: float = DRIFT
     rate: float = 1.0  # of the extreme-value law
     scale: float = 1.0
     slope: float = 1.0
@@ -44,20 +48,22 @@ class Model:
     memo: dict[str, float] = field(default_factory=dict, repr=False)
 
     def token(self, word: str) -> float:
-        """Score of a raw word: its own log-odds, or its longest known beginning's, or the drift."""
+        """Score of a raw word: its own log-odds, or its longest known beginning's, or 0, less the drift."""
         known = self.memo.get(word)
         if known is None:
-            if len(self.memo) > 250_000:
-                self.memo.clear()
             plain = word.lower().strip(EDGE)
             known = self.odds.get(plain)
             if known is None:
-                known = self.drift
+                known = 0.0
                 for n in BEGINNINGS:
                     if len(plain) > n and (x := self.odds.get(plain[:n] + "*")) is not None:
                         known = x
                         break
-            self.memo[word] = known
+            known -= self.drift
+            if len(word) <= CACHED_LENGTH:
+                if len(self.memo) > 250_000:
+                    self.memo.clear()
+                self.memo[word] = known
         return known
 
 
@@ -65,7 +71,8 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, one after last, sum > 0) of a sequence, disjoint, in order, in linear time.
 
     Neighbouring scores of one sign are added up first. A stack holds candidate segments by the running sums before and
-    after them; a new one swallows those before it while that makes it larger.
+    after them, each with the nearest earlier one whose running sum before it is smaller; a new one swallows those from
+    there on while that makes it larger, and skips by these links what can't matter to it.
     """
     n = len(scores)
     if not n:
@@ -74,35 +81,36 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     if not positive.any():
         return []
     starts = np.concatenate([[0], np.flatnonzero(np.diff(positive)) + 1])
-    sums = np.add.reduceat(scores, starts).tolist()
-    signs = positive[starts].tolist()
-    starts = [*starts.tolist(), n]
-    stack: list[tuple[int, int, float, float]] = []  # first, end, running sum before it, and after it
-    total = 0.0
-    for k, x in enumerate(sums):
-        before, total = total, total + x
-        if not signs[k]:
-            continue
-        lo, low, high = starts[k], before, total
+    sums = np.add.reduceat(scores, starts)
+    after = np.cumsum(sums)
+    runs = np.flatnonzero(positive[starts])
+    lows, highs = (after[runs] - sums[runs]).tolist(), after[runs].tolist()
+    ends = np.append(starts, n)
+    firsts, lasts = ends[runs].tolist(), ends[runs + 1].tolist()
+    # Columns of the stack: first, one after last, running sum before, and after, link.
+    first: list[int] = []
+    last: list[int] = []
+    low: list[float] = []
+    high: list[float] = []
+    link: list[int] = []
+    for lo, hi, before, top in zip(firsts, lasts, lows, highs, strict=True):
+        j = len(low) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= low:
-                j -= 1
-            if j < 0 or stack[j][3] >= high:
+            while j >= 0 and low[j] >= before:
+                j = link[j]
+            if j < 0 or high[j] >= top:
                 break
-            lo, low = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((lo, starts[k + 1], low, high))
-    return [(lo, hi, after - before) for lo, hi, before, after in stack]
-
-
-def words_of(text: str | None) -> list[str]:
-    return text.split() if text else []
+            lo, before = first[j], low[j]
+            del first[j:], last[j:], low[j:], high[j:]
+            j, below = link[j], j
+            del link[below:]
+        first.append(lo), last.append(hi), low.append(before), high.append(top), link.append(j)
+    return [(a, b, y - x) for a, b, x, y in zip(first, last, low, high, strict=True)]
 
 
 def token_scores(model: Model, words: list[str]) -> np.ndarray:
-    """Scores of a text's words. Each occurrence of a token counts; close repetition adds little: a positive log-odds is
-    divided by 1 + the sum of exp(-distance / MEMORY) over the token's earlier occurrences, and comes back as these fall
+    """Scores of a text's words. Each occurrence of a token counts; close repetition adds little: a positive score's log-odds
+    are divided by 1 + the sum of exp(-distance / MEMORY) over the token's earlier occurrences, and come back as these fall
     behind. So what is found in a passage doesn't hang on what the text says far before it."""
     scores = np.fromiter(map(model.token, words), float, len(words))
     seen: dict[str, tuple[int, float]] = {}
@@ -110,25 +118,24 @@ def token_scores(model: Model, words: list[str]) -> np.ndarray:
         at, near = seen.get(words[k], (k, 0.0))
         near *= math.exp((at - k) / MEMORY)
         seen[words[k]] = (k, near + 1.0)
-        scores[k] = (scores[k] - model.drift) / (1.0 + near) + model.drift
+        scores[k] = (scores[k] + model.drift) / (1.0 + near) - model.drift
     return scores
 
 
 def excess(model: Model, text: str | None, limit: float = 0.05) -> tuple[float, list[tuple[int, int, float]]]:
     """Summed excess of the significant segments (or that of the largest, below 0 as it may be), and these segments with
-    their expected numbers in a harmless text as long."""
-    words = words_of(text)
-    if not words:
-        return -10.0, []
-    found = maximal_segments(token_scores(model, words))
+    their expected numbers in a harmless text as long. The excess is held to LOWEST and HIGHEST, far out on either side of
+    the logistic; a text without words or segments has the lowest."""
+    words = ascii_words(text)
+    found = maximal_segments(token_scores(model, words)) if words else []
     if not found:
-        return -10.0, []
+        return LOWEST, []
     base = math.log(model.scale * len(words))
     each = [(lo, hi, model.rate * s - base) for lo, hi, s in found]
     good = [(lo, hi, x) for lo, hi, x in each if x >= -math.log(limit)]
     if good:
-        return min(12.0, sum(x for _, _, x in good)), [(lo, hi, math.exp(-x)) for lo, hi, x in good]
-    return max(-10.0, max(x for _, _, x in each)), []
+        return min(HIGHEST, sum(x for _, _, x in good)), [(lo, hi, math.exp(-x)) for lo, hi, x in good]
+    return max(LOWEST, max(x for _, _, x in each)), []
 
 
 def probability(model: Model, x: float) -> float:
@@ -152,14 +159,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) ->
     if not len(x) or y.min() == y.max():
         return 1.0, -3.0
     c = np.ones(len(x)) if weight is None else weight / weight.mean()
-    w = np.array([0.5, -1.0])
+    share = float((c * y).mean())
+    w = np.array([0.5, math.log(share / (1 - share))])
     m = np.column_stack([x, np.ones(len(x))])
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        z = m @ w
+        return float((c * (np.logaddexp(0, z) - y * z)).sum() + 0.25 * w[0] ** 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
         g = m.T @ (c * (p - y)) + np.array([0.5 * w[0], 0])
         h = (m * (c * (p * (1 - p) + 1e-6))[:, None]).T @ m + np.diag([0.5, 0])
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -1, 1)
+        step, now = np.linalg.solve(h, g), loss(w)
+        while abs(step).max() > 1e-9 and loss(w - step) > now:
+            step /= 2
+        w -= step
         if abs(step).max() < 1e-8:
             break
     return max(0.05, float(w[0])), float(w[1])
@@ -171,7 +186,7 @@ def count_contexts(train: DataFrame) -> DataFrame:
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), "\\s+")
     plain = F.transform(words, lambda w: F.btrim(w, F.lit(EDGE)))
     rows = train.select("toxic", "weight", plain.alias("w"))
-    around = F.transform("w", lambda w, i: F.struct(w.alias("token"), F.xxhash64(F.when(i > 0, F.get(F.col("w"), i - 1)), F.get(F.col("w"), i + 1)).alias("context")))
+    around = F.transform("w", lambda w, i: F.struct(w.alias("token"), F.xxhash64(F.coalesce(F.when(i > 0, F.get(F.col("w"), i - 1)), F.lit("\n")), F.coalesce(F.get(F.col("w"), i + 1), F.lit("\n"))).alias("context")))
     seen = rows.select("toxic", "weight", F.inline(around)).where("token <> ''").groupBy("token", "context").agg(F.max("toxic").alias("toxic"), F.max_by("weight", "toxic").alias("weight"))
     by_word = materialize(seen.groupBy("token").agg(F.sum(F.col("toxic") * F.col("weight")).alias("bad"), F.sum("weight").alias("all"), F.sum(F.col("weight") * F.col("weight")).alias("square"), F.count("*").alias("n")), "toxicity-words")
     short = [by_word.where(F.length("token") > n).groupBy(F.concat(F.substring("token", 1, n), F.lit("*")).alias("token")).agg(*[F.sum(c).alias(c) for c in ("bad", "all", "square", "n")]) for n in BEGINNINGS]
@@ -181,18 +196,19 @@ def count_contexts(train: DataFrame) -> DataFrame:
     return out
 
 
-def fit_odds(counts: DataFrame, prior: float = 4.0, z: float = 2.5, max_entries: int = 200_000) -> Model:
-    """Log-odds of what differs clearly (z) from the share of all tokens. At most max_entries entries, the clearest ones.
-    Weighted counts give the shares; certainty is that of all^2 / square contexts of equal weight."""
+def fit_odds(counts: DataFrame, prior: float = 40.0, max_entries: int = 200_000) -> Model:
+    """Log-odds of each token's posterior share against the share of all tokens; a chain of Dirichlet priors of weight prior
+    leads from that share over the token's beginnings to the token. The model holds at most max_entries entries, those that
+    differ most clearly from the share of all; other tokens have their longest beginning's log-odds, or 0. Weighted counts
+    give the shares; they weigh as all^2 / square contexts of equal weight."""
     total = counts.where(~F.col("token").endswith("*")).agg(F.sum("bad"), F.sum("all")).first()
     if not total[1] or not total[0] or total[0] == total[1]:
-        return Model({}, -0.1)
+        return Model({})
     share = total[0] / total[1]
     # Of as many contexts of equal weight: all.
-    even = counts.where("n >= 3").withColumn("part", F.col("bad") / F.col("all")).withColumn("all", F.col("all") * F.col("all") / F.col("square")).withColumn("bad", F.col("part") * F.col("all"))
-    spread = F.sqrt(F.lit(share * (1 - share)) * F.col("all"))
-    differs = even.withColumn("z", (F.col("bad") - F.lit(share) * F.col("all")) / spread).where(F.abs("z") >= z)
-    rows = {r[0]: (r[1], r[2]) for r in differs.orderBy(F.abs("z").desc(), "token").limit(max_entries).select("token", "bad", "all").collect()}
+    even = counts.withColumn("part", F.col("bad") / F.col("all")).withColumn("all", F.col("all") * F.col("all") / F.col("square")).withColumn("bad", F.col("part") * F.col("all"))
+    clear = F.abs(F.col("bad") - F.lit(share) * F.col("all")) / F.sqrt(F.lit(share * (1 - share)) * F.col("all"))
+    rows = {r[0]: (r[1], r[2]) for r in even.orderBy(clear.desc(), "token").limit(max_entries).select("token", "bad", "all").collect()}
     logit = lambda q: math.log(q / (1 - q))
 
     def posterior(token: str) -> float:
@@ -205,9 +221,7 @@ def fit_odds(counts: DataFrame, prior: float = 4.0, z: float = 2.5, max_entries:
                 at = (bad + prior * at) / (n + prior)
         return min(max(at, 1e-6), 1 - 1e-6)
 
-    odds = {t: logit(posterior(t)) - logit(share) for t in rows}
-    # An entry of no evidence stays, so that a word with counts of its own doesn't fall back on its beginning.
-    return Model({t: x if x >= LEAST_ODDS else -0.1 for t, x in odds.items()}, -0.1)
+    return Model({t: logit(posterior(t)) - logit(share) for t in rows})
 
 
 def sample_bits(id_col: str | Column) -> Column:
@@ -233,7 +247,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         for batch in batches:
             best, size = [], []
             for text in batch.column(0).to_pylist():
-                words = words_of(text)
+                words = ascii_words(text)
                 best.append(max((s for _, _, s in maximal_segments(token_scores(model, words))), default=0.0))
                 size.append(len(words))
             yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(size, pa.int64()), batch.column(1)], ["best", "size", "toxic"])
@@ -266,7 +280,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 for text in batch.column(1).to_pylist():
                     x, segments = excess(model, text)
                     scores.append(probability(model, x))
-                    words = words_of(text) if passages and segments else []
+                    words = ascii_words(text) if passages and segments else []
                     found.append([{"first_word": lo, "words": hi - lo, "expected": e, "text": " ".join(words[lo:hi])} for lo, hi, e in segments] if passages else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, PASSAGES)], [id_col, "score", "passages"])
         model.memo.clear()
