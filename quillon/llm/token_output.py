@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -30,10 +31,14 @@ SKIPPABLE_SEEK_TABLE = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
-_DOCUMENT = np.dtype([("doc_id", "<i8"), ("frames", "<u4"), ("n_tokens", "<u8")])
+_DOCUMENT = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frames", "<u4"), ("n_tokens", "<u8")])
 _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("checksum", "<u4")])
 
 
+#: Longer parts of texts don't stay in a worker's cache, so that its size is bounded.
+CACHED_LENGTH = 1000
+
+
 class ShardWriter:
     """Writes documents' ids to one shard, frame by frame; holds one document and the tables only."""
 
@@ -41,9 +46,9 @@ class ShardWriter:
         self.out, self.frame_ids = out, frame_ids
         self.packer = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.entries: list[tuple[int, int, int]] = []
-        self.documents: list[tuple[int, int, int]] = []
+        self.documents: list[tuple[int, int, int, int]] = []
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         """ids: little-endian unsigned 32-bit integers."""
         step = 4 * self.frame_ids
         parts = [ids[i : i + step] for i in range(0, len(ids), step)] or [b""]
@@ -51,7 +56,7 @@ class ShardWriter:
             packed = self.packer.compress(part)
             self.out.write(packed)
             self.entries.append((len(packed), len(part), xxhash.xxh64_intdigest(part) & 0xFFFFFFFF))
-        self.documents.append((doc_id, len(parts), len(ids) // 4))
+        self.documents.append((doc_id or 0, doc_id is None, len(parts), len(ids) // 4))
 
     def close(self) -> None:
         table = self.packer.compress(np.array(self.documents, _DOCUMENT).tobytes())
@@ -95,8 +100,9 @@ class ShardReader:
         return b"".join(out)
 
     def find(self, doc_id: int) -> int:
-        """Position of a document (documents stand in ascending order)."""
-        at = int(np.searchsorted(self.documents["doc_id"], doc_id))
+        """Position of a document (null ids stand first, then documents in ascending order)."""
+        nulls = int(self.documents["null"].sum())
+        at = nulls + int(np.searchsorted(self.documents["doc_id"][nulls:], doc_id))
         if at == len(self.documents) or self.documents["doc_id"][at] != doc_id:
             raise KeyError(doc_id)
         return at
@@ -107,8 +113,10 @@ class CachedEncoder:
 
     A byte-level pre-tokenizer never joins what stands before a space and that space when a non-space follows; nor a letter
     or digit and the comma or full stop after it; nor, behind a non-space, a single line end and the letter after it. Texts
-    are cut there and the parts' ids are put together. limit bounds the cache; a full one starts anew. Texts whose spaces
-    are followed by more white space are cut by a pattern that leaves such runs whole.
+    are cut there, the distinct parts of a batch are looked up, and the parts' ids are put together by columns. limit bounds
+    the cache; a full one, and one that had to learn parts beyond CACHED_LENGTH characters, starts anew with the next batch. Texts whose spaces are followed
+    by more white space are cut by a pattern that leaves such runs whole. Texts that hold one of the tokenizer's own tokens
+    go to the library as they are: it gives the token's id.
     """
 
     _cut = re.compile(r"(?= \S)")
@@ -123,9 +131,8 @@ class CachedEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.bare = Tokenizer.from_file(path)
-        self.bare.encode_special_tokens = True
         self.bare.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
         # The byte alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -135,55 +142,82 @@ class CachedEncoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for x, k in vocabulary.items():
             self.lengths[k] = len(x)
-        self.parts: dict[str, bytes] = {}
-
-    def _library(self, parts: list[str], keys: list[str]) -> None:
-        """Learn parts under keys. Letters with a space or none before them are one token group of the pre-tokenizer: the
-        library gets them in its byte alphabet, many in a text, and byte counts part their ids. All else goes through its
-        own pre-tokenizer."""
-        letters, rest = [], []
-        for x, key in zip(parts, keys, strict=True):
-            (letters if (x[1:] if x[:1] == " " else x).isalpha() else rest).append((x, key))
-        for k in range(0, len(letters), 20_000):
-            some = letters[k : k + 20_000]
-            mapped = "\n".join([x for x, _ in some]).encode().decode("latin-1").translate(self.alphabet)
-            ids = np.array(self.bare.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(x) for x in mapped.split("\n")])) + 1
-            raw, lo = ids.tobytes(), 0
-            for (_, key), hi in zip(some, (4 * ends).tolist(), strict=True):
-                self.parts[key] = raw[lo:hi]
-                lo = hi
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Known parts; the ids of part k are values[starts[k] : starts[k + 1]].
+        self.parts, self.long = pa.array([], pa.large_string()), False
+        self.values, self.starts = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def _library(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of parts, and how many each has. Letters with a space or none before them are one token group of the
+        pre-tokenizer: the library gets them in its byte alphabet, many in a text, and byte counts part their ids. All else
+        goes through its own pre-tokenizer."""
+        letters = pc.utf8_is_alpha(pc.if_else(pc.starts_with(parts, " "), pc.utf8_slice_codeunits(parts, 1), parts))
+        plain, rest = parts.filter(letters), parts.filter(pc.invert(letters)).to_pylist()
+        ids, sizes = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for k in range(0, len(plain), 20_000):
+            some = plain.slice(k, 20_000)
+            mapped = "\n".join(some.to_pylist()).encode().decode("latin-1").translate(self.alphabet)
+            found = np.array(self.bare.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.lengths[found]), np.cumsum(pc.binary_length(some).to_numpy())) + 1
+            ids.append(found)
+            sizes.append(np.diff(ends, prepend=0))
         for k in range(0, len(rest), 20_000):
-            some = rest[k : k + 20_000]
-            for (_, key), e in zip(some, self.tokenizer.encode_batch_fast([x for x, _ in some], add_special_tokens=False), strict=True):
-                self.parts[key] = np.array(e.ids, "<u4").tobytes()
+            found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(rest[k : k + 20_000], add_special_tokens=False)]
+            ids += found
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        back = np.empty(len(parts), np.int64)
+        back[np.concatenate([np.flatnonzero(letters), np.flatnonzero(pc.invert(letters))])] = np.arange(len(parts))
+        every, sizes = np.concatenate(ids), np.concatenate(sizes)
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(every)).take(pa.array(back))
+        return lists.flatten().to_numpy(), sizes[back]
+
+    def _numbers(self, keys: pa.Array) -> np.ndarray:
+        """Numbers of distinct parts. A part is known by its text without the space before it; one without is marked by a
+        character 1."""
+        if len(self.parts) > self.limit or self.long:
+            self._forget()
+        at = pc.fill_null(pc.index_in(keys, value_set=self.parts), -1).to_numpy().astype(np.int64)
+        holes = np.flatnonzero(at < 0)
+        if len(holes):
+            new = keys.take(pa.array(holes))
+            marked = pc.starts_with(new, "\x01")
+            ids, sizes = self._library(pc.if_else(marked, pc.utf8_slice_codeunits(new, 1), pc.binary_join_element_wise(pa.scalar("", new.type), new, pa.scalar(" ", new.type))))
+            at[holes] = np.arange(len(self.parts), len(self.parts) + len(holes))
+            self.parts = pa.concat_arrays([self.parts, new])
+            self.long = pc.max(pc.utf8_length(new)).as_py() > CACHED_LENGTH
+            self.values = np.concatenate([self.values, ids])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        return at
 
     def encode(self, texts: Sequence[str], end: bytes = b"") -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, end appended. Texts of some millions of characters at a time.
-
-        A part is known by its text without the space before it; parts without a space are marked by a character 1.
-        """
-        parts = self.parts
-        if len(parts) > self.limit:
-            parts.clear()
-        rows, holes, new = [], [], {}
-        for text in texts:
-            if self._odd.search(text):
-                keys = ["\x01" + x for x in self._cut.split(text) if x]
+        """Little-endian unsigned 32-bit ids of each text, end appended. Texts of some millions of characters at a time."""
+        out: list[bytes] = [end] * len(texts)
+        at, plain, odd = [], [], []
+        for k, text in enumerate(texts):
+            if any(x in text for x in self.added):
+                out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
+            elif self._odd.search(text):
+                odd.append((k, ["\x01" + x for x in self._cut.split(text) if x]))
             else:
-                keys = ("\x01" + self._line.sub("\n \x01", self._stop.sub(" \x01\\g<0>", text))).split(" ")
-            known = list(map(parts.get, keys))
-            if None in known:
-                at = [k for k, x in enumerate(known) if x is None]
-                holes.append((known, [(k, keys[k]) for k in at]))
-                new.update(dict.fromkeys([keys[k] for k in at]))
-            rows.append(known)
-        if new:
-            self._library([x[1:] if x[0] == "\x01" else " " + x for x in new], list(new))
-        for known, at in holes:
-            for k, key in at:
-                known[k] = parts[key]
-        return [b"".join(x) + end for x in rows]
+                at.append(k)
+                plain.append("\x01" + self._line.sub("\n \x01", self._stop.sub(" \x01\\g<0>", text)))
+        cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        words, counts = pc.list_flatten(cut), cut.value_lengths().to_numpy()
+        if odd:
+            at += [k for k, _ in odd]
+            words = pa.concat_arrays([words, pa.array([x for _, keys in odd for x in keys], pa.large_string())])
+            counts = np.concatenate([counts, [len(keys) for _, keys in odd]])
+        words = words.dictionary_encode()
+        numbers = self._numbers(words.dictionary)[words.indices.to_numpy()]
+        sizes = np.diff(self.starts)[numbers]
+        ids = pa.LargeListArray.from_arrays(self.starts, pa.array(self.values)).take(pa.array(numbers))
+        raw = ids.flatten().to_numpy().astype("<u4", copy=False)
+        borders = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        for k, lo, hi in zip(at, borders, borders[1:], strict=False):
+            out[k] = raw[lo:hi].tobytes() + end
+        return out
 
 
 _encoders: dict[str, CachedEncoder] = {}
@@ -201,13 +235,14 @@ def _groups(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", level: int = 1, frame_ids: int = 1 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", level: int = 1, frame_ids: int = 1 << 20, shards: int | None = None) -> DataFrame:
     """Write each document's ids to seekable shards under path, in ascending id order over all shards.
 
     Returns the shards' index: shard int, file string, documents long, tokens long. It is itself written next to the
     shards (index/), by Spark's commit protocol, so of several attempts of a task the readers see one. A null text is
-    empty (end_id only); null ids come first and are stored as -1; equal ids stand in order of their text; other columns
-    of docs don't matter. An empty table gives no shard.
+    empty (end_id only); null ids come first; equal ids stand in order of their text's hash; other columns of docs don't
+    matter. An empty table gives no shard. shards: how many (about; some may be empty), by the size of docs; else as many as
+    the session's shuffle partitions, or fewer.
     """
     spark = docs.sparkSession
     end = b"" if end_id is None else struct.pack("<I", end_id)
@@ -230,14 +265,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
             texts = [x or "" for x in texts]
             for lo, hi in _groups(texts, 8_000_000):
                 for doc_id, tokens in zip(ids[lo:hi], encoder.encode(texts[lo:hi], end), strict=True):
-                    writer.add(-1 if doc_id is None else doc_id, tokens)
+                    writer.add(doc_id, tokens)
         if out is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [file], "documents": [len(writer.documents)], "tokens": [sum(x[2] for x in writer.documents)]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [file], "documents": [len(writer.documents)], "tokens": [sum(x[3] for x in writer.documents)]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    keys = ["id", F.xxhash64("text")]
+    ordered = (rows.repartitionByRange(shards, *keys) if shards else rows.repartitionByRange(*keys)).sortWithinPartitions(F.col("id").asc_nulls_first(), keys[1], "text")
     bounded_batches(ordered).mapInArrow(write, "shard int, file string, documents long, tokens long").write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
@@ -256,9 +292,9 @@ def read_tokens(index: DataFrame, path: str) -> DataFrame:
                 fs, base = filesystem(path)
                 with fs.open_input_file(f"{base}/{row['file']}") as file:
                     reader, rows, size, start = ShardReader(file), [], 0, row["base"]
-                    for at, (doc_id, _, n) in enumerate(reader.documents.tolist()):
+                    for at, (doc_id, null, _, n) in enumerate(reader.documents.tolist()):
                         ids = reader.read(at)
-                        rows.append((None if doc_id < 0 else doc_id, row["shard"], at, start, n, ids))
+                        rows.append((None if null else doc_id, row["shard"], at, start, n, ids))
                         start, size = start + n, size + len(ids)
                         if size > 16_000_000:
                             yield _batch(rows)
@@ -292,7 +328,9 @@ def op1_token_output(spark, sf_dir: str) -> DataFrame:
 
     path = shared_dir(spark, "tokens")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    index = write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    # Two shards for each split of the input, so a shard's size doesn't grow with the table.
+    shards = max(2 * docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    index = write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), shards=shards)
     return read_tokens(index, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

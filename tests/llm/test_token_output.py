@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zlib
 
 import numpy as np
@@ -17,7 +18,6 @@ TEXTS = ["", " ", "a  b", "\n x", " \n y", "a   \n\n  b c", "x ", "<|endoftext|>
 
 def expected(texts):
     lib = Tokenizer.from_file(PATH)
-    lib.encode_special_tokens = True
     return [np.array(lib.encode(x or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for x in texts]
 
 
@@ -26,6 +26,30 @@ def test_encoder_equals_the_library():
     end = (2).to_bytes(4, "little")
     assert c.encode(TEXTS, end) == expected(TEXTS)
     assert c.encode(TEXTS[::-1], end) == expected(TEXTS[::-1])
+    assert c.encode([], end) == [] and c.encode(["", ""], end) == [end, end]
+    assert 50256 in np.frombuffer(c.encode(["a <|endoftext|> b"])[0], "<u4")  # the library's own token for its literal
+
+
+def test_random_texts_equal_the_library():
+    r, c = random.Random(5), t.CachedEncoder(PATH, limit=200)
+    alpha = ["the", "Of", " ", "  ", "\n", "\t", ".", ",", "é", "ñ", "日本", "😀", "'s", "12", "\u00a0", "\u3000", "\x01", "\x1c", "ⅷ", "²", "ª", "-", "<|endoftext|>", "ͅ", "ǅ", "a" * 1200]
+    texts = ["".join(r.choice(alpha[:-1] if k % 50 else alpha) for _ in range(r.randint(0, 25))) for k in range(4000)]
+    for k in range(0, len(texts), 500):
+        assert c.encode(texts[k : k + 500], (2).to_bytes(4, "little")) == expected(texts[k : k + 500])
+
+
+def test_query(spark, tmp_path):
+    """op1_token_output over a whole table, null and negative ids and a special token's literal included."""
+    rows = [(5, "a <|endoftext|> b"), (-7, "minus"), (-1, "one"), (None, "no id"), (0, None), (3, ""), (9, "Word, word. " * 500)]
+    rows += [(100 + k, x) for k, x in enumerate(TEXTS)]
+    spark.createDataFrame([(*x, "en") for x in rows], "doc_id long, text string, start string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(t.op1_token_output(spark, str(tmp_path)).collect(), key=lambda x: x["start"])
+    want, start = [], 0
+    for doc_id, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        ids = expected([text])[0]
+        want.append((doc_id, start, len(ids) // 4, zlib.crc32(ids)))
+        start += len(ids) // 4
+    assert [tuple(x) for x in got] == want
 
 
 def test_shards(spark):
