@@ -3,7 +3,7 @@
 A document may belong to several sources. Documents are added up by membership pattern; a small network then routes each
 pattern's words to its sources' quotas, where the second repetition of a pattern's words costs more than the first, the
 third more than the second. What flows out of a pattern is filled by its documents in a seeded order: whole rounds of all
-of them, then the first ones of one more round, the last of these in part, so quotas are met to the word.
+of them, then the first ones of one more round, the last of these in part, so the plan meets quotas to the word.
 """
 
 from __future__ import annotations
@@ -100,23 +100,20 @@ def text_size(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def plan_mix(docs: DataFrame, sources: Column, weights: dict | None = None, share: float = 1.5, most: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' id, size, _pattern (sorted distinct sources), taken, rounds, rest for each row; then source_words.
-
-    sources: an array of source names for each row (null elements are a source of their own; a null or empty array is the
-    null source). taken = rounds * size + rest: rounds whole copies and the first rest words of one more. weights default
-    to default_weights. Texts without words have size 0 and take 0; a table without words takes nothing. Equal ids are
-    ordered by their text's hash; rows equal in both share a place and are taken together, in full or not at all. The
-    driver gets a row for each pattern and source, never one for each document.
-    """
+def _keyed(docs: DataFrame, sources: Column, seed: int, id_col: str, text_col: str) -> list[Column]:
+    """Columns _id, _pattern (sorted distinct sources), _order (seeded), _slice of docs' rows."""
     pattern = F.array_sort(F.array_distinct(F.coalesce(F.when(F.size(sources) > 0, sources), F.array(F.lit(None).cast("string")))))
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_t"), pattern.alias("_pattern")).withColumn("size", text_size(F.col("_t")))
-    order = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.xxhash64("_t"))
-    rows = materialize(rows.select(id_col, "_pattern", "size", order.alias("_order")), "mix-sizes")
-    slice_ = F.pmod(F.shiftright("_order", 20), F.lit(SLICES)).cast("int")
-    rows = rows.withColumn("_slice", slice_)
-    slices = rows.groupBy("_pattern", "_slice").agg(F.sum("size").alias("words"))
-    slices = materialize(slices, "mix-slices")
+    order = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.xxhash64(text_col))
+    return [F.col(id_col).alias("_id"), pattern.alias("_pattern"), order.alias("_order"), F.pmod(F.shiftright(order, 20), F.lit(SLICES)).cast("int").alias("_slice")]
+
+
+def _routes(docs: DataFrame, sources: Column, weights: dict | None, share: float, most: int, seed: int, id_col: str, text_col: str):
+    """Rows' sizes; for each pattern p the whole rounds, the slice _at up to which one more round goes, and the words _left
+    there; what is known of the rows in those slices: size, m equal rows, and total, the words that these give to the last
+    round; sizes and targets of the sources; the number of patterns."""
+    rows = docs.select(*_keyed(docs, sources, seed, id_col, text_col), text_size(F.col(text_col)).alias("size"))
+    rows = materialize(rows, "mix-sizes")
+    slices = materialize(rows.groupBy("_pattern", "_slice").agg(F.sum("size").alias("words")), "mix-slices")
     totals = {tuple(p): int(n) for p, n in slices.groupBy("_pattern").agg(F.sum("words")).collect()}
     sizes: dict = defaultdict(int)
     for p, n in totals.items():
@@ -132,36 +129,72 @@ def plan_mix(docs: DataFrame, sources: Column, weights: dict | None = None, shar
     kinds = T.StructType([T.StructField("p", names), T.StructField("rounds", T.LongType()), T.StructField("more", T.LongType())])
     plan = docs.sparkSession.createDataFrame(plans, kinds)  # a row for each pattern, as many as the driver has routed
     before = Window.partitionBy("_pattern").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.withColumn("_before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(F.broadcast(plan), F.col("_pattern").eqNullSafe(F.col("p")))
-    left = F.col("more") - F.col("_before")
-    state = F.when(left <= 0, F.lit(0)).when(left >= F.col("words"), F.lit(2)).otherwise(F.lit(1))
-    starts = starts.select(F.col("_pattern").alias("_p"), F.col("_slice").alias("_s"), "rounds", left.alias("_left"), state.alias("_state"))
-    # SLICES rows a pattern, bounded as the patterns are.
-    dealt = rows.join(F.broadcast(starts), F.col("_pattern").eqNullSafe(F.col("_p")) & (F.col("_slice") == F.col("_s")))
-    within = Window.partitionBy("_pattern", "_slice").orderBy("_order", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    whole = dealt.where("_state <> 1").withColumn("rest", F.when(F.col("_state") == 2, F.col("size")).otherwise(F.lit(0).cast("long")))
-    room = F.col("_left") - F.coalesce(F.sum("size").over(within), F.lit(0))
-    border = dealt.where("_state = 1").withColumn("rest", F.greatest(F.lit(0).cast("long"), F.least("size", room)))
-    out = whole.unionByName(border).select(id_col, "size", "_pattern", "rounds", "rest", "_order", (F.col("rounds") * F.col("size") + F.col("rest")).alias("taken"))
-    out._mix = (dict(sizes), targets)
+    starts = slices.withColumn("_before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(small_side(plan, len(plans)), F.col("_pattern").eqNullSafe(F.col("p")))
+    last = starts.where("_before < more").groupBy("p").agg(F.max(F.struct("_slice", (F.col("more") - F.col("_before")).alias("left"))).alias("last"))
+    last = last.select(F.col("p").alias("q"), F.col("last._slice").alias("_at"), F.col("last.left").alias("_left"))
+    routes = plan.join(last, F.col("p").eqNullSafe(F.col("q")), "left").select("p", "rounds", F.coalesce("_at", F.lit(-1)).alias("_at"), F.coalesce("_left", F.lit(0)).alias("_left"))
+    routes = materialize(routes, "mix-routes")
+    marked = rows.join(small_side(routes, len(plans)), F.col("_pattern").eqNullSafe(F.col("p")))
+    equal = marked.where("_slice = _at").groupBy("_pattern", "_order", "_id", "size", "rounds", "_left").agg(F.count("*").alias("m"))
+    within = Window.partitionBy("_pattern").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = F.col("size") * F.col("m")
+    room = F.col("_left") - F.coalesce(F.sum(all_).over(within), F.lit(0))
+    border = materialize(equal.select("_pattern", "_order", "_id", "size", "rounds", "m", F.greatest(F.lit(0).cast("long"), F.least(all_, room)).alias("total")), "mix-border")
+    return marked, routes, border, dict(sizes), targets, len(plans)
+
+
+def plan_mix(docs: DataFrame, sources: Column, weights: dict | None = None, share: float = 1.5, most: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' id, size, _pattern (sorted distinct sources), rounds, rest, taken for each row.
+
+    sources: an array of source names for each row (null elements are a source of their own; a null or empty array is the
+    null source). taken = rounds * size + rest: rounds whole copies and rest words of one more. weights default to
+    default_weights. Null, empty and wordless texts have size 0 and take 0; a table without words takes nothing; very long
+    texts count whole. Equal ids are ordered by their text's hash; of rows equal in both the first ones, in any order, are
+    taken. Extra columns, whatever their names, don't matter. The driver gets a row for each pattern and source, never one
+    for each document; the plan that rows are joined with has a row for each pattern.
+    """
+    marked, _, border, sizes, targets, _ = _routes(docs, sources, weights, share, most, seed, id_col, text_col)
+    zero = F.lit(0).cast("long")
+    whole = marked.where("_slice <> _at").withColumn("rest", F.when(F.col("_slice") < F.col("_at"), F.col("size")).otherwise(zero))
+    parts = border.withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    parts = parts.withColumn("rest", F.greatest(zero, F.least("size", F.col("total") - (F.col("_j") - 1) * F.col("size"))))
+    columns = [F.col("_id").alias(id_col), "size", "_pattern", "rounds", "rest", (F.col("rounds") * F.col("size") + F.col("rest")).alias("taken")]
+    out = whole.select(*columns).unionByName(parts.select(*columns))
+    out._mix = (sizes, targets)
     return out
 
 
-def mixed_documents(docs: DataFrame, sources: Column, weights: dict | None = None, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The mix itself: docs' rows, each once for every round it is in; the one at the border of a pattern with its first
-    words only. Columns as docs has them (a cut text's other columns stay as they are). Texts without words, and documents
-    that no round takes, are left out."""
-    plan = plan_mix(docs, sources, weights, id_col=id_col, text_col=text_col, **more)
-    seed = more.get("seed", 7)
-    chosen = plan.where("taken > 0").select(F.col("_order").alias("_o"), "rounds", "rest", "size").dropDuplicates(["_o"])
-    chosen = materialize(chosen, "mix-chosen")
-    order = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.xxhash64(text_col))
-    joined = docs.withColumn("_o", order).join(small_side(chosen, chosen.count()), "_o")
-    copies = (F.col("rounds") + (F.col("rest") > 0).cast("long")).cast("int")
-    rows = joined.withColumn("_k", F.explode(F.sequence(F.lit(1), copies)))
-    part = (F.col("_k") > F.col("rounds")) & (F.col("rest") < F.col("size"))
-    first = F.concat_ws(" ", F.slice(words_of(F.col(text_col)), F.lit(1), F.greatest(F.lit(1), F.col("rest").cast("int"))))
-    return rows.withColumn(text_col, F.when(part, first).otherwise(F.col(text_col))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, sources: Column, weights: dict | None = None, share: float = 1.5, most: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix itself: docs' rows, each once for every round it is in, whole. The document at the border of a pattern, which
+    plan_mix takes in part, goes in if that is half of it or more; so a pattern is off its flow by half a document at most.
+
+    Columns as docs has them, whatever their names. Null, empty and wordless texts, and documents that no round takes, are
+    left out. Of rows with equal id and text as many are taken as the plan has. An empty table gives an empty mix. Texts are
+    not shuffled unless the table of patterns or that of their border slices is too large to be broadcast.
+    """
+    _, routes, border, _, _, n = _routes(docs, sources, weights, share, most, seed, id_col, text_col)
+    word = F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.where(word).select(row, *_keyed(docs, sources, seed, id_col, text_col))
+    rows = rows.join(small_side(routes, n), F.col("_pattern").eqNullSafe(F.col("p"))).select("_row", "_id", "_order", "_slice", "rounds", "_at")
+    # Of m equal rows of a border slice, k are in the last round.
+    half = (2 * (F.col("total") % F.col("size")) >= F.col("size")).cast("long")
+    units = border.where("size > 0").select(F.col("_order").alias("_o"), F.col("_id").alias("_i"), "m", (F.floor(F.col("total") / F.col("size")) + half).alias("k"))
+    inner = rows.where("_slice = _at").join(small_side(units, units.count()), (F.col("_order") == F.col("_o")) & F.col("_id").eqNullSafe(F.col("_i")))
+    copies = F.col("rounds") + (F.col("_slice") < F.col("_at")).cast("long")
+    out = rows.where("_slice <> _at").select("_row", copies.alias("_copies"))
+    out = out.unionByName(inner.where("k = 0 or k = m").select("_row", (F.col("rounds") + (F.col("k") > 0).cast("long")).alias("_copies")))
+    if units.where("k > 0 and k < m").limit(1).count():
+        # Equal rows are numbered by file and place in it, so no task gets all of them.
+        some = materialize(inner.where("k > 0 and k < m").select("_row", "_order", "_id", "rounds", "k"), "mix-equal").withColumn("_file", F.input_file_name())
+        by = Window.partitionBy("_order", "_id")
+        ahead = some.groupBy("_order", "_id", "_file").agg(F.count("*").alias("n")).withColumn("_ahead", F.sum("n").over(by.orderBy("_file")) - F.col("n"))
+        ahead = ahead.select(F.col("_order").alias("_o"), F.col("_id").alias("_i"), F.col("_file").alias("_f"), "_ahead")
+        here = some.withColumn("_at", F.row_number().over(Window.partitionBy("_order", "_id", "_file").orderBy(F.to_json("_row"))))
+        here = here.join(ahead, (F.col("_order") == F.col("_o")) & F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_file") == F.col("_f")))
+        out = out.unionByName(here.select("_row", (F.col("rounds") + (F.col("_ahead") + F.col("_at") <= F.col("k")).cast("long")).alias("_copies")))
+    out = out.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return out.select("_row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

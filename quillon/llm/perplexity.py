@@ -19,10 +19,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import ascii_words, bounded_batches, claim, filesystem, materialize, release, shared_dir, small_side
+from quillon.llm.shared import ascii_words, bounded_batches, claim, filesystem, materialize, quantile_of, release, shared_dir, small_side
 
 PAD = "\x02"  # stands before a text
 #: Trusted documents of a language that count as much as all languages together do for its threshold.
@@ -249,14 +249,6 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
     return docs.select(*place, F.col(text_col).alias("_text"), id_col, *others).mapInArrow(run, f"{fields}, perplexity double")
 
 
-def quantile_of(steps: DataFrame, keys: list[str], q: float) -> DataFrame:
-    """keys, limit, _n: the smallest step of each key with a share of at least q of its n at or below it, and the sum of n.
-    steps: keys, step, n, few rows."""
-    by = Window.partitionBy(*keys)
-    rows = steps.withColumns({"_up": F.sum("n").over(by.orderBy("step")), "_n": F.sum("n").over(by)})
-    return rows.where(F.col("_up") >= q * F.col("_n")).groupBy(*keys).agg(F.min("step").alias("limit"), F.max("_n").alias("_n"))
-
-
 def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, quantile: float = 0.99, slack: float = 1.05, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, lang, perplexity, threshold, kept for each row of docs.
 

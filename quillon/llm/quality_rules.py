@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import materialize, small_side
+from quillon.llm.shared import materialize, quantile_of, small_side
 
 # Fixed values of the base rules.
 SPACES = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
+#: Log ratios are whole numbers of 2^-30; scores are compared in whole steps of 1/10,000.
+PARTS, STEPS = 1 << 30, 10_000
 
 
 def words_of(text: Column) -> Column:
@@ -57,20 +59,21 @@ def bucket(buckets: int) -> Column:
 
 
 def grams() -> Column:
-    """Hashes of a document's words and word pairs."""
-    return F.concat("w1", "w2")
+    """Hashes of a document's words and pairs of neighbouring words (the last word has no pair)."""
+    return F.concat("w1", F.slice("w2", F.lit(1), F.greatest(F.size("w2") - 1, F.lit(0))))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str, text_col: str, smooth: float = 1.0) -> DataFrame:
-    """bucket, llr: log ratio of the smoothed shares of each bucket in the trusted ids' documents and in all. Counts are
-    added up before the shuffle; a row for each bucket at most comes out."""
-    marked = docs.join(small_side(trusted, trusted.count()), docs[id_col] == trusted["trusted_id"], "left")
-    rows = hashed(marked.withColumn("_in", F.col("trusted_id").isNotNull().cast("long")), text_col, ["_in"])
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smooth: float = 1.0) -> DataFrame:
+    """bucket, llr: log ratio (in PARTS) of the smoothed shares of each bucket in the trusted ids' documents and in all. docs:
+    _id, _text. Counts are added up before the shuffle; a row for each bucket at most comes out."""
+    marked = docs.join(small_side(trusted, trusted.count()), docs["_id"] == trusted["trusted_id"], "left")
+    rows = hashed(marked.withColumn("_in", F.col("trusted_id").isNotNull().cast("long")), "_text", ["_in"])
     counts = rows.select("_in", F.explode(grams()).alias("h")).select("_in", bucket(buckets)).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_in").alias("target"))
     counts = materialize(counts, "rules-counts")
     total = counts.agg(F.sum("raw"), F.sum("target")).first()
     raw, target = (total[0] or 0) + smooth * buckets, (total[1] or 0) + smooth * buckets
-    return counts.select("bucket", F.log(((F.col("target") + smooth) / target) / ((F.col("raw") + smooth) / raw)).alias("llr"))
+    llr = F.log(((F.col("target") + smooth) / target) / ((F.col("raw") + smooth) / raw))
+    return counts.select("bucket", F.round(llr * PARTS).cast("long").alias("llr"))
 
 
 def base_measures(rows: DataFrame) -> DataFrame:
@@ -92,23 +95,28 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, quantile:
 
     trusted: a column of ids whose documents are the target (null ids don't count). Even halves by crc32 of the id: the
     target is counted from one half, the threshold is the given quantile of the other half's scores. kept: the base rules
-    hold and the score is not below the threshold. A text without words scores 0 and fails the base rules. Without trusted
-    documents in either half only the base rules decide. Rows repeat as in docs; extra columns don't matter.
+    hold and the score is not below the threshold; scores are compared in whole STEPS-ths. Ratios are added up as whole
+    numbers and the quantile is exact, so rows don't depend on partitions. A null, empty or wordless text scores 0 and fails
+    the base rules. Without trusted documents in either half only the base rules decide. Very long texts count whole, rows
+    repeat as in docs, an empty table gives an empty result, and extra columns, whatever their names, don't matter.
     """
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     ids = trusted.select(F.col(trusted.columns[0]).alias("trusted_id")).where("trusted_id is not null").distinct()
     half = F.pmod(F.crc32(F.col("trusted_id").cast("string").cast("binary")), F.lit(2))
     ids = materialize(ids.withColumn("half", half), "rules-trusted")
-    llr = log_ratios(docs, ids.where("half = 0").select("trusted_id"), buckets, id_col, text_col)
-    rows = base_measures(hashed(docs.withColumn("_row", F.monotonically_increasing_id()), text_col, ["_row", id_col]))
-    rows = rows.select("_row", id_col, *MEASURES, F.explode_outer(grams()).alias("h")).select("_row", id_col, *MEASURES, bucket(buckets))
+    llr = log_ratios(docs, ids.where("half = 0").select("trusted_id"), buckets)
+    rows = base_measures(hashed(docs.withColumn("_row", F.monotonically_increasing_id()), "_text", ["_row", "_id"]))
+    rows = rows.select("_row", "_id", *MEASURES, F.explode_outer(grams()).alias("h")).select("_row", "_id", *MEASURES, bucket(buckets))
     # The table of ratios has at most `buckets` rows, a parameter: it is broadcast.
-    scored = rows.join(F.broadcast(llr), "bucket", "left").groupBy("_row", id_col, *MEASURES).agg(F.coalesce(F.avg("llr"), F.lit(0.0)).alias("score"))
-    scored = materialize(scored.drop("_row"), "rules-scores")
+    scored = rows.join(F.broadcast(llr), "bucket", "left").groupBy("_row", "_id", *MEASURES).agg(F.coalesce(F.sum("llr") / F.count("llr") / PARTS, F.lit(0.0)).alias("score"))
+    scored = materialize(scored.drop("_row").withColumn("_step", F.floor(F.col("score") * STEPS)), "rules-scores")
     held = ids.where("half = 1").select("trusted_id")
-    low = scored.join(small_side(held, held.count()), scored[id_col] == held["trusted_id"], "left_semi").agg(F.percentile_approx("score", quantile, 10_000)).first()[0]
+    held = scored.join(small_side(held, held.count()), scored["_id"] == held["trusted_id"], "left_semi")
+    # A bounded number of steps, however many documents.
+    low = quantile_of(held.groupBy(F.col("_step").alias("step")).agg(F.count("*").alias("n")), [], quantile).first()[0]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    good = F.lit(True) if low is None else F.col("score") >= F.lit(float(low))
-    return scored.select(id_col, *MEASURES, failed.alias("base_failed"), "score", (~failed & good).alias("kept"))
+    good = F.lit(True) if low is None else F.col("_step") >= F.lit(low)
+    return scored.select(F.col("_id").alias(id_col), *MEASURES, failed.alias("base_failed"), "score", (~failed & good).alias("kept"))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
@@ -55,6 +55,9 @@ def bounded_batches(df: DataFrame) -> DataFrame:
         conf.set(key, f"{BATCH_BYTES}b")
     return df
 
+#: Row groups of tables in the shared folder.
+ROW_GROUP_BYTES = 32 << 20
+
 #: Broadcast a side only up to so many rows of a few longs each (about 16 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -79,10 +82,11 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: df written as Parquet to the shared folder and read back. It survives lost executors."""
+    """Cut the lineage: df written as Parquet to the shared folder and read back. It survives lost executors. Row groups are
+    small, so that writers and readers of long texts hold little."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -112,6 +116,14 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def quantile_of(steps: DataFrame, keys: list[str], q: float) -> DataFrame:
+    """keys, limit, _n: the smallest step of each key with a share of at least q of its n at or below it, and the sum of n.
+    steps: keys, step, n, few rows."""
+    by = Window.partitionBy(*keys)
+    rows = steps.withColumns({"_up": F.sum("n").over(by.orderBy("step")), "_n": F.sum("n").over(by)})
+    return rows.where(F.col("_up") >= q * F.col("_n")).groupBy(*keys).agg(F.min("step").alias("limit"), F.max("_n").alias("_n"))
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a partition, less those that close a cycle, batch by batch (bounded memory)."""
     for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import bounded_batches, filesystem, materialize, shared_dir
+from quillon.llm.shared import BROADCAST_ROWS, bounded_batches, filesystem, materialize, shared_dir, with_partner
 
 # Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
@@ -96,13 +96,17 @@ def normalise_file(src, out, level: int = 6) -> list[tuple[int, int, str, str]]:
 
 def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, refers_to: of equal payloads of at least min_bytes the smallest page_id is the response (null
-    refers_to), others revisit it. Payloads are equal if length and SHA-1 are. Null html: an empty payload. A null page_id
+    refers_to), others revisit it. Payloads are equal if SHA-1 and length are. Null html: an empty payload. A null page_id
     is never referred to unless all ids of the payload are null. Rows of one page_id and payload: the first is the
     response's id for all, and each row is a response."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     keyed = rows.withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload")})
-    first = keyed.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = keyed.join(first, ["sha", "size"], "left")
+    first = keyed.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = materialize(first, "warc-repeated")
+    n = first.count()
+    # Payloads that occur once are not in the table. Where it is small, no payload is shuffled; else by digest and salt, so
+    # copies of one page don't meet in one task.
+    joined = keyed.join(F.broadcast(first), ["sha", "size"], "left") if n <= BROADCAST_ROWS // 4 else with_partner(keyed.drop("size"), "sha", "page_id", first.drop("size"), how="left")
     return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -71,7 +72,7 @@ def test_quality_rules(spark):
     texts = [None, "", " \n\x0b", "a\x1cb c d", "# $ x\nx\n x\nx", "a b c d e f g h " * 9, "q " * 15, "# * $ junk " * 40]
     texts += [" ".join(r.choice(words) for _ in range(r.randint(1, 80))) + ("\nsame line\n \nsame line" if k % 3 else "") for k in range(120)]
     texts += [" ".join(words[:30] * 3 + ["x"] * k) for k in range(30)]
-    d = spark.createDataFrame([(k, x, True) for k, x in enumerate(texts)] + [(9, texts[9], True)], "doc_id long, text string, kept boolean")
+    d = spark.createDataFrame([(k, x, True, k, k) for k, x in enumerate(texts)] + [(9, texts[9], True, 0, 0)], "doc_id long, text string, kept boolean, trusted_id int, _row int")
     trusted = spark.createDataFrame([(k,) for k in range(8, 100, 2)] + [(None,)], "doc_id long")
     buckets = 512
     got = quality_rules.judge(d, trusted, buckets).collect()
@@ -83,9 +84,9 @@ def test_quality_rules(spark):
 
         def pair(a, b):  # Spark hashes the second value with the first one's hash as seed
             one = xxhash.xxh64_intdigest(int(a).to_bytes(8, "little", signed=True), 42)
-            return np.int64(np.uint64(one if b is None else xxhash.xxh64_intdigest(int(b).to_bytes(8, "little", signed=True), one)))
+            return np.int64(np.uint64(xxhash.xxh64_intdigest(int(b).to_bytes(8, "little", signed=True), one)))
 
-        return [int(x) % buckets for x in h] + [int(pair(a, b)) % buckets for a, b in zip(h, [*h[1:], None])]
+        return [int(x) % buckets for x in h] + [int(pair(a, b)) % buckets for a, b in zip(h, h[1:])]
 
     import zlib
 
@@ -299,11 +300,75 @@ def test_mixing(spark):
     assert mix.columns == d.columns
     out = Counter()
     for x in mix.collect():
+        assert x["text"] == rows[x["doc_id"]][1]
         out[x["source"]] += len(x["text"].split())
-    assert out == words
-    assert mixing.plan_mix(d.limit(0), F.array("source")).count() == 0
-    multi = mixing.plan_mix(d, F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("y"))))
-    assert all(0 <= x["taken"] <= 2 * x["size"] for x in multi.collect())
+    # Documents go in whole: each source is off its target by half a document at most.
+    assert all(abs(out[s] - t) <= 150 for s, t in targets.items())
+    assert mixing.plan_mix(d.limit(0), F.array("source")).count() == 0 == mixing.mixed_documents(d.limit(0), F.array("source")).count()
+
+
+def cheapest_flow(patterns, targets, most):
+    """Plain version: the largest amount, then the least cost, by brute force over whole words."""
+    names, best = sorted(targets), (-1, 0)
+    ways = []
+    for p, size in patterns.items():
+        ways.append([dict(zip(p, w)) for w in itertools.product(range(most * size + 1), repeat=len(p)) if sum(w) <= most * size])
+    cost = lambda size, w: sum(max(0, min(w - r * size, size)) * r for r in range(most))
+    for way in itertools.product(*ways):
+        into = {x: sum(w.get(x, 0) for w in way) for x in names}
+        if all(into[x] <= targets[x] for x in names):
+            best = max(best, (sum(into.values()), -sum(cost(size, sum(w.values())) for size, w in zip(patterns.values(), way))))
+    return best
+
+
+def test_flow_equals_brute_force():
+    r = random.Random(27)
+    for _ in range(40):
+        names = ["a", "b", "c"][: r.randint(1, 3)]
+        kinds = [p for n in (1, 2) for p in itertools.combinations(names, n)]
+        patterns = {p: r.randint(0, 3) for p in r.sample(kinds, min(len(kinds), r.randint(1, 3)))}
+        targets = {x: float(r.randint(0, 6)) for x in {x for p in patterns for x in p}}
+        flow = mixing.route(patterns, targets, 2)
+        into = Counter()
+        for w in flow.values():
+            into.update(w)
+        amount = sum(into.values())
+        spent = sum(max(0, sum(w.values()) - patterns[p]) for p, w in flow.items())
+        assert all(into[x] <= targets[x] + 1e-6 for x in targets) and all(sum(w.values()) <= 2 * patterns[p] + 1e-6 for p, w in flow.items())
+        assert (amount, -spent) == pytest.approx(cheapest_flow(patterns, targets, 2), abs=1e-6)
+
+
+def test_mixing_overlapping_sources(spark):
+    """What the plan takes of each pattern is what the flow of least cost sends out of it."""
+    r = random.Random(37)
+    kinds = [["x"], ["x", "y"], ["y", "z"], ["z"], []]
+    rows = [(k, " ".join(["w"] * r.randint(0, 60)), kinds[k % 7 % 5]) for k in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, from array<string>")
+    plan = mixing.plan_mix(d, F.col("from"))
+    got, totals = Counter(), Counter()
+    for x in plan.collect():
+        got[tuple(x["_pattern"])] += x["taken"]
+        totals[tuple(x["_pattern"])] += x["size"]
+        assert x["size"] == len(rows[x["doc_id"]][1].split()) and 0 <= x["taken"] <= 2 * x["size"]
+    sizes = Counter()
+    for p, n in totals.items():
+        sizes.update({x: n for x in p})
+    targets = mixing.quotas(sizes, mixing.default_weights(list(sizes)))
+    flow = mixing.route(totals, targets)
+    assert all(abs(got[p] - sum(flow[p].values())) <= 1 for p in totals)
+
+
+def test_mixing_repeated_rows_and_clashing_names(spark):
+    one = "a b c d e f g h i j"
+    rows = [(7, one, "s", 1, 2, 3, 4, 5, {"k": 1}) for _ in range(40)] + [(None, None, None, 1, 2, 3, 4, 5, None), (8, "", "s", 1, 2, 3, 4, 5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, rest int, size int, rounds int, _o int, _row int, _k map<string,int>")
+    share = 555 / 400
+    plan = [x["taken"] for x in mixing.plan_mix(d, F.array("source"), share=share).collect()]
+    assert sum(plan) == 555 and sorted(plan)[:3] == [0, 0, 10] and max(plan) == 20
+    mix = mixing.mixed_documents(d, F.array("source"), share=share)
+    assert mix.columns == d.columns and mix.count() == 56 and {x["text"] for x in mix.collect()} == {one}  # 15.5 rows go in twice: 16
+    none = d.where("text is null")
+    assert mixing.mixed_documents(none, F.array("source")).count() == 0 and mixing.plan_mix(none, F.array("source")).first()["taken"] == 0
 
 
 def grams_of(text, order):
