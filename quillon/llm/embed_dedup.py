@@ -4,7 +4,7 @@ Vectors are scaled to length 1 and turned by the principal axes of all of them,
 every cosine. A tree of median splits over the axes deals them to tiles of near vectors. Two tiles are compared only if
 their boxes are near enough; their leading dimensions are multiplied first, the rest's product is bounded by the suffix
 norms, and a pair goes on only while its cosine can still reach the threshold. Pairs near the threshold are decided in
-double precision on the given vectors.
+double precision on the given vectors. Which tiles are near is found by a walk down the tree, level by level.
 
 A task reads its tiles from the shared folder; no pair of rows is shuffled. Out come counts and the edges of a spanning
 forest for each tile pair, never all links.
@@ -25,6 +25,8 @@ from quillon.llm.shared import components, filesystem, materialize, shared_dir,
 
 #: Rows of the sample that fits the tree of tiles; every row is dealt and compared.
 TREE_SAMPLE = 200_000
+#: Bytes of the vectors of a tile, about, and of the tiles that a task keeps at hand.
+TILE_BYTES, HELD_BYTES = 8 << 20, 128 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -105,7 +107,7 @@ def leaf_of(x: np.ndarray, nodes: list[tuple[int, float]]) -> np.ndarray:
 
 
 class Tile:
-    """A tile's vectors, read from the shared folder: leading dimensions at once, all when first needed."""
+    """A tile's vectors, read from the shared folder."""
 
     def __init__(self, fs, path: str, lead: int):
         table = pq.read_table(path, filesystem=fs)
@@ -115,6 +117,37 @@ class Tile:
         self.x = _matrix(table.column("x").combine_chunks())
         self.head = np.ascontiguousarray(self.x[:, :lead], dtype=np.float32)
         self.suffix = np.sqrt(np.maximum(0, (self.x[:, lead:] ** 2).sum(axis=1))).astype(np.float32)
+        self.bytes = self.given.nbytes + self.x.nbytes + self.head.nbytes
+
+
+def near_tiles(tiles: DataFrame, depth: int, dims: int, reach: float, top: int = 8) -> DataFrame:
+    """a, b: each pair of tiles (and each tile with itself) whose boxes are within reach, once.
+
+    tiles: tile, leaf, low, high (corners of its box). The tree of splits is walked from level `top`, where all of its at
+    most 2^top nodes are paired, down to the leaves: only the children of nodes within reach of each other go on. Boxes of
+    inner nodes have the leading dims; two tiles are judged by all dimensions. No task holds all boxes.
+    """
+    corners = lambda f, c: F.array(*[f(F.col(c)[k]) for k in range(dims)]).alias(c)
+    boxes = {depth: materialize(tiles.groupBy(F.col("leaf").alias("node")).agg(corners(F.min, "low"), corners(F.max, "high")), "vectors-nodes")}
+    top = min(top, depth)
+    for level in range(depth - 1, top - 1, -1):
+        boxes[level] = materialize(boxes[level + 1].groupBy(F.shiftright("node", 1).alias("node")).agg(corners(F.min, "low"), corners(F.max, "high")), "vectors-nodes")
+
+    def within(pairs: DataFrame, level: int) -> DataFrame:
+        one, two = (boxes[level].select(F.col("node").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high")) for x in ("x", "y"))
+        gap = sum((F.greatest(F.lit(0.0), F.col("x_low")[k] - F.col("y_high")[k], F.col("y_low")[k] - F.col("x_high")[k]) ** 2 for k in range(dims)), F.lit(0.0))
+        return materialize(pairs.join(one, "x").join(two, "y").where(gap <= reach**2).select("x", "y"), "vectors-near")
+
+    first = boxes[top].select(F.col("node").alias("x"), F.explode(F.sequence("node", F.lit((1 << top) - 1).cast("long"))).alias("y"))
+    near = within(first, top)
+    for level in range(top + 1, depth + 1):
+        left = near.select(F.explode(F.array(2 * F.col("x"), 2 * F.col("x") + 1)).alias("x"), "y")
+        near = within(left.select("x", F.explode(F.array(2 * F.col("y"), 2 * F.col("y") + 1)).alias("y")).where("x <= y"), level)
+    one, two = (tiles.select(F.col("tile").alias(x), F.col("leaf").alias(y), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high")) for x, y in (("a", "x"), ("b", "y")))
+    side = lambda lo, hi: F.zip_with(lo, hi, lambda p, q: F.greatest(F.lit(0.0), p - q))
+    gaps = F.zip_with(side("a_low", "b_high"), side("b_low", "a_high"), lambda p, q: F.greatest(p, q))
+    gap = F.aggregate(gaps, F.lit(0.0), lambda total, p: total + p * p)
+    return near.join(one, "x").join(two, "y").where((F.col("x") < F.col("y")) | (F.col("a") <= F.col("b"))).where(gap <= reach**2).select("a", "b")
 
 
 def compare(a: Tile, b: Tile, threshold: float, same: bool, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +174,7 @@ def compare(a: Tile, b: Tile, threshold: float, same: bool, step: int = 512) ->
     return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", lead: int = 16, tile_rows: int = 1024, split_dims: int = 12) -> DataFrame:
+def near_vectors(table: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", lead: int = 16, tile_rows: int = 1024, split_dims: int = 12, top: int = 8) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of table.
 
     Links: pairs of vectors with cosine >= threshold in double precision. Vectors that are null, zero or hold null or
@@ -154,7 +187,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     links, edges = [], []
     classes = materialize(valid.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vectors-classes")
     for (d,) in classes.select(F.size("v")).distinct().collect():  # lengths of vectors: one, or a few
-        some = _compare_all(spark, classes.where(F.size("v") == d), threshold, lead, tile_rows, split_dims)
+        some = _compare_all(spark, classes.where(F.size("v") == d), threshold, lead, tile_rows, split_dims, top)
         links.append(some.where("v is null").select(F.col("u").alias("id"), "n"))
         edges.append(some.where("v is not null").select("u", "v"))
     out = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -174,7 +207,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
-def _compare_all(spark, classes: DataFrame, threshold: float, lead: int, tile_rows: int, split_dims: int) -> DataFrame:
+def _compare_all(spark, classes: DataFrame, threshold: float, lead: int, tile_rows: int, split_dims: int, top: int) -> DataFrame:
     """Rows (u, null, n): u has n links to other classes' vectors; rows (u, v, 0): edges that connect what is linked."""
     axes = principal_axes(classes)
     n = classes.count()
@@ -182,6 +215,7 @@ def _compare_all(spark, classes: DataFrame, threshold: float, lead: int, tile_ro
     # The sample is fit on the driver: TREE_SAMPLE rows at most, by a hash of the id.
     picked = classes.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("id")).limit(TREE_SAMPLE).select("v")
     lead, split_dims = min(lead, len(axes)), min(split_dims, len(axes))
+    tile_rows = max(16, min(tile_rows, TILE_BYTES // (8 * len(axes))))
     sample = np.vstack([_turn(np.array(part), axes)[:, :split_dims] for part in _chunks((r[0] for r in picked.toLocalIterator()), 10_000)])
     nodes = split_tree(sample, math.ceil(n / tile_rows), split_dims)
 
@@ -209,7 +243,7 @@ def _compare_all(spark, classes: DataFrame, threshold: float, lead: int, tile_ro
             name = f"{uuid.uuid4().hex}.parquet"
             pq.write_table(t, f"{base}/{name}", filesystem=fs)
             x = _matrix(t.column("x").combine_chunks())
-            return pa.RecordBatch.from_pydict({"tile": [name], "rows": [len(x)], "low": [x.min(axis=0).tolist()], "high": [x.max(axis=0).tolist()]})
+            return pa.RecordBatch.from_pydict({"tile": [name], "leaf": [int(at)], "low": [x.min(axis=0).tolist()], "high": [x.max(axis=0).tolist()]})
 
         for batch in batches:
             leaves = batch.column(4).to_numpy()
@@ -228,25 +262,10 @@ def _compare_all(spark, classes: DataFrame, threshold: float, lead: int, tile_ro
 
     # A leaf has about tile_rows rows; ones far beyond that (sample error) are cut into several tiles.
     ordered = dealt.repartition("leaf").sortWithinPartitions("leaf", "id")
-    tiles = materialize(ordered.mapInArrow(store, "tile string, rows long, low array<double>, high array<double>"), "vectors-boxes")
+    tiles = materialize(ordered.mapInArrow(store, "tile string, leaf long, low array<double>, high array<double>"), "vectors-boxes")
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-
-    def nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each tile the later tiles whose boxes are within reach. Every task reads the boxes of all tiles."""
-        fs, base = filesystem(boxes)
-        t = pq.read_table(base, filesystem=fs).sort_by("tile")
-        names = t.column("tile").to_pylist()
-        low, high = (_matrix(t.column(c).combine_chunks()) for c in ("low", "high"))
-        at = {x: k for k, x in enumerate(names)}
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                k = at[name]
-                gap = np.maximum(0, np.maximum(low[k] - high[k:], low[k:] - high[k]))
-                others = np.flatnonzero((gap**2).sum(axis=1) <= reach**2) + k
-                yield pa.RecordBatch.from_pydict({"a": [name] * len(others), "b": [names[j] for j in others.tolist()]})
-
-    boxes = tiles.inputFiles()[0].rpartition("/")[0] if tiles.inputFiles() else ""
-    todo = materialize(tiles.select("tile").mapInArrow(nearby, "a string, b string"), "vectors-pairs")
+    depth = int(math.log2(len(nodes) + 1))
+    todo = materialize(near_tiles(tiles, depth, split_dims, reach, top), "vectors-pairs")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(path)
@@ -254,7 +273,7 @@ def _compare_all(spark, classes: DataFrame, threshold: float, lead: int, tile_ro
 
         def tile(name: str) -> Tile:
             if name not in kept:
-                if len(kept) >= 32:
+                while kept and sum(x.bytes for x in kept.values()) > HELD_BYTES:
                     kept.pop(next(iter(kept)))
                 kept[name] = Tile(fs, f"{base}/{name}", lead)
             return kept[name]

@@ -196,7 +196,7 @@ def count_contexts(train: DataFrame) -> DataFrame:
     return out
 
 
-def fit_odds(counts: DataFrame, prior: float = 40.0, max_entries: int = 200_000) -> Model:
+def fit_odds(counts: DataFrame, prior: float = 40.0, max_entries: int = 100_000) -> Model:
     """Log-odds of each token's posterior share against the share of all tokens; a chain of Dirichlet priors of weight prior
     leads from that share over the token's beginnings to the token. The model holds at most max_entries entries, those that
     differ most clearly from the share of all; other tokens have their longest beginning's log-odds, or 0. Weighted counts

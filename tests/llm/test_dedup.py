@@ -74,7 +74,8 @@ def test_near_duplicates_of_odd_tables(spark):
     assert got == sorted([(1, 1, 1, True)] * 2 + [(2, 0, 2, True), (None, 1, None, True)], key=repr)
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("top", [8, 1])
+def test_vectors(spark, top):
     r = np.random.default_rng(5)
     x = r.normal(size=(300, 24))
     near = x[:40] + 0.25 * r.normal(size=(40, 24))
@@ -82,7 +83,7 @@ def test_vectors(spark):
     rows = [v.tolist() for v in np.vstack([x, near, dense, x[:5], 3 * x[:2]])]
     rows += [None, [0.0] * 24, [float("nan")] + [1.0] * 23, [float("inf")] + [1.0] * 23, [None] + [1.0] * 23, []]
     d = spark.createDataFrame([(k, v, 1) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, n int")
-    got = {q["vec_id"]: (q["n_links"], q["component_id"], q["kept"]) for q in embed_dedup.near_vectors(d, 0.9, lead=6, tile_rows=40).collect()}
+    got = {q["vec_id"]: (q["n_links"], q["component_id"], q["kept"]) for q in embed_dedup.near_vectors(d, 0.9, lead=6, tile_rows=40, top=top).collect()}
     good = {k: np.array(v) for k, v in enumerate(rows) if v and all(y is not None and np.isfinite(y) for y in v) and any(v)}
     links = [(a, b) for a in good for b in good if a < b and good[a] @ good[b] / (np.sqrt(good[a] @ good[a]) * np.sqrt(good[b] @ good[b])) >= 0.9]
     n = {k: 0 for k in range(len(rows))}
