@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.collaborative import keep_top
+from quillon.operators.lineage import cut
 
 
 def two_hops(edges: DataFrame, work_id: int) -> DataFrame:
@@ -36,18 +37,30 @@ def user_features(events: DataFrame, works: DataFrame, work_author: DataFrame, w
     return rows.select("work_id", F.round(a, 6).alias("author_affinity"), F.round(o, 6).alias("subject_overlap"), F.coalesce("same", F.lit(False)).alias("same_series"), ((a + o) / 2).alias("prox"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 3, checkpoint=None) -> DataFrame:
+def strong_edges(co: DataFrame, least: float = 0.05) -> DataFrame:
+    """A, b, weight of the stored co-occurrences of at least so much similarity, in both directions; a pair that is stored
+    both ways counts twice."""
+    rows = co.where(F.col("jaccard") >= least).select("a", "b", F.col("jaccard").alias("weight"))
+    return rows.unionAll(rows.select("b", "a", "weight"))
+
+
+def label_propagation(edges: DataFrame, rounds: int = 15) -> DataFrame:
     """G5, synchronous and deterministic: every node takes the label with the largest weight among its neighbours, ties to
-    the smallest label; a fixed number of rounds. edges: a, b, weight, in both directions. node, label.
+    the smallest label; at most so many rounds, fewer if nothing changes. edges: a, b, weight, in both directions, the
+    weights decimal, so that sums are exact. node, label.
 
-    checkpoint (a function of DataFrame) cuts the lineage after each round; none for few rounds.
+    The edges are written once, the labels after each round.
     """
+    edges = cut(edges, "edges")
     labels = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
     for _ in range(rounds):
         votes = edges.join(labels, edges["b"] == labels["node"]).groupBy("a", "label").agg(F.sum("weight").alias("w"))
-        labels = votes.groupBy(F.col("a").alias("node")).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label"))
-        if checkpoint:
-            labels = checkpoint(labels)
+        fresh = votes.groupBy(F.col("a").alias("node")).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label"))
+        was = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+        both = cut(fresh.join(was, F.col("node") == F.col("_node")).select("node", "label", (F.col("label") != F.col("_label")).alias("changed")), "labels")
+        labels = both.select("node", "label")
+        if not both.where("changed").limit(1).count():
+            break
     return labels
 
 
@@ -65,12 +78,18 @@ def community_subjects(found: DataFrame, work_subject: DataFrame, k: int = 5) ->
     return top.groupBy("label", "size").agg(F.array_join(F.transform(ordered, lambda s: s["subject"]), ", ").alias("top_subjects"))
 
 
-def community_candidates(found: DataFrame, work_id: int, k: int = 20, seed: int = 7) -> DataFrame:
-    """Other works of a work's community in a seeded order."""
-    own = found.where(F.col("node") == work_id).select("label")
-    rows = found.join(own, "label", "left_semi").where(F.col("node") != work_id)
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("node").cast("string")).cast("binary"))
-    return rows.select(F.col("node").alias("work_id"), key.alias("_key")).orderBy("_key", "work_id").limit(k).drop("_key")
+def seeded(node: str, seed: int = 7) -> Column:
+    """A key that puts rows in a random order, the same in every run."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(node).cast("string")).cast("binary"))
+
+
+def community_candidates(found: DataFrame, works: DataFrame, k: int = 100) -> DataFrame:
+    """K other works of the community of each of some works (work_id), in a seeded order: anchor, work_id. The
+    order is the same for all works of a community, so only its first k + 1 are joined."""
+    first = keep_top(found.select("node", "label", seeded("node").alias("_key")), ["label"], ["_key", "node"], k + 1)
+    own = found.join(works.select(F.col("work_id").alias("anchor")), F.col("node") == F.col("anchor")).select("anchor", F.col("label").alias("_label"))
+    rows = first.join(own, F.col("label") == F.col("_label")).where(F.col("node") != F.col("anchor"))
+    return keep_top(rows.select("anchor", F.col("node").alias("work_id"), "_key"), ["anchor"], ["_key", "work_id"], k).drop("_key")
 
 
 def resolve_redirects(redirects: DataFrame, hops: int = 10) -> DataFrame:
@@ -81,7 +100,3 @@ def resolve_redirects(redirects: DataFrame, hops: int = 10) -> DataFrame:
     for _ in range(hops - 1):
         rows = rows.join(step, "at", "left").select("old_key", F.coalesce("next", "at").alias("at"), (F.col("hops") + F.col("next").isNotNull().cast("int")).alias("hops"))
     return rows.select("old_key", F.col("at").alias("final_key"), "hops")
-
-
-def rank_within(rows: DataFrame, keys: list[str], order: list, out: str = "position") -> DataFrame:
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

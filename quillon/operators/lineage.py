@@ -1,17 +1,51 @@
-"""Lineage cuts for iterative operators."""
+"""Lineage cuts for iterative operators, and derived tables that are written once."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
+_own_dirs: dict[str, str] = {}
+_tables: dict[tuple, str] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written by checkpoint() to the folder in spark.checkpoint.dir; where that is unset, in local mode, to a temporary one."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; where that is unset, in local mode, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-    return df.checkpoint(eager=True)
+        _own_dirs[app] = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
+    return _own_dirs[app]
+
+
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """df, written to the shared folder and read back: later steps neither grow its lineage nor repeat its work, and a lost
+    executor loses nothing."""
+    path = f"{shared_folder(df.sparkSession)}/quillon/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def table(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table of a source folder, built when an application first asks for it (or when its files are gone)."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key in _tables:
+        try:
+            return spark.read.parquet(_tables[key])
+        except AnalysisException:
+            pass
+    path = f"{shared_folder(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+    build().write.parquet(path)
+    _tables[key] = path
+    return spark.read.parquet(path)

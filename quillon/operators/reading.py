@@ -97,12 +97,15 @@ def signals(weighted: DataFrame) -> DataFrame:
 
 def profile_vector(weighted: DataFrame, works: DataFrame, against: float = 0.3) -> DataFrame:
     """V6, V7: each reader's taste: mean of the works with positive weight less against times that of the others, length 1."""
-    rows = weighted.join(works.select("work_id", "embedding"), "work_id")
-    plus = vectors.weighted_mean(rows.where("weight > 0"), ["user_id"], "embedding", "weight", "plus")
-    minus = vectors.weighted_mean(rows.where("weight < 0").withColumn("weight", -F.col("weight")), ["user_id"], "embedding", "weight", "minus")
-    both = plus.join(minus, "user_id", "left")
-    taste = F.when(F.col("minus").isNull(), F.col("plus")).otherwise(F.zip_with("plus", "minus", lambda x, y: x - against * y))
-    return both.select("user_id", vectors.normalized(taste).alias("vector"))
+    rows = weighted.where("weight <> 0").join(works.where("embedding is not null").select("work_id", "embedding"), "work_id")
+    flat = rows.select("user_id", "weight", F.posexplode("embedding").alias("k", "x"))
+    part = lambda c, v: F.sum(F.when(c, v))
+    good, bad, wx = F.col("weight") > 0, F.col("weight") < 0, F.col("weight") * F.col("x")
+    # Both means of a dimension in one pass; sums are added up before the shuffle.
+    sums = flat.groupBy("user_id", "k").agg((part(good, wx) / part(good, F.col("weight"))).alias("plus"), (part(bad, wx) / part(bad, F.col("weight"))).alias("minus"))
+    taste = sums.where("plus is not null").select("user_id", "k", (F.col("plus") - against * F.coalesce("minus", F.lit(0.0))).alias("x"))
+    ordered = F.array_sort(F.collect_list(F.struct("k", "x")))  # as many as a vector has dimensions
+    return taste.groupBy("user_id").agg(vectors.normalized(F.transform(ordered, lambda s: s["x"])).alias("vector"))
 
 
 def anchors(weighted: DataFrame, k: int = 10) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scoring, vectors
 
-#: What a later hit of each source adds for each unit of its similarity.
+#: What a later hit of each source adds for each unit of its similarity (a book's graph hit: 0.15 for its 0.5).
 BOOSTS_GENERAL = {"vector": 0.0, "graph": 0.2, "readers": 0.3, "community": 0.15}
-BOOSTS_BOOK = {"vector": 0.0, "graph": 0.15, "readers": 0.4, "lists": 0.2}
+BOOSTS_BOOK = {"vector": 0.0, "graph": 0.3, "readers": 0.4, "lists": 0.2}
 #: Fixed values of the greedy re-ranking.
 LAMBDA, NOVELTY, REPEAT = 0.3, 0.15, 0.1
 
@@ -43,7 +43,7 @@ def category_candidates(rows: DataFrame, profile: DataFrame | None, k: int = 100
 
 
 def fuse(hits: DataFrame, boosts: dict[str, float]) -> DataFrame:
-    """One score for each work from its hits (work_id, source, seq, sim), in the order of boosts' sources and seq: the
+    """One score for each work from its hits (work_id, source, seq, sim), in the order of boosts' sources, seq and sim: the
     first hit's similarity, to which later hits add their boost times theirs, at most 1 then. As no hit takes away, adding
     up and one clamp equal clamping after each."""
     order, boost = F.lit(0), F.lit(0.0)
@@ -51,7 +51,7 @@ def fuse(hits: DataFrame, boosts: dict[str, float]) -> DataFrame:
         order = F.when(F.col("source") == name, k).otherwise(order)
         boost = F.when(F.col("source") == name, b).otherwise(boost)
     rows = hits.withColumns({"o": order, "add": boost * F.col("sim")})
-    first = F.min_by(F.struct("sim", "add", "source"), F.struct("o", "seq")).alias("first")
+    first = F.min_by(F.struct("sim", "add", "source"), F.struct("o", "seq", -F.col("sim"))).alias("first")
     one = rows.groupBy("work_id").agg(first, F.sum("add").alias("total"), F.count("*").alias("hits"))
     score = F.when(F.col("hits") == 1, F.col("first.sim")).otherwise(F.least(F.lit(1.0), F.col("first.sim") + F.col("total") - F.col("first.add")))
     return one.select("work_id", F.round(score, 6).alias("score"), F.col("first.source").alias("source"), "hits")
@@ -121,11 +121,16 @@ def rerank(scored: DataFrame, limit: int = 20, key: str = "user_id") -> DataFram
 
 
 def diversity(rows: DataFrame) -> DataFrame:
-    """Mean of 1 - cosine over the pairs of a list, its number of distinct authors and share of repeats. rows:
-    work_id, embedding, authors; a list of a page or so."""
-    e = rows.where(F.col("embedding").isNotNull()).select("work_id", "embedding")
-    a, b = e.select(F.col("work_id").alias("i"), F.col("embedding").alias("x")), e.select(F.col("work_id").alias("j"), F.col("embedding").alias("y"))
-    ild = a.join(b, F.col("i") < F.col("j")).agg(F.coalesce(F.avg(1 - vectors.cosine("x", "y")), F.lit(1.0)).alias("ild"))
+    """Mean of 1 - cosine over the pairs of a list that have vectors (of the Jaccard distance of authors over all pairs
+    where none has one; 1 without a pair), its number of distinct authors and share of repeats. rows: work_id, embedding,
+    authors; a list of a page or so."""
+    one = rows.select(F.col("work_id").alias("i"), F.col("embedding").alias("x"), F.coalesce("authors", F.array()).alias("p"))
+    two = rows.select(F.col("work_id").alias("j"), F.col("embedding").alias("y"), F.coalesce("authors", F.array()).alias("q"))
+    union = F.size(F.array_union("p", "q"))
+    far = F.when(union > 0, 1 - F.size(F.array_intersect("p", "q")) / union).otherwise(1.0)
+    pairs = one.join(two, F.col("i") < F.col("j")).agg(F.avg(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1 - vectors.cosine("x", "y"))).alias("d"), F.avg(far).alias("a"))
+    any_ = rows.agg(F.count("embedding").alias("vectors"))  # one row
+    ild = pairs.crossJoin(any_).select(F.coalesce(F.when(F.col("vectors") > 0, F.col("d")).otherwise(F.col("a")), F.lit(1.0)).alias("ild"))
     names = rows.select(F.explode("authors").alias("author")).agg(F.count_distinct("author").alias("unique_authors"), F.count("*").alias("n"))
     repeat = F.when(F.col("n") > 0, 1 - F.col("unique_authors") / F.col("n")).otherwise(0.0)
     return ild.crossJoin(names).select(F.round("ild", 6).alias("ild"), "unique_authors", F.round(repeat, 6).alias("repeat_rate"))

@@ -73,9 +73,9 @@ def queries() -> dict:
         "cooccurrence_lists": on(lambda c: _as_double(co.list_pairs(c.list_seed))),
         "cooccurrence_authors": on(lambda c: _as_double(co.author_pairs(c.work_author))),
         "cooccurrence_full": on(lambda c: _as_double(_co(c))),
-        "similar_works": on(lambda c: _as_double(co.similar_works(_co(c), WORK))),
-        "similar_works_batch": on(lambda c: _as_double(co.similar_works_batch(_co(c), c.work.where("work_id % 20 = 0").select("work_id"))).drop("_rank")),
-        "similar_works_tiered": on(lambda c: _as_double(co.similar_tiered(_co(c), c.reading_log, WORK))),
+        "similar_works": on(lambda c: _as_double(co.similar_works(c.cooccurrence, WORK))),
+        "similar_works_batch": on(lambda c: _as_double(co.similar_works_batch(c.cooccurrence, c.work.where("work_id % 20 = 0").select("work_id"))).drop("_rank")),
+        "similar_works_tiered": on(lambda c: _as_double(co.similar_tiered(c.cooccurrence, c.reading_log, WORK))),
     }
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import collaborative as co
 from quillon.operators import graph as gr
 from quillon.operators import reading as rd
 from quillon.plans.ratings import CO_VIEWS, PAIRS_SQL, WORK
@@ -38,35 +37,33 @@ TASTE_SQL = WEIGHT_SQL | {
     "taste": "select user_id, k, plus - 0.3::double * coalesce(minus, 0) x from means where plus is not null",
     "unit": "select user_id, k, x / sqrt(sum(x * x) over (partition by user_id)) x from taste",
 }
-EDGES = 0.01
+EDGES, ROUNDS = 0.05, 15
 LPA_SQL = PAIRS_SQL | {
-    "edge": f"select a, b, overlap::bigint w from list_pairs where jaccard >= {EDGES} union all select b, a, overlap from list_pairs where jaccard >= {EDGES}",
+    "edge": f"select a, b, jaccard w from cooc where jaccard >= {EDGES} union all select b, a, jaccard from cooc where jaccard >= {EDGES}",
     "l0": "select distinct a node, a as label from edge",
 } | {
-    f"l{k}": f"select node, label from (select *, row_number() over (partition by node order by w desc, label) r from (select a node, label, sum(w) w from edge join l{k - 1} on b = node group by 1, 2)) where r = 1" for k in (1, 2, 3)
-} | {"community": "select node, label, size from l3 join (select label, count(*) size from l3 group by 1 having count(*) >= 5) using (label)"}
+    f"l{k}": f"select node, label from (select *, row_number() over (partition by node order by w desc, label) r from (select a node, label, sum(w) w from edge join l{k - 1} on b = node group by 1, 2)) where r = 1" for k in range(1, ROUNDS + 1)
+} | {"community": f"select node, label, size from l{ROUNDS} join (select label, count(*) size from l{ROUNDS} group by 1 having count(*) >= 5) using (label)"}
 
 
-def totals(c: Catalogue):
-    return rd.aggregate_sessions(c.session, as_of(SESSIONS_AS_OF))
-
+EDGES_SQL = "select work_id, concat('a', author_id) node from work_author union all select work_id, concat('s', subject) from work_subject union all select work_id, concat('r', series) from work where series is not null"
 
-def weighted(c: Catalogue):
-    return rd.weighted_events(c.user_event, totals(c), c.completion, c.ownership, c.work_author, as_of(EVENTS_AS_OF))
 
-
-def _edges(c: Catalogue):
-    p = co.list_pairs(c.list_seed).where(F.col("jaccard") >= EDGES)
-    return p.select("a", "b", F.col("overlap").alias("weight")).unionAll(p.select("b", "a", "overlap"))
+def totals(c: Catalogue):
+    return rd.aggregate_sessions(c.session, as_of(SESSIONS_AS_OF))
 
 
-def _communities(c: Catalogue):
-    return gr.communities(gr.label_propagation(_edges(c)))
+def weighted(c: Catalogue, user: int | None = None):
+    """All readers' events with their weights, or one reader's, whose rows are picked before anything is added up."""
+    of = lambda d: d if user is None else d.where(F.col("user_id") == user)
+    sums = rd.aggregate_sessions(of(c.session), as_of(SESSIONS_AS_OF))
+    return rd.weighted_events(of(c.user_event), sums, of(c.completion), of(c.ownership), c.work_author, as_of(EVENTS_AS_OF))
 
 
 def graph_edges(c: Catalogue):
     a = c.work_author.select("work_id", F.concat(F.lit("a"), F.col("author_id").cast("string")).alias("node"))
-    return a.unionAll(c.work_subject.select("work_id", F.concat(F.lit("s"), "subject")))
+    series = c.work.where("series is not null").select("work_id", F.concat(F.lit("r"), "series"))
+    return a.unionAll(c.work_subject.select("work_id", F.concat(F.lit("s"), "subject"))).unionAll(series)
 
 
 def _new_events(c: Catalogue):
@@ -83,9 +80,9 @@ def queries() -> dict:
     return {
         "graph_neighbors_2hop": on(lambda c: gr.two_hops(graph_edges(c), WORK)),
         "graph_features": on(lambda c: gr.user_features(c.user_event, c.work, c.work_author, c.work_subject, USER).withColumn("prox", F.round("prox", 6))),
-        "label_propagation": on(lambda c: gr.label_propagation(_edges(c))),
-        "community_metadata": on(lambda c: gr.community_subjects(_communities(c), c.work_subject)),
-        "community_candidates": on(lambda c: gr.community_candidates(_communities(c), 2)),
+        "label_propagation": on(lambda c: gr.label_propagation(gr.strong_edges(c.cooccurrence))),
+        "community_metadata": on(lambda c: gr.community_subjects(c.community, c.work_subject)),
+        "community_candidates": on(lambda c: gr.community_candidates(c.community, c.work.where("work_id % 20 = 0"), 20)),
         "redirect_resolution": on(lambda c: gr.resolve_redirects(c.redirect)),
         "reading_aggregate": on(lambda c: totals(c).select("user_id", "work_id", "total_ms", "sessions", "max_ms", ms("avg_ms"), "last30_ms", "last_read_at")),
         "reading_streak": on(lambda c: rd.streaks(c.reading_day)),
@@ -101,7 +98,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    edges = {"edges": "select work_id, concat('a', author_id) node from work_author union all select work_id, concat('s', subject) from work_subject"}
+    edges = {"edges": EDGES_SQL}
     features = {
         "own": f"select * from user_event where user_id = {USER}",
         "readw": "select distinct work_id, rating from own where shelf = 'read'",
@@ -113,11 +110,11 @@ def oracle_sql() -> dict[str, str]:
         "ovl": "select work_id, count(f.subject) / (count(*) + (select count(*) from fs) - count(f.subject)) o from work_subject w left join fs f on w.subject = f.subject group by 1",
     }
     return {
-        "graph_neighbors_2hop": sql(f"select distinct work_id from edges where work_id <> {WORK} and node in (select node from edges where work_id = {WORK})", "work_author work_subject", **edges),
+        "graph_neighbors_2hop": sql(f"select distinct work_id from edges where work_id <> {WORK} and node in (select node from edges where work_id = {WORK})", "work work_author work_subject", **edges),
         "graph_features": sql("select w.work_id, round(coalesce(a, 0), 6) author_affinity, round(coalesce(o, 0), 6) subject_overlap, coalesce(series in (select series from ser), false) same_series, round((coalesce(a, 0) + coalesce(o, 0)) / 2, 6) prox from work w left join aff on w.work_id = aff.work_id left join ovl on w.work_id = ovl.work_id where w.work_id not in (select work_id from own)", "user_event work work_author work_subject", **features),
-        "label_propagation": sql("select node, label from l3", CO_VIEWS, **LPA_SQL),
+        "label_propagation": sql(f"select node, label from l{ROUNDS}", CO_VIEWS, **LPA_SQL),
         "community_metadata": sql("select label, size, string_agg(subject, ', ' order by n desc, subject) top_subjects from (select *, row_number() over (partition by label order by n desc, subject) r from (select label, size, subject, count(*) n from community join work_subject on node = work_id group by 1, 2, 3)) where r <= 5 group by 1, 2", CO_VIEWS + " work_subject", **LPA_SQL),
-        "community_candidates": sql("select node work_id from community where label in (select label from community where node = 2) and node <> 2 order by md5(concat('7:', node)), 1 limit 20", CO_VIEWS, **LPA_SQL),
+        "community_candidates": sql("select anchor, work_id from (select o.node anchor, m.node work_id, row_number() over (partition by o.node order by md5(concat('7:', m.node)), m.node) r from community o join community m on o.label = m.label and o.node <> m.node where o.node % 20 = 0) where r <= 20", CO_VIEWS, **LPA_SQL),
         "redirect_resolution": sql("select old_key, final_key, hops::int hops from (select *, row_number() over (partition by old_key order by hops desc) r from walk) where r = 1", "redirect", True, walk="select old_key, new_key final_key, 1 hops from redirect union all select w.old_key, r.new_key, hops + 1 from walk w join redirect r on r.old_key = w.final_key where hops < 10"),
         "reading_aggregate": sql("select user_id, work_id, total_ms, sessions, max_ms, round(avg_ms, 4) avg_ms, last30_ms, last_read_at from totals", "session", totals=TOTALS_SQL),
         "reading_streak": sql("select user_id, last_day, streak from (select user_id, island, count(*) streak, max(day) last_day, row_number() over (partition by user_id order by max(day) desc) r from (select user_id, day, day - row_number() over (partition by user_id order by day)::int island from reading_day) group by 1, 2) where r = 1", "reading_day"),

@@ -11,67 +11,92 @@ from quillon.operators import ratings as rt
 from quillon.operators import reading as rd
 from quillon.operators import recommend as rc
 from quillon.plans.ratings import PAIRS_SQL, QUALITY_SQL, WORK
-from quillon.plans.reading import TASTE_SQL, USER, WEIGHT_VIEWS, graph_edges, totals, weighted
+from quillon.plans.reading import TASTE_SQL, USER, WEIGHT_VIEWS, EDGES_SQL, LPA_SQL, graph_edges, weighted
+from quillon.operators.lineage import table
 from quillon.sources.fixtures import SESSIONS_AS_OF, Catalogue, as_of, sql
 
-BLOCKED_AUTHOR = 3
-GRAPH_EACH, READERS_EACH, VECTORS = 50, 10, 200
+#: Sizes of the parts of a reader's candidates, and of those of one book.
+GENERAL, GRAPH_ANCHORS, READER_ANCHORS, COMMUNITY_ANCHORS, EACH_READERS, EACH_COMMUNITY = 2000, 5, 10, 3, 30, 50
+BY_BOOK, SIMILAR, MATES = 500, 100, 30
 SUBJECTS, WITHOUT = ["standard", "promo"], ["red"]
 
 
 def _own(c: Catalogue):
-    return weighted(c).where(F.col("user_id") == USER)
+    """The reader's weighted events, written once: they are what profile, anchors and exclusions come from."""
+    return table(c.spark, c.dir, f"events-{USER}", lambda: weighted(c, USER))
 
 
 def _anchors(c: Catalogue, k: int):
     return rd.anchors(_own(c), k).select(F.col("work_id").alias("anchor"), "weight", "position")
 
 
+def _blocks(c: Catalogue):
+    return c.block.where(F.col("user_id") == USER)
+
+
+def _excluded(c: Catalogue):
+    """Works that the reader has an event with or blocks."""
+    return _own(c).select("work_id").union(_blocks(c).where("work_id is not null").select("work_id")).distinct()
+
+
 def _seen(c: Catalogue):
-    return c.user_event.where(F.col("user_id") == USER).select("work_id").distinct()
+    return _own(c).select("work_id").distinct()
+
+
+def _nearest(c: Catalogue, one, excluded, k: int):
+    """The k works next to a vector (one row)."""
+    new = c.work.where("embedding is not null").join(excluded, "work_id", "left_anti")
+    sims = new.crossJoin(F.broadcast(one)).select("work_id", vectors.cosine("embedding", "vector").alias("sim"))
+    return sims.orderBy(F.col("sim").desc(), "work_id").limit(k).select("work_id", F.lit("vector").alias("source"), F.lit(1).alias("seq"), "sim")
 
 
 def _general(c: Catalogue):
-    """R10. The profile is one row and the anchors are ten: these are broadcast."""
-    seen, edges = _seen(c), graph_edges(c)
-    profile = rd.profile_vector(_own(c), c.work).select("vector")
-    new = c.work.where(F.col("embedding").isNotNull()).join(seen, "work_id", "left_anti")
-    sims = new.crossJoin(F.broadcast(profile)).select("work_id", vectors.cosine("embedding", "vector").alias("sim"))
-    vec = sims.orderBy(F.col("sim").desc(), "work_id").limit(VECTORS).select("work_id", F.lit("vector").alias("source"), F.lit(1).alias("seq"), "sim")
-    five = F.broadcast(_anchors(c, 5))
-    mid = edges.join(five, F.col("work_id") == F.col("anchor")).select("node", "anchor", "weight", "position")
-    near = edges.join(mid, "node").where("work_id <> anchor").select("work_id", "anchor", "weight", "position").distinct().join(seen, "work_id", "left_anti")
-    near = co.keep_top(near, ["anchor"], ["work_id"], GRAPH_EACH).select("work_id", F.lit("graph").alias("source"), F.col("position").alias("seq"), (0.5 * F.least(F.lit(1.0), F.col("weight"))).alias("sim"))
-    ten = _anchors(c, 10)
-    pairs = co.cooccurrence(c.list_seed, c.work_author)
-    batch = co.similar_works_batch(pairs, ten.select(F.col("anchor").alias("work_id")), READERS_EACH)
-    cf = batch.join(F.broadcast(ten), F.col("work_id") == F.col("anchor")).select(F.col("related_id").alias("work_id"), "position", (F.col("jaccard").cast("double") * F.least(F.lit(1.0), F.col("weight")) * 0.8).alias("sim"))
-    cf = cf.join(seen, "work_id", "left_anti").select("work_id", F.lit("readers").alias("source"), F.col("position").alias("seq"), "sim")
-    blocked = c.author.where(F.col("author_id") == BLOCKED_AUTHOR)
-    fused = rc.fuse(vec.unionByName(near).unionByName(cf), rc.BOOSTS_GENERAL)
-    return rc.without_blocked(fused, c.work_author, authors=blocked).orderBy(F.col("score").desc(), "work_id").limit(500)
+    """Four sources. The profile is one row and the anchors are ten: these are broadcast."""
+    out = _excluded(c)
+    vec = _nearest(c, rd.profile_vector(_own(c), c.work).select("vector"), out, GENERAL)
+    edges, anchors = graph_edges(c), _anchors(c, READER_ANCHORS)
+    some = lambda k: F.broadcast(anchors.where(F.col("position") <= k))
+    mid = edges.join(some(GRAPH_ANCHORS), F.col("work_id") == F.col("anchor")).select("node", "anchor", "weight", "position").distinct()
+    near = edges.join(F.broadcast(mid), "node").where("work_id <> anchor").select("work_id", "anchor", "weight", "position").distinct()
+    near = near.select("work_id", F.lit("graph").alias("source"), F.col("position").alias("seq"), (0.5 * F.col("weight")).alias("sim"))
+    batch = co.similar_works_batch(c.cooccurrence, anchors.select(F.col("anchor").alias("work_id")), EACH_READERS)
+    cf = batch.join(F.broadcast(anchors), F.col("work_id") == F.col("anchor"))
+    cf = cf.select(F.col("related_id").alias("work_id"), F.lit("readers").alias("source"), F.col("position").alias("seq"), (F.col("jaccard").cast("double") * F.col("weight") * 0.8).alias("sim"))
+    mates = gr.community_candidates(c.community, anchors.where(F.col("position") <= COMMUNITY_ANCHORS).select(F.col("anchor").alias("work_id")), EACH_COMMUNITY)
+    mates = mates.join(F.broadcast(anchors), "anchor").select("work_id", F.lit("community").alias("source"), F.col("position").alias("seq"), (0.3 * F.col("weight")).alias("sim"))
+    hits = vec.unionByName(near.unionByName(cf).unionByName(mates).join(out, "work_id", "left_anti"))
+    fused = rc.without_blocked(rc.fuse(hits, rc.BOOSTS_GENERAL), c.work_author, authors=_blocks(c))
+    return fused.orderBy(F.col("score").desc(), "work_id").limit(GENERAL)
 
 
 def _by_book(c: Catalogue):
-    """R11 for one work."""
-    seed = c.work.where(F.col("work_id") == WORK).select(F.col("embedding").alias("vector"))
-    sims = c.work.where((F.col("work_id") != WORK) & F.col("embedding").isNotNull()).crossJoin(F.broadcast(seed.where("vector is not null"))).select("work_id", vectors.cosine("embedding", "vector").alias("sim"))
-    vec = sims.orderBy(F.col("sim").desc(), "work_id").limit(VECTORS).select("work_id", F.lit("vector").alias("source"), F.lit(1).alias("seq"), "sim")
-    near = gr.two_hops(graph_edges(c), WORK).orderBy("work_id").limit(GRAPH_EACH).select("work_id", F.lit("graph").alias("source"), F.lit(1).alias("seq"), F.lit(0.5).alias("sim"))
-    cf = co.also_read_jaccard(c.reading_log, WORK, 2, 50).select("work_id", F.lit("readers").alias("source"), F.lit(1).alias("seq"), (0.3 + 0.5 * F.col("jaccard")).alias("sim"))
-    lists = co.list_mates(c.list_seed, WORK, 50).select("work_id", F.lit("lists").alias("source"), F.lit(1).alias("seq"), F.least(F.lit(0.6), 0.2 + 0.05 * F.col("shared_lists")).alias("sim"))
-    return rc.fuse(vec.unionByName(near).unionByName(cf).unionByName(lists), rc.BOOSTS_BOOK).orderBy(F.col("score").desc(), "work_id").limit(500)
+    """R11 for one work: works of the reader, blocked ones and the work itself are left out; a book without a vector has none."""
+    out = _excluded(c).union(c.work.where(F.col("work_id") == WORK).select("work_id"))
+    seed = c.work.where((F.col("work_id") == WORK) & F.col("embedding").isNotNull()).select(F.col("embedding").alias("vector"))
+    vec = _nearest(c, seed, out, BY_BOOK)
+    near = gr.two_hops(graph_edges(c), WORK).select("work_id", F.lit("graph").alias("source"), F.lit(1).alias("seq"), F.lit(0.5).alias("sim"))
+    cf = co.similar_tiered(c.cooccurrence, c.reading_log, WORK, SIMILAR).select(F.col("related_id").alias("work_id"), F.lit("readers").alias("source"), F.lit(1).alias("seq"), (0.3 + 0.5 * F.col("jaccard").cast("double")).alias("sim"))
+    lists = co.list_mates(c.list_seed, WORK, MATES).select("work_id", F.lit("lists").alias("source"), F.lit(1).alias("seq"), F.least(F.lit(0.6), 0.2 + 0.05 * F.col("shared_lists")).alias("sim"))
+    hits = vec.unionByName(near.unionByName(cf).unionByName(lists).join(out, "work_id", "left_anti"))
+    # A graph hit adds 0.15 whatever it would score alone.
+    return rc.fuse(hits.join(F.broadcast(seed.select(F.lit(1)).limit(1)), how="left_semi"), rc.BOOSTS_BOOK).orderBy(F.col("score").desc(), "work_id").limit(BY_BOOK)
+
+
+def _block_filters(c: Catalogue):
+    """Works that are left for the reader."""
+    rest = rc.without_blocked(c.work.select("work_id", "title"), c.work_author, works=_blocks(c).where("work_id is not null"), authors=_blocks(c))
+    return rest.join(_seen(c), "work_id", "left_anti")
 
 
 def _category(c: Catalogue):
-    rows = rc.works_by_subject(c.work, c.work_subject, SUBJECTS, WITHOUT, 1955, 1995, _seen(c))
+    rows = rc.works_by_subject(c.work, c.work_subject, SUBJECTS, WITHOUT, 1955, 1995, _excluded(c))
     return rc.category_candidates(rows, rd.profile_vector(_own(c), c.work))
 
 
 def _base(c: Catalogue):
     features = gr.user_features(c.user_event, c.work, c.work_author, c.work_subject, USER)
-    mine = totals(c).where(F.col("user_id") == USER).select("work_id", "total_ms", "last30_ms", "last_read_at")
-    return rc.base_scores(_general(c), rt.quality(c.rating), features, mine, as_of(SESSIONS_AS_OF))
+    mine = rd.aggregate_sessions(c.session.where(F.col("user_id") == USER), as_of(SESSIONS_AS_OF)).select("work_id", "total_ms", "last30_ms", "last_read_at")
+    return table(c.spark, c.dir, f"scores-{USER}", lambda: rc.base_scores(_general(c), rt.quality(c.rating), features, mine, as_of(SESSIONS_AS_OF)))
 
 
 def _decorated(c: Catalogue, scored):
@@ -115,6 +140,7 @@ def queries() -> dict:
         "category_candidates": on(_category),
         "general_candidates": on(_general),
         "by_book_candidates": on(_by_book),
+        "block_filters": on(_block_filters),
         "rerank_base_scores": on(_base),
         "mmr_rerank": on(lambda c: _final(c).select("user_id", "position", "work_id", F.round("final_score", 6).alias("final_score"))),
         "diversity_metrics": on(_diverse),
@@ -125,21 +151,26 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    views = WEIGHT_VIEWS + " work work_subject list_seed reading_log rating author"
+    views = WEIGHT_VIEWS + " work work_subject list_seed reading_log rating author block"
     cos = "list_cosine_similarity(w.embedding, p.v)"
-    parts = TASTE_SQL | PAIRS_SQL | QUALITY_SQL | {
-        "seen": f"select distinct work_id from user_event where user_id = {USER}",
+    parts = TASTE_SQL | LPA_SQL | QUALITY_SQL | {
+        "known": f"select distinct work_id from user_event where user_id = {USER}",
+        "mine": f"select * from block where user_id = {USER}",
+        "seen": "select work_id from known union select work_id from mine where work_id is not null",
         "profile": f"select list(x order by k) v from unit where user_id = {USER}",
         "anchor": f"select work_id anchor, w weight, row_number() over (order by w desc, work_id) pos from (select work_id, round(weight, 6) w from weighted where user_id = {USER} and weight > 0)",
-        "edges": "select work_id, concat('a', author_id) node from work_author union all select work_id, concat('s', subject) from work_subject",
-        "vec": f"select w.work_id, 'vector' src, 0 o, 1 seq, {cos} sim, 0.0::double boost from work w, profile p where p.v is not null and w.embedding is not null and w.work_id not in (select work_id from seen) order by sim desc, w.work_id limit {VECTORS}",
-        "near0": "select distinct e.work_id, anchor, weight, pos from edges m join anchor a on m.work_id = anchor and pos <= 5 join edges e on e.node = m.node and e.work_id <> anchor where e.work_id not in (select work_id from seen)",
-        "near": f"select work_id, 'graph' src, 1 o, pos seq, 0.5::double * least(1.0::double, weight) sim, 0.2::double boost from (select *, row_number() over (partition by anchor order by work_id) r from near0) where r <= {GRAPH_EACH}",
-        "cf": f"select related_id work_id, 'readers' src, 2 o, pos seq, jaccard::double * least(1.0::double, weight) * 0.8::double sim, 0.3::double boost from (select *, row_number() over (partition by work_id order by case when overlap >= 2 then 0 else 1 end, jaccard desc, related_id) r from nb where work_id in (select anchor from anchor where pos <= 10)) n join anchor a on n.work_id = anchor where r <= {READERS_EACH} and related_id not in (select work_id from seen)",
-        "hits": "select * from vec union all select * from near union all select * from cf",
-        "firsts": "select *, row_number() over (partition by work_id order by o, seq) r from hits",
+        "edges": EDGES_SQL,
+        "vec": f"select w.work_id, 'vector' src, 0 o, 1 seq, {cos} sim, 0.0::double boost from work w, profile p where p.v is not null and w.embedding is not null and w.work_id not in (select work_id from seen) order by sim desc, w.work_id limit {GENERAL}",
+        "near0": f"select distinct e.work_id, anchor, weight, pos from edges m join anchor a on m.work_id = anchor and pos <= {GRAPH_ANCHORS} join edges e on e.node = m.node and e.work_id <> anchor",
+        "near": "select work_id, 'graph' src, 1 o, pos seq, 0.5::double * weight sim, 0.2::double boost from near0",
+        "cf": f"""select related_id work_id, 'readers' src, 2 o, pos seq, jaccard::double * weight * 0.8::double sim, 0.3::double boost from (select *, row_number() over (partition by work_id
+          order by case when overlap >= 2 then 0 else 1 end, jaccard desc, related_id) r from nb where work_id in (select anchor from anchor where pos <= {READER_ANCHORS})) n join anchor a on n.work_id = anchor where r <= {EACH_READERS}""",
+        "mates": f"""select node work_id, 'community' src, 3 o, pos seq, 0.3::double * weight sim, 0.15::double boost from (select m.node, pos, weight, row_number() over (partition by anchor order by md5(concat('7:', m.node)), m.node) r
+          from anchor a join community o on o.node = anchor join community m on m.label = o.label and m.node <> anchor where pos <= {COMMUNITY_ANCHORS}) where r <= {EACH_COMMUNITY}""",
+        "hits": "select * from vec union all select * from (select * from near union all select * from cf union all select * from mates) where work_id not in (select work_id from seen)",
+        "firsts": "select *, row_number() over (partition by work_id order by o, seq, sim desc) r from hits",
         "fused": "select work_id, round(case when count(*) = 1 then max(sim) else least(1.0::double, max(sim) filter (r = 1) + coalesce(sum(boost * sim) filter (r > 1), 0)) end, 6) score, max(src) filter (r = 1) source, count(*) hits from firsts group by 1",
-        "general": f"select * from fused where work_id not in (select work_id from work_author where author_id = {BLOCKED_AUTHOR}) order by score desc, work_id limit 500",
+        "general": f"select * from fused where work_id not in (select work_id from work_author where author_id in (select author_id from mine where author_id is not null)) order by score desc, work_id limit {GENERAL}",
     }
     features = {
         "own": f"select * from user_event where user_id = {USER}",
@@ -158,25 +189,30 @@ def oracle_sql() -> dict[str, str]:
     }
     both = parts | features
     title = "(select title from work join anchor on work_id = anchor where pos = 1)"
-    rd_sql = {
+    rd_sql = PAIRS_SQL | {
         "readers": f"select distinct user_id from reading_log where work_id = {WORK}",
         "shared": f"select work_id, count(distinct user_id) n from reading_log where work_id <> {WORK} and user_id in (select user_id from readers) group by 1",
-        "edges": parts["edges"],
+        "edges": EDGES_SQL,
+        "seen": parts["known"] + f" union select work_id from block where user_id = {USER} and work_id is not null union select {WORK}",
         "profile": f"select embedding v from work where work_id = {WORK} and embedding is not null",
-        "vec": f"select w.work_id, 'vector' src, 0 o, 1 seq, {cos} sim, 0.0::double boost from work w, profile p where w.embedding is not null and w.work_id <> {WORK} order by sim desc, w.work_id limit {VECTORS}",
-        "near": f"select work_id, 'graph', 1, 1, 0.5::double, 0.15::double from (select distinct work_id from edges where work_id <> {WORK} and node in (select node from edges where work_id = {WORK}) order by 1 limit {GRAPH_EACH})",
-        "cf": "select work_id, 'readers', 2, 1, 0.3::double + 0.5::double * j, 0.4::double from (select s.work_id, round(s.n / ((select count(*) from readers) + z.n - s.n), 6) j from shared s join (select work_id, count(distinct user_id) n from reading_log group by 1) z on s.work_id = z.work_id where s.n >= 2 order by j desc, 1 limit 50)",
-        "mates": f"select work_id, 'lists', 3, 1, least(0.6::double, 0.2::double + 0.05::double * n), 0.2::double from (select work_id, count(*) n from list_seed where work_id <> {WORK} and list_id in (select list_id from list_seed where work_id = {WORK}) group by 1 order by 2 desc, 1 limit 50)",
-        "hits": "select * from vec union all select * from near union all select * from cf union all select * from mates",
+        "vec": f"select w.work_id, 'vector' src, 0 o, 1 seq, {cos} sim, 0.0::double boost from work w, profile p where w.embedding is not null and w.work_id not in (select work_id from seen) order by sim desc, w.work_id limit {BY_BOOK}",
+        "near": f"select distinct work_id, 'graph', 1, 1, 0.5::double, 0.3::double from edges where work_id <> {WORK} and node in (select node from edges where work_id = {WORK})",
+        "live": f"select work_id related_id, n overlap, round(n / ((select count(*) from readers) + (select count(distinct user_id) from reading_log z where z.work_id = s.work_id) - n), 6)::decimal(6,5) jaccard from shared s where n >= 3",
+        "tiers": f"""select *, 1 tier from (select related_id, overlap, jaccard from nb where work_id = {WORK} and overlap >= 2 order by jaccard desc, related_id limit {SIMILAR})
+          union all select *, 2 from (select related_id, overlap, jaccard from nb where work_id = {WORK} order by jaccard desc, related_id limit {SIMILAR}) union all select *, 3 from (select * from live order by jaccard desc, related_id limit {SIMILAR})""",
+        "cf": "select related_id work_id, 'readers', 2, 1, 0.3::double + 0.5::double * jaccard::double, 0.4::double from tiers where tier = (select min(tier) from tiers)",
+        "mates": f"select work_id, 'lists', 3, 1, least(0.6::double, 0.2::double + 0.05::double * n), 0.2::double from (select work_id, count(*) n from list_seed where work_id <> {WORK} and list_id in (select list_id from list_seed where work_id = {WORK}) group by 1 order by 2 desc, 1 limit {MATES})",
+        "hits": "select * from vec union all select * from (select * from near union all select * from cf union all select * from mates) where work_id not in (select work_id from seen) and exists (select 1 from profile)",
         "firsts": parts["firsts"],
         "fused": parts["fused"],
     }
     inc, exc = (", ".join(f"'{x}'" for x in xs) for xs in (SUBJECTS, WITHOUT))
     top20 = "(select work_id from based order by base desc, work_id limit 20)"
     return {
-        "category_candidates": sql(f"select w.work_id, round(list_dot_product(w.embedding, p.v), 6) score from work w, profile p where p.v is not null and w.embedding is not null and first_publish_year between 1955 and 1995 and w.work_id in (select work_id from work_subject where subject in ({inc})) and w.work_id not in (select work_id from work_subject where subject in ({exc})) and w.work_id not in (select work_id from seen) order by 2 desc, 1 limit 100", views, **{k: v for k, v in parts.items() if k in TASTE_SQL or k in ("seen", "profile")}),
+        "category_candidates": sql(f"select w.work_id, round(list_dot_product(w.embedding, p.v), 6) score from work w, profile p where p.v is not null and w.embedding is not null and first_publish_year between 1955 and 1995 and w.work_id in (select work_id from work_subject where subject in ({inc})) and w.work_id not in (select work_id from work_subject where subject in ({exc})) and w.work_id not in (select work_id from seen) order by 2 desc, 1 limit 100", views, **{k: v for k, v in parts.items() if k in TASTE_SQL or k in ("known", "mine", "seen", "profile")}),
         "general_candidates": sql("select * from general", views, **parts),
-        "by_book_candidates": sql("select * from fused order by score desc, work_id limit 500", "work reading_log list_seed work_author work_subject", **rd_sql),
+        "by_book_candidates": sql("select * from fused order by score desc, work_id limit 500", "work reading_log list_seed work_author work_subject user_event block", **rd_sql),
+        "block_filters": sql("select work_id, title from work where work_id not in (select work_id from seen) and work_id not in (select work_id from work_author where author_id in (select author_id from mine where author_id is not null))", "work work_author user_event block", **{k: parts[k] for k in ("known", "mine", "seen")}),
         "rerank_base_scores": sql("select * from based", views, **both),
         "diversity_metrics": sql(
             f"""select round(coalesce((select avg(1 - list_cosine_similarity(a.embedding, b.embedding)) from work a join work b on a.work_id < b.work_id where a.embedding is not null and b.embedding is not null and a.work_id in {top20} and b.work_id in {top20}), 1.0), 6) ild,

@@ -8,6 +8,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators import collaborative, graph
+from quillon.operators.lineage import table
+
 #: The order of "latest line": total over the fixture's rows.
 LATEST = ["o_orderdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
 STATUS = {"A": "already-read", "N": "currently-reading"}
@@ -112,6 +115,23 @@ class Catalogue:
     def ownership(self) -> DataFrame:
         return self._of("signup")
 
+    @cached_property
+    def block(self) -> DataFrame:
+        """Works and authors that a reader doesn't want to see: a row has one of the two."""
+        k = F.get_json_object("props", "$.k").cast("long")
+        even = F.col("event_id") % 2 == 0
+        return self.table("events").where("event_type = 'error'").select("user_id", F.when(even, k).alias("work_id"), F.when(~even, k).alias("author_id"))
+
+    @cached_property
+    def cooccurrence(self) -> DataFrame:
+        """The table that a batch job builds from lists and authors; written once for an application."""
+        return table(self.spark, self.dir, "cooccurrence", lambda: collaborative.cooccurrence(self.list_seed, self.work_author))
+
+    @cached_property
+    def community(self) -> DataFrame:
+        """node, label, size of the communities in the table of co-occurrences; written once for an application."""
+        return table(self.spark, self.dir, "community", lambda: graph.communities(graph.label_propagation(graph.strong_edges(self.cooccurrence))))
+
     @cached_property
     def redirect(self) -> DataFrame:
         return self.table("part").where("p_partkey > 0 and p_partkey % 2 = 0").select(F.col("p_partkey").alias("old_key"), F.expr("p_partkey div 2").alias("new_key"))
@@ -142,6 +162,7 @@ VIEWS_SQL = {
     "reading_day": "select distinct user_id, ts::date as day from events",
     "completion": "select user_id, json_extract_string(props, '$.k')::bigint work_id, ts as at from events where event_type = 'purchase'",
     "ownership": "select user_id, json_extract_string(props, '$.k')::bigint work_id, ts as at from events where event_type = 'signup'",
+    "block": "select user_id, case when event_id % 2 = 0 then k end work_id, case when event_id % 2 <> 0 then k end author_id from (select *, json_extract_string(props, '$.k')::bigint k from events where event_type = 'error')",
     "redirect": "select p_partkey old_key, p_partkey // 2 new_key from part where p_partkey > 0 and p_partkey % 2 = 0",
 }
 
