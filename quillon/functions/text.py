@@ -150,7 +150,7 @@ def split_authors(x: Column | str) -> Column:
 
 
 #: Shelf names of library exports and status names of reading logs.
-SHELVES = {"read": "read", "currently-reading": "currently-reading", "to-read": "to-read", "dnf": "dnf", "did-not-finish": "dnf", "abandoned": "dnf"}
+SHELVES = {"read": "read", "currently-reading": "currently-reading", "to-read": "to-read", "dnf": "dnf", "did-not-finish": "dnf"}
 STATUSES = {"already-read": "already-read", "read": "already-read", "currently-reading": "currently-reading", "reading": "currently-reading", "want-to-read": "want-to-read", "want": "want-to-read", "to-read": "want-to-read"}
 
 

@@ -49,3 +49,13 @@ def table(spark: SparkSession, source: str, name: str, build: Callable[[], DataF
     build().write.parquet(path)
     _tables[key] = path
     return spark.read.parquet(path)
+
+
+def files(spark: SparkSession, source: str, name: str, write: Callable[[str], None]) -> str:
+    """A folder that write(path) fills when an application first asks for it."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _tables:
+        path = f"{shared_folder(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _tables[key] = path
+    return _tables[key]

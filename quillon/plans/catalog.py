@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ratings", "reading", "recommend", "resolve")
+MODULES = ("files", "ratings", "reading", "recommend", "resolve")
 
 
 def _modules() -> list:

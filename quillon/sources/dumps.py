@@ -45,6 +45,11 @@ def works(lines: DataFrame, most: int = 50) -> tuple[DataFrame, DataFrame, DataF
     return base, subjects, authors
 
 
+def link_authors(pairs: DataFrame, works_: DataFrame, authors_: DataFrame) -> DataFrame:
+    """work_id, author_id of pairs of keys (ol_work_key, ol_author_key) that are known on both sides."""
+    return pairs.join(works_, "ol_work_key").join(authors_, "ol_author_key").select("work_id", "author_id").distinct()
+
+
 def editions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Editions with a work, and every ISBN of each."""
     j = lines.select(F.from_json("json", EDITION_JSON).alias("j")).where("j.works[0].key is not null")
@@ -63,20 +68,38 @@ def authors(lines: DataFrame) -> DataFrame:
     return j.select(text.key_suffix("j.key").alias("ol_author_key"), "j.name", "bio", "j.birth_date", "j.death_date")
 
 
+def _nameless(rows: DataFrame) -> DataFrame:
+    """Lines f without a reader, each with a name of its own (user_key): the digest of the line and the number of the line among
+    equal ones. So the names don't hang on files and their splits."""
+    equal = rows.groupBy("f").agg(F.count("*").alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return equal.select("f", F.concat(F.lit("anon_"), F.md5(F.array_join("f", "\t", "").cast("binary")), F.lit("_"), F.col("k").cast("string")).alias("user_key"))
+
+
+def _field(k: int) -> Column:
+    return F.nullif(F.get("f", F.lit(k)), F.lit(""))
+
+
 def ratings(spark: SparkSession, path: str) -> DataFrame:
-    """Ratings of 1 to 5; without a reader each line has one of its own, named by its content and place."""
-    rows = tsv(spark, path, 3).select(F.col("f"), F.expr("try_cast(f[2] as int)").alias("rating")).where("rating between 1 and 5")
-    anon = F.concat(F.lit("anon_"), F.monotonically_increasing_id().cast("string"))
-    return rows.select(F.nullif(F.get("f", F.lit(0)), F.lit("")).alias("work_key"), F.nullif(F.get("f", F.lit(1)), F.lit("")).alias("edition_key"), "rating", F.expr("try_cast(f[3] as date)").alias("rated_on"), F.coalesce(F.nullif(F.get("f", F.lit(4)), F.lit("")), anon).alias("user_key"))
+    """Ratings of 1 to 5 with a work; a line without a reader has one of its own. Keys are what follows their last slash."""
+    rows = tsv(spark, path, 3).where((F.get("f", F.lit(0)) != "") & F.expr("try_cast(f[2] as int) between 1 and 5"))
+    named = rows.where(_field(4).isNotNull()).select("f", text.key_suffix(_field(4)).alias("user_key"))
+    every = named.unionByName(_nameless(rows.where(_field(4).isNull()).select("f")))
+    return every.select(text.key_suffix(_field(0)).alias("work_key"), text.key_suffix(_field(1)).alias("edition_key"), F.expr("try_cast(f[2] as int)").alias("rating"), F.expr("try_cast(f[3] as date)").alias("rated_on"), "user_key")
 
 
 def reading_log(spark: SparkSession, path: str) -> DataFrame:
-    """Work, edition, date, reader, status lines; unknown statuses go."""
-    f = lambda k: F.nullif(F.get("f", F.lit(k)), F.lit(""))
-    rows = tsv(spark, path, 5).select(f(0).alias("work_key"), f(1).alias("edition_key"), F.expr("try_cast(f[2] as date)").alias("logged_on"), f(3).alias("user_key"), text.mapped(f(4), text.STATUSES).alias("status"))
+    """Work, edition, date, reader, status lines; lines without a work, reader or known status go."""
+    rows = tsv(spark, path, 5).select(text.key_suffix(_field(0)).alias("work_key"), text.key_suffix(_field(1)).alias("edition_key"), F.expr("try_cast(f[2] as date)").alias("logged_on"), text.key_suffix(_field(3)).alias("user_key"), text.mapped(_field(4), text.STATUSES).alias("status"))
     return rows.where("work_key is not null and user_key is not null and status is not null")
 
 
+def reading_log_fast(spark: SparkSession, path: str) -> DataFrame:
+    """Work, edition, status, date lines, which name no reader: each has one of its own; unknown statuses go."""
+    rows = tsv(spark, path, 3).withColumn("status", text.mapped(_field(2), text.STATUSES)).where("status is not null")
+    out = _nameless(rows.select("f"))
+    return out.select(text.key_suffix(_field(0)).alias("work_key"), "user_key", text.mapped(_field(2), text.STATUSES).alias("status"), F.expr("try_cast(f[3] as date)").alias("logged_on"))
+
+
 def redirects(lines: DataFrame) -> DataFrame:
     """S9."""
     location = F.get_json_object("json", "$.location")
@@ -92,7 +115,7 @@ def covers(lines: DataFrame) -> DataFrame:
 
 def wikidata(lines: DataFrame) -> DataFrame:
     """The raw object stays as a variant."""
-    return lines.select("key", F.get_json_object("json", "$.wikidata_id").alias("wikidata_id"), F.parse_json("json").alias("raw")).where("wikidata_id is not null")
+    return lines.select("key", F.get_json_object("json", "$.wikidata").alias("wikidata_id"), F.parse_json("json").alias("raw")).where("wikidata_id is not null")
 
 
 def lists(lines: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame]:
@@ -110,42 +133,71 @@ def library_csv(spark: SparkSession, path: str) -> DataFrame:
     """A library export; a rating of 0 is none."""
     rows = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
     rating = F.expr("try_cast(`My Rating` as int)")
-    return rows.select(F.col("Book Id").alias("book_id"), F.col("Title").alias("title"), F.col("Author").alias("author"), text.unwrap_isbn("ISBN").alias("isbn10"), text.unwrap_isbn("ISBN13").alias("isbn13"), F.when(rating > 0, rating).alias("rating"), F.expr("coalesce(try_to_date(`Date Read`, 'yyyy/MM/dd'), try_to_date(`Date Read`, 'yyyy-MM-dd'))").alias("finished_at"), text.mapped("Exclusive Shelf", text.SHELVES, "to-read").alias("shelf"))
+    return rows.select(F.col("Book Id").alias("book_id"), F.col("Title").alias("title"), F.col("Author").alias("author"), text.unwrap_isbn("ISBN").alias("isbn10"), text.unwrap_isbn("ISBN13").alias("isbn13"), F.when(rating > 0, rating).alias("rating"), F.expr("coalesce(try_to_date(`Date Read`, 'yyyy/MM/dd'), try_to_date(`Date Read`, 'yyyy-MM-dd'))").alias("finished_at"), F.coalesce(text.mapped("Exclusive Shelf", text.SHELVES), F.lower(F.trim("Exclusive Shelf"))).alias("shelf"))
 
 
 def ownership(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files of rights; of an item's equal rights the earliest counts."""
-    schema = "rights array<struct<rightType:string,rightStatus:string,acquiredDate:timestamp,origin:struct<originType:string>>>, resource struct<asin:string,productName:string,resourceType:string>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select("resource", F.explode("rights").alias("r")).where("resource.asin is not null")
-    rows = rows.select(F.upper("resource.asin").alias("asin"), F.coalesce("r.rightType", F.lit("Unknown")).alias("right_type"), F.struct(F.col("r.acquiredDate").alias("acquired_at"), F.col("r.origin.originType").alias("origin"), F.col("resource.productName").alias("name")).alias("x"))
-    return rows.groupBy("asin", "right_type").agg(F.min_by("x", F.col("x.acquired_at")).alias("x")).select("asin", "right_type", "x.*")
+    """JSON files of rights; of an item's equal rights the earliest counts, one without a date last (ties by the other
+    columns)."""
+    schema = "lastUpdatedDate string, rights array<struct<rightType:string,rightStatus:string,acquiredDate:string,origin:struct<originType:string>>>, resource struct<asin:string,productName:string,resourceType:string,orderId:string,transactionId:string>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select("resource", "lastUpdatedDate", F.explode("rights").alias("r")).where("resource.asin <> ''")
+    at = F.expr("try_cast(r.acquiredDate as timestamp)")
+    x = F.struct(at.isNull().alias("undated"), at.alias("acquired_at"), F.col("r.origin.originType").alias("origin"), F.col("resource.productName").alias("name"), F.col("r.rightStatus").alias("right_status"), F.col("resource.resourceType").alias("resource_type"))
+    rows = rows.select(F.upper("resource.asin").alias("asin"), F.coalesce(F.nullif("r.rightType", F.lit("")), F.lit("Unknown")).alias("right_type"), x.alias("x"))
+    return rows.groupBy("asin", "right_type").agg(F.min("x").alias("x")).select("asin", "right_type", "x.*").drop("undated")
+
+
+def with_series(owned: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """Ownership with the purchases of series: they are downloads; one takes the place of an equal right that was acquired
+    later, and of none. 'Not Available' is no name."""
+    at = F.expr("try_cast(`Creation Date` as timestamp)")
+    name = F.nullif("Product Name", F.lit("Not Available"))
+    x = F.struct(at.isNull().alias("undated"), at.alias("s_at"), name.alias("s_name"))
+    bought = _csv(spark, path).where("ASIN <> ''").select(F.upper("ASIN").alias("asin"), F.lit("Download").alias("right_type"), x.alias("x")).groupBy("asin", "right_type").agg(F.min("x").alias("x"))
+    both = owned.withColumn("there", F.lit(True)).join(bought, ["asin", "right_type"], "full")
+    use = F.col("there").isNull() | F.coalesce(F.col("x.s_at") < F.col("acquired_at"), F.lit(False))
+    pick = lambda new, old: F.when(use, new).otherwise(F.col(old)).alias(old)
+    return both.select("asin", "right_type", pick(F.col("x.s_at"), "acquired_at"), pick(F.lit("Purchase"), "origin"), pick(F.col("x.s_name"), "name"), pick(F.lit("Active"), "right_status"), pick(F.lit("KindleEBook"), "resource_type"))
+
+
+def eligible(owned: DataFrame) -> DataFrame:
+    """rights that count as owning a book; what is not stated is no obstacle."""
+    ok = lambda c, *values: F.col(c).isNull() | F.col(c).isin("", *values)
+    return owned.where(ok("right_status", "Active") & ok("origin", "Purchase", "KindleUnlimited") & ok("resource_type", "KindleEBook"))
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).csv(path)
+    return spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("escape", '"').csv(path)
+
+
+#: Annotations of a device that tell of reading.
+READ_MARKS = ("kindle.last_read", "kindle.most_recent_read", "kindle.continuous_read")
 
 
 def completions(spark: SparkSession, auto: str, unique: str, sync: str) -> DataFrame:
-    """Completion events of three exports: asin, at, method."""
+    """Completion events of three exports: asin, at, method. Lines without an item or a date go; of the device's lines
+    those deleted and those of other annotations. An empty cell for 'deleted' is no deletion."""
     at = lambda c: F.expr(f"try_cast({c} as timestamp)")
-    a = _csv(spark, auto).select(F.upper("file_auto_marked_as_read").alias("asin"), at("created_timestamp").alias("at"), F.lit("auto").alias("method"))
+    a = _csv(spark, auto).select(F.upper("file_auto_marked_as_read").alias("asin"), at("created_timestamp").alias("at"), F.lit("auto_mark").alias("method"))
     p = F.split("asin_date_and_content_type", "_")
-    u = _csv(spark, unique).select(F.upper(F.get(p, F.lit(0))).alias("asin"), F.get(p, F.lit(1)).alias("d"), F.lower(F.get(p, F.lit(2))).alias("method")).select("asin", at("d").alias("at"), "method")
-    s = _csv(spark, sync).where("lower(`Is Deleted`) <> 'yes' and `Annotation Type` like '%read%'").select(F.upper("ASIN").alias("asin"), at("`Customer modified date on device`").alias("at"), F.lit("sync").alias("method"))
-    return a.unionByName(u).unionByName(s).where("asin is not null and at is not null")
-
-
-def sessions(spark: SparkSession, sources: dict[str, tuple[str, str, str, str | None]]) -> DataFrame:
-    """Sessions of several exports; for each source its path and its columns of start, end and, if it has one, duration in
-    milliseconds. Lines without an item go; a missing duration is the time from start to end, 0 at least."""
-    out = None
-    for name, (path, start, end, duration) in sources.items():
-        s, e = F.expr(f"try_cast(`{start}` as timestamp)"), F.expr(f"try_cast(`{end}` as timestamp)")
-        ms = F.expr(f"try_cast(`{duration}` as bigint)") if duration else F.lit(None).cast("long")
-        span = F.greatest(F.unix_millis(e) - F.unix_millis(s), F.lit(0))
-        rows = _csv(spark, path).where("ASIN is not null and ASIN <> 'Not Available'").select(F.upper("ASIN").alias("asin"), s.alias("start_at"), e.alias("end_at"), F.coalesce(ms, span).alias("duration_ms"), F.lit(name).alias("source"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    how = F.when(F.lower(F.get(p, F.lit(2))) == "automatic", "insights_auto").otherwise("insights_manual")
+    u = _csv(spark, unique).where(F.size(p) >= 3).select(F.upper(F.get(p, F.lit(0))).alias("asin"), F.get(p, F.lit(1)).alias("d"), how.alias("method")).select("asin", at("d").alias("at"), "method")
+    kept = (F.coalesce(F.lower("Is Deleted"), F.lit("")) != "yes") & F.lower("Annotation Type").isin(*READ_MARKS)
+    s = _csv(spark, sync).where(kept).select(F.upper("ASIN").alias("asin"), at("`Customer modified date on device`").alias("at"), F.lit("whispersync_last_read").alias("method"))
+    return a.unionByName(u).unionByName(s).where("asin <> '' and at is not null")
+
+
+def sessions(spark: SparkSession, insights: str, active: str, legacy: str) -> DataFrame:
+    """Sessions of three exports: asin, start_at, end_at, duration_ms, source, device_family. Lines without an item or a
+    start go; of the oldest export also those of no known item or of anything but books."""
+    t = lambda c: F.expr(f"try_cast(`{c}` as timestamp)")
+    n = lambda c: F.expr(f"try_cast(`{c}` as bigint)").alias("duration_ms")
+    none, name = F.lit(None), F.upper("ASIN").alias("asin")
+    one = _csv(spark, insights).select(name, t("start_time").alias("start_at"), t("end_time").alias("end_at"), n("total_reading_milliseconds"), F.lit("ri_adjusted").alias("source"), none.cast("string").alias("device_family"))
+    two = _csv(spark, active).select(name, t("created_timestamp").alias("start_at"), none.cast("timestamp").alias("end_at"), n("device_active_time_in_ms"), F.lit("ereader_active").alias("source"), F.coalesce("device_family", F.lit("Kindle E-reader")).alias("device_family"))
+    old = _csv(spark, legacy).where("ASIN <> 'Not Available' and coalesce(content_type, '') in ('', 'E-Book')")
+    three = old.select(name, t("start_timestamp").alias("start_at"), t("end_timestamp").alias("end_at"), n("total_reading_millis"), F.lit("legacy_session").alias("source"), "device_family")
+    return one.unionByName(two).unionByName(three).where("asin <> '' and start_at is not null")
 
 
 def day_units(spark: SparkSession, path: str) -> DataFrame:
@@ -154,13 +206,19 @@ def day_units(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clippings(spark: SparkSession, path: str) -> DataFrame:
-    """Title, author and date of each clipping; of a work's clippings the first date."""
-    rows = spark.read.option("lineSep", "==========").text(path).select(F.trim(F.regexp_replace("value", "^[\\s\\ufeff]+", "")).alias("v")).where("v <> ''")
-    head = F.get(F.split("v", "\r?\n"), F.lit(0))
-    title, author = F.regexp_extract(head, "^(.*)\\(([^()]*)\\)\\s*$", 1), F.regexp_extract(head, "^(.*)\\(([^()]*)\\)\\s*$", 2)
-    added = F.regexp_extract("v", "Added on ([^\\r\\n]+)", 1)
-    rows = rows.select(F.trim(F.when(title == "", head).otherwise(title)).alias("title"), F.nullif(F.trim(author), F.lit("")).alias("author"), F.nullif(added, F.lit("")).alias("added_on"))
-    return rows.groupBy(F.lower("title").alias("_t"), F.lower(F.coalesce("author", F.lit(""))).alias("_a")).agg(F.min(F.struct("added_on", "title", "author")).alias("x")).select("x.title", "x.author", "x.added_on")
+    """Title, author, added_on (text), added_at of each clipping with a 'Title (Author)' line; of a work's clippings, whatever
+    their case, the first in the order of files and lines counts. A file is one reader's, so it is one row."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "==========")).alias("at", "entry"))
+    lines = F.filter(F.split(F.btrim("entry", F.lit(" \t\r\n\ufeff")), "\n"), lambda x: x != "")
+    rows = whole.select("file", "at", lines.alias("lines")).where(F.size("lines") >= 2)
+    head = F.btrim(F.col("lines")[0], F.lit("\r"))
+    pattern = "^(.+?)\\s*\\(([^)]+)\\)$"
+    rows = rows.where(head.rlike(pattern)).select("file", "at", F.regexp_extract(head, pattern, 1).alias("title"), F.regexp_extract(head, pattern, 2).alias("author"), F.nullif(F.trim(F.regexp_extract(F.col("lines")[1], "(?i)Added on\\s+([^\\r\\n]+)", 1)), F.lit("")).alias("added_on"))
+    first = F.min(F.struct("file", "at", "title", "author", "added_on")).alias("x")
+    kept = rows.groupBy(F.lower(F.concat_ws("|", "title", "author")).alias("key")).agg(first).select("x.title", "x.author", "x.added_on")
+    plain = F.regexp_replace("added_on", "^[A-Za-z]+,\\s*", "")
+    at = F.coalesce(F.try_to_timestamp(plain, F.lit("MMMM d, y h:mm:ss a")), F.try_to_timestamp(plain, F.lit("d MMMM y HH:mm:ss")), F.try_to_timestamp(plain))
+    return kept.withColumn("added_at", at)
 
 
 def backup_vectors(works_: DataFrame, path: str) -> None:
@@ -176,8 +234,19 @@ def restore_vectors(works_: DataFrame, path: str) -> DataFrame:
 
 
 def newest_file(spark: SparkSession, path: str) -> DataFrame:
-    """One row, the latest change of the files of a path."""
-    return spark.read.format("binaryFile").load(path).agg(F.max("modificationTime").alias("newest"))
+    """One row, the latest change of the files under a path."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("modificationTime").agg(F.max("modificationTime").alias("newest"))
+
+
+def up_to_date(spark: SparkSession, path: str, *imported: DataFrame) -> DataFrame:
+    """One row: newest change of the files, latest import (the largest `created_at` of some tables), and whether the import
+    can be skipped, as nothing is newer than it."""
+    each = [t.agg(F.max("created_at").alias(f"t{k}")) for k, t in enumerate(imported)]  # a row each
+    rows = newest_file(spark, path)
+    for t in each:
+        rows = rows.crossJoin(t)
+    latest = F.greatest(*[f"t{k}" for k in range(len(each))]) if len(each) > 1 else F.col("t0")
+    return rows.select("newest", latest.alias("latest")).withColumn("skip", F.coalesce(F.col("latest") >= F.col("newest"), F.lit(False)))
 
 
 def categories(spark: SparkSession, rules: dict[str, dict]) -> DataFrame:

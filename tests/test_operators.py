@@ -147,8 +147,34 @@ def test_dumps(spark, tmp_path):
     got = rows(dumps.ratings(spark, str(r)))
     assert len(got) == 1 and got[0][2] == 5 and got[0][4].startswith("anon_")
     c = tmp_path / "c.txt"
-    c.write_text("T (A)\n- Added on Monday\n\nx\n==========\nT (A)\n- Added on Friday\n\ny\n==========\n")
-    assert rows(dumps.clippings(spark, str(c))) == [("T", "A", "Friday")]
+    c.write_text("\ufeffT (A)\r\n- Added on Monday, March 2, 2020 10:00:00 AM\r\n\r\nx\r\n==========\r\nt (a)\n- Added on Friday, April 10, 2020 1:00:00 PM\n\ny\n==========\nNo author\n- Added on Friday\n==========\nLone (B)\n==========\nU (B)\n- no date\n==========\n")
+    got = rows(dumps.clippings(spark, str(c)))
+    assert got == [("T", "A", "Monday, March 2, 2020 10:00:00 AM", dt.datetime(2020, 3, 2, 10, 0)), ("U", "B", None, None)]
+
+
+def test_reader_exports(spark, tmp_path):
+    w = lambda name, body: ((tmp_path / name).write_text(body), str(tmp_path / name))[1]
+    auto = w("a.csv", "created_timestamp,file_auto_marked_as_read\n2020-01-01T00:00:00Z,b0\n,b9\n2020-01-01T00:00:00Z,\n")
+    unique = w("u.csv", "asin_date_and_content_type\nb1_2020-01-02_Automatic\nb2_2020-01-03_Manual\nb3_2020-01-03\n")
+    sync = w("s.csv", "ASIN,Annotation Type,Customer modified date on device,Is Deleted\nB1,kindle.last_read,2020-02-01,\nB2,kindle.most_recent_read,2020-02-01,No\nB3,Kindle.Last_Read,2020-02-01,no\nB4,kindle.bookmark_ready,2020-02-01,\nB5,kindle.last_read,2020-02-01,Yes\nB6,kindle.last_read,,\n")
+    got = [(a, m) for a, _, m in rows(dumps.completions(spark, auto, unique, sync))]
+    assert got == [("B0", "auto_mark"), ("B1", "insights_auto"), ("B1", "whispersync_last_read"), ("B2", "insights_manual"), ("B2", "whispersync_last_read"), ("B3", "whispersync_last_read")]
+    one = w("1.csv", "ASIN,start_time,end_time,total_reading_milliseconds\nb1,2020-01-01T00:00:00Z,2020-01-01T00:01:00Z,500\nb1,,2020-01-01T00:01:00Z,500\n")
+    two = w("2.csv", "created_timestamp,ASIN,device_active_time_in_ms,device_family\n2020-01-01T00:00:00Z,b2,x,\n")
+    three = w("3.csv", "start_timestamp,end_timestamp,ASIN,content_type,total_reading_millis,device_family\n2020-01-01T00:00:00Z,,b3,E-Book,7,K\n2020-01-01T00:00:00Z,,b4,,8,\n2020-01-01T00:00:00Z,,b5,Audio,8,\n2020-01-01T00:00:00Z,,Not Available,E-Book,8,\n")
+    got = [(a, n, s, f) for a, _, _, n, s, f in rows(dumps.sessions(spark, one, two, three))]
+    assert got == [("B1", 500, "ri_adjusted", None), ("B2", None, "ereader_active", "Kindle E-reader"), ("B3", 7, "legacy_session", "K"), ("B4", 8, "legacy_session", None)]
+    own = tmp_path / "own"
+    own.mkdir()
+    for k, (asin, kind, at) in enumerate([("b1", "Download", "2020-05-01T00:00:00Z"), ("B1", "Download", None), ("b1", "Download", "2020-06-01T00:00:00Z"), ("b2", None, None), ("b3", "Download", None)]):
+        right = "{" + ", ".join(f'"{a}": "{b}"' for a, b in (("rightType", kind), ("acquiredDate", at), ("rightStatus", "Active")) if b) + "}"
+        (own / f"{k}.json").write_text(f'{{"rights": [{right}], "resource": {{"asin": "{asin}", "productName": "P{k}"}}}}')
+    series = w("series.csv", "ASIN,Product Name,Creation Date\nb1,Not Available,2020-04-01T00:00:00Z\nb3,S,2020-04-01T00:00:00Z\nb4,N,2020-04-01T00:00:00Z\n")
+    owned = dumps.ownership(spark, str(own))
+    assert [(r["asin"], r["right_type"], r["name"]) for r in sorted(owned.collect())] == [("B1", "Download", "P0"), ("B2", "Unknown", "P3"), ("B3", "Download", "P4")]
+    merged = {r["asin"]: (r["name"], r["origin"]) for r in dumps.with_series(owned, spark, series).collect()}
+    assert merged == {"B1": (None, "Purchase"), "B2": ("P3", None), "B3": ("P4", None), "B4": ("N", "Purchase")}
+    assert dumps.eligible(owned).count() == 3
 
 
 def test_stream_of_sessions(spark, tmp_path):
