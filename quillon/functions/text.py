@@ -189,10 +189,52 @@ def cache_key(x: Column | str) -> Column:
     return F.substring(F.sha2(col(x).cast("binary"), 256), 1, 32)
 
 
-def resolver_key(isbn13, isbn10, volume, asin, title, author) -> Column:
-    """The first identifier there is, by priority."""
-    tag = lambda name, x: F.when(x.isNotNull(), F.concat(F.lit(name + ":"), x))
-    return F.coalesce(tag("isbn13", isbn13), tag("isbn10", isbn10), tag("volume", volume), tag("asin", F.upper(asin)), tag("title", F.concat_ws("|", normalize_text(title), normalize_text(author))))
+def resolver_key(isbn13, isbn10, volume, asin, title, author, serial=None, goodreads=None) -> Column:
+    """The first identifier there is, by priority, else title and author."""
+    tag = lambda name, x: F.when(F.length(x.cast("string")) > 0, F.concat(F.lit(name + ":"), x.cast("string")))
+    some = [tag("isbn13", isbn13), tag("isbn10", isbn10), tag("gbid", volume), tag("asin", F.upper(asin))]
+    some += [tag(name, x) for name, x in (("rr", serial), ("gr", goodreads)) if x is not None]
+    plain = lambda x: F.trim(F.lower(F.coalesce(x, F.lit(""))))
+    return F.coalesce(*some, F.when(F.length(title) > 0, F.concat(F.lit("title:"), plain(title), F.lit("|author:"), plain(author))))
+
+
+def external_ids(url: Column | str) -> Column:
+    """Asin, goodreads_id, serial_id, volume_id that an address of a shop or catalogue holds; nulls where it has none."""
+    host, path = url_host(url), url_path(url)
+    one = lambda pattern: F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
+    shop = (host == "amazon.com") | host.endswith(".amazon.com")
+    asked = url_param(url, "asin")
+    asin = F.upper(F.coalesce(one("(?i)/(?:dp|gp/product)/([A-Z0-9]{10})"), F.when(is_asin(asked), asked)))
+    books = host.contains("google.com") & (path.contains("/books") | host.startswith("books."))
+    ids = {"asin": F.when(shop, asin), "goodreads_id": F.when(host == "goodreads.com", one("/book/show/([0-9]+)")), "serial_id": F.when(host == "royalroad.com", one("/fiction/([0-9]+)")), "volume_id": F.when(books, url_param(url, "id"))}
+    return F.struct(*[v.alias(k) for k, v in ids.items()])
+
+
+def is_asin(x: Column | str) -> Column:
+    """Ten letters and digits."""
+    return col(x).rlike("(?i)^[A-Z0-9]{10}$")
+
+
+def is_book_asin(x: Column | str) -> Column:
+    """An item's number of the shop's own, which starts with B."""
+    return col(x).rlike("(?i)^B[A-Z0-9]{9}$")
+
+
+def first_external_id(url: Column | str) -> Column:
+    """Type and value of the first id of an address, or null."""
+    ids = external_ids(url)
+    each = [F.when(ids[k].isNotNull(), F.struct(F.lit(k).alias("type"), ids[k].alias("value"))) for k in ("asin", "goodreads_id", "serial_id", "volume_id")]
+    return F.coalesce(*each)
+
+
+def external_url(kind: str, value: Column | str) -> Column:
+    """The address of an item by its id."""
+    x = F.upper(col(value)) if kind == "asin" else F.url_encode(col(value)) if kind == "volume_id" else col(value)
+    return F.concat(F.lit(EXTERNAL_URLS[kind]), x.cast("string"))
+
+
+#: Beginnings of addresses by the kind of id.
+EXTERNAL_URLS = {"asin": "https://www.amazon.com/dp/", "goodreads_id": "https://www.goodreads.com/book/show/", "serial_id": "https://www.royalroad.com/fiction/", "volume_id": "https://books.google.com/books?id="}
 
 
 def unwrap_isbn(x: Column | str) -> Column:

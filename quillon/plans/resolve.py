@@ -165,7 +165,7 @@ def oracle_sql() -> dict[str, str]:
         "shared_identifier": sql("select a, b, case when min(p) = 0 then 'isbn13' else 'asin' end match_type from (select x.work_id a, y.work_id b, 0 p from ed x join ed y on x.isbn13 = y.isbn13 and x.work_id < y.work_id union all select x.work_id, y.work_id, 1 from ed x join ed y on x.asin = y.asin and x.work_id < y.work_id) group by 1, 2", "edition", ed=ed),
         "isbn_normalise": sql("select * from full_", "", **{("full_" if k == "full" else k): v for k, v in ISBN_SQL.items()}),
         "resolve_isbn_batch": sql("select f.id, f.isbn13, k.work_id from full_ f left join (select isbn13, min(id) work_id from full_ where id % 3 = 0 group by 1) k on f.isbn13 = k.isbn13", "", **{("full_" if k == "full" else k): v for k, v in ISBN_SQL.items()}),
-        "resolver_route": sql(f"select id, path, confidence, confidence < 0.7 is_stub, case when isbn13 is not null then 'isbn13:' || isbn13 when volume_id is not null then 'volume:' || volume_id when asin is not null then 'asin:' || upper(asin) else 'title:' || concat_ws('|', {NORM.format('title')}, {NORM.format('author')}) end lookup_key from routed", "work", **ROUTE_SQL),
+        "resolver_route": sql(f"select id, path, confidence, confidence < 0.7 is_stub, case when isbn13 is not null then 'isbn13:' || isbn13 when volume_id is not null then 'gbid:' || volume_id when asin is not null then 'asin:' || upper(asin) else concat('title:', trim(lower(title)), '|author:', trim(lower(coalesce(author, '')))) end lookup_key from routed", "work", **ROUTE_SQL),
         "resolver_stats": sql("select path, count(*) n, round(avg(confidence), 6) avg_confidence, round(avg((confidence < 0.7)::int), 6) stub_share from routed group by 1", "work", **ROUTE_SQL),
         "html_to_text": f"select page_id, md5(t) text_md5, length(t)::int chars from (select page_id, {html} t from pages)",
         "url_external_ids": "select page_id, nullif(regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', ''), '') host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) as path, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') page, nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') as ref from pages",
