@@ -54,14 +54,12 @@ def page_medians(editions: DataFrame) -> DataFrame:
 
 
 def embedding_queue(works: DataFrame, log: DataFrame, ratings: DataFrame, k: int = 100) -> DataFrame:
-    """Works with at least two readers or a rating, most popular first, then those with more ratings."""
+    """Works with at least two readers or a rating: most popular first, then those with a description, then those
+    with more ratings. works: work_id, title, description, embedding."""
     readers = log.groupBy("work_id").agg(F.count_distinct("user_id").alias("readers"))
     rated = ratings.groupBy("work_id").agg(F.count("*").alias("n_ratings"))
     both = readers.join(rated, "work_id", "full").select("work_id", F.coalesce("readers", F.lit(0)).alias("readers"), F.coalesce("n_ratings", F.lit(0)).alias("n_ratings"))
     both = both.where("readers >= 2 or n_ratings >= 1")
-    missing = works.where(F.col("embedding").isNull()).select("work_id", "title")
-    return missing.join(both, "work_id").orderBy(F.col("readers").desc(), F.col("n_ratings").desc(), "work_id").limit(k)
+    missing = works.where(F.col("embedding").isNull()).select("work_id", "title", F.col("description").isNotNull().alias("has_description"))
+    return missing.join(both, "work_id").orderBy(F.col("readers").desc(), F.col("has_description").desc(), F.col("n_ratings").desc(), "work_id").limit(k)
 
-
-def best_graded(q: DataFrame, k: int) -> DataFrame:
-    return graded(q).orderBy(F.col("quality_score").desc(), "work_id").limit(k)

@@ -64,7 +64,7 @@ def queries() -> dict:
         "work_quality": on(lambda c: rt.quality(c.rating).select("work_id", F.round("blended_avg", 6).alias("blended_avg"), F.round("wilson", 6).alias("wilson"), "total_ratings")),
         "quality_score_grades": on(lambda c: rt.graded(rt.quality(c.rating))),
         "page_median": on(lambda c: rt.page_medians(c.edition)),
-        "embedding_eligibility": on(lambda c: rt.embedding_queue(c.work, c.reading_log, c.ol_rating)),
+        "embedding_eligibility": on(lambda c: rt.embedding_queue(c.work.withColumn("description", F.when(F.col("work_id") % 3 == 0, F.col("title"))), c.reading_log, c.ol_rating)),
         "knn_from_vector": on(lambda c: _knn(c, WORK, 50, True)),
         "knn_from_seed": on(lambda c: _knn(c, WORK, 20, False)),
         "also_read": on(lambda c: co.also_read(c.reading_log, WORK)),
@@ -100,7 +100,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "page_median": sql("select work_id, round_even(quantile_cont(page_count, 0.5), 0)::int page_count_median from edition group by 1", "edition"),
         "embedding_eligibility": sql(
-            "select work_id, title, coalesce(readers, 0)::bigint readers, coalesce(n_ratings, 0)::bigint n_ratings from work join (select coalesce(a.work_id, b.work_id) work_id, readers, n_ratings from (select work_id, count(distinct user_id) readers from reading_log group by 1) a full join (select work_id, count(*) n_ratings from ol_rating group by 1) b on a.work_id = b.work_id) using (work_id) where embedding is null and (coalesce(readers, 0) >= 2 or coalesce(n_ratings, 0) >= 1) order by 3 desc, 4 desc, 1 limit 100",
+            "select work_id, title, work_id % 3 = 0 has_description, coalesce(readers, 0)::bigint readers, coalesce(n_ratings, 0)::bigint n_ratings from work join (select coalesce(a.work_id, b.work_id) work_id, readers, n_ratings from (select work_id, count(distinct user_id) readers from reading_log group by 1) a full join (select work_id, count(*) n_ratings from ol_rating group by 1) b on a.work_id = b.work_id) using (work_id) where embedding is null and (coalesce(readers, 0) >= 2 or coalesce(n_ratings, 0) >= 1) order by 4 desc, 3 desc, 5 desc, 1 limit 100",
             "work reading_log ol_rating",
         ),
         "knn_from_vector": sql(f"select work_id, round(s, 6) similarity from ({knn}) where work_id not in (select work_id from user_event where user_id = 1) order by s desc, 1 limit 50", "work user_event"),

@@ -85,9 +85,22 @@ def _upserts(c: Catalogue):
     return sinks.upsert(old, new, ["work_id"], {"title": "new", "first_publish_year": "greatest", "series": "fill"})
 
 
+def _identified(c: Catalogue):
+    """Editions with two selective identifiers: works of one order share one where supplier or line number is the same."""
+    o = F.col("l_orderkey").cast("string")
+    return c.table("lineitem").select(F.col("l_partkey").alias("work_id"), F.concat(F.lit("i"), o, F.lit("-"), F.col("l_suppkey").cast("string")).alias("isbn13"), F.concat(F.lit("B"), o, F.lit("-"), F.col("l_linenumber").cast("string")).alias("asin")).distinct()
+
+
+def _name_pairs(c: Catalogue):
+    """Pairs of distinct names that share a word, each once: they meet by that word."""
+    n = _names(c).select("p_name", F.explode(F.split("p_name", " ")).alias("word"))
+    a, b = n.select(F.col("p_name").alias("a"), "word"), n.select(F.col("p_name").alias("b"), "word")
+    return a.join(b, "word").where("a < b").select("a", "b").distinct()
+
+
 def queries() -> dict:
     on = lambda f: lambda spark, sf_dir: f(Catalogue(spark, sf_dir))
-    pairs = lambda c: _names(c).select(F.col("p_name").alias("a")).join(_names(c).select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
+    pairs = _name_pairs
     docs = lambda c: c.table("documents").select("doc_id", "text", "source")
     return {
         "search_titles": on(lambda c: _found(c).select("work_id", "title", "score").orderBy(F.col("score").desc(), "work_id").limit(50)),
@@ -102,9 +115,9 @@ def queries() -> dict:
         "dice_similarity": on(lambda c: pairs(c).select("a", "b", F.round(text.dice_similarity("a", "b"), 6).alias("similarity"))),
         "title_dedupe_candidates": on(lambda c: rs.title_duplicates(c.work).select("x", "y", F.round("similarity", 6).alias("similarity"), "works_x", "works_y")),
         "asin_duplicates": on(lambda c: rs.asin_duplicates(c.edition)),
-        "merge_works": on(lambda c: rs.merge_map(c.redirect.where("old_key % 8 <> 0").select(F.col("old_key").alias("a"), F.col("new_key").alias("b")), checkpoint=cut)),
+        "merge_works": on(lambda c: rs.merge_map(c.redirect.select(F.col("old_key").alias("a"), F.col("new_key").alias("b")), checkpoint=cut)),
         "merge_works_whole": on(lambda c: rs.merge_map(c.redirect.select(F.col("old_key").alias("a"), F.col("new_key").alias("b")), checkpoint=cut)),
-        "shared_identifier": on(lambda c: rs.shared_identifiers(*[c.edition.where("work_id < 400").select("work_id", F.concat(F.lit("i"), F.col("page_count").cast("string")).alias("isbn13"), "asin")] * 2, ["isbn13", "asin"])),
+        "shared_identifier": on(lambda c: rs.shared_identifiers(*[_identified(c)] * 2, ["isbn13", "asin"])),
         "shared_identifier_classes": on(lambda c: rs.identifier_classes(c.edition.select("work_id", F.concat(F.lit("i"), F.col("page_count").cast("string")).alias("isbn13"), "asin"), ["isbn13", "asin"])),
         "isbn_normalise": on(lambda c: _isbns(c).select("id", text.normalize_isbn("isbn").alias("isbn10"), text.isbn10_to_13(text.normalize_isbn("isbn")).alias("isbn13"))),
         "resolve_isbn_batch": on(lambda c: rs.resolve_isbns(_isbns(c), _isbns(c).where("id % 3 = 0").select(text.isbn10_to_13(text.normalize_isbn("isbn")).alias("isbn13"), F.col("id").alias("work_id")))),
@@ -133,14 +146,13 @@ def oracle_sql() -> dict[str, str]:
         "found": f"select s.work_id, title, round(greatest(similarity, case when lower(title) like '{Q}%' then 0.9::double else 0 end, case when lower(title) like '%{Q}%' then 0.7::double else 0 end), 6) score, total_ratings from sims s left join quality q on s.work_id = q.work_id where similarity > 0.3 or lower(title) like '%{Q}%'",
     }
     listing = "select w.work_id, title, total_ratings, case when total_ratings is null or total_ratings < 5 then 'B-' when a >= 4.5 and total_ratings >= 100 then 'A+' when a >= 4.2 then 'A' when a >= 4.0 then 'A-' when a >= 3.7 then 'B+' when a >= 3.4 then 'B' else 'B-' end grade from work w left join (select *, round(blended_avg, 6) a from quality) q on w.work_id = q.work_id where w.work_id in ({0}) order by total_ratings desc nulls last, w.work_id limit 50"
-    names = {"nm": "select distinct p_name from part", "pairs": "select x.p_name a, y.p_name b from nm x join nm y on x.p_name < y.p_name"}
+    names = {"nm": "select distinct p_name from part", "pairs": "select x.p_name a, y.p_name b from nm x join nm y on x.p_name < y.p_name where len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' '))) > 0"}
     html = "html"
     for a, b in (("(?i)<br\\s*/?>", "\n"), ("(?i)</p>", "\n\n"), ("<[^>]+>", "")):
         html = f"regexp_replace({html}, '{a}', '{b}', 'g')"
     for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")):
         html = f"replace({html}, '{a}', '{b}')"
     html = f"trim(regexp_replace(regexp_replace({html}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', '\n\n', 'g'), concat(' ', chr(9), chr(10), chr(13)))"
-    ed = "select work_id, concat('i', page_count) isbn13, asin from edition where work_id < 400"
     return {
         "search_titles": sql("select work_id, title, score from found order by score desc, work_id limit 50", "work rating", **found),
         "search_count": sql("select count(*) total, ceil(count(*) / 20)::bigint pages from found", "work rating", **found),
@@ -161,8 +173,9 @@ def oracle_sql() -> dict[str, str]:
         "dice_similarity": sql(f"select a, b, round(case when p = q then 1.0::double when length(p) < 2 or length(q) < 2 then 0.0::double else 2.0::double * len(list_intersect(x, y)) / (len(x) + len(y)) end, 6) similarity from (select *, {BI.format('p')} x, {BI.format('q')} y from (select a, b, {NORM.format('a')} p, {NORM.format('b')} q from pairs))", "", **names),
         "title_dedupe_candidates": sql(f"select x.name x, y.name y, round({_jaccard('x.g', 'y.g')}, 6) similarity, x.n works_x, y.n works_y from t x join t y on x.name < y.name where {_jaccard('x.g', 'y.g')} >= 0.5", "work", t=f"select name, n, {tri('name')} g from (select lower(title) name, count(*) n from work group by 1)"),
         "asin_duplicates": sql("select asin, min(work_id) canonical, count(distinct work_id)::int works, string_agg(distinct work_id::varchar, ',' order by work_id::varchar) ids from (select asin, work_id from edition) group by 1 having count(distinct work_id) > 1", "edition").replace("string_agg(distinct work_id::varchar, ',' order by work_id::varchar)", "array_to_string(list_sort(list(distinct work_id)), ',')"),
-        "merge_works": sql("select id from_id, min(to_id) to_id from walk group by 1 having id <> min(to_id)", "redirect", True, e="select old_key a, new_key b from redirect where old_key % 8 <> 0 union select new_key, old_key from redirect where old_key % 8 <> 0", walk="select a id, a to_id from e union select w.id, e.b from walk w join e on e.a = w.to_id"),
-        "shared_identifier": sql("select a, b, case when min(p) = 0 then 'isbn13' else 'asin' end match_type from (select x.work_id a, y.work_id b, 0 p from ed x join ed y on x.isbn13 = y.isbn13 and x.work_id < y.work_id union all select x.work_id, y.work_id, 1 from ed x join ed y on x.asin = y.asin and x.work_id < y.work_id) group by 1, 2", "edition", ed=ed),
+        # Redirects halve even keys, so a work ends at its odd part.
+        **dict.fromkeys(("merge_works", "merge_works_whole"), sql("select old_key from_id, old_key // (old_key & -old_key) to_id from redirect", "redirect")),
+        "shared_identifier": sql("select a, b, case when min(p) = 0 then 'isbn13' else 'asin' end match_type from (select x.work_id a, y.work_id b, 0 p from ed x join ed y on x.isbn13 = y.isbn13 and x.work_id < y.work_id union all select x.work_id, y.work_id, 1 from ed x join ed y on x.asin = y.asin and x.work_id < y.work_id) group by 1, 2", "", ed="select distinct l_partkey work_id, concat('i', l_orderkey, '-', l_suppkey) isbn13, concat('B', l_orderkey, '-', l_linenumber) asin from lineitem"),
         "isbn_normalise": sql("select * from full_", "", **{("full_" if k == "full" else k): v for k, v in ISBN_SQL.items()}),
         "resolve_isbn_batch": sql("select f.id, f.isbn13, k.work_id from full_ f left join (select isbn13, min(id) work_id from full_ where id % 3 = 0 group by 1) k on f.isbn13 = k.isbn13", "", **{("full_" if k == "full" else k): v for k, v in ISBN_SQL.items()}),
         "resolver_route": sql(f"select id, path, confidence, confidence < 0.7 is_stub, case when isbn13 is not null then 'isbn13:' || isbn13 when volume_id is not null then 'gbid:' || volume_id when asin is not null then 'asin:' || upper(asin) else concat('title:', trim(lower(title)), '|author:', trim(lower(coalesce(author, '')))) end lookup_key from routed", "work", **ROUTE_SQL),

@@ -68,3 +68,30 @@ def replace_table(rows: DataFrame, path: str, partition_by: list[str] = ()) -> N
 def append(rows: DataFrame, path: str) -> None:
     """K1."""
     rows.write.mode("append").parquet(path)
+
+
+def update_from(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str], only_null: bool = False) -> DataFrame:
+    """K9: target with columns taken from the source's row of equal keys; a row without one stays. only_null: where it has none."""
+    new = source.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_there"))
+    joined = target.join(new, keys, "left")
+    pick = lambda c: F.coalesce(c, f"_{c}") if only_null else F.when(F.col("_there"), F.col(f"_{c}")).otherwise(F.col(c))
+    return joined.withColumns({c: pick(c) for c in columns}).select(*target.columns)
+
+
+def toggle(old: DataFrame, add: DataFrame, remove: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows after some were put in, where they weren't there, and others were deleted."""
+    return insert_ignore(old, add, keys).join(remove.select(*keys), keys, "left_anti").select(*old.columns)
+
+
+def quarantine(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """the rows that hold to all rules (name: condition), and the others with the name of the first rule they break. A rule
+    that is neither true nor false is broken."""
+    broken = F.coalesce(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()])
+    marked = rows.withColumn("broken_rule", broken)
+    return marked.where("broken_rule is null").drop("broken_rule"), marked.where("broken_rule is not null")
+
+
+def seed_ids(seeds: DataFrame) -> DataFrame:
+    """Seeds with the id in their key where it is a work's, else null."""
+    id_ = F.when(F.col("seed_key").like("/works/%"), F.nullif(F.regexp_extract("seed_key", "^/works/(OL[0-9]+W)", 1), F.lit("")))
+    return seeds.withColumn("work_key", id_)
