@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import ascii_words, bounded_batches, claim, materialize
+from quillon.llm.shared import CACHED_LENGTH, ascii_words, bounded_batches, claim, materialize
 from quillon.llm.toxicity import EDGE, held_out, sample_bits
 
 NGRAMS = (1, 2, 3)
@@ -61,9 +61,13 @@ class Presence:
             own = set(ascii_words(text.lower()))
             if len(words) > self.limit:
                 words.clear()
-            for w in own.difference(words):
+            new = own.difference(words)
+            for w in new:
                 words[w] = self._word(w)
             at = np.frombuffer(b"".join(map(words.__getitem__, own)), np.uint16)
+            for w in new:
+                if len(w) > CACHED_LENGTH:
+                    del words[w]
             out[k, at] = 1
         n = np.sqrt(out.sum(axis=1, keepdims=True))
         return np.divide(out, n, out=out, where=n > 0)

@@ -22,19 +22,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import bounded_batches, claim, components, materialize, release, small_side, stars, with_partner
+from quillon.llm.shared import CACHED_LENGTH, bounded_batches, claim, components, materialize, release, small_side, stars, with_partner
 
 #: Distinct words whose hashes a worker keeps.
-WORD_CACHE = 300_000
+WORD_CACHE = 200_000
 
 
 class _Words(dict):
     """Word to 64-bit hash; starts anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED_LENGTH:
+            if len(self) > WORD_CACHE:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -99,8 +101,8 @@ def signatures(docs: DataFrame, n: int, count: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("minhash", _words.clear)
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
                 sizes, d1, d2, sigs = [], [], [], []
                 for text in batch.column(1):
                     s = shingles(text.as_py(), n)

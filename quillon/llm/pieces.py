@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.shared import bounded_batches, claim
+from quillon.llm.shared import CACHED_LENGTH, bounded_batches, claim
 
 SPACE = "▁"  # the mark that stands for a space
 # Fixed values of the model format's piece types.
@@ -31,7 +31,7 @@ class PieceCodec:
     """Encodes and decodes exactly as the sentencepiece library does for a BPE model with byte fallback, identity
     normalisation and a dummy prefix (others are refused). limit bounds each cache; a full cache starts anew."""
 
-    def __init__(self, path: str, bos: bool = True, eos: bool = True, limit: int = 250_000):
+    def __init__(self, path: str, bos: bool = True, eos: bool = True, limit: int = 200_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -174,7 +174,9 @@ class PieceCodec:
             unit = text[lo:hi]
             ids = self.units.get(unit)
             if ids is None:
-                ids = self.units[unit] = self._unit(unit)
+                ids = self._unit(unit)
+                if len(unit) <= CACHED_LENGTH:
+                    self.units[unit] = ids
             out.append(ids)
             lo = hi
         return b"".join(out)
@@ -199,9 +201,14 @@ class PieceCodec:
         try:
             return b"".join([self.head, *map(chunks.__getitem__, keys), self.tail])
         except KeyError:
-            for key in set(keys).difference(chunks):
+            new = set(keys).difference(chunks)
+            for key in new:
                 chunks[key] = self._chunk(key)
-            return b"".join([self.head, *map(chunks.__getitem__, keys), self.tail])
+            out = b"".join([self.head, *map(chunks.__getitem__, keys), self.tail])
+            for key in new:
+                if len(key) > CACHED_LENGTH:
+                    del chunks[key]
+            return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, as the library's decode(ids): the dummy prefix's space goes, bytes that are no UTF-8 become U+FFFD."""

@@ -43,7 +43,7 @@ def release() -> None:
 
 
 #: Largest Arrow batch that goes to a worker, in bytes; a longer text is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -55,6 +55,9 @@ def bounded_batches(df: DataFrame) -> DataFrame:
         conf.set(key, f"{BATCH_BYTES}b")
     return df
 
+#: Longer words are not kept in a worker's caches, so that entries bound their bytes.
+CACHED_LENGTH = 256
+
 #: Row groups of tables in the shared folder.
 ROW_GROUP_BYTES = 32 << 20
 

@@ -20,15 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import ascii_words, bounded_batches, claim, materialize, release
+from quillon.llm.shared import CACHED_LENGTH, ascii_words, bounded_batches, claim, materialize, release
 
 #: Marks stripped from both ends of a word, besides its case.
 EDGE = ".,;:!?\"'()[]{}*#$%&|<>-_=+/\\~`"
 BEGINNINGS = (8, 7, 6, 5, 4, 3)
 #: Taken from every token's log-odds, so that a harmless text's mean is below 0 and segments end.
 DRIFT = 0.5
-#: Longer words are not kept in a worker's cache, so that its size is bounded.
-CACHED_LENGTH = 64
 #: Bounds of a document's excess.
 LOWEST, HIGHEST = -10.0, 12.0
 #: Words after which a token's occurrence weighs 1/e in the discount of its next one.
@@ -61,7 +59,7 @@ class Model:
                         break
             known -= self.drift
             if len(word) <= CACHED_LENGTH:
-                if len(self.memo) > 250_000:
+                if len(self.memo) > 150_000:
                     self.memo.clear()
                 self.memo[word] = known
         return known
@@ -274,8 +272,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity", lambda: None)
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
+            for k in range(0, whole.num_rows, 250):
+                batch = whole.slice(k, 250)
                 scores, found = [], []
                 for text in batch.column(1).to_pylist():
                     x, segments = excess(model, text)
@@ -296,8 +294,8 @@ def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.7, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity", lambda: None)
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
+            for k in range(0, whole.num_rows, 250):
+                batch = whole.slice(k, 250)
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 yield batch.filter(pa.array([probability(model, excess(model, x)[0]) < threshold for x in texts], pa.bool_()))
         model.memo.clear()
