@@ -20,9 +20,31 @@ MODULES = {
 
 
 def queries() -> dict:
-    found = {name: getattr(importlib.import_module(f"quillon.llm.{module}"), name) for name, module in MODULES.items()}
-    return found
+    """The queries; each module is imported with them, so that a missing library shows here and not within a job."""
+    return {name: getattr(importlib.import_module(f"quillon.llm.{module}"), name) for name, module in MODULES.items()}
+
+
+#: component_id of `ids` (id) that `links` (a, b, both directions) connect.
+_COMPONENTS = """reach as (select id, id r from ids union select reach.id, links.b from reach join links on links.a = reach.r), parts as (select id, min(r) component_id from reach group by 1)"""
+
+#: Upper-case base32 of a digest in hexadecimal digits: five of them are four characters.
+_BASE32 = "list_reduce(flatten(list_transform(range(0, 8), lambda g: list_transform([15, 10, 5, 0], lambda s: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substring({0}, 5 * g + 1, 5))::int >> s) & 31) + 1, 1)))), lambda a, b: a || b)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Operators 2, 3 and 5. The others hold what DuckDB can't express (vocabularies, learnt models, Spark's hashes): tests hold
+    them against libraries, plain versions and held-out labels."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return {
+        "op2_embedding_dedup": f"""with recursive v as (select vec_id id, embedding::double[] e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            links as (select x.id a, y.id b from v x join v y on x.id <> y.id and len(x.e) = len(y.e) where list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) >= 0.9),
+            ids as (select vec_id id from embeddings), {_COMPONENTS}
+            select id vec_id, (select count(*) from links where a = parts.id) n_links, component_id, component_id = id kept from parts""",
+        "op3_minhash": f"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[ \t-\r]+'), lambda x: x <> '') w from documents),
+            s as (select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) s from w),
+            n as (select doc_id, count(*) n from s group by 1), common as (select x.doc_id a, y.doc_id b, count(*) k from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
+            links as (select a, b from common join n p on p.doc_id = a join n q on q.doc_id = b where 100 * k >= 85 * (p.n + q.n - k)), ids as (select doc_id id from documents), {_COMPONENTS}
+            select id doc_id, coalesce(n, 0) n_shingles, component_id, component_id = id kept from parts left join n on n.doc_id = id""",
+        "op5_warc": f"""select page_id, b payload_bytes, {_BASE32.format('h')} payload_digest, case when page_id = f then 'response' else 'revisit' end record_type, case when page_id <> f then f end refers_to
+            from (select *, min(page_id) over (partition by h, b) f from (select page_id, sha1(encode(coalesce(html, ''))) h, octet_length(encode(coalesce(html, ''))) b from pages))""",
+    }
