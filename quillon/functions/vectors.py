@@ -25,8 +25,9 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def normalized(a: Column | str) -> Column:
     """V2: a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n == 0, col(a).cast("array<double>")).otherwise(F.transform(col(a).cast("array<double>"), lambda x: x / n))
+    v = col(a).cast("array<double>")
+    # The length is bound once, as a function's body is evaluated anew for every element.
+    return F.transform(F.array(norm(a)), lambda n: F.transform(v, lambda x: F.when(n == 0, x).otherwise(x / n)))[0]
 
 
 def add(a: Column | str, b: Column | str) -> Column:
@@ -49,14 +50,6 @@ def decode(x: Column | str) -> Column:
     return F.transform(F.split(F.btrim(col(x), F.lit("[]")), ","), lambda v: v.cast("double"))
 
 
-def weighted_mean(rows: DataFrame, keys: list[str], vector: str, weight: str, out: str) -> DataFrame:
-    """V6: a mean vector for each group; sums by dimension are added up before the shuffle."""
-    flat = rows.where(F.col(vector).isNotNull() & (F.col(weight) != 0)).select(*keys, F.col(weight).alias("_w"), F.posexplode(vector).alias("_k", "_x"))
-    sums = flat.groupBy(*keys, "_k").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_x"))
-    ordered = F.array_sort(F.collect_list(F.struct("_k", "_x")))
-    return sums.groupBy(*keys).agg(F.transform(ordered, lambda s: s["_x"]).alias(out))
-
-
 def knn(rows: DataFrame, query: Column, k: int, id_col: str = "work_id", vector: str = "embedding") -> DataFrame:
     """V5: the k rows of the largest cosine, ties by id; each task keeps k rows before the merge."""
     scored = rows.where(F.col(vector).isNotNull()).withColumn("sim", cosine(vector, query))

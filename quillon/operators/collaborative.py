@@ -40,7 +40,8 @@ def list_mates(seeds: DataFrame, work_id: int, k: int = 20) -> DataFrame:
 
 def list_pairs(seeds: DataFrame, min_lists: int = 2, min_overlap: int = 2) -> DataFrame:
     """Works a < b with their overlap of lists and its Jaccard similarity. Works on too few lists go before the
-    self-join; pairs are counted before the shuffle."""
+    self-join; pairs are counted before the shuffle. A list has at most 1,000 seeds, as the reader of dumps keeps them (S12), so
+    the pairs of one list are bounded."""
     sizes = seeds.groupBy("work_id").agg(F.count("*").alias("lists")).where(F.col("lists") >= min_lists)
     kept = seeds.join(sizes.select("work_id"), "work_id", "left_semi")
     left, right = kept.select("list_id", F.col("work_id").alias("a")), kept.select("list_id", F.col("work_id").alias("b"))

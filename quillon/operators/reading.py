@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import scoring, vectors
+from quillon.functions import scoring
 
 #: K8's order of shelves.
 SHELF_PRIORITY = {"dnf": 4, "read": 3, "currently-reading": 2, "to-read": 1}
@@ -104,8 +104,10 @@ def profile_vector(weighted: DataFrame, works: DataFrame, against: float = 0.3)
     # Both means of a dimension in one pass; sums are added up before the shuffle.
     sums = flat.groupBy("user_id", "k").agg((part(good, wx) / part(good, F.col("weight"))).alias("plus"), (part(bad, wx) / part(bad, F.col("weight"))).alias("minus"))
     taste = sums.where("plus is not null").select("user_id", "k", (F.col("plus") - against * F.coalesce("minus", F.lit(0.0))).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("k", "x")))  # as many as a vector has dimensions
-    return taste.groupBy("user_id").agg(vectors.normalized(F.transform(ordered, lambda s: s["x"])).alias("vector"))
+    # The length is summed beside the elements: within a function over them it would be worked out for each.
+    one = taste.groupBy("user_id").agg(F.collect_list(F.struct("k", "x")).alias("s"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    divided = F.transform(F.array_sort("s"), lambda e: F.when(F.col("length") > 0, e["x"] / F.col("length")).otherwise(e["x"]))
+    return one.select("user_id", divided.alias("vector"))
 
 
 def anchors(weighted: DataFrame, k: int = 10) -> DataFrame:

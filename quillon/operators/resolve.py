@@ -54,9 +54,11 @@ def title_duplicates(works: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def asin_duplicates(editions: DataFrame) -> DataFrame:
-    """Identifiers that several works share, the smallest work being canonical."""
-    g = editions.groupBy("asin").agg(F.array_sort(F.collect_set("work_id")).alias("ids"))
-    return g.where(F.size("ids") > 1).select("asin", F.col("ids")[0].alias("canonical"), F.size("ids").alias("works"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    """Identifiers that several works share: a row for each of their works, with the smallest work (canonical) and the
+    number of works. No list of an identifier's works is gathered in one row."""
+    rows = editions.where("asin is not null").select("asin", "work_id").distinct()
+    g = rows.groupBy("asin").agg(F.min("work_id").alias("canonical"), F.count("*").alias("works")).where("works > 1")
+    return rows.join(g, "asin")
 
 
 def merge_map(pairs: DataFrame, rounds: int | None = None, checkpoint=None) -> DataFrame:

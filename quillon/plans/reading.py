@@ -80,7 +80,7 @@ def queries() -> dict:
     return {
         "graph_neighbors_2hop": on(lambda c: gr.two_hops(graph_edges(c), WORK)),
         "graph_features": on(lambda c: gr.user_features(c.user_event, c.work, c.work_author, c.work_subject, USER).withColumn("prox", F.round("prox", 6))),
-        "label_propagation": on(lambda c: gr.label_propagation(gr.strong_edges(c.cooccurrence))),
+        "label_propagation": on(lambda c: c.label),
         "community_metadata": on(lambda c: gr.community_subjects(c.community, c.work_subject)),
         "community_candidates": on(lambda c: gr.community_candidates(c.community, c.work.where("work_id % 20 = 0"), 20)),
         "redirect_resolution": on(lambda c: gr.resolve_redirects(c.redirect)),

@@ -172,7 +172,7 @@ def oracle_sql() -> dict[str, str]:
         "trigram_similarity": sql(f"select a, b, round({_jaccard('x', 'y')}, 6) similarity from (select a, b, {tri('a')} x, {tri('b')} y from pairs)", "", **names),
         "dice_similarity": sql(f"select a, b, round(case when p = q then 1.0::double when length(p) < 2 or length(q) < 2 then 0.0::double else 2.0::double * len(list_intersect(x, y)) / (len(x) + len(y)) end, 6) similarity from (select *, {BI.format('p')} x, {BI.format('q')} y from (select a, b, {NORM.format('a')} p, {NORM.format('b')} q from pairs))", "", **names),
         "title_dedupe_candidates": sql(f"select x.name x, y.name y, round({_jaccard('x.g', 'y.g')}, 6) similarity, x.n works_x, y.n works_y from t x join t y on x.name < y.name where {_jaccard('x.g', 'y.g')} >= 0.5", "work", t=f"select name, n, {tri('name')} g from (select lower(title) name, count(*) n from work group by 1)"),
-        "asin_duplicates": sql("select asin, min(work_id) canonical, count(distinct work_id)::int works, string_agg(distinct work_id::varchar, ',' order by work_id::varchar) ids from (select asin, work_id from edition) group by 1 having count(distinct work_id) > 1", "edition").replace("string_agg(distinct work_id::varchar, ',' order by work_id::varchar)", "array_to_string(list_sort(list(distinct work_id)), ',')"),
+        "asin_duplicates": sql("select asin, work_id, canonical, works from (select *, min(work_id) over (partition by asin) canonical, count(*) over (partition by asin) works from (select distinct asin, work_id from edition)) where works > 1", "edition"),
         # Redirects halve even keys, so a work ends at its odd part.
         **dict.fromkeys(("merge_works", "merge_works_whole"), sql("select old_key from_id, old_key // (old_key & -old_key) to_id from redirect", "redirect")),
         "shared_identifier": sql("select a, b, case when min(p) = 0 then 'isbn13' else 'asin' end match_type from (select x.work_id a, y.work_id b, 0 p from ed x join ed y on x.isbn13 = y.isbn13 and x.work_id < y.work_id union all select x.work_id, y.work_id, 1 from ed x join ed y on x.asin = y.asin and x.work_id < y.work_id) group by 1, 2", "", ed="select distinct l_partkey work_id, concat('i', l_orderkey, '-', l_suppkey) isbn13, concat('B', l_orderkey, '-', l_linenumber) asin from lineitem"),

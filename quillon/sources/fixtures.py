@@ -127,10 +127,15 @@ class Catalogue:
         """The table that a batch job builds from lists and authors; written once for an application."""
         return table(self.spark, self.dir, "cooccurrence", lambda: collaborative.cooccurrence(self.list_seed, self.work_author))
 
+    @cached_property
+    def label(self) -> DataFrame:
+        """node, label of the graph of co-occurrences; written once for an application."""
+        return table(self.spark, self.dir, "label", lambda: graph.label_propagation(graph.strong_edges(self.cooccurrence)))
+
     @cached_property
     def community(self) -> DataFrame:
-        """node, label, size of the communities in the table of co-occurrences; written once for an application."""
-        return table(self.spark, self.dir, "community", lambda: graph.communities(graph.label_propagation(graph.strong_edges(self.cooccurrence))))
+        """node, label, size of the communities."""
+        return graph.communities(self.label)
 
     @cached_property
     def redirect(self) -> DataFrame:

@@ -62,3 +62,25 @@ def test_reasons(spark):
     none = F.lit(None).cast("string")
     got = one(spark, scoring.quick_reasons(none, F.lit(0.5), F.lit(0.5)), scoring.quick_reasons(F.lit("X"), F.lit(0.9), F.lit(0.9)))
     assert got == ([scoring.REASON_OTHER], ['Similar to "X" which you enjoyed', scoring.REASON_MATCH])
+
+
+def test_keys_numbers_and_escapes(spark):
+    import hashlib
+
+    got = one(spark, text.anchors_hash(F.array(F.lit("3"), F.lit("12"))), text.cache_key(F.lit("q")), text.clamped_int(F.lit(7), 20, 5), text.clamped_int(F.lit(-1), 20, 50), text.tsv_escape(F.lit("a\tb\nc\\d\r")))
+    assert got == (hashlib.md5(b"12,3").hexdigest()[:12], hashlib.sha256(b"q").hexdigest()[:32], 5, 20, "a\\tb\\nc\\\\d\\r")
+
+
+def test_tables_are_replaced_and_upserted_from_a_stream(spark, tmp_path):
+    from quillon.sources import sinks
+    from quillon.streaming import sessions
+
+    sinks.replace_table(spark.range(5), str(tmp_path / "t"))
+    sinks.replace_table(spark.range(2), str(tmp_path / "t"))
+    sinks.append(spark.range(2, 3), str(tmp_path / "t"))
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [0, 1, 2]
+    seen = []
+    query = sessions.upsert_stream(spark.readStream.schema("id long").parquet(str(tmp_path / "t")), lambda batch, number: seen.extend(r[0] for r in batch.collect()), str(tmp_path / "cp"))
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(seen) == [0, 1, 2]
