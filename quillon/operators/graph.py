@@ -70,12 +70,12 @@ def communities(labels: DataFrame, least: int = 5) -> DataFrame:
     return labels.join(sizes, "label").select("node", "label", "size")
 
 
-def community_subjects(found: DataFrame, work_subject: DataFrame, k: int = 5) -> DataFrame:
-    """Each community's size and k most frequent subjects, ties by name."""
-    counts = found.join(work_subject, found["node"] == work_subject["work_id"]).groupBy("label", "size", "subject").agg(F.count("*").alias("n"))
-    top = keep_top(counts, ["label"], [F.col("n").desc(), "subject"], k)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "subject")))
-    return top.groupBy("label", "size").agg(F.array_join(F.transform(ordered, lambda s: s["subject"]), ", ").alias("top_subjects"))
+def community_top(found: DataFrame, named: DataFrame, name: str, out: str, k: int = 5) -> DataFrame:
+    """Each community's size and k most frequent names (of a column of named, with work_id), ties by name."""
+    counts = found.join(named, found["node"] == named["work_id"]).groupBy("label", "size", name).agg(F.count("*").alias("n"))
+    top = keep_top(counts, ["label"], [F.col("n").desc(), name], k)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), name)))
+    return top.groupBy("label", "size").agg(F.array_join(F.transform(ordered, lambda s: s[name]), ", ").alias(out))
 
 
 def seeded(node: str, seed: int = 7) -> Column:

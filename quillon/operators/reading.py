@@ -40,6 +40,16 @@ def auto_dnf(totals: DataFrame, completions: DataFrame, as_of: Column, days: int
     return stale.join(done, ["user_id", "work_id"], "left_anti").select("user_id", "work_id", "last_read_at")
 
 
+def mark_stale(events: DataFrame, totals: DataFrame, completions: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Events of works that are being read but were not for so many days, and never completed, are given up, on the day
+    of the last reading; others stay."""
+    stale = auto_dnf(totals, completions, as_of, days).select("user_id", "work_id", F.col("last_read_at").alias("_last"))
+    rows = events.join(stale, ["user_id", "work_id"], "left")
+    on = F.col("_last").isNotNull() & (F.col("shelf") == "currently-reading")
+    day = F.col("_last").cast("date").cast("timestamp")
+    return rows.select("user_id", "work_id", F.when(on, "dnf").otherwise(F.col("shelf")).alias("shelf"), "rating", F.when(on, F.coalesce(day, "finished_at")).otherwise(F.col("finished_at")).alias("finished_at"), F.when(on, "auto-dnf-stale").alias("notes"))
+
+
 def best_shelf(events: DataFrame) -> DataFrame:
     """K8: one row for each reader and work: the shelf of the highest priority, the latest finish among its rows."""
     rank = F.lit(0)

@@ -81,7 +81,9 @@ def queries() -> dict:
         "graph_neighbors_2hop": on(lambda c: gr.two_hops(graph_edges(c), WORK)),
         "graph_features": on(lambda c: gr.user_features(c.user_event, c.work, c.work_author, c.work_subject, USER).withColumn("prox", F.round("prox", 6))),
         "label_propagation": on(lambda c: c.label),
-        "community_metadata": on(lambda c: gr.community_subjects(c.community, c.work_subject)),
+        "community_metadata": on(lambda c: gr.community_top(c.community, c.work_subject, "subject", "top_subjects")),
+        "community_authors": on(lambda c: gr.community_top(c.community, c.work_author.join(c.author, "author_id").select("work_id", "name"), "name", "top_authors")),
+        "stale_events_update": on(lambda c: rd.mark_stale(c.user_event, totals(c), c.completion, as_of("2024-02-20 00:00:00"))),
         "community_candidates": on(lambda c: gr.community_candidates(c.community, c.work.where("work_id % 20 = 0"), 20)),
         "redirect_resolution": on(lambda c: gr.resolve_redirects(c.redirect)),
         "reading_aggregate": on(lambda c: totals(c).select("user_id", "work_id", "total_ms", "sessions", "max_ms", ms("avg_ms"), "last30_ms", "last_read_at")),
@@ -114,6 +116,8 @@ def oracle_sql() -> dict[str, str]:
         "graph_features": sql("select w.work_id, round(coalesce(a, 0), 6) author_affinity, round(coalesce(o, 0), 6) subject_overlap, coalesce(series in (select series from ser), false) same_series, round((coalesce(a, 0) + coalesce(o, 0)) / 2, 6) prox from work w left join aff on w.work_id = aff.work_id left join ovl on w.work_id = ovl.work_id where w.work_id not in (select work_id from own)", "user_event work work_author work_subject", **features),
         "label_propagation": sql(f"select node, label from l{ROUNDS}", CO_VIEWS, **LPA_SQL),
         "community_metadata": sql("select label, size, string_agg(subject, ', ' order by n desc, subject) top_subjects from (select *, row_number() over (partition by label order by n desc, subject) r from (select label, size, subject, count(*) n from community join work_subject on node = work_id group by 1, 2, 3)) where r <= 5 group by 1, 2", CO_VIEWS + " work_subject", **LPA_SQL),
+        "community_authors": sql("select label, size, string_agg(name, ', ' order by n desc, name) top_authors from (select *, row_number() over (partition by label order by n desc, name) r from (select label, size, name, count(*) n from community join work_author on node = work_id join author using (author_id) group by 1, 2, 3)) where r <= 5 group by 1, 2", CO_VIEWS + " author", **LPA_SQL),
+        "stale_events_update": sql("select e.user_id, e.work_id, case when s then 'dnf' else shelf end shelf, rating, case when s then last_read_at::date::timestamp else finished_at end finished_at, case when s then 'auto-dnf-stale' end notes from user_event e left join totals t on e.user_id = t.user_id and e.work_id = t.work_id, lateral (select coalesce(shelf = 'currently-reading' and last_read_at < timestamp '2024-02-20 00:00:00' - interval 30 days and (e.user_id, e.work_id) not in (select user_id, work_id from completion), false) s)", "user_event session completion", totals=TOTALS_SQL),
         "community_candidates": sql("select anchor, work_id from (select o.node anchor, m.node work_id, row_number() over (partition by o.node order by md5(concat('7:', m.node)), m.node) r from community o join community m on o.label = m.label and o.node <> m.node where o.node % 20 = 0) where r <= 20", CO_VIEWS, **LPA_SQL),
         "redirect_resolution": sql("select old_key, final_key, hops::int hops from (select *, row_number() over (partition by old_key order by hops desc) r from walk) where r = 1", "redirect", True, walk="select old_key, new_key final_key, 1 hops from redirect union all select w.old_key, r.new_key, hops + 1 from walk w join redirect r on r.old_key = w.final_key where hops < 10"),
         "reading_aggregate": sql("select user_id, work_id, total_ms, sessions, max_ms, round(avg_ms, 4) avg_ms, last30_ms, last_read_at from totals", "session", totals=TOTALS_SQL),

@@ -91,6 +91,17 @@ def _identified(c: Catalogue):
     return c.table("lineitem").select(F.col("l_partkey").alias("work_id"), F.concat(F.lit("i"), o, F.lit("-"), F.col("l_suppkey").cast("string")).alias("isbn13"), F.concat(F.lit("B"), o, F.lit("-"), F.col("l_linenumber").cast("string")).alias("asin")).distinct()
 
 
+def _embedding_texts(c: Catalogue):
+    """A third of the works have a short description, a third one that is cut."""
+    k = F.col("work_id")
+    long_ = F.repeat(F.concat("title", F.lit(" ")), F.lit(200))
+    about = F.when(k % 3 == 0, F.concat(F.lit("About "), "title")).when(k % 3 == 1, F.trim(long_))
+    by = c.work_author.join(c.author, "author_id").groupBy("work_id").agg(F.array_sort(F.collect_set("name")).alias("by"))
+    on = c.work_subject.groupBy("work_id").agg(F.array_sort(F.collect_set("subject")).alias("s"))
+    rows = c.work.join(on, "work_id", "left").join(by, "work_id", "left")
+    return rows.select("work_id", text.embedding_text(F.col("title"), F.col("series"), F.coalesce("by", F.array().cast("array<string>")), about, F.col("s")).alias("text"))
+
+
 def _name_pairs(c: Catalogue):
     """Pairs of distinct names that share a word, each once: they meet by that word."""
     n = _names(c).select("p_name", F.explode(F.split("p_name", " ")).alias("word"))
@@ -126,7 +137,7 @@ def queries() -> dict:
         "html_to_text": on(lambda c: c.table("pages").select("page_id", F.md5(text.html_to_text("html").cast("binary")).alias("text_md5"), F.length(text.html_to_text("html")).alias("chars"))),
         "url_external_ids": on(lambda c: c.table("pages").select("page_id", text.url_host("url").alias("host"), text.url_path("url").alias("path"), text.url_param("url", "page").alias("page"), text.url_param("url", "ref").alias("ref"))),
         "normalise_text": on(lambda c: docs(c).select("doc_id", F.md5(text.normalize_text("text").cast("binary")).alias("text_md5"))),
-        "embedding_text": on(lambda c: c.work.join(c.work_subject.groupBy("work_id").agg(F.array_sort(F.collect_set("subject")).alias("s")), "work_id", "left").select("work_id", text.embedding_text(F.col("title"), F.col("series"), F.array(), F.lit(None).cast("string"), F.col("s")).alias("text"))),
+        "embedding_text": on(_embedding_texts),
         "year_extract": on(lambda c: docs(c).select("doc_id", text.year_of("text").alias("year"), text.year_of("text", text.DUMP_YEAR).alias("dump_year"))),
         "slug_names": on(lambda c: c.table("part").select("p_partkey", text.slugify(F.concat_ws(" & ", "p_name", "p_brand")).alias("slug"), text.author_name(F.concat_ws(", ", "p_brand", "p_type")).alias("name"), text.subject_key("p_name", True).alias("subject"), text.title_case("p_name").alias("title"))),
         "data_quality": on(lambda c: rs.coverage(c.work, c.work_author, c.work_subject, c.rating)),
@@ -183,7 +194,7 @@ def oracle_sql() -> dict[str, str]:
         "html_to_text": f"select page_id, md5(t) text_md5, length(t)::int chars from (select page_id, {html} t from pages)",
         "url_external_ids": "select page_id, nullif(regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', ''), '') host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) as path, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') page, nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') as ref from pages",
         "normalise_text": f"select doc_id, md5({NORM.format('text')}) text_md5 from documents",
-        "embedding_text": sql("select work_id, concat_ws('. ', title, series, 'Topics: ' || s) as text from work left join (select work_id, string_agg(subject, ', ' order by subject) s from work_subject group by 1) using (work_id)", "work work_subject"),
+        "embedding_text": sql("select work_id, concat_ws('. ', title, series, 'By ' || a, d, 'Topics: ' || s) as text from (select *, case when work_id % 3 = 0 then concat('About ', title) when work_id % 3 = 1 then case when length(trim(repeat(concat(title, ' '), 200))) <= 2000 then trim(repeat(concat(title, ' '), 200)) else concat(trim(substring(trim(repeat(concat(title, ' '), 200)), 1, 1997)), '...') end end d from work) left join (select work_id, string_agg(distinct subject, ', ' order by subject) s from work_subject group by 1) using (work_id) left join (select work_id, string_agg(distinct name, ', ' order by name) a from work_author join author using (author_id) group by 1) using (work_id)", "work work_subject work_author author"),
         "year_extract": "select doc_id, nullif(regexp_extract(text, '(\\b(?:19|20)\\d{2}\\b)', 1), '')::int as year, nullif(regexp_extract(text, '(\\b(?:1[0-9]{3}|20[0-2][0-9])\\b)', 1), '')::int dump_year from documents",
         "slug_names": "select p_partkey, regexp_replace(regexp_replace(lower(concat_ws(' & ', p_name, p_brand)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') slug, concat_ws(' ', p_type, p_brand) as name, regexp_replace(regexp_replace(lower(p_name), '\\s+', '_', 'g'), '[^a-z0-9_]', '', 'g') subject, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') title from part",
         "data_quality": sql("select *, round(with_embedding / works, 6) embedding_share, case when with_embedding / works < 0.5 then 'few works have an embedding' else 'none' end as warning from (select count(*) works, count(embedding) with_embedding, count(*) filter (work_id in (select work_id from work_author)) with_author, count(*) filter (work_id in (select work_id from work_subject)) with_subject, count(*) filter (work_id in (select work_id from rating)) with_rating, count(*) filter (title ilike 'unknown%') unknown_titles from work)", "work work_author work_subject rating"),
