@@ -54,7 +54,7 @@ def fuse(hits: DataFrame, boosts: dict[str, float]) -> DataFrame:
     first = F.min_by(F.struct("sim", "add", "source"), F.struct("o", "seq", -F.col("sim"))).alias("first")
     one = rows.groupBy("work_id").agg(first, F.sum("add").alias("total"), F.count("*").alias("hits"))
     score = F.when(F.col("hits") == 1, F.col("first.sim")).otherwise(F.least(F.lit(1.0), F.col("first.sim") + F.col("total") - F.col("first.add")))
-    return one.select("work_id", F.round(score, 6).alias("score"), F.col("first.source").alias("source"), "hits")
+    return one.select("work_id", F.round(score, 9).alias("score"), F.col("first.source").alias("source"), "hits")
 
 
 def without_blocked(rows: DataFrame, work_author: DataFrame, works: DataFrame | None = None, authors: DataFrame | None = None) -> DataFrame:

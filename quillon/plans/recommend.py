@@ -169,7 +169,7 @@ def oracle_sql() -> dict[str, str]:
           from anchor a join community o on o.node = anchor join community m on m.label = o.label and m.node <> anchor where pos <= {COMMUNITY_ANCHORS}) where r <= {EACH_COMMUNITY}""",
         "hits": "select * from vec union all select * from (select * from near union all select * from cf union all select * from mates) where work_id not in (select work_id from seen)",
         "firsts": "select *, row_number() over (partition by work_id order by o, seq, sim desc) r from hits",
-        "fused": "select work_id, round(case when count(*) = 1 then max(sim) else least(1.0::double, max(sim) filter (r = 1) + coalesce(sum(boost * sim) filter (r > 1), 0)) end, 6) score, max(src) filter (r = 1) source, count(*) hits from firsts group by 1",
+        "fused": "select work_id, round(case when count(*) = 1 then max(sim) else least(1.0::double, max(sim) filter (r = 1) + coalesce(sum(boost * sim) filter (r > 1), 0)) end, 9) score, max(src) filter (r = 1) source, count(*) hits from firsts group by 1",
         "general": f"select * from fused where work_id not in (select work_id from work_author where author_id in (select author_id from mine where author_id is not null)) order by score desc, work_id limit {GENERAL}",
     }
     features = {
