@@ -46,21 +46,26 @@ def strong_edges(co: DataFrame, least: float = 0.05) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 15) -> DataFrame:
     """G5, synchronous and deterministic: every node takes the label with the largest weight among its neighbours, ties to
-    the smallest label; at most so many rounds, fewer if nothing changes. edges: a, b, weight, in both directions, the
-    weights decimal, so that sums are exact. node, label.
+    the smallest label, for so many rounds. edges: a, b, weight, in both directions, the weights decimal, so that sums are
+    exact. node, label.
 
-    The edges are written once, the labels after each round.
+    Rounds end when nothing changes, or when all labels are those of two rounds before: two works that only have each other
+    swap labels for ever, and what the last round would give is known. The edges are written once, the labels after each round.
     """
     edges = cut(edges, "edges")
     labels = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
-    for _ in range(rounds):
+    before = labels
+    for k in range(1, rounds + 1):
         votes = edges.join(labels, edges["b"] == labels["node"]).groupBy("a", "label").agg(F.sum("weight").alias("w"))
         fresh = votes.groupBy(F.col("a").alias("node")).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label"))
-        was = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-        both = cut(fresh.join(was, F.col("node") == F.col("_node")).select("node", "label", (F.col("label") != F.col("_label")).alias("changed")), "labels")
-        labels = both.select("node", "label")
-        if not both.where("changed").limit(1).count():
+        one, two = labels.select("node", F.col("label").alias("one")), before.select("node", F.col("label").alias("two"))
+        before, labels = labels, cut(fresh.join(one, "node").join(two, "node"), "labels")
+        changed, moved = labels.agg(F.count_if(F.col("label") != F.col("one")), F.count_if(F.col("label") != F.col("two"))).first()
+        labels = labels.select("node", "label")
+        if not changed:
             break
+        if k > 1 and not moved:
+            return labels if (rounds - k) % 2 == 0 else before
     return labels
 
 

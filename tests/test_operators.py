@@ -106,7 +106,7 @@ def test_redirects_stop_at_the_depth(spark):
 def test_label_propagation_is_steady(spark):
     tri = [(a, b, 1) for g in (0, 10) for a in (g, g + 1, g + 2) for b in (g, g + 1, g + 2) if a != b]
     e = spark.createDataFrame(tri, "a long, b long, weight long")
-    got = dict(rows(gr.label_propagation(e, 6, cut)))
+    got = dict(rows(gr.label_propagation(e, 6)))
     assert len({got[k] for k in (0, 1, 2)}) <= 2 and not {got[k] for k in (0, 1, 2)} & {got[k] for k in (10, 11, 12)}
 
 
