@@ -112,6 +112,13 @@ def dedupe_title(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(plain), "\\s*(?:book\\s+[0-9]+|#[0-9]+|volume\\s+[0-9]+)\\s*$", ""))
 
 
+def cross_source_title(x: Column | str) -> Column:
+    """A title without all brackets at its end, a subtitle after a colon, and a volume mark in any case; lower case."""
+    plain = F.regexp_replace(col(x), "\\s*\\([^)]*\\)\\s*$", "")
+    plain = F.regexp_replace(plain, "\\s*:.*$", "")
+    return F.lower(F.regexp_replace(plain, "(?i)\\s*(?:Book\\s*\\d+|#\\d+|Volume\\s*\\d+)\\s*$", ""))
+
+
 def html_to_text(x: Column | str) -> Column:
     """Breaks and paragraph ends to line ends, tags dropped, entities decoded with &amp; first, white space reduced."""
     x = F.regexp_replace(col(x), "(?i)<br\\s*/?>", "\n")

@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
-_tables: dict[tuple, str] = {}
+_tables: dict[tuple, tuple[str, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,25 +38,43 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def manifest(spark: SparkSession, source: str) -> DataFrame:
+    """path, length, modificationTime of every file under a folder. No file is opened."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select("path", "length", "modificationTime")
+
+
+def fingerprint(spark: SparkSession, source: str) -> str:
+    """Changes whenever a file under a folder comes, goes, or is written anew."""
+    rows = manifest(spark, source).agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return f"{rows[0]}-{rows[1]}"
+
+
 def table(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table of a source folder, built when an application first asks for it (or when its files are gone)."""
-    key = (spark.sparkContext.applicationId, source, name)
-    if key in _tables:
+    """A derived table of a source folder: built when an application first asks for it, and again when the source's files have
+    changed since or its own are gone."""
+    key, now = (spark.sparkContext.applicationId, source, name), fingerprint(spark, source)
+    if key in _tables and _tables[key][1] == now:
         try:
-            return spark.read.parquet(_tables[key])
+            return spark.read.parquet(_tables[key][0])
         except AnalysisException:
             pass
     path = f"{shared_folder(spark)}/quillon/{name}-{uuid.uuid4().hex}"
     build().write.parquet(path)
-    _tables[key] = path
+    _tables[key] = (path, now)
     return spark.read.parquet(path)
 
 
 def files(spark: SparkSession, source: str, name: str, write: Callable[[str], None]) -> str:
-    """A folder that write(path) fills when an application first asks for it."""
-    key = (spark.sparkContext.applicationId, source, name)
-    if key not in _tables:
-        path = f"{shared_folder(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-        write(path)
-        _tables[key] = path
-    return _tables[key]
+    """A folder that write(path) fills when an application first asks for it, and again when the source's files have changed since
+    or its own are gone."""
+    key, now = (spark.sparkContext.applicationId, source, name), fingerprint(spark, source)
+    if key in _tables and _tables[key][1] == now:
+        try:
+            if not manifest(spark, _tables[key][0]).isEmpty():
+                return _tables[key][0]
+        except AnalysisException:
+            pass
+    path = f"{shared_folder(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+    write(path)
+    _tables[key] = (path, now)
+    return path

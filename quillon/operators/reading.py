@@ -73,15 +73,24 @@ def with_previous(events: DataFrame) -> DataFrame:
     return events.withColumn("days_since_previous", F.datediff("finished_at", F.lag("finished_at").over(w)))
 
 
+def fan_out(events: DataFrame) -> DataFrame:
+    """What the profile's query makes of the events: each joined to the reader's events of its work and shelf, so n
+    sources that put a work on one shelf give n * n rows, and events without a shelf none. The rows joined to are alike in all
+    columns that are read, so each event comes as often as the window counts it: no group is joined with itself."""
+    same = Window.partitionBy("user_id", "work_id", "shelf")
+    rows = with_previous(events).where("shelf is not null").withColumn("_n", F.count("*").over(same))
+    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
+
+
 def weighted_events(events: DataFrame, totals: DataFrame, completions: DataFrame, ownership: DataFrame, work_author: DataFrame, as_of: Column) -> DataFrame:
-    """The events with their weight. What is looked up for each event is added up before it is joined; an author's
+    """The events, as fan_out has them, with their weight. What is looked up for each event is added up before it is joined; an author's
     works are counted among the reader's own."""
     done = completions.groupBy("user_id", "work_id").agg(F.count("*").alias("completions"))
     owned = ownership.select("user_id", "work_id").distinct().withColumn("origin", F.lit("Purchase"))
     by = events.select("user_id", "work_id").join(work_author, "work_id")
     counts = by.groupBy("user_id", "author_id").agg(F.count_distinct("work_id").alias("n"))
     loyalty = by.join(counts, ["user_id", "author_id"]).groupBy("user_id", "work_id").agg(F.max("n").alias("author_works"))
-    rows = with_previous(events)
+    rows = fan_out(events)
     for side in (totals, done, owned, loyalty):
         rows = rows.join(side, ["user_id", "work_id"], "left")
     names = ("rating", "finished_at", "last_read_at", "total_ms", "completions", "last30_ms", "author_works", "days_since_previous", "origin", "shelf")

@@ -20,31 +20,113 @@ def page(rows: DataFrame, order: list, number: int, size: int, most: int = 100)
     return rows.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
-def search(works: DataFrame, q: str, threshold: float = 0.3) -> DataFrame:
-    """Works whose title is like q (trigrams) or holds it, with their score."""
-    sim = F.coalesce(text.trigram_similarity("title", F.lit(q)), F.lit(0.0))
-    rows = works.withColumn("similarity", sim)
-    rows = rows.where((F.col("similarity") > threshold) | F.contains(F.lower("title"), F.lit(q.lower())))
-    return rows.withColumn("score", F.round(scoring.search_score(F.col("similarity"), F.col("title"), q), 6))
+#: Postings of one trigram that meet in one group of a join; a hotter trigram's are dealt to blocks of about so many.
+BLOCK = 2_000
+
+
+def _in_blocks(filed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join of filed (gram, df, ...) with itself by gram: blocks of a hot gram's rows meet pairwise, each
+    unordered pair of blocks once. side `l` has the row's own block first, side `r` second."""
+    blocks = (F.col("df") / BLOCK).cast("int") + 1
+    rows = filed.withColumn("_own", F.pmod(F.xxhash64("name"), blocks)).withColumn("_last", blocks - 1)
+    left = rows.select("*", F.col("_own").alias("_i"), F.explode(F.sequence(F.col("_own"), F.col("_last"))).alias("_j"))
+    right = rows.select("*", F.col("_own").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"))
+    return left.drop("_own", "_last"), right.drop("_own", "_last")
 
 
 def fuzzy_pairs(rows: DataFrame, key: str, name: str, threshold: float) -> DataFrame:
-    """Pairs of distinct names with trigram similarity of at least threshold (above 0), each once, by blocking.
+    """Pairs of distinct names (x < y) with trigram similarity of at least threshold (above 0), each once.
 
-    Names are made distinct first. Each name is filed under its rarest trigrams only: of a set of n, any n - ceil(t n) + 1
-    must hold one of a similar name's, so pairs meet in rare grams and no common gram gathers a bucket of all names.
+    Names are made distinct first. Prefix filter: a name is filed under its rarest trigrams; of a set of n, any
+    n - ceil(t n) + 1 hold one of a similar name's. Positional filter: two names that meet in their i-th and j-th rarest gram
+    share at most 1 + min(grams after i, grams after j) from there on, and the first gram that a similar pair shares passes
+    that. At low thresholds names are filed under common grams too: those are dealt to blocks, so no gram is one task's.
     """
     names = rows.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("grams", text.trigrams("name")).where(F.size("grams") > 0)
     grams = names.select("name", F.explode("grams").alias("gram"), F.size("grams").alias("n"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("df"))
     w = Window.partitionBy("name").orderBy("df", "gram")
     filed = grams.join(counts, "gram").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
-    a, b = filed.select("gram", F.col("name").alias("x"), F.col("n").alias("nx")), filed.select("gram", F.col("name").alias("y"), F.col("n").alias("ny"))
-    near = a.join(b, "gram").where((F.col("x") < F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9)).select("x", "y").distinct()
+    left, right = _in_blocks(filed)
+    a = left.select("gram", "_i", "_j", F.col("name").alias("p"), F.col("n").alias("np"), F.col("r").alias("rp"))
+    b = right.select("gram", "_i", "_j", F.col("name").alias("q"), F.col("n").alias("nq"), F.col("r").alias("rq"))
+    shared = 1 + F.least(F.col("np") - F.col("rp"), F.col("nq") - F.col("rq"))
+    enough = shared * (1 + threshold) >= threshold * (F.col("np") + F.col("nq")) - 1e-9
+    once = F.when(F.col("_i") == F.col("_j"), F.col("p") < F.col("q")).otherwise(F.lit(True))
+    sized = F.least("np", "nq") >= threshold * F.greatest("np", "nq") - 1e-9
+    near = a.join(b, ["gram", "_i", "_j"]).where(once & sized & enough).select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
     sim = text.trigram_similarity("x", "y")
     return near.withColumn("similarity", sim).where(F.col("similarity") >= threshold)
 
 
+def like_names(names: DataFrame, over: float) -> DataFrame:
+    """x, y, similarity above `over` of distinct names (one column, `name`), in both directions and of each with itself."""
+    pairs = fuzzy_pairs(names, "name", "name", over).where(F.col("similarity") > over)
+    itself = names.where("name is not null").distinct().select(F.col("name").alias("x"), F.col("name").alias("y"), F.lit(1.0).alias("similarity"))
+    return pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "similarity")).unionByName(itself)
+
+
+def potential_duplicates(works: DataFrame, authors: DataFrame, over: float = 0.6, author_over: float = 0.5, k: int = 10) -> DataFrame:
+    """D7 for all works at once: work_id, other_id, similarity. Each work's k most similar other titles above `over` (ties by id);
+    where the work has an `author`, of these only works that have an author of a similar name above author_over.
+
+    works: work_id, title, author; authors: work_id, name, of all works. Names are compared, not works: each name keeps its
+    first k + 1 works, so a title that a third of all works have adds no more rows than any other.
+    """
+    from quillon.operators.collaborative import keep_top
+
+    named = works.where("title is not null").select("work_id", "author", F.lower("title").alias("name"))
+    some = keep_top(named.select("work_id", "name"), ["name"], ["work_id"], k + 1)
+    near = like_names(named.select("name"), over).withColumn("similarity", F.round("similarity", 9))
+    best = keep_top(near.join(some.select(F.col("name").alias("y"), F.col("work_id").alias("other_id")), "y"), ["x"], [F.col("similarity").desc(), "other_id"], k + 1)
+    pairs = named.join(best.select(F.col("x").alias("name"), "other_id", "similarity"), "name").where("work_id <> other_id")
+    pairs = keep_top(pairs, ["work_id"], [F.col("similarity").desc(), "other_id"], k).select("work_id", "other_id", "similarity", "author")
+    alike = text.trigram_similarity(F.lower("name"), F.lower("author")) > author_over
+    held = pairs.where("author is not null").join(authors.select(F.col("work_id").alias("other_id"), "name"), "other_id").where(alike).select("work_id", "other_id", "similarity").distinct()
+    return pairs.where("author is null").select("work_id", "other_id", "similarity").unionByName(held)
+
+
+def _sourced(works: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """D11's two sides: works of the shop without a catalogue key, and those with one that have an author or subject."""
+    rows = works.select("work_id", text.cross_source_title("title").alias("name"), "source", "ol_work_key").where("name is not null")
+    shop = rows.where("source = 'amazon' and ol_work_key is null").select("work_id", "name")
+    return shop, rows.where("ol_work_key is not null").join(described.select("work_id"), "work_id", "left_semi").select("work_id", "name")
+
+
+def cross_source_duplicates(works: DataFrame, described: DataFrame, over: float = 0.85, k: int = 1_000) -> DataFrame:
+    """shop_id, catalogue_id, similarity: the first k pairs of a shop's work and a catalogued one whose bare titles are
+    similar above `over`, by similarity; ties by the two names, then the two ids.
+
+    works: work_id, title, source, ol_work_key; described: work_id of those with an author or subject. Pairs of names are
+    ranked with the numbers of their works; those that reach into the first k (k rows at most) are then spelt out, so equal
+    titles of many works are not multiplied.
+    """
+    shop, shelf = (x.withColumn("at", F.row_number().over(Window.partitionBy("name").orderBy("work_id"))) for x in _sourced(works, described))
+    counted = lambda rows, name, n: rows.groupBy(F.col("name").alias(name)).agg(F.count("*").alias(n))
+    near = like_names(shop.select("name").unionByName(shelf.select("name")), over).withColumn("similarity", F.round("similarity", 9))
+    sized = near.join(counted(shop, "x", "n"), "x").join(counted(shelf, "y", "m"), "y")
+    first = sized.orderBy(F.col("similarity").desc(), "x", "y").limit(k)
+    upto = Window.orderBy(F.col("similarity").desc(), "x", "y").rowsBetween(Window.unboundedPreceding, -1)  # of k rows
+    first = first.withColumn("left", k - F.coalesce(F.sum(F.col("n") * F.col("m")).over(upto), F.lit(0))).where(F.col("left") > 0)
+    a = F.broadcast(first).join(shop.select(F.col("name").alias("x"), F.col("work_id").alias("shop_id"), F.col("at").alias("i")), "x").where((F.col("i") - 1) * F.col("m") < F.col("left"))
+    both = a.join(shelf.select(F.col("name").alias("y"), F.col("work_id").alias("catalogue_id"), F.col("at").alias("j")), "y")
+    return both.where((F.col("i") - 1) * F.col("m") + F.col("j") <= F.col("left")).select("shop_id", "catalogue_id", "similarity")
+
+
+def cross_source_classes(works: DataFrame, described: DataFrame, over: float = 0.85, checkpoint=None) -> DataFrame:
+    """D11 as classes: work_id, class_id (smallest work reachable by matches of a shop's and a catalogued title) of every work
+    that has a match. Names stand for their works on the way: a name's first work is its node."""
+    shop, shelf = _sourced(works, described)
+    node = lambda rows, name, side: rows.groupBy(F.col("name").alias(name)).agg(F.min("work_id").alias(side))
+    near = like_names(shop.select("name").unionByName(shelf.select("name")), over)
+    links = near.join(node(shop, "x", "a"), "x").join(node(shelf, "y", "b"), "y")
+    links = checkpoint(links) if checkpoint else links
+    to = merge_map(links.select("a", "b"), checkpoint=checkpoint)
+    members = links.select(F.col("x").alias("name"), F.col("a").alias("node"), F.lit(0).alias("side")).unionByName(links.select(F.col("y").alias("name"), F.col("b").alias("node"), F.lit(1).alias("side"))).distinct()
+    rows = shop.withColumn("side", F.lit(0)).unionByName(shelf.withColumn("side", F.lit(1)))
+    return repoint(rows.join(members, ["name", "side"]).select("work_id", F.col("node").alias("class_id")), to, "class_id")
+
+
 def title_duplicates(works: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Names of works that are near each other, and how many works have each."""
     named = works.select("work_id", text.dedupe_title("title").alias("name"))

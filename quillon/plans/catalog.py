@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("files", "identity", "ratings", "reading", "recommend", "resolve", "upkeep")
+MODULES = ("files", "identity", "ratings", "reading", "recommend", "resolve", "search", "stores", "upkeep")
 
 
 def _modules() -> list:
