@@ -30,7 +30,7 @@ _LETTERS = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b
 #: A task's counts go on to the shuffle when so many terms or bytes of text are behind them.
 HELD_TERMS, HELD_BYTES = 200_000, 64 << 20
 #: Groups of a language are compared in tiles of so many by as many; a tile's postings in shards of about so many.
-TILE, SHARD_ROWS = 256, 250_000
+TILE, SHARD_ROWS = 256, 50_000
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -38,7 +38,7 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_LETTERS).split()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], held_terms: int) -> Iterator[pa.RecordBatch]:
     """lang, source, term, n (occurrences), docs (rows with it), added up over many rows; a row of term '' for each group."""
     held: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
     size = read = 0
@@ -57,7 +57,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.update(found)
             docs.update({b"", *found})
             size, read = size + len(docs) - was, read + len(text)
-            if size > HELD_TERMS or read > HELD_BYTES:
+            if size > held_terms or read > HELD_BYTES:
                 yield from flush()
                 size = read = 0
     yield from flush()
@@ -66,7 +66,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def postings(docs: DataFrame, min_docs: int) -> DataFrame:
     """lang, source, term, n, lang_n (in the language), first (one source of each term has it), of terms in at least min_docs
     documents of their language; and a row of term '' for each group. docs: lang, source, text without nulls."""
-    rows = bounded_batches(docs.select("lang", "source", "text")).mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    held = HELD_TERMS
+    rows = bounded_batches(docs.select("lang", "source", "text")).mapInArrow(lambda batches: _count(batches, held), "lang string, source string, term string, n long, docs long")
     rows = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     # A row for each source at most stands behind a (lang, term).
     by = Window.partitionBy("lang", "term")
@@ -97,7 +98,7 @@ def groups_of(posted: DataFrame, scale: int, add: int) -> DataFrame:
     return materialize(each.drop("_v", "_n", "_k", "_posted"), "divergence-groups")
 
 
-def _both(key: tuple, table: pa.Table) -> pa.Table:
+def _both(key: tuple, table: pa.Table, tile: int) -> pa.Table:
     """Corrections for terms that two groups have, summed by pair; postings of one shard and tile. Postings of a term stand
     side by side in order of idx; those at distance 1, 2, ... within a term are taken at once."""
     across = key[1].as_py() != key[2].as_py()
@@ -112,7 +113,7 @@ def _both(key: tuple, table: pa.Table) -> pa.Table:
         if not len(i):
             break
         if across:
-            i = i[idx[i] // TILE != idx[i + step] // TILE]
+            i = i[idx[i] // tile != idx[i + step] // tile]
         a, b, a0, b0 = p[i], p[i + step], p0[i], p0[i + step]
         np.add.at(sums, at[i] * len(known) + at[i + step], np.abs(a - b) - np.abs(a - b0) - np.abs(a0 - b) + np.abs(a0 - b0))
     some = np.flatnonzero(sums)
@@ -126,7 +127,8 @@ def corrections(shares: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     rows = shares.select("lang", "term", "idx", "p", "p0", block.alias("_own"), other.alias("_other"), F.pmod(F.xxhash64("term"), F.col("shards")).alias("shard"))
     rows = rows.select("lang", F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"), "shard", "term", "idx", "p", "p0")
-    return rows.groupBy("lang", "a", "b", "shard").applyInArrow(_both, "lang string, lo long, hi long, value long")
+    tile = TILE
+    return rows.groupBy("lang", "a", "b", "shard").applyInArrow(lambda key, table: _both(key, table, tile), "lang string, lo long, hi long, value long")
 
 
 def pairs_of(groups: DataFrame) -> DataFrame:
