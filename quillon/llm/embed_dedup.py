@@ -2,9 +2,9 @@
 
 Vectors are scaled to length 1 and turned by the principal axes of all of them, largest variance first; a rotation keeps
 every cosine. A tree of median splits over the axes deals them to tiles of near vectors. Two tiles are compared only if
-their boxes are near enough; their leading dimensions are multiplied first, the rest's product is bounded by the suffix
-norms, and a pair goes on only while its cosine can still reach the threshold. Pairs near the threshold are decided in
-double precision on the given vectors. Which tiles are near is found by a walk down the tree, level by level.
+their boxes are near enough; their leading dimensions are multiplied first, then block after block of twice as many, and after
+each the rest's product is bounded by the suffix norms: a pair goes on only while its cosine can still reach the threshold.
+Pairs near the threshold are decided on the given vectors, all in double precision. Which tiles are near is found by a walk down the tree, level by level.
 
 A task reads its tiles from the shared folder; no pair of rows is shuffled. Out come counts and the edges of a spanning
 forest for each tile pair, never all links.
@@ -12,6 +12,8 @@ forest for each tile pair, never all links.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -21,12 +23,14 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import components, filesystem, materialize, shared_dir, stars
+from quillon.llm.shared import components, filesystem, materialize, shared_dir, stars, with_partner
 
 #: Rows of the sample that fits the tree of tiles; every row is dealt and compared.
 TREE_SAMPLE = 200_000
-#: Bytes of the vectors of a tile, about, and of the tiles that a task keeps at hand.
-TILE_BYTES, HELD_BYTES = 8 << 20, 128 << 20
+#: Bytes of the vectors of a tile, about, of the tiles that a task keeps at hand, and of what it gathers of pairs at once.
+TILE_BYTES, HELD_BYTES, GATHERED_BYTES = 8 << 20, 64 << 20, 16 << 20
+#: While more than this share of pairs go on, blocks of dimensions are multiplied for all pairs.
+DENSE = 0.25
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -58,13 +62,12 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def principal_axes(vectors: DataFrame) -> np.ndarray | None:
     """Columns: axes of all unit vectors by falling variance. A matrix for each partition is summed by Spark."""
     parts = vectors.select("v").mapInArrow(_moments, "m array<double>")
-    rows = parts.select(F.posexplode("m").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()  # (dims + 1)^2 numbers
-    if not rows:
+    rows = parts.select(F.posexplode("m").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).toArrow()  # (dims + 1)^2 numbers
+    if not rows.num_rows:
         return None
-    m = np.zeros(len(rows))
-    for k, x in rows:
-        m[k] = x
-    d = math.isqrt(len(rows))
+    m = np.zeros(rows.num_rows)
+    m[rows["k"].to_numpy()] = rows["x"].to_numpy()
+    d = math.isqrt(len(m))
     m = m.reshape(d, d)
     n, mean = m[-1, -1], m[-1, :-1] / m[-1, -1]
     values, axes = np.linalg.eigh(m[:-1, :-1] / n - np.outer(mean, mean))
@@ -115,11 +118,26 @@ class Tile:
         self.weight = table.column("copies").to_numpy()
         self.given = _matrix(table.column("v").combine_chunks())
         self.x = _matrix(table.column("x").combine_chunks())
-        self.head = np.ascontiguousarray(self.x[:, :lead], dtype=np.float32)
-        self.suffix = np.sqrt(np.maximum(0, (self.x[:, lead:] ** 2).sum(axis=1))).astype(np.float32)
+        self.measure(lead)
+
+    def measure(self, lead: int) -> None:
+        """Dimensions are added up in blocks that double; suffix: lengths of what lies behind each block's end."""
+        self.ends = block_ends(self.x.shape[1], lead)
+        self.head = np.ascontiguousarray(self.x[:, : self.ends[0]], dtype=np.float32)
+        squares = np.cumsum((self.x**2)[:, ::-1], axis=1)[:, ::-1]
+        self.suffix = [np.sqrt(squares[:, e]) if e < self.x.shape[1] else np.zeros(len(self.x)) for e in self.ends]
         self.bytes = self.given.nbytes + self.x.nbytes + self.head.nbytes
 
 
+def block_ends(dims: int, lead: int) -> list[int]:
+    """Ends of the blocks of dimensions: lead, 3 * lead, 7 * lead, ..., dims."""
+    ends, width = [], lead
+    while not ends or ends[-1] < dims:
+        ends.append(min(dims, (ends[-1] if ends else 0) + width))
+        width *= 2
+    return ends
+
+
 def near_tiles(tiles: DataFrame, depth: int, dims: int, reach: float, top: int = 8) -> DataFrame:
     """a, b: each pair of tiles (and each tile with itself) whose boxes are within reach, once.
 
@@ -150,30 +168,57 @@ def near_tiles(tiles: DataFrame, depth: int, dims: int, reach: float, top: int =
     return near.join(one, "x").join(two, "y").where((F.col("x") < F.col("y")) | (F.col("a") <= F.col("b"))).where(gap <= reach**2).select("a", "b")
 
 
-def compare(a: Tile, b: Tile, threshold: float, same: bool, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Positions i in a, j in b of the pairs with cosine >= threshold (i < j if a and b are one tile)."""
+def dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of rows i of a and j of b; GATHERED_BYTES of them are gathered at once, whatever their length."""
+    rows = max(1, GATHERED_BYTES // (16 * max(1, a.shape[1])))
+    return np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", a[i[k : k + rows]], b[j[k : k + rows]]) for k in range(0, len(i), rows))])
+
+
+def compare(a: Tile, b: Tile, threshold: float, same: bool, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Positions i in a, j in b of the pairs with cosine >= threshold (i < j if a and b are one tile).
+
+    The leading dimensions are multiplied in single precision with room for its error. Then products grow block by block, of
+    all pairs while many go on, of the listed ones once few do; after each block those out of reach stop.
+    """
     found_i, found_j = [], []
     for lo in range(0, len(a.ids), step):
-        bound = a.head[lo : lo + step] @ b.head.T + a.suffix[lo : lo + step, None] * b.suffix[None, :]
-        i, j = np.nonzero(bound >= np.float32(threshold - 1e-5))
-        i += lo
+        x, suffix = a.x[lo : lo + step], [s[lo : lo + step] for s in a.suffix]
+        reach = lambda k, i, j: suffix[k][i] * b.suffix[k][j]  # noqa: B023, E731
+        alive = a.head[lo : lo + step] @ b.head.T + suffix[0][:, None] * b.suffix[0][None, :] >= threshold - 1e-5
         if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        for k in range(0, len(i), 100_000):
-            p, q = i[k : k + 100_000], j[k : k + 100_000]
-            cos = np.einsum("ij,ij->i", a.x[p], b.x[q])
-            near = np.flatnonzero(np.abs(cos - threshold) < 1e-9)
-            if len(near):
-                u, v = a.given[p[near]], b.given[q[near]]
-                cos[near] = (u * v).sum(axis=1) / (np.sqrt((u * u).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
-            hit = cos >= threshold
-            found_i.append(p[hit])
-            found_j.append(q[hit])
+            alive &= np.arange(lo, lo + len(x))[:, None] < np.arange(len(b.ids))[None, :]
+        total, k, begun = None, 0, 0
+        while k < len(a.ends) and np.count_nonzero(alive) > DENSE * alive.size:
+            part = x[:, begun : a.ends[k]] @ b.x[:, begun : a.ends[k]].T
+            total = part if total is None else total + part
+            alive &= total + suffix[k][:, None] * b.suffix[k][None, :] >= threshold - 1e-9
+            begun, k = a.ends[k], k + 1
+        i, j = np.nonzero(alive)
+        cos = np.zeros(len(i)) if total is None else total[i, j]
+        for at in range(k, len(a.ends)):
+            cos += dots(x[:, begun : a.ends[at]], b.x[:, begun : a.ends[at]], i, j)
+            go = np.flatnonzero(cos + reach(at, i, j) >= threshold - 1e-9)
+            i, j, cos, begun = i[go], j[go], cos[go], a.ends[at]
+        near = np.flatnonzero(np.abs(cos - threshold) < 2e-9)
+        if len(near):
+            u, v = i[near] + lo, j[near]
+            cos[near] = dots(a.given, b.given, u, v) / (np.sqrt(dots(a.given, a.given, u, u)) * np.sqrt(dots(b.given, b.given, v, v)))
+        hit = cos >= threshold
+        found_i.append(i[hit] + lo)
+        found_j.append(j[hit])
     none = np.empty(0, np.int64)
     return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each vector's numbers (-0.0 as 0.0) beside it."""
+    for batch in batches:
+        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False) + 0.0
+        ends = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+        keys = [hashlib.sha256(flat[lo:hi].tobytes()).digest() for lo, hi in itertools.pairwise(ends)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], ["id", "v", "key"])
+
+
 def near_vectors(table: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", lead: int = 16, tile_rows: int = 1024, split_dims: int = 12, top: int = 8) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of table.
 
@@ -185,7 +230,10 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     spark = table.sparkSession
     valid = valid_vectors(table, id_col, vec_col)
     links, edges = [], []
-    classes = materialize(valid.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vectors-classes")
+    # Classes of equal vectors by their digests; a vector travels once, with the first of its copies that a task has.
+    keyed = materialize(valid.mapInArrow(_digested, "id long, v array<double>, key binary"), "vectors-keyed")
+    classes = keyed.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = materialize(classes, "vectors-classes")
     for (d,) in classes.select(F.size("v")).distinct().collect():  # lengths of vectors: one, or a few
         some = _compare_all(spark, classes.where(F.size("v") == d), threshold, lead, tile_rows, split_dims, top)
         links.append(some.where("v is null").select(F.col("u").alias("id"), "n"))
@@ -200,8 +248,8 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     counted = counted.groupBy("id").agg(F.sum("n").alias("n"))
     parts = components(joined, "vectors")
     named = classes.join(counted, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
-    named = named.select(F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    ids = valid.join(named, F.col("v") == F.col("w")).select("id", "n_links", "component_id")
+    named = named.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    ids = with_partner(keyed.select("id", "key"), "key", "id", named).select("id", "n_links", "component_id")
     found = out.select("vec_id").join(ids.dropDuplicates(["id"]), F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component_id", "vec_id")
     return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
@@ -213,10 +261,18 @@ def _compare_all(spark, classes: DataFrame, threshold: float, lead: int, tile_ro
     n = classes.count()
     share = min(1.0, 1.2 * TREE_SAMPLE / n)
     # The sample is fit on the driver: TREE_SAMPLE rows at most, by a hash of the id.
-    picked = classes.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("id")).limit(TREE_SAMPLE).select("v")
+    picked = classes.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("id", "v")
     lead, split_dims = min(lead, len(axes)), min(split_dims, len(axes))
     tile_rows = max(16, min(tile_rows, TILE_BYTES // (8 * len(axes))))
-    sample = np.vstack([_turn(np.array(part), axes)[:, :split_dims] for part in _chunks((r[0] for r in picked.toLocalIterator()), 10_000)])
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _turn(_matrix(batch.column(1)), axes)[:, :split_dims]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["id", "x"])
+
+    # Turned and cut to split_dims numbers on the executors.
+    sample = _matrix(picked.mapInArrow(leading, "id long, x array<double>").orderBy(F.xxhash64("id")).limit(TREE_SAMPLE).toArrow()["x"].combine_chunks())
     nodes = split_tree(sample, math.ceil(n / tile_rows), split_dims)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,17 +353,6 @@ def _compare_all(spark, classes: DataFrame, threshold: float, lead: int, tile_ro
     return materialize(spread.mapInArrow(work, "u long, v long, n long"), "vectors-links")
 
 
-def _chunks(rows: Iterator, size: int) -> Iterator[list]:
-    part: list = []
-    for x in rows:
-        part.append(x)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part
-
-
 def op2_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """All embeddings at cosine 0.9."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.9)

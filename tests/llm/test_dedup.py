@@ -99,3 +99,66 @@ def test_no_vectors(spark):
     assert embed_dedup.near_vectors(spark.createDataFrame([], s)).count() == 0
     assert [tuple(x) for x in embed_dedup.near_vectors(spark.createDataFrame([(4, None)], s)).collect()] == [(4, 0, 4, True)]
     assert [tuple(x) for x in embed_dedup.near_vectors(spark.createDataFrame([(4, [1.0, 2.0])], s)).collect()] == [(4, 0, 4, True)]
+
+
+@pytest.mark.parametrize("dims", [1, 16, 17, 200])
+def test_blocks_of_dimensions_against_whole_products(dims):
+    """Flat and steep spectra, dense and sparse survivors; lead blocks of every kind."""
+    from types import SimpleNamespace
+
+    r = np.random.default_rng(dims)
+    assert embed_dedup.block_ends(dims, 16)[-1] == dims and all(a < b for a, b in zip(embed_dedup.block_ends(dims, 3), embed_dedup.block_ends(dims, 3)[1:], strict=False))
+
+    def tile(x):
+        t = object.__new__(embed_dedup.Tile)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        t.__dict__.update(vars(SimpleNamespace(ids=np.arange(len(x)), given=3 * x, x=x)))
+        t.measure(4)
+        return t
+
+    for steep in (0.0, 1.0):
+        base = r.normal(size=(300, dims)) / (1 + np.arange(dims)) ** steep
+        a, b = tile(base), tile(np.vstack([base[:80] + 0.05 * r.normal(size=(80, dims)), r.normal(size=(50, dims))]))
+        for threshold in (0.1, 0.8, 0.9):
+            for x, y, same in ((a, b, False), (a, a, True)):
+                whole = x.x @ y.x.T
+                if same:
+                    whole[np.tril_indices(len(whole))] = -2
+                i, j = embed_dedup.compare(x, y, threshold, same, step=37)
+                assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(*(k.tolist() for k in np.nonzero(whole >= threshold)), strict=True))
+
+
+def test_memory_of_a_comparison_at_1536_dimensions():
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(640, 1536))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t = object.__new__(embed_dedup.Tile)
+    t.ids, t.given, t.x = np.arange(640), x, x
+    t.measure(16)
+    tracemalloc.start()
+    embed_dedup.compare(t, t, 0.9, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def test_query_with_links_and_copies_of_a_third(spark, tmp_path):
+    """The registered query and its SQL on vectors with links, one vector a third of all."""
+    import duckdb
+
+    from quillon.llm import queries
+
+    r = np.random.default_rng(8)
+    x = r.normal(size=(200, 16)).astype(np.float32)
+    rows = [*x, *(x[:60] + 0.15 * r.normal(size=(60, 16)).astype(np.float32)), *[x[7]] * 130]
+    rows = [(k, [float(y) for y in v]) for k, v in enumerate(rows)] + [(900, None), (901, [0.0] * 16)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    out = c.execute(queries.oracle_sql()["op2_embedding_dedup"])
+    columns = [d[0] for d in out.description]
+    want = sorted(out.fetchall())
+    got = sorted(tuple(q[k] for k in columns) for q in queries.queries()["op2_embedding_dedup"](spark, str(tmp_path)).collect())
+    assert got == want and sum(q[columns.index("n_links")] > 0 for q in want) > 180
