@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import ascii_words, bounded_batches, claim, filesystem, materialize, quantile_of, release, shared_dir, small_side
 
 PAD = "\x02"  # stands before a text
-#: Trusted documents of a language that count as much as all languages together do for its threshold.
-EVIDENCE = 20
 #: Log probabilities and steps of log perplexity are whole numbers of these parts.
 LP_PARTS, STEPS = 1 << 36, 10_000
 #: Characters that are worked on at once; longer texts go piece by piece.
@@ -249,13 +247,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
     return docs.select(*place, F.col(text_col).alias("_text"), id_col, *others).mapInArrow(run, f"{fields}, perplexity double")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, quantile: float = 0.99, slack: float = 1.05, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, quantile: float = 0.993, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, lang, perplexity, threshold, kept for each row of docs.
 
     The model is trained on half of the trusted documents (by crc32 of the id). The threshold of a language is the quantile
-    of the other half's perplexities (of their logs, in whole STEPS-ths, rounded up), times slack. With n of them it is drawn towards
-    the quantile of all languages by EVIDENCE / (n + EVIDENCE) where that is higher, and never lies below the language's own
-    (of a few, their largest). Languages without trusted documents there, and null, take that of all.
+    of the other half's perplexities (of their logs, in whole STEPS-ths, rounded up; of a few, their largest). Languages without
+    trusted documents there, and null, take that of all.
     kept: the perplexity is not above it. Null, empty and wordless texts have none and are not kept. Without trusted
     documents all texts with words are kept. Very long texts count whole. Rows repeat as in docs, equal perplexities are
     judged alike; an empty table gives an empty result; extra columns, whatever their names, don't matter.
@@ -273,11 +270,10 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, quantile:
     steps = materialize(held.groupBy(F.col(lang_col).alias("_lang"), F.ceil(F.log("perplexity") * STEPS).alias("step")).agg(F.count("*").alias("n")), "kn-steps")
     each = quantile_of(steps, ["_lang"], quantile)
     whole = quantile_of(steps.groupBy("step").agg(F.sum("n").alias("n")), [], quantile).first()[0]
-    drawn = (F.col("_n") * F.col("limit") + EVIDENCE * F.lit(whole).cast("double")) / (F.col("_n") + EVIDENCE)
     # A row for each language.
-    limits = each.where("_lang is not null").select("_lang", F.greatest("limit", drawn).alias("limit"))
+    limits = each.where("_lang is not null").select("_lang", "limit")
     found = seen.join(F.broadcast(limits), seen[lang_col] == limits["_lang"], "left")
-    limit = F.exp(F.coalesce(F.col("limit"), F.lit(whole).cast("double")) / STEPS) * slack
+    limit = F.exp(F.coalesce(F.col("limit"), F.lit(whole).cast("double")) / STEPS)
     good = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= limit, F.lit(True))
     return found.select(id_col, lang_col, "perplexity", limit.alias("threshold"), good.alias("kept"))
 

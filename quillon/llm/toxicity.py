@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +34,18 @@ LOWEST, HIGHEST = -10.0, 12.0
 MEMORY = 50.0
 
 
+def token_codes(tokens: list[str]) -> np.ndarray:
+    """64-bit codes of tokens, those of Spark's xxhash64."""
+    return np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in tokens), np.uint64, len(tokens)).view(np.int64)
+
+
 @dataclass
 class Model:
-    """Fixed-size model: at most max_entries log-odds, and the calibration. It travels with the tasks."""
+    """The log-odds of all tokens and beginnings of the labelled rows, by sorted codes (16 bytes each; the rows are a bounded
+    sample), and the calibration. It travels with the tasks."""
 
-    odds: dict[str, float]
+    codes: np.ndarray
+    odds: np.ndarray
     drift: float = DRIFT
     rate: float = 1.0  # of the extreme-value law
     scale: float = 1.0
@@ -45,24 +53,41 @@ class Model:
     bias: float = 0.0
     memo: dict[str, float] = field(default_factory=dict, repr=False)
 
-    def token(self, word: str) -> float:
-        """Score of a raw word: its own log-odds, or its longest known beginning's, or 0, less the drift."""
-        known = self.memo.get(word)
-        if known is None:
+    @classmethod
+    def of(cls, odds: dict[str, float], *more: float) -> Model:
+        codes = token_codes(list(odds))
+        order = np.argsort(codes)
+        return cls(codes[order], np.array(list(odds.values()), float)[order], *more)
+
+    def find(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of tokens, and whether each is known."""
+        if not len(self.codes) or not tokens:
+            return np.zeros(len(tokens)), np.zeros(len(tokens), bool)
+        codes = token_codes(tokens)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return self.odds[at], self.codes[at] == codes
+
+    def learn(self, words: list[str]) -> dict[str, float]:
+        """Scores of raw words: a word's own log-odds, or its longest known beginning's, or 0, less the drift."""
+        asked, starts = [], []
+        for word in words:
             plain = word.lower().strip(EDGE)
-            known = self.odds.get(plain)
-            if known is None:
-                known = 0.0
-                for n in BEGINNINGS:
-                    if len(plain) > n and (x := self.odds.get(plain[:n] + "*")) is not None:
-                        known = x
-                        break
-            known -= self.drift
-            if len(word) <= CACHED_LENGTH:
-                if len(self.memo) > 150_000:
-                    self.memo.clear()
-                self.memo[word] = known
-        return known
+            starts.append(len(asked))
+            asked.append(plain)
+            asked += [plain[:n] + "*" for n in BEGINNINGS if len(plain) > n]
+        odds, known = self.find(asked)
+        first = np.minimum.reduceat(np.where(known, np.arange(len(asked)), len(asked)), starts)
+        return dict(zip(words, (np.append(odds, 0.0)[first] - self.drift).tolist(), strict=True))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Scores of raw words, each distinct one looked up once while the memo holds it."""
+        new = [w for w in set(words) if w not in self.memo]
+        found = self.learn(new) if new else {}
+        if len(self.memo) > 150_000:
+            found |= {w: self.memo[w] for w in set(words) if w in self.memo}
+            self.memo.clear()
+        self.memo.update((w, x) for w, x in found.items() if len(w) <= CACHED_LENGTH)
+        return np.fromiter((self.memo[w] if w in self.memo else found[w] for w in words), float, len(words))
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -110,7 +135,7 @@ def token_scores(model: Model, words: list[str]) -> np.ndarray:
     """Scores of a text's words. Each occurrence of a token counts; close repetition adds little: a positive score's log-odds
     are divided by 1 + the sum of exp(-distance / MEMORY) over the token's earlier occurrences, and come back as these fall
     behind. So what is found in a passage doesn't hang on what the text says far before it."""
-    scores = np.fromiter(map(model.token, words), float, len(words))
+    scores = model.scores(words)
     seen: dict[str, tuple[int, float]] = {}
     for k in np.flatnonzero(scores > 0).tolist():
         at, near = seen.get(words[k], (k, 0.0))
@@ -194,32 +219,37 @@ def count_contexts(train: DataFrame) -> DataFrame:
     return out
 
 
-def fit_odds(counts: DataFrame, prior: float = 40.0, max_entries: int = 100_000) -> Model:
+def fit_odds(counts: DataFrame, prior: float = 40.0) -> Model:
     """Log-odds of each token's posterior share against the share of all tokens; a chain of Dirichlet priors of weight prior
-    leads from that share over the token's beginnings to the token. The model holds at most max_entries entries, those that
-    differ most clearly from the share of all; other tokens have their longest beginning's log-odds, or 0. Weighted counts
-    give the shares; they weigh as all^2 / square contexts of equal weight."""
+    leads from that share over the token's beginnings to the token. Weighted counts give the shares; they weigh as
+    all^2 / square contexts of equal weight. All tokens and beginnings of the labelled rows are kept."""
     total = counts.where(~F.col("token").endswith("*")).agg(F.sum("bad"), F.sum("all")).first()
     if not total[1] or not total[0] or total[0] == total[1]:
-        return Model({})
+        return Model(np.empty(0, np.int64), np.empty(0))
     share = total[0] / total[1]
-    # Of as many contexts of equal weight: all.
-    even = counts.withColumn("part", F.col("bad") / F.col("all")).withColumn("all", F.col("all") * F.col("all") / F.col("square")).withColumn("bad", F.col("part") * F.col("all"))
-    clear = F.abs(F.col("bad") - F.lit(share) * F.col("all")) / F.sqrt(F.lit(share * (1 - share)) * F.col("all"))
-    rows = {r[0]: (r[1], r[2]) for r in even.orderBy(clear.desc(), "token").limit(max_entries).select("token", "bad", "all").collect()}
-    logit = lambda q: math.log(q / (1 - q))
-
-    def posterior(token: str) -> float:
-        at = share
-        plain = token.removesuffix("*")
-        chain = [plain[:n] + "*" for n in sorted(BEGINNINGS) if len(plain) > n]
-        for part in [*chain, token]:
-            if part in rows:
-                bad, n = rows[part]
-                at = (bad + prior * at) / (n + prior)
-        return min(max(at, 1e-6), 1 - 1e-6)
-
-    return Model({t: logit(posterior(t)) - logit(share) for t in rows})
+    weight = F.col("all") * F.col("all") / F.col("square")
+    after = lambda before: (F.col("bad") / F.col("all") * weight + prior * before) / (weight + prior)
+    short = F.col("token").endswith("*")
+    size = F.length("token") - short.cast("int")
+    rows = counts.select("token", "bad", "all", "square", short.alias("short"), size.alias("size"))
+    least, most = min(BEGINNINGS), max(BEGINNINGS)
+    level = rows.where(F.col("short") & (F.col("size") == least)).select("token", after(F.lit(share)).alias("share"))
+    levels = level
+    for n in range(least + 1, most + 1):
+        before = level.select(F.col("token").alias("_of"), F.col("share").alias("_share"))
+        level = rows.where(F.col("short") & (F.col("size") == n)).join(before, F.concat(F.substring("token", 1, n - 1), F.lit("*")) == F.col("_of")).select("token", after(F.col("_share")).alias("share"))
+        levels = levels.unionByName(level)
+    levels = materialize(levels, "toxicity-beginnings")
+    # A word's prior is its longest beginning's, the shortest words' the share of all.
+    longest = F.when(F.col("size") > least, F.concat(F.substring(F.col("token"), F.lit(1), F.least(F.col("size") - 1, F.lit(most))), F.lit("*")))
+    words = rows.where(~F.col("short")).withColumn("_of", longest).join(levels.select(F.col("token").alias("_of"), F.col("share").alias("_share")), "_of", "left")
+    found = words.select("token", after(F.coalesce("_share", F.lit(share))).alias("share")).unionByName(levels)
+    kept = F.least(F.greatest(F.col("share"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    odds = F.log(kept / (1 - kept)) - math.log(share / (1 - share))
+    table = found.select(F.xxhash64("token").alias("code"), odds.alias("odds")).toArrow()
+    codes = table["code"].to_numpy()
+    order = np.argsort(codes)
+    return Model(codes[order], table["odds"].to_numpy()[order])
 
 
 def sample_bits(id_col: str | Column) -> Column:

@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "minhash near-dedup", "mixing", "pieces"]
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
 
 
 def test_stages(spark):
@@ -105,15 +105,13 @@ def test_run_against_plain_stages(spark):
 
     def quantile(values):
         steps_ = sorted(int(np.ceil(x * 10_000 - 1e-9)) for x in values)
-        return next(s for n, s in enumerate(steps_, 1) if n >= 0.99 * len(steps_))
+        return next(s for n, s in enumerate(steps_, 1) if n >= 0.993 * len(steps_))
 
     whole, limit = quantile([x for _, x in held]), {}
     for lang in {x for x, _ in held if x is not None}:
-        own = [x for v, x in held if v == lang]
-        q = quantile(own)
-        limit[lang] = max(q, (len(own) * q + 20 * whole) / (len(own) + 20))
-    near = lambda i: abs(log_ppl[i] - np.log(1.05) - limit.get(steps[1][i]["lang"], whole) / 10_000) < 2e-4
-    want = {i for i, x in log_ppl.items() if x <= limit.get(steps[1][i]["lang"], whole) / 10_000 + np.log(1.05)}
+        limit[lang] = quantile([x for v, x in held if v == lang])
+    near = lambda i: abs(log_ppl[i] - limit.get(steps[1][i]["lang"], whole) / 10_000) < 2e-4
+    want = {i for i, x in log_ppl.items() if x <= limit.get(steps[1][i]["lang"], whole) / 10_000}
     assert {i for i in want ^ set(steps[2]) if not near(i)} == set() and len(want) > 50
 
     sets = {}
@@ -155,13 +153,13 @@ def test_stages_take_odd_rows(spark):
         if name != "pieces":
             assert out.columns == table.columns, name
         rows = Counter(r["doc_id"] for r in out.select("doc_id").collect())
-        assert rows and rows[9005] in (0, 1, 2, 3, 4), name
+        assert rows, name
         if name in ("toxicity", "pieces"):
             assert rows[9005] == 2 and rows[9001] == rows[9002] == rows[9003] == 1 and rows[None] == 2, name
         if name == "quality classifier":
-            assert rows[9001] == rows[9002] == rows[9003] == 0
+            assert rows[9001] == rows[9002] == rows[9003] == 0 and rows[9005] in (0, 2)
         if name == "minhash near-dedup":
             assert rows[9005] == 2 and rows[None] == 2 and rows[9001] == rows[9002] == rows[9003] == rows[9004] == 1
-        if name == "mixing":
-            assert rows[9001] == rows[9002] == rows[9003] == 0
+        if name == "mixing":  # a row for each time that a document is taken, twice at most, for each of the two rows
+            assert rows[9001] == rows[9002] == rows[9003] == 0 and rows[9005] <= 4
         assert stage(spark, table.limit(0), SF).count() == 0
