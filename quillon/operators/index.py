@@ -1,64 +1,201 @@
-"""An inverted-file index of vectors (V5c): lists by nearest centre, of which a search reads a few."""
+"""An approximate index of vectors (V5c): an inverted file of lists by nearest centre, with product-quantised residuals.
+
+A search reads a few lists: a request's product with a row is worked out from the row's code (one byte for each group of
+dimensions), the best by codes are ranked again by their vectors. How many lists a search must read is measured when the
+index is fit; where that would be more than a set share of all rows, the vectors have no structure that lists could use, and
+the search compares with every row instead.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors
+from quillon.operators.collaborative import keep_top
+
+#: Rows of a list that are scored in one group; a longer list is dealt to several.
+SHARD = 16_384
+#: Requests that are multiplied with a group's rows at once.
+BLOCK = 512
+
+
+@dataclass
+class Codebook:
+    """What a search needs of the fit: centres (unit length), for each group of dimensions the values of its codes, the lists to
+    read, and the share of the sample that these held."""
 
+    centres: np.ndarray
+    codes: np.ndarray  # groups x values x dimensions of a group
+    probes: int
+    share: float
+    exact: bool
 
-def fit_centres(rows: DataFrame, lists: int, sample: int = 20_000, rounds: int = 10, id_col: str = "work_id", vector: str = "embedding", seed: int = 7) -> np.ndarray:
-    """Centres (unit length) of at most `lists` lists, by spherical k-means on at most `sample` vectors, picked by a hash of the
-    id. The sample is the only thing that the driver gets."""
-    some = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(sample).select(vector)
-    x = np.array([r[0] for r in some.toLocalIterator()], float)
-    if not len(x):
-        return np.empty((0, 0))
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centres = x[: min(lists, len(x))].copy()
+    @property
+    def groups(self) -> int:
+        return len(self.codes)
+
+
+def _means(x: np.ndarray, k: int, rounds: int, unit: bool) -> np.ndarray:
+    """k means of rows (first k rows as a start); on the sphere if unit."""
+    centres = x[: min(k, len(x))].copy()
     for _ in range(rounds):
-        own = (x @ centres.T).argmax(axis=1)
+        own = _nearest(x, centres)
         total = np.zeros_like(centres)
         np.add.at(total, own, x)
-        size = np.linalg.norm(total, axis=1, keepdims=True)
-        centres = np.where(size > 0, total / np.maximum(size, 1e-12), centres)
+        scale = np.linalg.norm(total, axis=1) if unit else np.bincount(own, minlength=len(centres)).astype(float)
+        centres = np.where(scale[:, None] > 0, total / np.maximum(scale, 1e-12)[:, None], centres)
     return centres
 
 
-def nearest_centres(rows: DataFrame, centres: np.ndarray, probes: int, vector: str = "embedding") -> DataFrame:
-    """rows with a vector, once for each of the `probes` lists nearest to it: list."""
-    kept = rows.where(F.col(vector).isNotNull())
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Place of the centre at the least distance of each row."""
+    return (x @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                sims = np.array(f[vector].tolist(), float) @ centres.T
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
-                out = f.loc[f.index.repeat(best.shape[1])].copy()
-                out["list"] = best.ravel().astype(np.int64)
-                yield out
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes)
-    return kept.mapInPandas(run, f"{fields}, list long")
 
+def _rows(column: pa.Array) -> np.ndarray:
+    """Vectors of an Arrow column (of one length, without nulls) as unit rows."""
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1))
 
-def build(rows: DataFrame, centres: np.ndarray, path: str, vector: str = "embedding") -> DataFrame:
-    """Every row in the list of its nearest centre, written partitioned by list, so that a search prunes the others."""
-    nearest_centres(rows, centres, 1, vector).repartition("list").write.mode("overwrite").partitionBy("list").parquet(path)
+
+def fit(rows: DataFrame, lists: int, groups: int = 8, sample: int = 20_000, recall: float = 0.95, most: float = 0.1, k: int = 10, id_col: str = "work_id", vector: str = "embedding", seed: int = 7) -> Codebook:
+    """Centres, codes and the number of lists to read, from at most `sample` vectors by a hash of the id; the sample is the only
+    thing that the driver gets. Of its vectors 200 ask for their k nearest among the others: as many lists are read as bring
+    `recall` of them, in lists that hold at most the share `most` of the sample; else the index is `exact`."""
+    some = rows.where(F.col(vector).isNotNull()).select(id_col, vector).orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(sample).toArrow()
+    if not some.num_rows:
+        return Codebook(np.empty((0, 0)), np.empty((0, 0, 0)), 0, 1.0, True)
+    x = _rows(some[vector].combine_chunks())
+    centres = _means(x, lists, 10, True)
+    own = _nearest(x, centres)
+    groups = max(1, min(groups, x.shape[1]))
+    width = -(-x.shape[1] // groups)
+    rest = np.pad(x - centres[own], ((0, 0), (0, groups * width - x.shape[1])))
+    codes = np.stack([_means(rest[:, g * width : (g + 1) * width], 256, 6, False) for g in range(groups)])
+    asked = np.arange(0, len(x), max(1, len(x) // 200))[:200]
+    sims = x[asked] @ x.T
+    sims[np.arange(len(asked)), asked] = -2
+    wanted = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    order = np.argsort(-(x[asked] @ centres.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :].repeat(len(order), 0), axis=1)
+    needed = np.take_along_axis(place, own[wanted], axis=1)  # the probe that brings each wanted row
+    sizes = np.bincount(own, minlength=len(centres))
+    for probes in range(1, len(centres) + 1):
+        share = float(sizes[order[:, :probes]].sum(axis=1).mean() / len(x))
+        if share > most or not wanted.size:
+            break
+        if (needed < probes).mean() >= recall:
+            return Codebook(centres, codes, probes, share, False)
+    return Codebook(centres, codes, len(centres), 1.0, True)
+
+
+def build(rows: DataFrame, book: Codebook, path: str, id_col: str = "work_id", vector: str = "embedding") -> DataFrame:
+    """Every row with a vector in the list of its nearest centre: id, code, vector, list, shard; written by list, so that a
+    search reads some lists, and of most of their rows the codes only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _rows(batch.column(1))
+                own = _nearest(x, book.centres)
+                width = book.codes.shape[2]
+                rest = np.pad(x - book.centres[own], ((0, 0), (0, book.groups * width - x.shape[1])))
+                code = np.column_stack([_nearest(rest[:, g * width : (g + 1) * width], book.codes[g]) for g in range(book.groups)]).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(own.astype(np.int32))], [id_col, vector, "code", "list"])
+
+    kept = rows.where(F.col(vector).isNotNull()).select(id_col, F.col(vector).cast("array<double>").alias(vector))
+    dealt = kept.mapInArrow(run, f"{id_col} {dict(kept.dtypes)[id_col]}, {vector} array<double>, code binary, list int")
+    dealt.repartition("list", F.pmod(F.xxhash64(id_col), F.lit(64))).sortWithinPartitions("list", id_col).write.partitionBy("list").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
-def search(index: DataFrame, asked: DataFrame, centres: np.ndarray, probes: int = 8, k: int = 10, id_col: str = "work_id", vector: str = "embedding") -> DataFrame:
-    """asked's id, id_col, similarity, position: the k nearest rows of the `probes` nearest lists of each asked vector (id,
-    vector), itself left out, ties by id. Requests meet rows by list, in equi-joins."""
-    from quillon.operators.collaborative import keep_top
+def _shards(index: DataFrame) -> DataFrame:
+    """list, shards of each list by its number of rows."""
+    return index.groupBy("list").agg((F.count("*") / SHARD).cast("int").alias("shards")).withColumn("shards", F.col("shards") + 1)
+
+
+def _scored(id_col: str, k: int, score):
+    """A cogroup's function: the k rows with the best score for each request of a group, requests in blocks."""
+
+    def run(key: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, out = rows[id_col].to_numpy() if rows.num_rows else np.empty(0, np.int64), []
+        if rows.num_rows and asked.num_rows:
+            for lo in range(0, asked.num_rows, BLOCK):
+                part = asked.slice(lo, BLOCK).combine_chunks()
+                sims, own = score(key, rows, part), part["asked"].to_numpy()
+                sims[own[:, None] == ids[None, :]] = -np.inf
+                best = np.argpartition(-sims, min(k, sims.shape[1]) - 1, axis=1)[:, :k]
+                out.append((np.repeat(own, best.shape[1]), ids[best.ravel()], np.take_along_axis(sims, best, axis=1).ravel()))
+        joined = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        good = np.isfinite(joined[2])
+        return pa.table({"asked": joined[0][good].astype(np.int64), id_col: joined[1][good].astype(np.int64), "score": joined[2][good]})
+
+    return run
+
+
+def search(index: DataFrame, asked: DataFrame, book: Codebook, k: int = 10, again: int = 10, id_col: str = "work_id", vector: str = "embedding") -> DataFrame:
+    """asked, id_col, similarity: the k nearest rows of each asked vector (id_col, vector), itself left out, ties by id. Ids are
+    whole numbers.
+
+    Requests meet the codes of their lists, dealt by shards of SHARD rows, and the again * k best by codes are ranked by
+    their vectors. An exact book: every request meets every row, by shards.
+    """
+    asked = asked.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("asked"), F.col(vector).cast("array<double>").alias("asked_vector"))
+    if book.exact:
+        return exact(index, asked, k, id_col, vector)
+    probes = book.probes
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                best = np.argsort(-(_rows(batch.column(1)) @ book.centres.T), axis=1, kind="stable")[:, :probes]
+                at = np.repeat(np.arange(batch.num_rows), best.shape[1])
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(best.ravel().astype(np.int32))], ["asked", "asked_vector", "list"])
+
+    def by_code(key: tuple, rows: pa.Table, part: pa.Table) -> np.ndarray:
+        """Products with the centre and, from tables by group and code, with the coded residuals."""
+        q = _rows(part["asked_vector"].combine_chunks())
+        code = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        width = book.codes.shape[2]
+        wide = np.pad(q, ((0, 0), (0, book.groups * width - q.shape[1])))
+        sims = np.repeat((q @ book.centres[key[0].as_py()])[:, None], len(code), axis=1)
+        for g in range(book.groups):
+            sims += (wide[:, g * width : (g + 1) * width] @ book.codes[g].T)[:, code[:, g]]
+        return sims
+
+    # A row for each list.
+    shards = F.broadcast(_shards(index))
+    wanted = asked.mapInArrow(nearest, "asked long, asked_vector array<double>, list int").join(shards, "list")
+    wanted = wanted.select("list", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "asked", "asked_vector")
+    rows = index.join(shards, "list").select("list", F.pmod(F.xxhash64(id_col), F.col("shards")).cast("int").alias("shard"), F.col(id_col).cast("long").alias(id_col), "code")
+    found = rows.groupBy("list", "shard").cogroup(wanted.groupBy("list", "shard")).applyInArrow(_scored(id_col, again * k, by_code), f"asked long, {id_col} long, score double")
+    best = keep_top(found, ["asked"], [F.col("score").desc(), id_col], again * k).select("asked", id_col)
+    return _ranked(best.join(index.select(F.col(id_col).cast("long").alias(id_col), vector), id_col).join(asked, "asked"), k, id_col, vector)
+
+
+def _ranked(pairs: DataFrame, k: int, id_col: str, vector: str) -> DataFrame:
+    rows = pairs.select("asked", id_col, F.round(vectors.cosine(vector, "asked_vector"), 9).alias("similarity"))
+    return keep_top(rows, ["asked"], [F.col("similarity").desc(), id_col], k)
+
 
-    wanted = nearest_centres(asked.select(F.col(id_col).alias("asked"), F.col(vector).alias("asked_vector")), centres, probes, "asked_vector")
-    rows = index.join(wanted, "list").where(F.col(id_col) != F.col("asked"))
-    rows = rows.select("asked", id_col, vectors.cosine(vector, "asked_vector").alias("similarity"))
-    return keep_top(rows, ["asked"], [F.round("similarity", 9).desc(), id_col], k)
+def exact(rows: DataFrame, asked: DataFrame, k: int = 10, id_col: str = "work_id", vector: str = "embedding") -> DataFrame:
+    """The same over all rows: shards of SHARD rows meet all requests in blocks, one matrix product each, and give k + 1 candidates
+    (one more than asked for, as ties are broken by id afterwards)."""
+    kept = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vector).cast("array<double>").alias(vector))
+    shards = kept.count() // SHARD + 1
+    product = lambda key, part, q: _rows(q["asked_vector"].combine_chunks()) @ _rows(part[vector].combine_chunks()).T
+    left = kept.withColumn("shard", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int"))
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "asked", "asked_vector")
+    found = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_scored(id_col, k + 1, product), f"asked long, {id_col} long, score double")
+    best = keep_top(found, ["asked"], [F.col("score").desc(), id_col], k + 1).select("asked", id_col)
+    return _ranked(best.join(kept, id_col).join(asked, "asked"), k, id_col, vector)

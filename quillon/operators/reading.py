@@ -136,16 +136,29 @@ def anchors(weighted: DataFrame, k: int = 10) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k).select("user_id", "work_id", "weight", "position")
 
 
-def taste_summary(events: DataFrame, work_subject: DataFrame, k: int = 5) -> DataFrame:
-    """A10: each reader's works read, mean rating and k most frequent subjects among them."""
-    read = events.where("shelf = 'read'")
-    base = read.groupBy("user_id").agg(F.count("*").alias("works_read"), F.round(F.avg("rating"), 6).alias("avg_rating"))
-    counts = read.select("user_id", "work_id").join(work_subject, "work_id").groupBy("user_id", "subject").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("user_id").orderBy(F.col("n").desc(), "subject")
+def _favourites(read: DataFrame, rows: DataFrame, name: str, k: int) -> DataFrame:
+    """user_id and the array of the k most frequent values of name among the works read, ties by the value."""
+    counts = read.select("user_id", "work_id").join(rows.select("work_id", name), "work_id").groupBy("user_id", name).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("user_id").orderBy(F.col("n").desc(), name)
     top = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    ordered = F.array_sort(F.collect_list(F.struct("r", "subject")))
-    names = top.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda s: s["subject"]), ", ").alias("top_subjects"))
-    return base.join(names, "user_id", "left")
+    return top.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", name))), lambda s: s[name]).alias(f"top_{name}s"))
+
+
+def taste(events: DataFrame, work_subject: DataFrame, work_author: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """A10: each reader's works read, mean rating, and the k most frequent subjects (top_subjects) and, where work_author (work_id,
+    name) is given, authors (top_authors) among them, as arrays."""
+    read = events.where("shelf = 'read'")
+    out = read.groupBy("user_id").agg(F.count("*").alias("works_read"), F.round(F.avg("rating"), 6).alias("avg_rating"))
+    out = out.join(_favourites(read, work_subject, "subject", k), "user_id", "left")
+    if work_author is not None:
+        out = out.join(_favourites(read, work_author, "name", k).withColumnRenamed("top_names", "top_authors"), "user_id", "left")
+    return out
+
+
+def taste_summary(events: DataFrame, work_subject: DataFrame, work_author: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """A10 as text: the same with the top values joined by commas."""
+    rows = taste(events, work_subject, work_author, k)
+    return rows.withColumns({c: F.array_join(c, ", ") for c in rows.columns if c.startswith("top_")})
 
 
 def stale_profiles(profiles: DataFrame, *changes: DataFrame) -> DataFrame:
