@@ -1,8 +1,8 @@
 """Sessions of a stream by own state and event-time timers: late order, merged sessions, late rows counted.
 
 A user's open sessions are kept as state. An event joins the sessions within the gap of it, and may bring two together; a
-timer at a session's end hands it out once the watermark has passed it, and then drops it. What comes after the watermark is
-dropped by Spark and counted in the query's progress.
+timer at a session's end hands it out once the watermark has passed it, and then drops it. What lies behind the watermark of
+the micro-batch before is dropped by Spark and counted in the query's progress.
 """
 
 from __future__ import annotations
