@@ -69,6 +69,16 @@ def year_of(x: Column | str, pattern: str = "\\b(?:19|20)\\d{2}\\b") -> Column:
 DUMP_YEAR = "\\b(?:1[0-9]{3}|20[0-2][0-9])\\b"
 
 
+#: The forms of dates that are read whole before a year is looked for.
+DATE_FORMS = ("yyyy-MM-dd", "yyyy-MM", "MMMM d, yyyy", "MMMM yyyy", "d MMMM yyyy", "yyyy")
+
+
+def date_year(x: Column | str) -> Column:
+    """The year of a date in one of DATE_FORMS, else the first year in the text, or null."""
+    whole = [F.year(F.try_to_timestamp(F.trim(col(x)), F.lit(form))) for form in DATE_FORMS]
+    return F.coalesce(*whole, year_of(x))
+
+
 def normalize_isbn(x: Column | str) -> Column:
     """Hyphens and spaces removed; null unless 10 or 13 characters are left."""
     plain = F.upper(F.regexp_replace(col(x), "[-\\s]", ""))
@@ -175,6 +185,16 @@ def short_number(x: Column | str) -> Column:
     return F.when(x >= 1_000_000, F.concat(F.format_string("%.1f", x / 1_000_000), F.lit("M"))).when(x >= 1000, F.concat(F.format_string("%.1f", x / 1000), F.lit("k"))).otherwise(x.cast("string"))
 
 
+def hours_text(hours: Column | str) -> Column:
+    """12h, 1.5h, or minutes (1m at least) below an hour, halves rounded up. A double of 1 to 10 is a whole number of
+    2^-52, so its tenths are exact: 3.15, which lies below three and fifteen hundredths, is 3.1h."""
+    h = col(hours)
+    whole = lambda x: F.floor(x + 0.5).cast("string")
+    tenths = F.shiftright((F.least(h, F.lit(10.0)) * float(1 << 52)).cast("long") * 10 + (1 << 51), 52)
+    some = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"))
+    return F.when(h >= 10, F.concat(whole(h), F.lit("h"))).when(h >= 1, F.concat(some, F.lit("h"))).otherwise(F.concat(whole(F.greatest(h * 60, F.lit(1.0))), F.lit("m")))
+
+
 def title_case(x: Column | str) -> Column:
     """A slug or subject for reading."""
     return F.initcap(F.regexp_replace(col(x), "[-_]+", " "))
@@ -191,6 +211,20 @@ def anchors_hash(ids: Column) -> Column:
     return F.substring(F.md5(F.array_join(F.array_sort(ids), ",").cast("binary")), 1, 12)
 
 
+def string_hash(x: Column | str) -> Column:
+    """H * 31 + unit over the text's UTF-16 units, as a signed 32-bit number; 0 for an empty text."""
+    def wrap(v: Column) -> Column:
+        return F.pmod(v + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+
+    def step(h: Column, c: Column) -> Column:
+        point = F.ascii(c).cast("long")
+        high, low = F.lit(0xD800) + F.shiftright(point - 0x10000, 10), F.lit(0xDC00) + point.bitwiseAND(F.lit(0x3FF))
+        return F.when(point > 0xFFFF, wrap(wrap(h * 31 + high) * 31 + low)).otherwise(wrap(h * 31 + point))
+
+    chars = F.filter(F.split(col(x), ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0).cast("long"), step).cast("int")
+
+
 def cache_key(x: Column | str) -> Column:
     """32 characters of the SHA-256."""
     return F.substring(F.sha2(col(x).cast("binary"), 256), 1, 32)

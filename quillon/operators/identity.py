@@ -181,9 +181,10 @@ def merge_all(merges: DataFrame, tables: dict[str, DataFrame]) -> dict[str, Data
     work_subject: moved, without doubles. user_event: moved unless the remaining work has one of that reader and source. rating:
     moved, a merged work's figures take the place of the remaining one's for that source, with the later date. work: what
     remains gets a missing description and year and is no stub any more; merged ones go. log: one row for each merge. Of several
-    works merged into one the larger id counts last, as if merged in that order."""
+    works merged into one the larger id counts last, as if merged in that order. resolver_cache and resolver_log, where they are
+    given, are re-pointed; a work_author row is an author in a role, if it has one."""
     m = merges.select("from_id", "to_id")
-    out = {"edition": repoint(tables["edition"], m)}
+    out = {name: repoint(tables[name], m) for name in ("edition", "resolver_cache", "resolver_log") if name in tables}
     for name in ("work_author", "work_subject"):
         out[name] = repoint(tables[name], m).distinct()
     was = F.col("_was")

@@ -50,21 +50,34 @@ def mark_stale(events: DataFrame, totals: DataFrame, completions: DataFrame, as_
     return rows.select("user_id", "work_id", F.when(on, "dnf").otherwise(F.col("shelf")).alias("shelf"), "rating", F.when(on, F.coalesce(day, "finished_at")).otherwise(F.col("finished_at")).alias("finished_at"), F.when(on, "auto-dnf-stale").alias("notes"))
 
 
-def best_shelf(events: DataFrame) -> DataFrame:
-    """K8: one row for each reader and work: the shelf of the highest priority, the latest finish among its rows."""
+def _rank() -> Column:
     rank = F.lit(0)
     for name, n in SHELF_PRIORITY.items():
         rank = F.when(F.col("shelf") == name, n).otherwise(rank)
-    best = F.max(F.struct(rank.alias("rank"), "finished_at", "shelf")).alias("x")
-    return events.groupBy("user_id", "work_id").agg(best).select("user_id", "work_id", "x.shelf", "x.finished_at")
+    return rank
+
+
+def best_shelf(events: DataFrame) -> DataFrame:
+    """K8: one row for each reader and work: the shelf of the highest priority and the latest finish among its rows; where events
+    have `notes` and `ordinal` (the order of input), the first notes there are among that shelf's rows."""
+    best = F.max(F.struct(_rank().alias("rank"), "finished_at", "shelf")).alias("x")
+    if "notes" not in events.columns:
+        return events.groupBy("user_id", "work_id").agg(best).select("user_id", "work_id", "x.shelf", "x.finished_at")
+    noted = F.min(F.when(F.col("notes").isNotNull(), F.struct((-_rank()).alias("rank"), "ordinal", "notes"))).alias("y")
+    rows = events.groupBy("user_id", "work_id").agg(best, noted)
+    notes = F.when(-F.col("y.rank") == F.col("x.rank"), F.col("y.notes"))
+    return rows.select("user_id", "work_id", "x.shelf", "x.finished_at", notes.alias("notes"))
 
 
 def merge_shelves(old: DataFrame, new: DataFrame) -> DataFrame:
-    """K7: an existing shelf of read or dnf stays, else the new one counts; the later finish counts."""
-    o = old.select("user_id", "work_id", F.col("shelf").alias("o_shelf"), F.col("finished_at").alias("o_at"))
+    """K7: an existing shelf of read or dnf stays, else the new one counts; the later finish counts, and, where both have them, the
+    new notes before the old ones."""
+    noted = "notes" in old.columns and "notes" in new.columns
+    o = old.select("user_id", "work_id", F.col("shelf").alias("o_shelf"), F.col("finished_at").alias("o_at"), *([F.col("notes").alias("o_notes")] if noted else []))
     both = o.join(best_shelf(new), ["user_id", "work_id"], "full")
     shelf = F.when(F.col("o_shelf").isin("read", "dnf"), F.col("o_shelf")).otherwise(F.coalesce("shelf", "o_shelf"))
-    return both.select("user_id", "work_id", shelf.alias("shelf"), F.greatest("o_at", "finished_at").alias("finished_at"))
+    more = [F.coalesce("notes", "o_notes").alias("notes")] if noted else []
+    return both.select("user_id", "work_id", shelf.alias("shelf"), F.greatest("o_at", "finished_at").alias("finished_at"), *more)
 
 
 def with_previous(events: DataFrame) -> DataFrame:
@@ -161,6 +174,14 @@ def taste_summary(events: DataFrame, work_subject: DataFrame, work_author: DataF
     return rows.withColumns({c: F.array_join(c, ", ") for c in rows.columns if c.startswith("top_")})
 
 
+def get_or_build(stored: DataFrame, stale: DataFrame, build) -> DataFrame:
+    """The stored profiles (user_id, vector) of readers for whom nothing is newer, and for all others of stale (user_id, stale)
+    what build(user_ids) gives, in the same columns; `origin` says which. Only readers without a fresh profile are built."""
+    fresh = stored.join(stale.where("not stale").select("user_id"), "user_id", "left_semi")
+    todo = stale.select("user_id").join(fresh.select("user_id"), "user_id", "left_anti")
+    return fresh.withColumn("origin", F.lit("stored")).unionByName(build(todo).select(*stored.columns).withColumn("origin", F.lit("built")))
+
+
 def stale_profiles(profiles: DataFrame, *changes: DataFrame) -> DataFrame:
     """Whether anything (user_id, at) is newer than a reader's profile (user_id, updated_at)."""
     seen = changes[0]

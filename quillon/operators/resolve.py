@@ -229,6 +229,36 @@ def coverage(works: DataFrame, work_author: DataFrame, work_subject: DataFrame,
     return out.withColumns({"embedding_share": F.round(share, 6), "warning": F.when(share < 0.5, "few works have an embedding").otherwise("none")})
 
 
+def quality_warnings(works: DataFrame, own: DataFrame, work_author: DataFrame, work_subject: DataFrame) -> DataFrame:
+    """A row for each reader of own (user_id, work_id) with the shares of their works (work_id, title, is_stub) that have an
+    author, a subject, or are stubs, and the warnings that these and the catalogue's number of unknown titles give, in order."""
+    flag = lambda d, name: d.select("work_id").distinct().withColumn(name, F.lit(True))
+    rows = own.select("user_id", "work_id").distinct().join(works.select("work_id", "is_stub"), "work_id").join(flag(work_author, "a"), "work_id", "left").join(flag(work_subject, "s"), "work_id", "left")
+    n = F.count("*")
+    out = rows.groupBy("user_id").agg(n.alias("works"), (F.count_if("a") / n).alias("authors"), (F.count_if("s") / n).alias("subjects"), (F.count_if("is_stub") / n).alias("stubs"))
+    unknown = works.agg(F.count_if(F.col("title").ilike("unknown%")).alias("unknown_titles"))  # one row
+    each = [F.when(F.col("authors") < 0.5, F.lit("few authors")), F.when(F.col("subjects") < 0.3, F.lit("few subjects")), F.when(F.col("stubs") > 0.5, F.lit("many stubs")), F.when(F.col("unknown_titles") > 100, F.lit("many unknown titles"))]
+    warned = F.array_join(F.filter(F.array(*each), lambda w: w.isNotNull()), "; ")
+    return out.crossJoin(F.broadcast(unknown)).select("user_id", "works", *[F.round(c, 6).alias(c) for c in ("authors", "subjects", "stubs")], "unknown_titles", warned.alias("warnings"))
+
+
+def enrichment_stats(works: DataFrame, editions: DataFrame, rating: DataFrame) -> DataFrame:
+    """One row: works, stubs, works without a description, works with an edition without a cover, works rated by the outside
+    catalogue."""
+    one = works.agg(F.count("*").alias("works"), F.count_if("is_stub").alias("stubs"), F.count_if(F.col("description").isNull()).alias("missing_description"))
+    covers = editions.where("cover_url is null and cover_id is null").agg(F.count_distinct("work_id").alias("missing_cover"))
+    rated = rating.where("source = 'googlebooks'").agg(F.count_distinct("work_id").alias("with_outside_ratings"))
+    return one.crossJoin(covers).crossJoin(rated)  # a row each
+
+
+def asin_bridge(works: DataFrame, editions: DataFrame, ownership: DataFrame) -> DataFrame:
+    """Works with a placeholder title and the name that the reader's ownership records give an edition of theirs (asin,
+    product_name, acquired_at): one row a work, the latest acquired first, then by asin and name."""
+    rows = works.where(F.col("title").ilike("unknown%")).select("work_id").join(editions.select("work_id", "asin"), "work_id")
+    named = ownership.where(F.col("product_name").isNotNull() & ~F.col("product_name").ilike("not available%")).select("asin", "product_name", "acquired_at")
+    return first_per(rows.join(named, "asin"), ["work_id"], [F.col("acquired_at").desc_nulls_last(), "asin", "product_name"]).select("work_id", "asin", "product_name")
+
+
 def path_stats(routed: DataFrame) -> DataFrame:
     """Resolutions of each path, their mean confidence and share of stubs."""
     return routed.groupBy("path").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.round(F.avg(F.col("is_stub").cast("double")), 6).alias("stub_share"))

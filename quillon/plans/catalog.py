@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("documents", "files", "identity", "ratings", "reading", "recommend", "resolve", "search", "stores", "upkeep")
+MODULES = ("documents", "files", "identity", "quality", "ratings", "reading", "recommend", "resolve", "search", "stores", "upkeep")
 
 
 def _modules() -> list:

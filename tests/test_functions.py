@@ -84,3 +84,29 @@ def test_tables_are_replaced_and_upserted_from_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(seen) == [0, 1, 2]
+
+
+def test_hours_years_and_hashes(spark):
+    """Halves of exact binary values go up; dates in whole forms before years in texts; a hash over UTF-16 units."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    def shown(h):
+        fixed = lambda x, n: Decimal(x).quantize(Decimal(1).scaleb(-n), ROUND_HALF_UP)
+        return f"{fixed(h, 0)}h" if h >= 10 else f"{fixed(h, 1)}h" if h >= 1 else f"{fixed(max(h * 60, 1.0), 0)}m"
+
+    hours = [k / 40 for k in range(800)] + [3.15, 1.25, 9.95, 9.999, 10.5, 0.0, 0.001, 12345.5]
+    got = [r[0] for r in spark.createDataFrame([(h,) for h in hours], "h double").select(text.hours_text("h")).collect()]
+    assert got == [shown(h) for h in hours]
+
+    def hashed(s):
+        h = 0
+        units = s.encode("utf-16-le")
+        for k in range(0, len(units), 2):
+            h = (h * 31 + int.from_bytes(units[k : k + 2], "little") + 2**31) % 2**32 - 2**31
+        return h
+
+    texts = ["", "a", "hello world", "é日𝒳😀", "x" * 500, "\n\t"]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.string_hash("t")).collect()] == [hashed(t) for t in texts]
+    dates = ["1985-03-02", "1850-01-01", "March 5, 1850", "May 1985", "7 June 1799", "c1850", "c. 1950?", "1066", None, "", "x 2001 y"]
+    years = [1985, 1850, 1850, 1985, 1799, None, 1950, 1066, None, None, 2001]
+    assert [r[0] for r in spark.createDataFrame([(d,) for d in dates], "d string").select(text.date_year("d")).collect()] == years

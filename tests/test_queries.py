@@ -55,3 +55,5 @@ def test_entry_imports_without_the_llm_folder():
 
     code = "import sys; sys.modules['quillon.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'pipeline' not in e.queries() and len(e.queries()) > 60"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+    missing = code.replace("sys.modules['quillon.llm'] = None; sys.modules['corpus_pipeline'] = None", "sys.modules['zstandard'] = None")
+    subprocess.run([sys.executable, "-c", missing], check=True, cwd=Path(__file__).resolve().parent.parent)
