@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.lineage import cut
+
 
 def keep_top(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each key. The rank limit is pushed below the shuffle, so a task sends k rows a key."""
@@ -31,6 +33,11 @@ def also_read_jaccard(log: DataFrame, work_id: int, least: int = 2, k: int = 20)
     return shared.join(sizes, "work_id").crossJoin(F.broadcast(own)).select("work_id", "overlap", F.round(j, 6).alias("jaccard")).orderBy(F.col("jaccard").desc(), "work_id").limit(k)
 
 
+def reading_pairs(log: DataFrame) -> DataFrame:
+    """work_id, user_id, once each: what co-reading is counted from."""
+    return log.select("work_id", "user_id").distinct()
+
+
 def list_mates(seeds: DataFrame, work_id: int, k: int = 20) -> DataFrame:
     """Works that share lists with one work."""
     lists = seeds.where(F.col("work_id") == work_id).select("list_id")
@@ -98,5 +105,5 @@ def similar_tiered(co: DataFrame, log: DataFrame, work_id: int, k: int = 20) ->
     """The stored neighbours of overlap 2, else of overlap 1, else those by readers; the first tier that has any."""
     tiers = similar_works(co, work_id, 2, k).withColumn("tier", F.lit(1)).unionByName(similar_works(co, work_id, 1, k).withColumn("tier", F.lit(2)))
     live = also_read_jaccard(log, work_id, 3, k).select(F.col("work_id").alias("related_id"), "overlap", F.col("jaccard").cast("decimal(6,5)").alias("jaccard")).withColumn("tier", F.lit(3))
-    rows = tiers.unionByName(live)
+    rows = cut(tiers.unionByName(live), "tiers")  # 3 * k rows, read twice
     return rows.join(F.broadcast(rows.agg(F.min("tier").alias("tier"))), "tier").select("related_id", "overlap", "jaccard", "tier")

@@ -38,6 +38,11 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df (written or otherwise cheap to count), broadcast if it has so few rows; else as it is, and its join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def manifest(spark: SparkSession, source: str) -> DataFrame:
     """path, length, modificationTime of every file under a folder. No file is opened."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select("path", "length", "modificationTime")

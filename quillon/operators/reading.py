@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,19 +131,69 @@ def signals(weighted: DataFrame) -> DataFrame:
     )
 
 
+def _added(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    """Sum of two vectors, the shorter one padded."""
+    if a is None or not len(a):
+        return b
+    if len(a) != len(b):
+        a, b = (np.pad(x, (0, max(len(a), len(b)) - len(x))) for x in (a, b))
+    return a + b
+
+
+#: Readers whose sums a task holds before it hands them on.
+HELD_READERS = 2_000
+
+
+def _reader_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """user_id, plus, plus_weight, minus, minus_weight: weighted sums of vectors by sign of the weight, added up over rows."""
+    held: dict = {}
+
+    def flush() -> pa.RecordBatch:
+        lists = lambda k: pa.array([None if x[k] is None else x[k].tolist() for x in held.values()], pa.list_(pa.float64()))
+        plain = lambda k: pa.array([x[k] for x in held.values()], pa.float64())
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), lists(0), plain(1), lists(2), plain(3)], ["user_id", "plus", "plus_weight", "minus", "minus_weight"])
+        held.clear()
+        return out
+
+    for batch in batches:
+        users, weights, vectors = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2)
+        ends = np.concatenate([[0], np.cumsum(vectors.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        for k, (user, w) in enumerate(zip(users, weights, strict=True)):
+            sums, at = held.setdefault(user, [None, 0.0, None, 0.0]), 0 if w > 0 else 2
+            sums[at] = _added(sums[at], w * flat[ends[k] : ends[k + 1]])
+            sums[at + 1] += w
+        if len(held) > HELD_READERS:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def _reader_taste(against: float):
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        sums = {}
+        for side in ("plus", "minus"):
+            total = None
+            for x in table[side].to_pylist():
+                total = total if x is None else _added(total, np.array(x))
+            sums[side] = (total, sum(table[f"{side}_weight"].to_pylist()))
+        (plus, n), (minus, m) = sums["plus"], sums["minus"]
+        if plus is None:
+            return pa.table({"user_id": pa.array([], pa.int64()), "vector": pa.array([], pa.list_(pa.float64()))})
+        taste = plus / n if minus is None else _added(plus / n, -against * (minus / m))
+        length = float(np.sqrt(taste @ taste))
+        return pa.table({"user_id": pa.array([key[0].as_py()], pa.int64()), "vector": pa.array([(taste / length if length > 0 else taste).tolist()], pa.list_(pa.float64()))})
+
+    return one
+
+
 def profile_vector(weighted: DataFrame, works: DataFrame, against: float = 0.3) -> DataFrame:
-    """V6, V7: each reader's taste: mean of the works with positive weight less against times that of the others, length 1."""
-    rows = weighted.where("weight <> 0").join(works.where("embedding is not null").select("work_id", "embedding"), "work_id")
-    flat = rows.select("user_id", "weight", F.posexplode("embedding").alias("k", "x"))
-    part = lambda c, v: F.sum(F.when(c, v))
-    good, bad, wx = F.col("weight") > 0, F.col("weight") < 0, F.col("weight") * F.col("x")
-    # Both means of a dimension in one pass; sums are added up before the shuffle.
-    sums = flat.groupBy("user_id", "k").agg((part(good, wx) / part(good, F.col("weight"))).alias("plus"), (part(bad, wx) / part(bad, F.col("weight"))).alias("minus"))
-    taste = sums.where("plus is not null").select("user_id", "k", (F.col("plus") - against * F.coalesce("minus", F.lit(0.0))).alias("x"))
-    # The length is summed beside the elements: within a function over them it would be worked out for each.
-    one = taste.groupBy("user_id").agg(F.collect_list(F.struct("k", "x")).alias("s"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    divided = F.transform(F.array_sort("s"), lambda e: F.when(F.col("length") > 0, e["x"] / F.col("length")).otherwise(e["x"]))
-    return one.select("user_id", divided.alias("vector"))
+    """V6, V7: each reader's taste: mean of the works with positive weight less against times that of the others, length 1; none
+    for a reader without positive weights. Each task adds up its vectors by reader, so a row for each reader and task is
+    shuffled, not one for each event and dimension."""
+    rows = weighted.where("weight <> 0").join(works.where("embedding is not null").select("work_id", F.col("embedding").cast("array<double>").alias("embedding")), "work_id")
+    sums = rows.select(F.col("user_id").cast("long").alias("user_id"), F.col("weight").cast("double").alias("weight"), "embedding").mapInArrow(_reader_sums, "user_id long, plus array<double>, plus_weight double, minus array<double>, minus_weight double")
+    return sums.groupBy("user_id").applyInArrow(_reader_taste(against), "user_id long, vector array<double>")
 
 
 def anchors(weighted: DataFrame, k: int = 10) -> DataFrame:

@@ -20,6 +20,13 @@ def page(rows: DataFrame, order: list, number: int, size: int, most: int = 100)
     return rows.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, number: str, id_col: str, after: tuple[int, int] | None, size: int) -> DataFrame:
+    """L3 by keys: the next `size` rows by number descending, then id, behind the row `after` (number, id) that ended the page before
+    (None: the first page). No row before it is sorted or counted, however far the reader has come."""
+    behind = F.lit(True) if after is None else (F.col(number) < after[0]) | ((F.col(number) == after[0]) & (F.col(id_col) > after[1]))
+    return rows.where(behind & F.col(number).isNotNull()).orderBy(F.col(number).desc(), id_col).limit(size)
+
+
 #: Postings of one trigram that meet in one group of a join; a hotter trigram's are dealt to blocks of about so many.
 BLOCK = 2_000
 

@@ -12,7 +12,7 @@ from quillon.operators import reading as rd
 from quillon.operators import recommend as rc
 from quillon.plans.ratings import PAIRS_SQL, QUALITY_SQL, WORK
 from quillon.plans.reading import TASTE_SQL, USER, WEIGHT_VIEWS, EDGES_SQL, LPA_SQL, graph_edges, weighted
-from quillon.operators.lineage import table
+from quillon.operators.lineage import cut, small, table
 from quillon.sources.fixtures import SESSIONS_AS_OF, Catalogue, as_of, sql
 
 #: Sizes of the parts of a reader's candidates, and of those of one book.
@@ -43,6 +43,16 @@ def _seen(c: Catalogue):
     return _own(c).select("work_id").distinct()
 
 
+def _edges(c: Catalogue):
+    """The graph's edges, written once."""
+    return table(c.spark, c.dir, "graph-edges", lambda: graph_edges(c))
+
+
+def _pairs(c: Catalogue):
+    """Who read what, written once; co-reading looks at it several times."""
+    return table(c.spark, c.dir, "reading-pairs", lambda: co.reading_pairs(c.reading_log))
+
+
 def _nearest(c: Catalogue, one, excluded, k: int):
     """The k works next to a vector (one row)."""
     new = c.work.where("embedding is not null").join(excluded, "work_id", "left_anti")
@@ -52,12 +62,12 @@ def _nearest(c: Catalogue, one, excluded, k: int):
 
 def _general(c: Catalogue):
     """Four sources. The profile is one row and the anchors are ten: these are broadcast."""
-    out = _excluded(c)
+    out = cut(_excluded(c), "excluded")
     vec = _nearest(c, rd.profile_vector(_own(c), c.work).select("vector"), out, GENERAL)
-    edges, anchors = graph_edges(c), _anchors(c, READER_ANCHORS)
+    edges, anchors = _edges(c), _anchors(c, READER_ANCHORS)
     some = lambda k: F.broadcast(anchors.where(F.col("position") <= k))
     mid = edges.join(some(GRAPH_ANCHORS), F.col("work_id") == F.col("anchor")).select("node", "anchor", "weight", "position").distinct()
-    near = edges.join(F.broadcast(mid), "node").where("work_id <> anchor").select("work_id", "anchor", "weight", "position").distinct()
+    near = edges.join(small(cut(mid, "mid")), "node").where("work_id <> anchor").select("work_id", "anchor", "weight", "position").distinct()
     near = near.select("work_id", F.lit("graph").alias("source"), F.col("position").alias("seq"), (0.5 * F.col("weight")).alias("sim"))
     batch = co.similar_works_batch(c.cooccurrence, anchors.select(F.col("anchor").alias("work_id")), EACH_READERS)
     cf = batch.join(F.broadcast(anchors), F.col("work_id") == F.col("anchor"))
@@ -71,11 +81,11 @@ def _general(c: Catalogue):
 
 def _by_book(c: Catalogue):
     """R11 for one work: works of the reader, blocked ones and the work itself are left out; a book without a vector has none."""
-    out = _excluded(c).union(c.work.where(F.col("work_id") == WORK).select("work_id"))
+    out = cut(_excluded(c).union(c.work.where(F.col("work_id") == WORK).select("work_id")), "excluded")
     seed = c.work.where((F.col("work_id") == WORK) & F.col("embedding").isNotNull()).select(F.col("embedding").alias("vector"))
     vec = _nearest(c, seed, out, BY_BOOK)
-    near = gr.two_hops(graph_edges(c), WORK).select("work_id", F.lit("graph").alias("source"), F.lit(1).alias("seq"), F.lit(0.5).alias("sim"))
-    cf = co.similar_tiered(c.cooccurrence, c.reading_log, WORK, SIMILAR).select(F.col("related_id").alias("work_id"), F.lit("readers").alias("source"), F.lit(1).alias("seq"), (0.3 + 0.5 * F.col("jaccard").cast("double")).alias("sim"))
+    near = gr.two_hops(_edges(c), WORK).select("work_id", F.lit("graph").alias("source"), F.lit(1).alias("seq"), F.lit(0.5).alias("sim"))
+    cf = co.similar_tiered(c.cooccurrence, _pairs(c), WORK, SIMILAR).select(F.col("related_id").alias("work_id"), F.lit("readers").alias("source"), F.lit(1).alias("seq"), (0.3 + 0.5 * F.col("jaccard").cast("double")).alias("sim"))
     lists = co.list_mates(c.list_seed, WORK, MATES).select("work_id", F.lit("lists").alias("source"), F.lit(1).alias("seq"), F.least(F.lit(0.6), 0.2 + 0.05 * F.col("shared_lists")).alias("sim"))
     hits = vec.unionByName(near.unionByName(cf).unionByName(lists).join(out, "work_id", "left_anti"))
     # A graph hit adds 0.15 whatever it would score alone.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import scoring, text
 from quillon.operators import index as ix
 from quillon.operators import ratings as rt
+from quillon.operators import resolve as rs
 from quillon.operators.lineage import files
 from quillon.plans.ratings import CO_VIEWS, PAIRS_SQL
 from quillon.plans.recommend import USER, _anchors, _base
@@ -111,6 +112,7 @@ def queries() -> dict:
         "quarantine": on(_checked),
         "cooccurrence_stats": on(lambda c: c.cooccurrence.agg(F.count("*").alias("pairs"), F.count_distinct("a").alias("works"), F.round(F.avg(F.col("jaccard").cast("double")), 4).alias("avg_jaccard"), F.round(F.avg("overlap"), 4).alias("avg_overlap"))),
         "pagination": on(_page),
+        "pagination_by_key": on(lambda c: rs.page_after(c.work.select("work_id", "title", "first_publish_year"), "first_publish_year", "work_id", (1985, 100), 40)),
         "placeholder_queue": on(lambda c: c.work.select("work_id", F.when(F.col("work_id") % 9 == 0, F.lit("Unknown title")).otherwise(F.col("title")).alias("title")).where(F.col("title").ilike("unknown%")).join(c.edition.groupBy("work_id").agg(F.min("asin").alias("asin")), "work_id")),
         "stub_queue": on(lambda c: _queue(c, _described(c).where("is_stub"))),
         "missing_data_queue": on(lambda c: _queue(c, _described(c).where("is_stub or description is null or cover_url is null"))),
@@ -133,6 +135,7 @@ def oracle_sql() -> dict[str, str]:
         "quarantine": "select broken_rule, count(*) n from (select case when not (round(value / 50)::int between 1 and 5) then 'rating' when event_type not in ('view', 'click', 'purchase') then 'kind' when event_id % 13 = 0 then 'reader' else 'none' end broken_rule from events) group by 1",
         "cooccurrence_stats": sql("select count(*) pairs, count(distinct a) works, round(avg(jaccard::double), 4) avg_jaccard, round(avg(overlap), 4) avg_overlap from cooc", CO_VIEWS, **PAIRS_SQL),
         "pagination": sql("select work_id, title, first_publish_year, (select count(*) from work where first_publish_year >= 1970) total, ceil((select count(*) from work where first_publish_year >= 1970) / 40.0)::bigint pages from work where first_publish_year >= 1970 order by first_publish_year desc, work_id limit 40 offset 80", "work"),
+        "pagination_by_key": sql("select work_id, title, first_publish_year from work where first_publish_year < 1985 or (first_publish_year = 1985 and work_id > 100) order by first_publish_year desc, work_id limit 40", "work"),
         "placeholder_queue": sql("select work_id, 'Unknown title' title, min(asin) asin from edition where work_id % 9 = 0 and work_id in (select work_id from work) group by 1", "work edition"),
         "stub_queue": queue("is_stub"),
         "missing_data_queue": queue(missing),
