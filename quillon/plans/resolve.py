@@ -129,6 +129,8 @@ def queries() -> dict:
         "title_dedupe_candidates": on(lambda c: rs.title_duplicates(c.work).select("x", "y", F.round("similarity", 6).alias("similarity"), "works_x", "works_y")),
         "asin_duplicates": on(lambda c: rs.asin_duplicates(c.edition)),
         "merge_works": on(lambda c: rs.merge_map(c.redirect.select(F.col("old_key").alias("a"), F.col("new_key").alias("b")), checkpoint=cut)),
+        # Another name of the query before, kept for its callers.
+        "merge_works_whole": on(lambda c: rs.merge_map(c.redirect.select(F.col("old_key").alias("a"), F.col("new_key").alias("b")), checkpoint=cut)),
         "shared_identifier": on(lambda c: rs.shared_identifiers(*[_identified(c)] * 2, ["isbn13", "asin"])),
         "shared_identifier_classes": on(lambda c: rs.identifier_classes(c.edition.select("work_id", F.concat(F.lit("i"), F.col("page_count").cast("string")).alias("isbn13"), "asin"), ["isbn13", "asin"])),
         "isbn_normalise": on(lambda c: _isbns(c).select("id", text.normalize_isbn("isbn").alias("isbn10"), text.isbn10_to_13(text.normalize_isbn("isbn")).alias("isbn13"))),
@@ -186,7 +188,7 @@ def oracle_sql() -> dict[str, str]:
         "title_dedupe_candidates": sql(f"select x.name x, y.name y, round({_jaccard('x.g', 'y.g')}, 6) similarity, x.n works_x, y.n works_y from t x join t y on x.name < y.name where {_jaccard('x.g', 'y.g')} >= 0.5", "work", t=f"select name, n, {tri('name')} g from (select lower(title) name, count(*) n from work group by 1)"),
         "asin_duplicates": sql("select asin, work_id, canonical, works from (select *, min(work_id) over (partition by asin) canonical, count(*) over (partition by asin) works from (select distinct asin, work_id from edition)) where works > 1", "edition"),
         # Redirects halve even keys, so a work ends at its odd part.
-        "merge_works": sql("select old_key from_id, old_key // (old_key & -old_key) to_id from redirect", "redirect"),
+        **dict.fromkeys(("merge_works", "merge_works_whole"), sql("select old_key from_id, old_key // (old_key & -old_key) to_id from redirect", "redirect")),
         "shared_identifier": sql("select a, b, case when min(p) = 0 then 'isbn13' else 'asin' end match_type from (select x.work_id a, y.work_id b, 0 p from ed x join ed y on x.isbn13 = y.isbn13 and x.work_id < y.work_id union all select x.work_id, y.work_id, 1 from ed x join ed y on x.asin = y.asin and x.work_id < y.work_id) group by 1, 2", "", ed="select distinct l_partkey work_id, concat('i', l_orderkey, '-', l_suppkey) isbn13, concat('B', l_orderkey, '-', l_linenumber) asin from lineitem"),
         "isbn_normalise": sql("select * from full_", "", **{("full_" if k == "full" else k): v for k, v in ISBN_SQL.items()}),
         "resolve_isbn_batch": sql("select f.id, f.isbn13, k.work_id from full_ f left join (select isbn13, min(id) work_id from full_ where id % 3 = 0 group by 1) k on f.isbn13 = k.isbn13", "", **{("full_" if k == "full" else k): v for k, v in ISBN_SQL.items()}),
