@@ -231,6 +231,10 @@ def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
     return rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *rest)
 
 
+#: Shingles of a usual row: blocks of rows are made smaller where rows have more on average.
+ROW_SHINGLES = 1_000
+
+
 def _pairs(out: list) -> pa.RecordBatch:
     a = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0].copy()), pa.array(a[:, 1].copy())], ["a", "b"])
@@ -313,7 +317,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, a: int
     members = possible.select("id", "comp").distinct()
     members = with_partner(members, "comp", "id", clusters.select(F.col("node").alias("comp"), F.col("component").alias("key")))
     members = materialize(members.join(sized, F.col("id") == F.col("i")).select("key", "id", "comp", "n", "sig"), "minhash-members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    # A cluster of long texts counts as one of more rows, so that a block's sets are bounded in bytes, not in number alone.
+    sizes = members.groupBy("key").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / ROW_SHINGLES)).alias("size"))
     members = with_partner(members, "key", "id", sizes).select("key", "size", "id", "comp", "n", "sig")
     dealt = _in_blocks(members, block // 4)
     dealt = dealt.join(texts.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select("key", "low", "high", "block", "id", "comp", "n", "sig", "text")

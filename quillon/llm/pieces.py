@@ -298,7 +298,9 @@ def decode_pieces(rows: DataFrame, model: str, ids_col: str = "ids", out_col: st
 
 
 def round_trip(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """encode_pieces() and decode_pieces() of its ids, with begin and end ids, by one worker in one pass."""
+    """encode_pieces() and decode_pieces() of its ids, with begin and end ids, by one worker in one pass. Null and empty texts
+    have the two ids and decode to an empty text; very long texts go whole; rows repeat as in docs; columns named as the
+    results give way to them, all others stay; an empty table gives no rows."""
     rest = docs.drop(ids_col, out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +316,7 @@ def round_trip(docs: DataFrame, model: str, text_col: str = "text", ids_col: str
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document's round trip."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row's round trip (see round_trip); null ids stay null."""
     return round_trip(docs.select("doc_id", "text"), model).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -319,7 +319,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """docs' rows whose score is below the threshold, as they are. One pass, no shuffle."""
+    """docs' rows whose score is below the threshold, as they are. One pass, no shuffle. Null, empty and wordless texts score as
+    one without segments and stay, as their model's bias has it; very long texts count whole; a score at the threshold goes;
+    repeated rows are judged alike; an empty table gives none; other columns, whatever their names, stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity", lambda: None)
@@ -354,7 +356,9 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", max_docs: int = 20_000) -> DataFrame:
     """docs' labelled rows, at most about max_docs of each label, picked by a hash of the id, and weight: how many of its
     label one stands for. The picked labels are at most
-    2 * max_docs rows (about), so they are broadcast and the texts are not shuffled. Ids with differing labels are toxic."""
+    2 * max_docs rows (about), so they are broadcast and the texts are not shuffled. Ids with differing labels are toxic. Columns
+    of docs that are named as the label or weight give way to these; rows of null ids have no label; rows repeat as in docs."""
+    docs = docs.drop(label_col, "weight")
     one = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias(label_col))
     sizes = dict(one.groupBy(label_col).count().collect())
     picked = None

@@ -106,10 +106,16 @@ def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     n = first.count()
     # Payloads that occur once are not in the table. Where it is small, no payload is shuffled; else by digest and salt, so
     # copies of one page don't meet in one task.
-    joined = keyed.join(F.broadcast(first), ["sha", "size"], "left") if n <= BROADCAST_ROWS // 4 else with_partner(keyed.drop("size"), "sha", "page_id", first.drop("size"), how="left")
+    joined = keyed.join(F.broadcast(first), ["sha", "size"], "left") if n <= BROADCAST_ROWS // 4 else _with_first(keyed, first)
     return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
+def _with_first(keyed: DataFrame, first: DataFrame) -> DataFrame:
+    """keyed with `first` of its SHA-1 and length. The two are one key, of which copies of one page are dealt by salts."""
+    one = F.struct("sha", "size").alias("_payload")
+    return with_partner(keyed.select("*", one), "_payload", "page_id", first.select(one, "first"), how="left").drop("_payload")
+
+
 def write_monolithic(plan: DataFrame, path: str, level: int = 1) -> DataFrame:
     """Write one archive for each partition, as one gzip stream: file string, records long."""
 
