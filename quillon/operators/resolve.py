@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scoring, text
+from quillon.operators.lineage import cut
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -50,6 +51,7 @@ def fuzzy_pairs(rows: DataFrame, key: str, name: str, threshold: float) -> DataF
     that. At low thresholds names are filed under common grams too: those are dealt to blocks, so no gram is one task's.
     """
     names = rows.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("grams", text.trigrams("name")).where(F.size("grams") > 0)
+    names = cut(names, "names")  # grams are worked out once, for the filing and for both sides of what is compared
     grams = names.select("name", F.explode("grams").alias("gram"), F.size("grams").alias("n"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("df"))
     w = Window.partitionBy("name").orderBy("df", "gram")
@@ -62,8 +64,9 @@ def fuzzy_pairs(rows: DataFrame, key: str, name: str, threshold: float) -> DataF
     once = F.when(F.col("_i") == F.col("_j"), F.col("p") < F.col("q")).otherwise(F.lit(True))
     sized = F.least("np", "nq") >= threshold * F.greatest("np", "nq") - 1e-9
     near = a.join(b, ["gram", "_i", "_j"]).where(once & sized & enough).select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
-    sim = text.trigram_similarity("x", "y")
-    return near.withColumn("similarity", sim).where(F.col("similarity") >= threshold)
+    side = lambda c: names.select(F.col("name").alias(c), F.col("grams").alias(f"{c}_grams"))
+    both = near.join(side("x"), "x").join(side("y"), "y")
+    return both.select("x", "y", text.overlap(F.col("x_grams"), F.col("y_grams")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def like_names(names: DataFrame, over: float) -> DataFrame:
