@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.lineage import cut
+from quillon.operators.lineage import cut, parts
+
+#: Pairs that a task counts.
+PAIRS_EACH = 1_000_000
 
 
 def keep_top(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
@@ -45,14 +48,39 @@ def list_mates(seeds: DataFrame, work_id: int, k: int = 20) -> DataFrame:
     return counts.orderBy(F.col("shared_lists").desc(), "work_id").limit(k)
 
 
+def pairs_at_most(seeds: DataFrame) -> int:
+    """How many pairs the lists of seeds have, repeats counted."""
+    lengths = seeds.groupBy("list_id").agg(F.count("*").alias("n"))
+    return lengths.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
+
+
+def dealt(rows: DataFrame, n: int, key: str = "list_id") -> DataFrame:
+    """rows with _chunk, a hash of key, in n partitions by it: what is grouped by _chunk and more needs no further shuffle."""
+    return rows.withColumn("_chunk", F.pmod(F.xxhash64(key), F.lit(16 * n)).cast("int")).repartition(n, "_chunk")
+
+
+def pairs_of(rows: DataFrame, n: int, fields: list[str], value: Column, name: str = "overlap") -> DataFrame:
+    """a < b and the sum of value over the lists that hold both works. rows: list_id, work_id, once a list, and fields, which value
+    sees as x.field and y.field. Lists are brought together once, in n partitions; pairs are added up there before they are
+    shuffled, and then by pair, again in n partitions: both hold a bounded number of pairs, whatever the session's settings."""
+    entry = F.struct("work_id", *fields)
+    lists = dealt(rows.where("list_id is not null and work_id is not null"), n).groupBy("_chunk", "list_id").agg(F.array_sort(F.collect_list(entry)).alias("w"))
+    firsts = lists.select("_chunk", "w", F.posexplode("w").alias("i", "x"))
+    pairs = firsts.select("_chunk", "x", F.explode(F.expr("slice(w, i + 2, size(w))")).alias("y"))
+    pairs = pairs.select("_chunk", F.col("x.work_id").alias("a"), F.col("y.work_id").alias("b"), value.alias(name)).where((F.col("a") < F.col("b")) & (F.col(name) != 0))
+    within = pairs.groupBy("_chunk", "a", "b").agg(F.sum(name).alias(name))
+    return within.select("a", "b", name).repartition(n, "a", "b").groupBy("a", "b").agg(F.sum(name).alias(name))
+
+
 def list_pairs(seeds: DataFrame, min_lists: int = 2, min_overlap: int = 2) -> DataFrame:
     """Works a < b with their overlap of lists and its Jaccard similarity. Works on too few lists go before the
-    self-join; pairs are counted before the shuffle. A list has at most 1,000 seeds, as the reader of dumps keeps them (S12), so
-    the pairs of one list are bounded."""
-    sizes = seeds.groupBy("work_id").agg(F.count("*").alias("lists")).where(F.col("lists") >= min_lists)
+    self-join; pairs are counted before the shuffle, in as many tasks as their number asks for. A list has at most 1,000 seeds,
+    as the reader of dumps keeps them (S12), so the pairs of one list are bounded."""
+    seeds = cut(seeds.select("list_id", "work_id"), "list-seeds")
+    n = parts(seeds.sparkSession, pairs_at_most(seeds), PAIRS_EACH)
+    sizes = cut(seeds.groupBy("work_id").agg(F.count("*").alias("lists")).where(F.col("lists") >= min_lists), "list-sizes")
     kept = seeds.join(sizes.select("work_id"), "work_id", "left_semi")
-    left, right = kept.select("list_id", F.col("work_id").alias("a")), kept.select("list_id", F.col("work_id").alias("b"))
-    pairs = left.join(right, "list_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= min_overlap)
+    pairs = pairs_of(kept, n, [], F.lit(1)).where(F.col("overlap") >= min_overlap)
     sized = pairs.join(sizes.select(F.col("work_id").alias("a"), F.col("lists").alias("na")), "a").join(sizes.select(F.col("work_id").alias("b"), F.col("lists").alias("nb")), "b")
     return sized.select("a", "b", "overlap", (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).cast("decimal(6,5)").alias("jaccard"))
 

@@ -43,6 +43,12 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def parts(spark: SparkSession, rows: int, each: int) -> int:
+    """Into how many partitions so many rows are dealt: a partition has about `each` at most, whatever the session's number of
+    shuffle partitions, and all cores have some as soon as there is work for them."""
+    return max(1 + rows // each, min(spark.sparkContext.defaultParallelism, 1 + rows * 20 // each))
+
+
 def manifest(spark: SparkSession, source: str) -> DataFrame:
     """path, length, modificationTime of every file under a folder. No file is opened."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select("path", "length", "modificationTime")

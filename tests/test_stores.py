@@ -345,3 +345,15 @@ def test_documents_of_odd_rows(spark):
     assert set(got) == {1, 2} and [(a["id"], a["role"]) for a in got[1]["authors"]] == [(7, "author"), (8, "author"), (9, "editor"), (6, None)]
     assert got[1]["title"] == 'a "quoted" title' and got[1]["subjects"] == ["a", "b"] and got[1]["editions"] == [{"asin": "B1", "page_count": None}, {"asin": "B2", "page_count": 10}] and got[1]["rating"] == {"average": "4.2500", "count": 8} and got[1]["reading"] is None
     assert got[2] == {"id": 2, "title": None, "year": None, "series": "s", "cover": None, "authors": [], "subjects": [], "editions": [], "rating": None, "reading": {"total_ms": 60000, "sessions": 2}}
+
+
+def test_pairs_are_dealt_by_their_number(spark):
+    """Tasks hold a bounded number of pairs, whatever the session's number of shuffle partitions."""
+    seeds = spark.range(30_000).select((F.col("id") / 100).cast("long").alias("list_id"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("work_id")).distinct().cache()
+    most = collaborative.pairs_at_most(seeds)
+    assert lineage.parts(spark, most, most // 10) >= 10 and lineage.parts(spark, 0, 100) == 1
+    found = collaborative.pairs_of(seeds, 10, [], F.lit(1))
+    assert found.rdd.getNumPartitions() == 10 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x, y = seeds.alias("x"), seeds.alias("y")
+    plain = x.join(y, F.expr("x.list_id = y.list_id and x.work_id < y.work_id")).groupBy(F.col("x.work_id"), F.col("y.work_id")).agg(F.count("*"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
