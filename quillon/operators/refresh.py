@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.lineage import cut, fingerprint
+from quillon.operators.collaborative import PAIRS_EACH, pairs_at_most, pairs_of
+from quillon.operators.lineage import cut, fingerprint, parts
 from quillon.sources.versions import Store
 
 PAIR_TABLES = {
@@ -15,42 +16,45 @@ PAIR_TABLES = {
 }
 
 
-def differences(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of new that old lacks with s = 1, those of old that new lacks with s = -1; both have distinct rows, without nulls."""
-    by = old.columns
-    came = new.join(old, by, "left_anti").select(*by, F.lit(1).alias("s"))
-    return came.unionByName(old.join(new, by, "left_anti").select(*by, F.lit(-1).alias("s")))
+def states(old: DataFrame, new: DataFrame) -> DataFrame:
+    """list_id, work_id, was, now (0 or 1 each) of every row of either; both have distinct rows, without nulls."""
+    flag = lambda rows, was, now: rows.select("list_id", "work_id", F.lit(was).alias("was"), F.lit(now).alias("now"))
+    return flag(old, 1, 0).unionByName(flag(new, 0, 1)).groupBy("list_id", "work_id").agg(F.max("was").alias("was"), F.max("now").alias("now"))
 
 
 def _merged(old: DataFrame, delta: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Counts with signed differences added; what comes to 0 goes."""
-    return old.unionByName(delta).groupBy(*keys).agg(F.sum(value).alias(value)).where(F.col(value) > 0)
+    """Counts with signed differences added; what comes to 0 goes. Both are written tables, so counting their rows is cheap."""
+    if old.isEmpty():
+        return delta.where(F.col(value) > 0)
+    rows = old.unionByName(delta.select(*old.columns))
+    n = parts(rows.sparkSession, rows.count(), PAIRS_EACH)
+    return rows.repartition(n, *keys).groupBy(*keys).agg(F.sum(value).alias(value)).where(F.col(value) > 0)
 
 
 def refresh_pairs(store: Store, seeds: DataFrame, note: str | None = None) -> int:
     """Bring store's list pairs to the state of seeds (list_id, work_id): its new version, or the one there is if nothing
     changed.
 
-    A pair's change in a list is da * new_b + old_a * db for signed differences da, db, so only lists with a difference are
-    joined, with what came and went on one side; a first run has all lists there. Of the stored counts only the parts that the
-    changes touch are rewritten. Lists are joined as in list_pairs: the reader of dumps bounds a list's length.
+    A pair's change in a list is now_a * now_b - was_a * was_b, so only lists with a difference are looked at; a first run has
+    all lists there. Of the stored counts only the parts that the changes touch are rewritten. Lists are brought together as in
+    list_pairs: the reader of dumps bounds a list's length.
     """
     new = cut(seeds.select(F.col("list_id").cast("long"), F.col("work_id").cast("long")).dropna().distinct(), "refresh-seeds")
-    old = store.read("seeds")
-    delta = cut(differences(old, new), "refresh-delta")
+    rows = cut(states(store.read("seeds"), new), "refresh-states")
+    delta = rows.where("was <> now")
     if delta.isEmpty():
         return store.latest()[0]
-    named = lambda rows, name, *more: rows.select("list_id", F.col("work_id").alias(name), *more)
-    changes = named(delta, "a", "s").join(named(new, "b"), "list_id").unionByName(named(old, "a").join(named(delta, "b", "s"), "list_id"))
-    pairs = changes.where("a < b").groupBy("a", "b").agg(F.sum("s").alias("overlap")).where("overlap <> 0")
-    pairs = cut(pairs, "refresh-pairs")
-    sizes = delta.groupBy("work_id").agg(F.sum("s").alias("lists"))
+    rows = cut(rows.join(delta.select("list_id").distinct(), "list_id", "left_semi"), "refresh-lists")
+    n = parts(store.spark, pairs_at_most(rows), PAIRS_EACH)
+    change = F.col("x.now") * F.col("y.now") - F.col("x.was") * F.col("y.was")
+    pairs = cut(pairs_of(rows, n, ["was", "now"], change).where("overlap <> 0"), "refresh-pairs")
+    sizes = cut(delta.groupBy("work_id").agg(F.sum(F.col("now") - F.col("was")).alias("lists")), "refresh-sizes")
     out = {}
-    for name, rows, keys, value in (("overlaps", pairs, ["a", "b"], "overlap"), ("sizes", sizes, ["work_id"], "lists")):
-        parts = store.touched(name, rows)
-        out[name] = (_merged(store.read(name, parts), rows, keys, value), parts)
-    parts = store.touched("seeds", delta)
-    return store.commit(out | {"seeds": (new.where(store.part("seeds").isin(*parts)), parts)}, note)
+    for name, changed, keys, value in (("overlaps", pairs, ["a", "b"], "overlap"), ("sizes", sizes, ["work_id"], "lists")):
+        touched = store.touched(name, changed)
+        out[name] = (_merged(store.read(name, touched), changed, keys, value), touched)
+    touched = store.touched("seeds", delta)
+    return store.commit(out | {"seeds": (new.where(store.part("seeds").isin(*touched)), touched)}, note)
 
 
 def stored_pairs(store: Store, min_overlap: int = 2) -> DataFrame:

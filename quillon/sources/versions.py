@@ -67,9 +67,10 @@ class Store:
                 paths.pop((name, part), None)
             if not len(gone):
                 continue
+            # A large part is split into several files, each by a task of its own.
             folder = f"{self.folder}/{name}/{uuid.uuid4().hex}"
             columns = self.spark.createDataFrame([], schema).columns
-            rows.select(*columns, self.part(name).alias("_part")).repartition("_part").write.partitionBy("_part").parquet(folder)
+            rows.select(*columns, self.part(name).alias("_part")).hint("rebalance", "_part").write.partitionBy("_part").parquet(folder)
             try:
                 full = [r[0] for r in self.spark.read.schema("_part int").option("basePath", folder).parquet(folder).select("_part").distinct().collect()]
             except AnalysisException:  # no rows, no files
