@@ -45,7 +45,7 @@ def _highlights(c: Catalogue):
 
 def _profiles(c: Catalogue):
     authored = c.table("lineitem").select(F.col("l_partkey").alias("work_id"), F.col("l_suppkey").alias("author_id")).distinct().join(c.author, "author_id").select("work_id", "name")
-    summary = rd.taste(c.user_event, c.work_subject, authored)
+    summary = rd.taste(c.kept_events, c.work_subject, authored)
     return dc.profile_documents(summary, rd.anchors(weighted(c)), c.work)
 
 

@@ -8,6 +8,7 @@ from quillon.functions import text
 from quillon.operators import identity as idn
 from quillon.operators import reading as rd
 from quillon.operators import resolve as rs
+from quillon.operators.lineage import table
 from quillon.plans.identity import _merges, _works
 from quillon.plans.reading import NEW_EVENTS_SQL, TASTE_SQL, TOTALS_SQL, WEIGHT_VIEWS, totals, weighted
 from quillon.plans.upkeep import DESCRIBED_SQL, _described
@@ -56,10 +57,11 @@ DATED_SQL = "select p_partkey work_id, [concat(y, '-03-02'), concat('May ', y),
 
 def _profiles(c: Catalogue):
     """Readers with even ids have a stored profile of an earlier day."""
-    stored = rd.profile_vector(weighted(c), c.work).where("user_id % 2 = 0")
-    seen = c.user_event.groupBy("user_id").agg(F.max("finished_at").alias("updated_at"))
+    weights = table(c.spark, c.dir, "event-weights", lambda: weighted(c).select("user_id", "work_id", "weight"))
+    stored = rd.profile_vector(weights.where("user_id % 2 = 0"), c.work)
+    seen = c.kept_events.groupBy("user_id").agg(F.max("finished_at").alias("updated_at"))
     stale = rd.stale_profiles(seen, c.completion.where("work_id % 3 = 0").select("user_id", "at"))
-    build = lambda ids: rd.profile_vector(weighted(c).join(ids, "user_id", "left_semi"), c.work)
+    build = lambda ids: rd.profile_vector(weights.join(ids, "user_id", "left_semi"), c.work)
     return rd.get_or_build(stored.select("user_id", "vector"), stale, build).select("user_id", "origin", F.size("vector").alias("dims"), F.round(F.get("vector", F.lit(0)), 6).alias("first"))
 
 

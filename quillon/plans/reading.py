@@ -54,10 +54,10 @@ def totals(c: Catalogue):
 
 
 def weighted(c: Catalogue, user: int | None = None):
-    """All readers' events with their weights, or one reader's, whose rows are picked before anything is added up."""
-    of = lambda d: d if user is None else d.where(F.col("user_id") == user)
-    sums = rd.aggregate_sessions(of(c.session), as_of(SESSIONS_AS_OF))
-    return rd.weighted_events(of(c.user_event), sums, of(c.completion), of(c.ownership), c.work_author, as_of(EVENTS_AS_OF))
+    """All readers' events with their weights, or one reader's, whose rows are picked before anything is joined or added up."""
+    of = c if user is None else c.of_reader(user)
+    sums = rd.aggregate_sessions(of.session, as_of(SESSIONS_AS_OF))
+    return rd.weighted_events(c.kept_events if user is None else of.user_event, sums, of.completion, of.ownership, c.work_author, as_of(EVENTS_AS_OF))
 
 
 def graph_edges(c: Catalogue):
@@ -79,7 +79,7 @@ def queries() -> dict:
     ms = lambda name: F.round(name, 4).alias(name)
     return {
         "graph_neighbors_2hop": on(lambda c: gr.two_hops(graph_edges(c), WORK)),
-        "graph_features": on(lambda c: gr.user_features(c.user_event, c.work, c.work_author, c.work_subject, USER).withColumn("prox", F.round("prox", 6))),
+        "graph_features": on(lambda c: gr.user_features(c.of_reader(USER).user_event, c.work, c.work_author, c.work_subject, USER).withColumn("prox", F.round("prox", 6))),
         "label_propagation": on(lambda c: c.label),
         "community_metadata": on(lambda c: gr.community_top(c.community, c.work_subject, "subject", "top_subjects")),
         "community_authors": on(lambda c: gr.community_top(c.community, c.work_author.join(c.author, "author_id").select("work_id", "name"), "name", "top_authors")),

@@ -104,9 +104,15 @@ def _category(c: Catalogue):
 
 
 def _base(c: Catalogue):
-    features = gr.user_features(c.user_event, c.work, c.work_author, c.work_subject, USER)
-    mine = rd.aggregate_sessions(c.session.where(F.col("user_id") == USER), as_of(SESSIONS_AS_OF)).select("work_id", "total_ms", "last30_ms", "last_read_at")
-    return table(c.spark, c.dir, f"scores-{USER}", lambda: rc.base_scores(_general(c), rt.quality(c.rating), features, mine, as_of(SESSIONS_AS_OF)))
+    """R13 for the candidates, written once. Only the candidates' ratings are added up: there are GENERAL of them at most."""
+
+    def build():
+        found, own = cut(_general(c), "general"), c.of_reader(USER)
+        features = gr.user_features(own.user_event, c.work, c.work_author, c.work_subject, USER)
+        mine = rd.aggregate_sessions(own.session, as_of(SESSIONS_AS_OF)).select("work_id", "total_ms", "last30_ms", "last_read_at")
+        return rc.base_scores(found, rt.quality(c.of_works(found).rating), features, mine, as_of(SESSIONS_AS_OF))
+
+    return table(c.spark, c.dir, f"scores-{USER}", build)
 
 
 def _decorated(c: Catalogue, scored):

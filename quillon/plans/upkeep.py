@@ -68,7 +68,7 @@ def _explained(c: Catalogue, k: int = 20):
     none = F.lit(None).cast("string")
     cover = text.cover_url(none, none, none, none, F.col("ol_work_key"), none)
     anchor = _anchors(c, 1).join(c.work, F.col("anchor") == F.col("work_id")).select(F.col("title").alias("anchor_title"))
-    rows = top.join(c.work.select("work_id", "title", "first_publish_year", "ol_work_key"), "work_id").join(by, "work_id", "left").join(about, "work_id", "left").join(rt.quality(c.rating).select("work_id", "blended_avg", "total_ratings"), "work_id", "left").join(F.broadcast(anchor), how="left")
+    rows = top.join(c.work.select("work_id", "title", "first_publish_year", "ol_work_key"), "work_id").join(by, "work_id", "left").join(about, "work_id", "left").join(rt.quality(c.of_works(top).rating).select("work_id", "blended_avg", "total_ratings"), "work_id", "left").join(F.broadcast(anchor), how="left")
     points = F.array_join(F.filter(F.array(F.when(F.col("relevance") > 0.5, F.lit("near your taste")), F.when(F.col("quality") > 0.5, F.lit("well rated")), F.when(F.col("engagement") > 0, F.lit("you read it lately")), F.when(F.col("graph") > 0.5, F.lit("like what you liked"))), lambda x: x.isNotNull()), "; ")
     return rows.select("work_id", "title", "first_publish_year", cover.alias("cover_url"), "authors", "subjects", scoring.grade(F.col("base")).alias("grade"), F.round("blended_avg", 4).alias("rating"), "total_ratings", points.alias("highlights"))
 

@@ -3,13 +3,14 @@ lists, events reading sessions. Each view has its DataFrame and the SQL that giv
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import collaborative, graph
-from quillon.operators.lineage import table
+from quillon.operators.lineage import cut, small, table
 
 #: The order of "latest line": total over the fixture's rows.
 LATEST = ["o_orderdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
@@ -21,11 +22,22 @@ EVENTS_AS_OF = "2001-08-02 00:00:00"
 class Catalogue:
     """Views of one folder; each is built when first asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
+        self.spark, self.dir, self.keep = spark, sf_dir, keep or {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.keep[name](rows) if name in self.keep else rows
+
+    def of_reader(self, user_id: int) -> Catalogue:
+        """The same views over one reader's orders and events: lines meet a broadcast table and are not shuffled."""
+        own = small(cut(self.table("orders").where(F.col("o_custkey") == user_id), "own-orders"))
+        return Catalogue(self.spark, self.dir, self.keep | {"orders": lambda _: own, "events": lambda rows: rows.where(F.col("user_id") == user_id)})
+
+    def of_works(self, ids: DataFrame) -> Catalogue:
+        """The same views over the lines of some works (work_id), few enough to be broadcast."""
+        wanted = F.broadcast(ids.select(F.col("work_id").alias("l_partkey")).distinct())
+        return Catalogue(self.spark, self.dir, self.keep | {"lineitem": lambda rows: rows.join(wanted, "l_partkey", "left_semi")})
 
     @cached_property
     def work(self) -> DataFrame:
@@ -89,6 +101,11 @@ class Catalogue:
         rating = F.when(F.col("l_returnflag") != "N", F.ceil(F.col("l_quantity") / 10).cast("int"))
         return self._latest.select("user_id", "work_id", shelf.alias("shelf"), rating.alias("rating"), F.col("o_orderdate").alias("finished_at"), F.lit("library").alias("source"))
 
+    @cached_property
+    def kept_events(self) -> DataFrame:
+        """user_event of all readers, written once for an application: what looks at it several times reads it from there."""
+        return table(self.spark, self.dir, "user-events", lambda: self.user_event)
+
     @cached_property
     def edition(self) -> DataFrame:
         asin = F.concat(F.lit("B"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import collaborative, documents, embedding_loop, graph_store, index, lineage, postings, refresh, resolve
 from quillon.plans.documents import letters
+from quillon.sources.fixtures import Catalogue
 from quillon.sources.versions import Cache, Store
 from quillon.streaming import sessions, stateful
 
@@ -357,3 +358,15 @@ def test_pairs_are_dealt_by_their_number(spark):
     x, y = seeds.alias("x"), seeds.alias("y")
     plain = x.join(y, F.expr("x.list_id = y.list_id and x.work_id < y.work_id")).groupBy(F.col("x.work_id"), F.col("y.work_id")).agg(F.count("*"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_narrowed_catalogues(spark):
+    """One reader's events and some works' ratings: the rows of the whole views, without a shuffle of all lines."""
+    c = Catalogue(spark, "/root/testdata/sf0.001")
+    one, ids = c.of_reader(1), spark.createDataFrame([(7,), (11,), (7,)], "work_id long")
+    assert rows(one.user_event) == rows(c.user_event.where("user_id = 1")) and rows(one.session) == rows(c.session.where("user_id = 1"))
+    assert rows(c.of_works(ids).rating) == rows(c.rating.where("work_id in (7, 11)"))
+    assert "BroadcastHashJoin" in one.user_event._jdf.queryExecution().executedPlan().toString()
+    assert rows(c.kept_events) == rows(c.user_event)
+    kept = c.kept_events.inputFiles()
+    assert kept == Catalogue(spark, "/root/testdata/sf0.001").kept_events.inputFiles()
