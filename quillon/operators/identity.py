@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scoring, text
 from quillon.operators.collaborative import keep_top
+from quillon.operators.lineage import cut, shuffled
 from quillon.operators.resolve import first_per, match_confidence, repoint
 
 #: Identifiers of editions in the order of their priority.
@@ -15,7 +16,7 @@ KINDS = ("isbn13", "isbn10", "volume_id", "asin", "serial_id", "goodreads_id")
 
 def _filed(names: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
     """gram, name, n: each name under its rarest trigrams only, as many as one of a similar name's must be among."""
-    grams = names.select("name", F.explode("grams").alias("gram"), F.size("grams").alias("n")).join(counts, "gram")
+    grams = names.select("name", F.explode("grams").alias("gram"), F.size("grams").alias("n")).join(shuffled(counts), "gram")
     rank = F.row_number().over(Window.partitionBy("name").orderBy("df", "gram"))
     return grams.withColumn("_r", rank).where(F.col("_r") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).select("gram", "name", "n")
 
@@ -28,7 +29,7 @@ def fuzzy_join(asked: DataFrame, known: DataFrame, threshold: float = 0.3) -> Da
     counts = a.unionByName(b).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     one = _filed(a, counts, threshold).select("gram", F.col("name").alias("x"), F.col("n").alias("nx"))
     two = _filed(b, counts, threshold).select("gram", F.col("name").alias("y"), F.col("n").alias("ny"))
-    near = one.join(two, "gram").where(F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9).select("x", "y").distinct()
+    near = one.join(shuffled(two), "gram").where(F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9).select("x", "y").distinct()
     return near.withColumn("similarity", text.trigram_similarity("x", "y")).where(F.col("similarity") >= threshold)
 
 
@@ -50,25 +51,32 @@ def local_by_identifier(rows: DataFrame, editions: DataFrame) -> DataFrame:
     tagged = [F.when(F.col("kind") == kind, F.struct(F.lit(0).alias("p"), F.lit(name).alias("kind"), F.upper(F.col(c).cast("string")).alias("value"))) for kind, (name, c) in of.items()]
     tagged.append(F.when(F.col("kind") == "isbn", F.struct(F.lit(1).alias("p"), F.lit("isbn10").alias("kind"), F.upper("n10").alias("value"))))
     wanted = rows.select("id", F.inline(F.filter(F.array(*tagged), lambda x: x.isNotNull()))).where("value <> ''")
-    return wanted.join(known, ["kind", "value"]).groupBy("id").agg(F.min_by("hit", F.struct("p", "hit")).alias("hit")).select("id", "hit.work_id", "hit.edition_id")
+    return wanted.join(shuffled(known), ["kind", "value"]).groupBy("id").agg(F.min_by("hit", F.struct("p", "hit")).alias("hit")).select("id", "hit.work_id", "hit.edition_id")
 
 
 def local_by_title(rows: DataFrame, works: DataFrame, editions: DataFrame, names: DataFrame, most: int = 10) -> DataFrame:
     """D3: id, work_id, edition_id, confidence of inputs with a title: the `most` rows (work, edition, author) of the most similar
-    titles are looked at; ties go to the smaller ids. A title's rows are cut before inputs are joined with them."""
+    titles are looked at; ties go to the smaller ids. A title's rows are cut before any are joined with it, and inputs of one
+    title and author are looked up once."""
     asked = rows.where("kind = 'title'")
-    near = fuzzy_join(asked.select(F.col("q").alias("name")), works.select(F.lower("title").alias("name")), 0.3)
-    hits = near.join(works.select("work_id", F.lower("title").alias("y")), "y").join(editions.select("work_id", "edition_id"), "work_id", "left").join(names.select("work_id", "name"), "work_id", "left")
-    order = [F.round("similarity", 9).desc(), "work_id", F.col("edition_id").asc_nulls_last(), F.col("name").asc_nulls_last()]
-    top = keep_top(hits, ["x"], order, most).withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(*order)))
-    both = asked.select("id", "q", F.trim(F.lower("author")).alias("author")).join(top, F.col("q") == F.col("x"))
+    near = cut(fuzzy_join(asked.select(F.col("q").alias("name")), works.select(F.lower("title").alias("name")), 0.3), "near-titles")
+    # A title's rows are as similar as each other, so its first ones alone can count, whatever it is like.
+    own = ["work_id", F.col("edition_id").asc_nulls_last(), F.col("name").asc_nulls_last()]
+    titled = works.select("work_id", F.lower("title").alias("y")).join(shuffled(near.select("y").distinct()), "y", "left_semi")
+    first = cut(keep_top(titled, ["y"], ["work_id"], most), "first-works")
+    hits = first.join(shuffled(editions.select("work_id", "edition_id")), "work_id", "left").join(shuffled(names.select("work_id", "name")), "work_id", "left")
+    order = [F.round("similarity", 9).desc(), *own]
+    top = keep_top(near.join(shuffled(keep_top(hits, ["y"], own, most)), "y"), ["x"], order, most).withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(*order)))
+    wanted = asked.select("id", "q", F.trim(F.lower("author")).alias("author"))
+    both = wanted.select("q", "author").distinct().join(shuffled(top), F.col("q") == F.col("x"))
     both = both.withColumn("like", F.when(F.col("author").isNotNull() & F.col("name").isNotNull(), text.dice_similarity("author", F.lower("name"))))
     hit = F.struct("r", "work_id", "edition_id", "similarity", "like")
-    one = both.groupBy("id").agg(F.count("*").alias("n"), F.min_by(hit, "r").alias("best"), F.min_by(F.when(F.col("like") >= 0.7, hit), F.when(F.col("like") >= 0.7, F.col("r"))).alias("by"))
+    one = both.groupBy("q", "author").agg(F.count("*").alias("n"), F.min_by(hit, "r").alias("best"), F.min_by(F.when(F.col("like") >= 0.7, hit), F.when(F.col("like") >= 0.7, F.col("r"))).alias("by"))
     single = (F.col("n") == 1) & (F.col("best.similarity") >= 0.8)
     use = F.when(single | F.col("by").isNull(), F.col("best")).otherwise(F.col("by"))
     sure = F.when(single, match_confidence(F.col("best.similarity"), None, F.lit(True))).when(F.col("by").isNotNull(), match_confidence(F.col("by.similarity"), F.col("by.like"))).otherwise(match_confidence(F.col("best.similarity")))
-    return one.select("id", use["work_id"].alias("work_id"), use["edition_id"].alias("edition_id"), sure.alias("confidence"))
+    found = one.select(F.col("q").alias("_q"), F.col("author").alias("_author"), use["work_id"].alias("work_id"), use["edition_id"].alias("edition_id"), sure.alias("confidence"))
+    return wanted.join(shuffled(found), (F.col("q") == F.col("_q")) & F.col("author").eqNullSafe(F.col("_author"))).select("id", "work_id", "edition_id", "confidence")
 
 
 def found_outside(rows: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -81,7 +89,7 @@ def found_outside(rows: DataFrame, lookup: DataFrame) -> DataFrame:
     both = F.col("title").isNotNull() & F.col("author").isNotNull()
     by = F.when(F.col("kind").isin("isbn", "gbid"), F.col("kind")).when((F.col("kind") == "title") | both, "title")
     value = F.when(F.col("kind") == "isbn", F.coalesce("n13", "n10")).when(F.col("kind") == "gbid", F.col("volume_id")).otherwise(search)
-    hits = rows.select("id", F.col("title").alias("_title"), by.alias("by"), value.alias("value")).join(known, ["by", "value"])
+    hits = rows.select("id", F.col("title").alias("_title"), by.alias("by"), value.alias("value")).join(shuffled(known), ["by", "value"])
     like = text.dice_similarity(F.lower("_title"), F.lower("record.title"))
     return hits.where((F.col("by") != "title") | (like >= 0.6)).select("id", "record")
 
@@ -90,11 +98,11 @@ def resolve(inputs: DataFrame, works: DataFrame, editions: DataFrame, names: Dat
     """Id, path, confidence, work_id, edition_id (null where a new work is to be made), created, is_stub, lookup_key,
     record (of the outside catalogue, where it was asked and had one). Inputs without any identifier or title fail: they are
     left out. inputs: id, KINDS, title, author; names: work_id, name of authors."""
-    rows = prepared(inputs).where("kind is not null")
+    rows = cut(prepared(inputs).where("kind is not null").repartition("id"), "prepared")  # identifiers are worked out once
     ids, titles = local_by_identifier(rows, editions), local_by_title(rows, works, editions, names)
     outside = found_outside(rows, lookup)
     t = titles.select("id", F.col("work_id").alias("t_work"), F.col("edition_id").alias("t_edition"), F.col("confidence").alias("sure"))
-    all_ = rows.join(ids, "id", "left").join(t, "id", "left").join(outside, "id", "left")
+    all_ = rows.join(shuffled(ids), "id", "left").join(shuffled(t), "id", "left").join(shuffled(outside), "id", "left")
     local, out, sure = F.col("work_id").isNotNull(), F.col("record").isNotNull(), F.coalesce("sure", F.lit(0.0))
     is_ = lambda k: F.col("kind") == k
     by_title = is_("title") & ((sure >= 0.85) | (~out & (sure >= 0.7)))
@@ -116,25 +124,34 @@ def resolve_legacy(inputs: DataFrame, works: DataFrame, names: DataFrame, rows_e
     """Id, work_id, confidence of the older resolver, by title and author: an equal title (one row: 0.9; a like author: 0.95;
     else 0.7), else the best Dice similarity of at least 0.6 among titles that start with the first word, 0.1 more for a like
     author, accepted from 0.7 on. Ties go to the smaller ids."""
-    known = works.select("work_id", F.lower("title").alias("name")).join(names.select("work_id", F.lower("name").alias("by")), "work_id", "left")
-    asked = inputs.select("id", F.trim(F.lower("title")).alias("q"), F.trim(F.lower(text.author_name("author"))).alias("author"))
     order = ["work_id", F.col("by").asc_nulls_last()]
     ranked = lambda d, keys, n: keep_top(d, keys, order, n).withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    # Of one title the first works alone can be among the rows that are looked at, of one beginning as well.
+    titled = works.select("work_id", F.lower("title").alias("name")).where("name is not null")
+    first = cut(keep_top(titled, ["name"], ["work_id"], max(rows_exact, rows_fuzzy)), "first-works")
+    by = names.select("work_id", F.lower("name").alias("by"))
+    each = inputs.select("id", F.trim(F.lower("title")).alias("q"), F.coalesce(F.trim(F.lower(text.author_name("author"))), F.lit("")).alias("author"))
+    asked = cut(each.where("q is not null").select("q", "author").distinct(), "asked")  # a title and author is looked up once
     like = F.when(F.col("by").isNotNull() & (F.col("author") != ""), text.dice_similarity("author", "by"))
-    equal = asked.join(ranked(known, ["name"], rows_exact), F.col("q") == F.col("name")).withColumn("like", like)
-    one = equal.groupBy("id").agg(F.count("*").alias("n"), F.min_by("work_id", "r").alias("first"), F.min_by(F.when(F.col("like") >= 0.8, F.col("work_id")), F.when(F.col("like") >= 0.8, F.col("r"))).alias("liked"))
-    exact = one.select("id", F.when((F.col("n") > 1) & F.col("liked").isNotNull(), F.col("liked")).otherwise(F.col("first")).alias("work_id"), F.when(F.col("n") == 1, 0.9).when(F.col("liked").isNotNull(), 0.95).otherwise(0.7).alias("confidence"))
+    known = keep_top(first.join(shuffled(asked.select(F.col("q").alias("name")).distinct()), "name", "left_semi"), ["name"], ["work_id"], rows_exact).join(shuffled(by), "work_id", "left")
+    equal = asked.join(shuffled(ranked(known, ["name"], rows_exact)), F.col("q") == F.col("name")).withColumn("like", like)
+    one = equal.groupBy("q", "author").agg(F.count("*").alias("n"), F.min_by("work_id", "r").alias("first"), F.min_by(F.when(F.col("like") >= 0.8, F.col("work_id")), F.when(F.col("like") >= 0.8, F.col("r"))).alias("liked"))
+    exact = one.select("q", "author", F.when((F.col("n") > 1) & F.col("liked").isNotNull(), F.col("liked")).otherwise(F.col("first")).alias("work_id"), F.when(F.col("n") == 1, 0.9).when(F.col("liked").isNotNull(), 0.95).otherwise(0.7).alias("confidence"))
+    exact = cut(exact, "equal-titles")
     word = F.get(F.split("q", "\\s+"), F.lit(0))
-    rest = asked.join(exact, "id", "left_anti").withColumn("word", word).where(F.length("word") >= 2)
+    rest = asked.join(shuffled(exact), ["q", "author"], "left_anti").withColumn("word", word).where(F.length("word") >= 2)
     # Titles under each of their beginnings that some input's first word can be.
     longest = rest.agg(F.coalesce(F.max(F.length("word")), F.lit(2))).first()[0]
     starts = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.length("name"), F.lit(longest)))), lambda k: F.substring("name", F.lit(1), k))
-    filed = known.withColumn("word", F.explode(starts)).join(rest.select("word").distinct(), "word", "left_semi")
-    near = rest.join(ranked(filed, ["word"], rows_fuzzy), "word").withColumns({"sim": text.dice_similarity("q", "name"), "like": like}).where("sim >= 0.6")
+    filed = first.withColumn("word", F.explode(starts)).join(shuffled(rest.select("word").distinct()), "word", "left_semi")
+    top = cut(ranked(keep_top(filed, ["word"], ["work_id"], rows_fuzzy).join(shuffled(by), "work_id", "left"), ["word"], rows_fuzzy), "first-of-word")
+    # Pairs of titles are compared once, whatever their authors.
+    near = rest.select("q", "word").distinct().join(shuffled(top.select("word", "name").distinct()), "word").withColumn("sim", text.dice_similarity("q", "name")).where("sim >= 0.6")
+    hits = rest.join(shuffled(near), ["q", "word"]).join(shuffled(top), ["word", "name"]).withColumn("like", like)
     sure = F.when(F.col("like") >= 0.7, F.least(F.lit(1.0), F.col("sim") + 0.1)).otherwise(F.col("sim"))
-    best = near.withColumn("confidence", F.round(sure, 9)).groupBy("id").agg(F.max(F.struct("confidence", -F.col("r"), "work_id")).alias("x"))
-    fuzzy = best.where("x.confidence >= 0.7").select("id", "x.work_id", "x.confidence")
-    return exact.unionByName(fuzzy)
+    best = hits.withColumn("confidence", F.round(sure, 9)).groupBy("q", "author").agg(F.max(F.struct("confidence", -F.col("r"), "work_id")).alias("x"))
+    fuzzy = best.where("x.confidence >= 0.7").select("q", "author", "x.work_id", "x.confidence")
+    return each.join(shuffled(exact.unionByName(fuzzy)), ["q", "author"]).select("id", "work_id", "confidence")
 
 
 def new_id(key: Column) -> Column:
@@ -145,7 +162,7 @@ def new_id(key: Column) -> Column:
 def upsert_works(works: DataFrame, resolved: DataFrame, inputs: DataFrame) -> DataFrame:
     """Works (work_id, title, description, first_publish_year, is_stub) after resolution: found ones get what they lack, new
     ones are made, one for each key. inputs: id, title, description, published. Of several inputs for a work the smallest id."""
-    data = resolved.join(inputs.select("id", "title", "description", "published"), "id").withColumn("work_id", F.coalesce("work_id", new_id(F.col("lookup_key"))))
+    data = resolved.join(shuffled(inputs.select("id", "title", "description", "published")), "id").withColumn("work_id", F.coalesce("work_id", new_id(F.col("lookup_key"))))
     fresh = first_per(data, ["work_id"], ["id"]).select(
         F.col("work_id").alias("n_id"), F.coalesce("record.title", "title").alias("n_title"), F.coalesce("record.description", "description").alias("n_description"),
         text.year_of(F.coalesce("record.published", "published")).alias("n_year"), F.col("is_stub").alias("n_stub"),
@@ -158,7 +175,7 @@ def upsert_works(works: DataFrame, resolved: DataFrame, inputs: DataFrame) -> Da
 def upsert_editions(editions: DataFrame, resolved: DataFrame, inputs: DataFrame) -> DataFrame:
     """Editions (edition_id, work_id, KINDS) after resolution: a found one gets the identifiers that it lacks, and each new
     work has an edition with those of its input (and of the outside record)."""
-    data = resolved.join(inputs.select("id", *KINDS), "id").withColumn("work_id", F.coalesce("work_id", new_id(F.col("lookup_key")))).withColumn("edition_id", F.coalesce("edition_id", "work_id"))
+    data = resolved.join(shuffled(inputs.select("id", *KINDS)), "id").withColumn("work_id", F.coalesce("work_id", new_id(F.col("lookup_key")))).withColumn("edition_id", F.coalesce("edition_id", "work_id"))
     pick = {k: F.coalesce(F.col(f"record.{k}"), F.col(k)) if k in ("isbn13", "isbn10", "volume_id") and k in resolved.schema["record"].dataType.names else F.col(k) for k in KINDS}
     fresh = first_per(data, ["edition_id"], ["id"]).select(F.col("edition_id").alias("n_id"), F.col("work_id").alias("n_work"), *[x.alias(f"n_{k}") for k, x in pick.items()])
     both = editions.join(fresh, F.col("edition_id") == F.col("n_id"), "full")

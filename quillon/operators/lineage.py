@@ -43,6 +43,12 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as the side of a join that is never broadcast, as its rows grow with the input: the planner goes by the size of files,
+    which can be a small part of that of the rows in memory."""
+    return df.hint("merge")
+
+
 def parts(spark: SparkSession, rows: int, each: int) -> int:
     """Into how many partitions so many rows are dealt: a partition has about `each` at most, whatever the session's number of
     shuffle partitions, and all cores have some as soon as there is work for them."""
