@@ -8,7 +8,7 @@ from quillon.functions import scoring, text
 from quillon.operators import index as ix
 from quillon.operators import ratings as rt
 from quillon.operators import resolve as rs
-from quillon.operators.lineage import files
+from quillon.operators.lineage import files, table
 from quillon.plans.ratings import CO_VIEWS, PAIRS_SQL
 from quillon.plans.recommend import USER, _anchors, _base
 from quillon.sources import sinks
@@ -91,13 +91,13 @@ def _index_search(c: Catalogue):
 def clustered(c: Catalogue, copies: int = 12):
     """Vectors with structure: each of the table's with some of its like, turned a little by a hash."""
     noise = lambda i: (F.pmod(F.xxhash64("vec_id", "copy", i), F.lit(2001)) - 1000) / 5000.0
-    rows = c.table("embeddings").where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    rows = c.table("embeddings").where("embedding is not null").repartition("vec_id").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
     return rows.select((F.col("vec_id") * copies + F.col("copy")).cast("long").alias("work_id"), F.transform("v", lambda x, i: x + noise(i) * F.sqrt(F.lit(4.0) / F.size("v"))).alias("embedding"))
 
 
 def _clustered_search(c: Catalogue):
     """V5c on vectors with structure: a few lists are read, and the best by codes are ranked again."""
-    rows = clustered(c)
+    rows = table(c.spark, c.dir, "clustered-vectors", lambda: clustered(c))  # written once: the fit, the index and the requests read them
     index, book = _indexed(c, "clustered", rows, 64)
     return ix.search(index, rows.where("work_id % 20 = 0"), book).select("asked", "work_id", F.round("similarity", 6).alias("similarity"))
 

@@ -49,3 +49,33 @@ def test_growing_tables_are_not_broadcast(spark, name):
 
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan
+
+
+def test_index_grows_by_lists_and_finds_neighbours_outside_its_sample(spark, monkeypatch):
+    """Pairs of like vectors, of which the sample has few: lists come with the rows, and the fit asks all rows for neighbours."""
+    import numpy as np
+
+    from quillon.operators import index
+
+    monkeypatch.setattr(index, "LIST_ROWS", 50)
+    monkeypatch.setattr(index, "SAMPLE_MOST", 400)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(1000, 16))
+    x = np.repeat(base, 2, axis=0) + rng.normal(size=(2000, 16)) * 0.02
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "work_id long, embedding array<double>")
+    book = index.fit(rows, 8, sample=200, k=1)
+    assert len(book.centres) == 40 and not book.exact
+
+
+def test_exact_search_in_blocks_with_ties(spark, monkeypatch):
+    """Many equal vectors: the smallest ids win, in blocks of requests as of rows."""
+    from quillon.operators import index
+
+    monkeypatch.setattr(index, "EXACT_SHARD", 20)
+    monkeypatch.setattr(index, "EXACT_ASKED", 2)
+    rows = spark.createDataFrame([(k, [1.0, 0.5] if k < 60 else [0.0, 1.0]) for k in range(70)], "work_id long, embedding array<double>")
+    asked = rows.where("work_id % 20 = 0").selectExpr("work_id as asked", "embedding as asked_vector")
+    got = {}
+    for r in index.exact(rows, asked, 3).collect():
+        got.setdefault(r["asked"], []).append(r["work_id"])
+    assert {k: sorted(v) for k, v in got.items()} == {0: [1, 2, 3], 20: [0, 1, 2], 40: [0, 1, 2], 60: [61, 62, 63]}
