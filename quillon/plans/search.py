@@ -41,8 +41,8 @@ def _like(c: Catalogue, pattern: str):
 
 
 def _authored(c: Catalogue):
-    """work_id, name of every supplier of a work's lines."""
-    lines = c.table("lineitem").select(F.col("l_partkey").alias("work_id"), F.col("l_suppkey").alias("author_id")).distinct()
+    """work_id, name of the supplier of each of a work's lines."""
+    lines = c.table("lineitem").select(F.col("l_partkey").alias("work_id"), F.col("l_suppkey").alias("author_id"))
     return lines.join(c.author, "author_id").select("work_id", "name")
 
 

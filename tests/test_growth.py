@@ -79,3 +79,16 @@ def test_exact_search_in_blocks_with_ties(spark, monkeypatch):
     for r in index.exact(rows, asked, 3).collect():
         got.setdefault(r["asked"], []).append(r["work_id"])
     assert {k: sorted(v) for k, v in got.items()} == {0: [1, 2, 3], 20: [0, 1, 2], 40: [0, 1, 2], 60: [61, 62, 63]}
+
+
+def test_pairs_of_duplicates_are_not_ranked_one_by_one(spark, monkeypatch):
+    """What is ranked hangs on names; a work takes its name's others as they are. An author beyond a row's AUTHORS counts too."""
+    from quillon.operators import collaborative, resolve
+
+    seen, was = [], collaborative.keep_top
+    monkeypatch.setattr(collaborative, "keep_top", lambda rows, *more: (seen.append(rows.count()), was(rows, *more))[1])
+    works = spark.createDataFrame([(k, "blue ring", "Ann Lee" if k else None) for k in range(200)], "work_id long, title string, author string")
+    authors = spark.createDataFrame([(0, f"zz{k}") for k in range(40)] + [(0, "zzz Lee Ann"), (0, "Ann Lee"), (3, "Ann Lee")], "work_id long, name string")
+    got = {(r["work_id"], r["other_id"]) for r in resolve.potential_duplicates(works, authors).collect()}
+    want = {(0, k) for k in range(1, 11)} | {(k, o) for k in range(1, 200) for o in (0, 3) if o != k}
+    assert got == want and max(seen) <= 200
