@@ -138,7 +138,8 @@ def probabilities(requests: DataFrame, tables: dict[int, DataFrame]) -> DataFram
 
 
 def _distinct_grams(order: int):
-    """file, block, code, gram: the n-grams of each block of rows, once for a task that reads of it."""
+    """file, block, gram: the n-grams of each block of rows, once for a task that reads of it. Codes are worked out anew where
+    they are needed, as they would be most of what is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("perplexity", lambda: None)
@@ -158,7 +159,7 @@ def _distinct_grams(order: int):
                     seen = np.sort(np.concatenate([seen, codes]))
                     grams = pa.array([text[k : k + order] for k in good.tolist()], pa.string())
                     n = len(codes)
-                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()), pa.array(codes.view(np.int64)), grams], ["file", "block", "code", "gram"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()), grams], ["file", "block", "gram"])
         release()
 
     return run
@@ -177,9 +178,10 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
 class _Answers:
     """The answers for one block: a hash index of codes and their log probabilities."""
 
-    def __init__(self, fs, folder: str):
-        t = pq.read_table(folder, filesystem=fs, columns=["code", "lp"], partitioning=None)
-        codes, lp = t.column("code").to_numpy(), t.column("lp").to_numpy()
+    def __init__(self, fs, folder: str, order: int):
+        t = pq.read_table(folder, filesystem=fs, columns=["gram", "lp"], partitioning=None)
+        parts = [codes_of("".join(c.to_pylist()), order)[::order] for c in t.column("gram").chunks if len(c)]
+        codes, lp = np.concatenate(parts or [np.empty(0, np.uint64)]).view(np.int64), t.column("lp").to_numpy()
         codes, first = np.unique(codes, return_index=True)
         self.index, self.lp = pd.Index(codes), lp[first]
 
@@ -220,11 +222,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
     docs, place = _placed(docs, block_rows)
     tables = _orders(materialize(count_grams(trusted, order, text_col), f"kn-order{order}"), order)
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    asked = bounded_batches(docs).select(*place, F.col(text_col).alias("_text")).mapInArrow(_distinct_grams(order), "file string, block long, code long, gram string")
+    asked = bounded_batches(docs).select(*place, F.col(text_col).alias("_text")).mapInArrow(_distinct_grams(order), "file string, block long, gram string")
     asked = materialize(asked, "kn-asked")
     lp = probabilities(asked.select("gram").distinct(), tables)
     path = shared_dir(spark, "kn-answers")
-    asked.join(lp, "gram").select("file", "block", "code", "lp").repartition("file", "block").write.partitionBy("file", "block").parquet(path)
+    asked.join(lp, "gram").select("file", "block", "gram", "lp").repartition("file", "block").write.partitionBy("file", "block").parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(path)
@@ -236,7 +238,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, id_col: st
                 texts = part.column(2).to_pylist()
                 if key != at and any(stream(x, 1) for x in texts):
                     answers = None
-                    at, answers = key, _Answers(fs, f"{base}/file={key[0]}/block={key[1]}")
+                    at, answers = key, _Answers(fs, f"{base}/file={key[0]}/block={key[1]}", order)
                 sums, sizes = answers.total(texts, order) if key == at else ([0] * len(texts), [0] * len(texts))
                 out = [float(np.exp(min(700.0, -x / n / LP_PARTS))) if n else None for x, n in zip(sums, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[3:], pa.array(out, pa.float64())], [*part.schema.names[3:], "perplexity"])

@@ -525,3 +525,14 @@ def test_language(spark):
     assert [got[k]["lang_pred"] for k in (-1, -2, -3)] == ["und", "und", "bb"] and got[-1]["score"] == 0 and all(0 <= x["score"] <= 1 for x in got.values())
     assert language.fit(d.limit(0)) is None
     assert {x["lang_pred"] for x in language.identify(d.limit(3), None).collect()} == {"und"}
+
+
+def test_perplexity_writes_grams_without_codes(spark, monkeypatch):
+    """Codes, which don't compress, are no column of the tables on disk."""
+    from quillon.llm import perplexity
+
+    seen, was = {}, perplexity.materialize
+    monkeypatch.setattr(perplexity, "materialize", lambda df, label: (seen.setdefault(label, df.columns), was(df, label))[1])
+    docs = spark.createDataFrame([(k, "the cat sat on the mät \U0001f600" if k % 2 else "a dog") for k in range(6)], "doc_id long, text string")
+    got = [r["perplexity"] for r in perplexity.perplexities(docs, docs.where("doc_id < 4").select("text")).collect()]
+    assert all(x and x > 1 for x in got) and seen["kn-asked"] == ["file", "block", "gram"]
