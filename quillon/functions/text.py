@@ -41,7 +41,11 @@ def bigrams(x: Column) -> Column:
 
 def dice_similarity(a: Column | str, b: Column | str) -> Column:
     """Twice the shared bigrams over both numbers of bigrams; 1 for equal normalised texts, 0 for short ones."""
-    x, y = normalize_text(a), normalize_text(b)
+    return dice_of(normalize_text(a), normalize_text(b))
+
+
+def dice_of(x: Column, y: Column) -> Column:
+    """X2 of texts that are normalised already: columns of rows, as an expression would be worked out for each bigram."""
     p, q = bigrams(x), bigrams(y)
     return F.when(x == y, 1.0).when((F.length(x) < 2) | (F.length(y) < 2), 0.0).otherwise(2.0 * F.size(F.array_intersect(p, q)) / (F.size(p) + F.size(q)))
 

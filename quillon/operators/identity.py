@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scoring, text
 from quillon.operators.collaborative import keep_top
-from quillon.operators.lineage import cut, shuffled
+from quillon.operators.lineage import cut, parts, shuffled
 from quillon.operators.resolve import first_per, match_confidence, repoint
 
 #: Identifiers of editions in the order of their priority.
@@ -27,8 +27,8 @@ def fuzzy_join(asked: DataFrame, known: DataFrame, threshold: float = 0.3) -> Da
     plain = lambda d: d.select("name").where("name is not null").distinct().withColumn("grams", text.trigrams("name")).where(F.size("grams") > 0)
     a, b = plain(asked), plain(known)
     counts = a.unionByName(b).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    one = _filed(a, counts, threshold).select("gram", F.col("name").alias("x"), F.col("n").alias("nx"))
-    two = _filed(b, counts, threshold).select("gram", F.col("name").alias("y"), F.col("n").alias("ny"))
+    one = _filed(a, counts, threshold).select("gram", F.col("name").alias("x"), F.col("plain").alias("px"), F.col("n").alias("nx"))
+    two = _filed(b, counts, threshold).select("gram", F.col("name").alias("y"), F.col("plain").alias("py"), F.col("n").alias("ny"))
     near = one.join(shuffled(two), "gram").where(F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9).select("x", "y").distinct()
     return near.withColumn("similarity", text.trigram_similarity("x", "y")).where(F.col("similarity") >= threshold)
 
@@ -120,37 +120,85 @@ def resolve(inputs: DataFrame, works: DataFrame, editions: DataFrame, names: Dat
     return done.withColumns({"created": created, "is_stub": created & (F.col("confidence") < scoring.STUB_BELOW)})
 
 
-def resolve_legacy(inputs: DataFrame, works: DataFrame, names: DataFrame, rows_exact: int = 10, rows_fuzzy: int = 100) -> DataFrame:
+#: Rows of each side that meet in one group of dice_join; a more frequent bigram's rows are dealt to blocks of about so many.
+BLOCK = 1_000
+#: Pairs that a task of dice_join brings together.
+PAIRS_EACH = 1_000_000
+
+
+def dice_join(asked: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """X2 for all: word, x (name of asked), y (name of known), similarity: pairs under one word of Dice similarity of at least
+    threshold (above 0), all of them. asked, known: word, name, each once, without nulls.
+
+    Prefix filter: a name is filed under its rarest bigrams; of a set of n, any n - ceil(t n / (2 - t)) + 1 hold one of a like
+    name's. Positional filter: names that meet in their i-th and j-th rarest share at most 1 + min(bigrams after i, after j) from
+    there on. A frequent bigram's rows meet in pairs of blocks. Names without a bigram are like equal ones only."""
+    sides = [cut(d.select("word", "name", text.normalize_text("name").alias("plain")), "plain-names") for d in (asked, known)]
+    grams = [d.withColumn("grams", text.bigrams(F.col("plain"))).select("word", "name", "plain", F.explode("grams").alias("gram"), F.size("grams").alias("n")) for d in sides]
+    counts = cut(grams[0].select("word", "gram").unionByName(grams[1].select("word", "gram")).groupBy("word", "gram").agg(F.count("*").alias("df")), "bigrams")
+    rank = F.row_number().over(Window.partitionBy("word", "name").orderBy("df", "gram"))
+    kept = F.col("n") - F.ceil(threshold / (2 - threshold) * F.col("n") - 1e-9) + 1
+    filed = [cut(g.join(shuffled(counts), ["word", "gram"]).withColumn("r", rank).where(F.col("r") <= kept), "filed") for g in grams]
+    met = [f.groupBy("word", "gram").agg(F.count("*").alias(c)) for f, c in zip(filed, ("left", "right"), strict=True)]
+    met = cut(met[0].join(shuffled(met[1]), ["word", "gram"]), "blocks")
+    n = parts(asked.sparkSession, met.agg(F.sum(F.col("left") * F.col("right"))).first()[0] or 0, PAIRS_EACH)
+    blocks = met.select("word", "gram", *[F.floor(F.col(c) / BLOCK).alias(c) for c in ("left", "right")])
+    dealt = lambda f, own, other, i, j: f.join(shuffled(blocks), ["word", "gram"]).withColumn(i, F.pmod(F.xxhash64("name"), F.col(own) + 1)).withColumn(j, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other))))
+    a = dealt(filed[0], "left", "right", "i", "j").select("word", "gram", "i", "j", F.col("name").alias("x"), F.col("plain").alias("px"), F.col("n").alias("nx"), F.col("r").alias("rx"))
+    b = dealt(filed[1], "right", "left", "j", "i").select("word", "gram", "i", "j", F.col("name").alias("y"), F.col("plain").alias("py"), F.col("n").alias("ny"), F.col("r").alias("ry"))
+    shared = 1 + F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry"))
+    enough = F.least(shared, F.col("nx"), F.col("ny")) * 2 >= threshold * (F.col("nx") + F.col("ny")) - 1e-9
+    met_in = ["word", "gram", "i", "j"]
+    pair = ["word", "x", "y", "px", "py"]
+    near = a.repartition(n, *met_in).join(shuffled(b.repartition(n, *met_in)), met_in).where(enough).select(*pair)
+    short = [d.where(F.length("plain") < 2).select("word", F.col("name").alias(x), F.col("plain").alias(f"p{x}")) for d, x in zip(sides, "xy", strict=True)]
+    equal = short[0].join(shuffled(short[1].withColumnRenamed("word", "_word")), (F.col("word") == F.col("_word")) & (F.col("px") == F.col("py"))).select(*pair)
+    pairs = near.unionByName(equal).repartition(n, "word", "x", "y").groupBy(*pair).agg(F.count("*").alias("met"))
+    # The condition asks for `met`, or the planner would compare a pair wherever it is met.
+    like = text.dice_of(F.col("px"), F.col("py"))
+    return pairs.where(F.when(F.col("met") > 0, like) >= threshold).select("word", "x", "y", like.alias("similarity"))
+
+
+def resolve_legacy(inputs: DataFrame, works: DataFrame, names: DataFrame) -> DataFrame:
     """Id, work_id, confidence of the older resolver, by title and author: an equal title (one row: 0.9; a like author: 0.95;
     else 0.7), else the best Dice similarity of at least 0.6 among titles that start with the first word, 0.1 more for a like
-    author, accepted from 0.7 on. Ties go to the smaller ids."""
-    order = ["work_id", F.col("by").asc_nulls_last()]
-    ranked = lambda d, keys, n: keep_top(d, keys, order, n).withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    # Of one title the first works alone can be among the rows that are looked at, of one beginning as well.
+    author, accepted from 0.7 on. Ties go to the smaller ids.
+
+    All works of a title and all titles under a word count. Titles and names of authors are compared, each pair once; a title
+    stands for its first work, a title and author's name for the first work that has both."""
     titled = works.select("work_id", F.lower("title").alias("name")).where("name is not null")
-    first = cut(keep_top(titled, ["name"], ["work_id"], max(rows_exact, rows_fuzzy)), "first-works")
     by = names.select("work_id", F.lower("name").alias("by"))
     each = inputs.select("id", F.trim(F.lower("title")).alias("q"), F.coalesce(F.trim(F.lower(text.author_name("author"))), F.lit("")).alias("author"))
     asked = cut(each.where("q is not null").select("q", "author").distinct(), "asked")  # a title and author is looked up once
-    like = F.when(F.col("by").isNotNull() & (F.col("author") != ""), text.dice_similarity("author", "by"))
-    known = keep_top(first.join(shuffled(asked.select(F.col("q").alias("name")).distinct()), "name", "left_semi"), ["name"], ["work_id"], rows_exact).join(shuffled(by), "work_id", "left")
-    equal = asked.join(shuffled(ranked(known, ["name"], rows_exact)), F.col("q") == F.col("name")).withColumn("like", like)
-    one = equal.groupBy("q", "author").agg(F.count("*").alias("n"), F.min_by("work_id", "r").alias("first"), F.min_by(F.when(F.col("like") >= 0.8, F.col("work_id")), F.when(F.col("like") >= 0.8, F.col("r"))).alias("liked"))
-    exact = one.select("q", "author", F.when((F.col("n") > 1) & F.col("liked").isNotNull(), F.col("liked")).otherwise(F.col("first")).alias("work_id"), F.when(F.col("n") == 1, 0.9).when(F.col("liked").isNotNull(), 0.95).otherwise(0.7).alias("confidence"))
-    exact = cut(exact, "equal-titles")
-    word = F.get(F.split("q", "\\s+"), F.lit(0))
-    rest = asked.join(shuffled(exact), ["q", "author"], "left_anti").withColumn("word", word).where(F.length("word") >= 2)
-    # Titles under each of their beginnings that some input's first word can be.
-    longest = rest.agg(F.coalesce(F.max(F.length("word")), F.lit(2))).first()[0]
-    starts = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.length("name"), F.lit(longest)))), lambda k: F.substring("name", F.lit(1), k))
-    filed = first.withColumn("word", F.explode(starts)).join(shuffled(rest.select("word").distinct()), "word", "left_semi")
-    top = cut(ranked(keep_top(filed, ["word"], ["work_id"], rows_fuzzy).join(shuffled(by), "work_id", "left"), ["word"], rows_fuzzy), "first-of-word")
-    # Pairs of titles are compared once, whatever their authors.
-    near = rest.select("q", "word").distinct().join(shuffled(top.select("word", "name").distinct()), "word").withColumn("sim", text.dice_similarity("q", "name")).where("sim >= 0.6")
-    hits = rest.join(shuffled(near), ["q", "word"]).join(shuffled(top), ["word", "name"]).withColumn("like", like)
-    sure = F.when(F.col("like") >= 0.7, F.least(F.lit(1.0), F.col("sim") + 0.1)).otherwise(F.col("sim"))
-    best = hits.withColumn("confidence", F.round(sure, 9)).groupBy("q", "author").agg(F.max(F.struct("confidence", -F.col("r"), "work_id")).alias("x"))
-    fuzzy = best.where("x.confidence >= 0.7").select("q", "author", "x.work_id", "x.confidence")
+    first = F.min(F.struct("work_id")).alias("first")
+    titles = cut(titled.groupBy("name").agg(first), "titles")
+    equal = asked.join(shuffled(titles), F.col("q") == F.col("name"), "left_semi")
+    rest = cut(asked.join(shuffled(titles), F.col("q") == F.col("name"), "left_anti").withColumn("word", F.get(F.split("q", "\\s+"), F.lit(0))).where(F.length("word") >= 2), "rest")
+    # Titles under each of their beginnings that is as long as some input's first word.
+    lengths = rest.agg(F.collect_set(F.length("word"))).first()[0]
+    starts = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: k <= F.length("name")), lambda k: F.substring("name", F.lit(1), k))
+    filed = cut(titles.withColumn("word", F.explode(starts)).join(shuffled(rest.select("word").distinct()), "word", "left_semi"), "first-of-word")
+    near = dice_join(rest.select("word", F.col("q").alias("name")).distinct(), filed.select("word", "name"), 0.6).withColumnRenamed("x", "q")
+    near = cut(near.join(shuffled(filed.select("word", F.col("name").alias("y"), "first")), ["word", "y"]).select("q", F.col("y").alias("name"), "similarity", "first"), "near-titles")
+    order = lambda sure, work: F.min(F.struct((-F.round(sure, 9)).alias("far"), work.alias("work")))
+    plain = cut(near.groupBy("q").agg(order(F.col("similarity"), F.col("first")).alias("best")), "best-titles")
+    # Of the near titles those alone that a like author can bring to the top.
+    raised = F.least(F.lit(1.0), F.col("similarity") + 0.1)
+    hopeful = near.join(shuffled(plain), "q").where(F.round(raised, 9) >= -F.col("best.far")).select("q", "name", raised.alias("sure"))
+    hopeful = rest.select("q", "author").where("author <> ''").join(shuffled(hopeful), "q")
+    wanted = cut(equal.select(F.col("q").alias("name"), "author").unionByName(hopeful.select("name", "author")).distinct(), "wanted")
+    held = titled.join(shuffled(wanted.select("name").distinct()), "name", "left_semi").join(shuffled(by), "work_id", "left").groupBy("name", "by").agg(first, F.count("*").alias("n"))
+    held = cut(held, "title-authors")
+    alike = dice_join(wanted.where("author <> ''").select(F.lit("").alias("word"), F.col("author").alias("name")).distinct(), held.where("by is not null").select(F.lit("").alias("word"), F.col("by").alias("name")).distinct(), 0.7)
+    alike = cut(alike.select(F.col("x").alias("author"), F.col("y").alias("by"), F.col("similarity").alias("like")), "like-authors")
+    liked = held.join(shuffled(alike), "by").groupBy("name", "author").agg(F.min(F.when(F.col("like") >= 0.8, F.col("first"))).alias("surely"), F.min("first").alias("liked"))
+    liked = cut(wanted.join(shuffled(liked), ["name", "author"]), "liked")
+    rows = held.groupBy("name").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    one = equal.select(F.col("q").alias("name"), "author").join(shuffled(rows), "name").join(shuffled(liked), ["name", "author"], "left")
+    exact = one.select(F.col("name").alias("q"), "author", F.when((F.col("n") > 1) & F.col("surely").isNotNull(), F.col("surely")).otherwise(F.col("first"))["work_id"].alias("work_id"), F.when(F.col("n") == 1, 0.9).when(F.col("surely").isNotNull(), 0.95).otherwise(0.7).alias("confidence"))
+    boosted = hopeful.join(shuffled(liked), ["name", "author"]).groupBy("q", "author").agg(order(F.col("sure"), F.col("liked")).alias("raised"))
+    best = rest.select("q", "author").join(shuffled(plain), "q").join(shuffled(boosted), ["q", "author"], "left").select("q", "author", F.least("best", "raised").alias("x"))
+    fuzzy = best.where("x.far <= -0.7").select("q", "author", "x.work.work_id", (-F.col("x.far")).alias("confidence"))
     return each.join(shuffled(exact.unionByName(fuzzy)), ["q", "author"]).select("id", "work_id", "confidence")
 
 

@@ -230,9 +230,9 @@ def oracle_sql() -> dict[str, str]:
             "select id, work_id, round(confidence, 6) confidence from ex2 union all select id, work_id, round(c, 6) from (select id, work_id, c, row_number() over (partition by id order by round(c, 9) desc, r) z from fz) where z = 1 and c >= 0.7", views,
             **base, inp=inputs, li="select id, trim(lower(title)) q, trim(lower(case when author like '%,%' then author else coalesce(author, '') end)) author from inp where title is not null",
             lw="select w.work_id, lower(title) t, lower(name) name from wk w left join nm n on w.work_id = n.work_id", ex=exact,
-            ex2="select id, case when n > 1 and lr is not null then lw else f end work_id, case when n = 1 then 0.9::double when lr is not null then 0.95::double else 0.7::double end confidence from (select id, count(*) n, min_by(work_id, r) f, min(r) filter (a >= 0.8) lr, min_by(work_id, r) filter (a >= 0.8) lw from ex where r <= 10 group by 1)",
+            ex2="select id, case when n > 1 and lr is not null then lw else f end work_id, case when n = 1 then 0.9::double when lr is not null then 0.95::double else 0.7::double end confidence from (select id, count(*) n, min_by(work_id, r) f, min(r) filter (a >= 0.8) lr, min_by(work_id, r) filter (a >= 0.8) lw from ex group by 1)",
             ws="select distinct string_split(q, ' ')[1] word from li where id not in (select id from ex2) and length(string_split(q, ' ')[1]) >= 2",
-            cand="select word, work_id, t, name, row_number() over (partition by word order by work_id, name nulls last) r from ws join lw on t like word || '%' qualify r <= 100",
+            cand="select word, work_id, t, name, row_number() over (partition by word order by work_id, name nulls last) r from ws join lw on t like word || '%'",
             fz=f"select id, work_id, r, case when a >= 0.7 then least(1.0::double, s + 0.1::double) else s end c from (select i.id, k.work_id, k.r, {_dice('i.q', 'k.t')} s, case when k.name is not null and i.author <> '' then {_dice('i.author', 'k.name')} end a from li i join cand k on k.word = string_split(i.q, ' ')[1] where i.id not in (select id from ex2)) where s >= 0.6",
         ),
         "resolve_urls": sql("select id, path, round(confidence, 6) confidence, work_id, lookup_key from res", views, **by_url),

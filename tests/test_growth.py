@@ -92,3 +92,49 @@ def test_pairs_of_duplicates_are_not_ranked_one_by_one(spark, monkeypatch):
     got = {(r["work_id"], r["other_id"]) for r in resolve.potential_duplicates(works, authors).collect()}
     want = {(0, k) for k in range(1, 11)} | {(k, o) for k in range(1, 200) for o in (0, 3) if o != k}
     assert got == want and max(seen) <= 200
+
+
+def _legacy_plainly(spark, asked, works, names):
+    """resolve_legacy by a plain join of every input with every row of works and authors."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from quillon.functions import text
+
+    rows = works.select("work_id", F.lower("title").alias("name")).join(names.select("work_id", F.lower("name").alias("by")), "work_id", "left")
+    each = asked.select("id", F.trim(F.lower("title")).alias("q"), F.trim(F.lower("author")).alias("author"))
+    like = F.when((F.col("author") != "") & F.col("by").isNotNull(), text.dice_similarity("author", "by"))
+    equal = each.join(rows, F.col("q") == F.col("name")).withColumn("like", like)
+    one = equal.groupBy("id").agg(F.count("*").alias("n"), F.min("work_id").alias("f"), F.min(F.when(F.col("like") >= 0.8, F.col("work_id"))).alias("l"))
+    exact = one.select("id", F.when((F.col("n") > 1) & F.col("l").isNotNull(), F.col("l")).otherwise(F.col("f")).alias("work_id"), F.when(F.col("n") == 1, 0.9).when(F.col("l").isNotNull(), 0.95).otherwise(0.7).alias("c"))
+    word = F.split("q", "\\s+")[0]
+    left = each.join(one, "id", "left_anti").where(F.length(word) >= 2)
+    near = left.crossJoin(rows).where(F.expr("startswith(name, split(q, '\\\\s+')[0])")).withColumn("s", text.dice_similarity("q", "name")).where("s >= 0.6").withColumn("like", like)
+    scored = near.withColumn("c", F.round(F.when(F.col("like") >= 0.7, F.least(F.lit(1.0), F.col("s") + 0.1)).otherwise(F.col("s")), 9))
+    best = scored.withColumn("z", F.row_number().over(Window.partitionBy("id").orderBy(F.col("c").desc(), "work_id"))).where("z = 1 and c >= 0.7").select("id", "work_id", "c")
+    return {(r["id"], r["work_id"], round(r["c"], 6)) for r in exact.unionByName(best).collect()}
+
+
+def test_legacy_looks_at_all_works_of_a_title_and_all_titles_of_a_word(spark):
+    titles = [(k, "hot ring") for k in range(150)] + [(k, f"hot plate {k}") for k in range(150, 300)] + [(300, "hot ringer")]
+    works = spark.createDataFrame(titles, "work_id long, title string")
+    names = spark.createDataFrame([(k, f"zzz {k}") for k in range(300)] + [(149, "Ann Lee")], "work_id long, name string")
+    asked = spark.createDataFrame([(1, "Hot Ring", "Ann Lee"), (2, "hot ringers", ""), (3, "hot plate 299 x", "zzz 299"), (4, "hot rings", "Ann Lee")], "id long, title string, author string")
+    got = {(r["id"], r["work_id"], round(r["confidence"], 6)) for r in idn.resolve_legacy(asked, works, names).collect()}
+    assert {k: w for k, w, _ in got} == {1: 149, 2: 300, 3: 299, 4: 149} and (1, 149, 0.95) in got
+    assert got == _legacy_plainly(spark, asked, works, names)
+
+
+def test_legacy_equals_a_plain_join_on_odd_titles(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(idn, "BLOCK", 3)  # also bigrams of more than one block
+    draw = random.Random(4)
+    words, authors = ["hot", "ho", "hotel", "a", "??", "ring", "rings", "bolt", "b.", "é", "new-one", "1"], ["Ann Lee", "Anne Lee", "Bob Stone", "Bo Stone", "?", "Li", None]
+    title = lambda: draw.choice(["hot", "ho", "hotel", "??", "b."]) + "".join(" " + draw.choice(words) for _ in range(draw.randrange(4)))
+    works = spark.createDataFrame([(k % 190, title() if k % 17 else None) for k in range(200)], "work_id long, title string")
+    names = spark.createDataFrame([(draw.randrange(200), draw.choice(authors)) for _ in range(250)], "work_id long, name string")
+    asked = spark.createDataFrame([(k, title() if k % 13 else None, draw.choice(authors) or "") for k in range(150)], "id long, title string, author string")
+    got = {(r["id"], r["work_id"], round(r["confidence"], 6)) for r in idn.resolve_legacy(asked, works, names).collect()}
+    want = _legacy_plainly(spark, asked, works, names)
+    assert got == want and len({c for _, _, c in want}) > 6
