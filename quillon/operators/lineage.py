@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,27 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+#: Spark's setting by which a query's shuffle files go when it has ended, not when the driver's garbage collector gets to it.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """What is written in here leaves no shuffle files behind: the table is there, so none would be read again."""
+    was = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES_GO, was)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """df, written to the shared folder and read back: later steps neither grow its lineage nor repeat its work, and a lost
     executor loses nothing."""
     path = f"{shared_folder(df.sparkSession)}/quillon/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -76,7 +93,9 @@ def table(spark: SparkSession, source: str, name: str, build: Callable[[], DataF
         except AnalysisException:
             pass
     path = f"{shared_folder(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-    build().write.parquet(path)
+    rows = build()
+    with _tidy(spark):
+        rows.write.parquet(path)
     _tables[key] = (path, now)
     return spark.read.parquet(path)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scoring
+from quillon.operators.lineage import cut, parts, shuffled, small
 
 #: K8's order of shelves.
 SHELF_PRIORITY = {"dnf": 4, "read": 3, "currently-reading": 2, "to-read": 1}
@@ -84,32 +85,45 @@ def merge_shelves(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("user_id", "work_id", shelf.alias("shelf"), F.greatest("o_at", "finished_at").alias("finished_at"), *more)
 
 
-def with_previous(events: DataFrame) -> DataFrame:
-    """Days since the reader's work before, by finish (nulls last), work and source."""
-    w = Window.partitionBy("user_id").orderBy(F.col("finished_at").asc_nulls_last(), "work_id", "source")
+def with_previous(events: DataFrame, *first: str) -> DataFrame:
+    """Days since the reader's work before, by finish (nulls last), work and source; by the columns `first` before these."""
+    w = Window.partitionBy("user_id").orderBy(*first, F.col("finished_at").asc_nulls_last(), "work_id", "source")
     return events.withColumn("days_since_previous", F.datediff("finished_at", F.lag("finished_at").over(w)))
 
 
+def _counted(events: DataFrame) -> DataFrame:
+    return events.withColumn("_n", F.count("*").over(Window.partitionBy("user_id", "work_id", "shelf")))
+
+
+def _copied(events: DataFrame) -> DataFrame:
+    return events.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
+
+
 def fan_out(events: DataFrame) -> DataFrame:
     """What the profile's query makes of the events: each joined to the reader's events of its work and shelf, so n
     sources that put a work on one shelf give n * n rows, and events without a shelf none. The rows joined to are alike in all
     columns that are read, so each event comes as often as the window counts it: no group is joined with itself."""
-    same = Window.partitionBy("user_id", "work_id", "shelf")
-    rows = with_previous(events).where("shelf is not null").withColumn("_n", F.count("*").over(same))
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
+    return _copied(_counted(with_previous(events).where("shelf is not null")))
 
 
 def weighted_events(events: DataFrame, totals: DataFrame, completions: DataFrame, ownership: DataFrame, work_author: DataFrame, as_of: Column) -> DataFrame:
-    """The events, as fan_out has them, with their weight. What is looked up for each event is added up before it is joined; an author's
-    works are counted among the reader's own."""
+    """The events, as fan_out has them, with their weight. What is looked up for each event is added up first; an author's
+    works are counted among the reader's own. Events and what is looked up are shuffled by reader once, as one table: there a row
+    takes what stands at its reader and work, which all have once at most."""
     done = completions.groupBy("user_id", "work_id").agg(F.count("*").alias("completions"))
     owned = ownership.select("user_id", "work_id").distinct().withColumn("origin", F.lit("Purchase"))
-    by = events.select("user_id", "work_id").join(work_author, "work_id")
-    counts = by.groupBy("user_id", "author_id").agg(F.count_distinct("work_id").alias("n"))
-    loyalty = by.join(counts, ["user_id", "author_id"]).groupBy("user_id", "work_id").agg(F.max("n").alias("author_works"))
-    rows = fan_out(events)
-    for side in (totals, done, owned, loyalty):
-        rows = rows.join(side, ["user_id", "work_id"], "left")
+    by = events.select("user_id", "work_id").join(work_author.select("work_id", "author_id"), "work_id").where("user_id is not null and author_id is not null")
+    by = by.repartition("user_id").distinct().withColumn("n", F.count("*").over(Window.partitionBy("user_id", "author_id")))
+    loyalty = by.groupBy("user_id", "work_id").agg(F.max("n").alias("author_works"))
+    keys = ["user_id", "work_id"]
+    sides = totals.select(*keys, F.struct(*[c for c in totals.columns if c not in keys]).alias("_totals"))
+    for more in (done, owned, loyalty):
+        sides = sides.unionByName(more, allowMissingColumns=True)
+    sides = sides.where("user_id is not null and work_id is not null").withColumn("_side", F.lit(True))
+    both = events.withColumn("_side", F.lit(False)).unionByName(sides, allowMissingColumns=True).repartition("user_id")
+    at = Window.partitionBy(*keys)
+    rows = _counted(with_previous(both, "_side")).withColumns({c: F.max(c).over(at) for c in ("_totals", "completions", "origin", "author_works")})
+    rows = _copied(rows.where("not _side and shelf is not null")).select("*", "_totals.*").drop("_side", "_totals")
     names = ("rating", "finished_at", "last_read_at", "total_ms", "completions", "last30_ms", "author_works", "days_since_previous", "origin", "shelf")
     e = {n: F.col(n) for n in names} | {"avg_minutes": F.col("avg_ms") / 60000.0, "max_minutes": F.col("max_ms") / 60000.0}
     return rows.withColumn("weight", scoring.event_weight(e, as_of))
@@ -203,23 +217,64 @@ def anchors(weighted: DataFrame, k: int = 10) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k).select("user_id", "work_id", "weight", "position")
 
 
-def _favourites(read: DataFrame, rows: DataFrame, name: str, k: int) -> DataFrame:
-    """user_id and the array of the k most frequent values of name among the works read, ties by the value."""
-    counts = read.select("user_id", "work_id").join(rows.select("work_id", name), "work_id").groupBy("user_id", name).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("user_id").orderBy(F.col("n").desc(), name)
-    top = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    return top.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", name))), lambda s: s[name]).alias(f"top_{name}s"))
-
-
-def taste(events: DataFrame, work_subject: DataFrame, work_author: DataFrame | None = None, k: int = 5) -> DataFrame:
+#: A value's number is a block and a place in it, which two bytes hold.
+PLACES = 1 << 15
+#: Values of readers' works that a task counts.
+VALUES_EACH = 2_000_000
+
+
+def _numbered(kinds: dict[str, tuple[DataFrame, DataFrame | None]]) -> tuple[DataFrame, DataFrame]:
+    """Of each kind's values: their numbers (code, value), in the order of kinds and values, and the works' lists of them (work_id,
+    kind, block, places)."""
+    values = None
+    for i, (name, (rows, names)) in enumerate(kinds.items()):
+        some = (rows if names is None else names).select(F.lit(i).alias("kind"), F.col(name).alias("value"))
+        values = some if values is None else values.unionByName(some)
+    codes = cut(values.distinct().orderBy("kind", "value").withColumn("code", F.monotonically_increasing_id()), "values")
+    found = None
+    for i, (name, (rows, names)) in enumerate(kinds.items()):
+        mine = small(codes.where(F.col("kind") == i).select("value", "code"))
+        if names is None:
+            some = rows.join(mine, F.col(name).eqNullSafe(F.col("value")))
+        else:
+            key = next(c for c in names.columns if c != name)
+            some = rows.join(shuffled(names.join(mine, F.col(name).eqNullSafe(F.col("value"))).select(key, "code")), key)
+        some = some.select("work_id", F.lit(i).alias("kind"), "code")
+        found = some if found is None else found.unionByName(some)
+    block, place = F.floor(F.col("code") / PLACES).alias("block"), F.pmod("code", F.lit(PLACES)).cast("short").alias("place")
+    lists = found.select("work_id", "kind", block, place).repartition("work_id").groupBy("work_id", "kind", "block").agg(F.collect_list("place").alias("places"))
+    return codes.select("code", "value"), cut(lists, "value-lists")
+
+
+def _favourites(read: DataFrame, kinds: dict[str, tuple[DataFrame, DataFrame | None]], k: int) -> DataFrame:
+    """user_id and, for each kind, the array top_<kind>s of the k most frequent values among the works read, ties by the value; null
+    where there is none. kinds: by name a table of work_id and the value, or of work_id and an id that a second one (id, value)
+    names.
+
+    A reader has many values, most of them once, so counting before the shuffle would send a row for each. What is sent instead
+    is a work's list of numbers, two bytes a value; lists are spelt out and counted where all of a reader's are."""
+    codes, lists = _numbered(kinds)
+    total, works = lists.agg(F.sum(F.size("places")), F.approx_count_distinct("work_id")).first()
+    n = parts(read.sparkSession, read.count() * ((total or 0) // max(works, 1) + 1), VALUES_EACH)
+    sent = read.select("user_id", "work_id").join(shuffled(lists), "work_id").select("user_id", "kind", "block", "places").repartition(n, "user_id")
+    key = ["user_id", "kind", "block", "place"]
+    counts = sent.select(*key[:3], F.explode("places").alias("place")).groupBy(*key).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("user_id", "kind").orderBy(F.col("n").desc(), "block", "place")
+    top = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).withColumn("code", F.col("block") * PLACES + F.col("place"))
+    named = top.join(small(codes), "code").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("kind", "r", "value"))).alias("all"))
+    of = lambda i: F.transform(F.filter("all", lambda x: x["kind"] == i), lambda x: x["value"])
+    return named.select("user_id", *[F.when(F.size(of(i)) > 0, of(i)).alias(f"top_{name}s") for i, name in enumerate(kinds)])
+
+
+def taste(events: DataFrame, work_subject: DataFrame, work_author: DataFrame | None = None, k: int = 5, authors: DataFrame | None = None) -> DataFrame:
     """A10: each reader's works read, mean rating, and the k most frequent subjects (top_subjects) and, where work_author (work_id,
-    name) is given, authors (top_authors) among them, as arrays."""
-    read = events.where("shelf = 'read'")
+    name; or, with authors (author_id, name), work_id and author_id) is given, authors (top_authors) among them, as arrays."""
+    read = cut(events.where("shelf = 'read'").select("user_id", "work_id", "rating"), "read")
     out = read.groupBy("user_id").agg(F.count("*").alias("works_read"), F.round(F.avg("rating"), 6).alias("avg_rating"))
-    out = out.join(_favourites(read, work_subject, "subject", k), "user_id", "left")
+    kinds = {"subject": (work_subject, None)}
     if work_author is not None:
-        out = out.join(_favourites(read, work_author, "name", k).withColumnRenamed("top_names", "top_authors"), "user_id", "left")
-    return out
+        kinds["name"] = (work_author, authors)
+    return out.join(_favourites(read, kinds, k).withColumnRenamed("top_names", "top_authors"), "user_id", "left")
 
 
 def taste_summary(events: DataFrame, work_subject: DataFrame, work_author: DataFrame | None = None, k: int = 5) -> DataFrame:

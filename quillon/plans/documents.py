@@ -13,7 +13,7 @@ from quillon.operators import graph_store as gs
 from quillon.operators import ratings as rt
 from quillon.operators import reading as rd
 from quillon.operators.collaborative import keep_top
-from quillon.operators.lineage import files, shared_folder
+from quillon.operators.lineage import cut, files, shared_folder
 from quillon.plans.ratings import QUALITY_SQL
 from quillon.plans.reading import EDGES_SQL, TOTALS_SQL, USER, WEIGHT_SQL, WEIGHT_VIEWS, totals, weighted
 from quillon.sources.fixtures import Catalogue, sql
@@ -44,9 +44,10 @@ def _highlights(c: Catalogue):
 
 
 def _profiles(c: Catalogue):
-    authored = c.table("lineitem").select(F.col("l_partkey").alias("work_id"), F.col("l_suppkey").alias("author_id")).distinct().join(c.author, "author_id").select("work_id", "name")
-    summary = rd.taste(c.kept_events, c.work_subject, authored)
-    return dc.profile_documents(summary, rd.anchors(weighted(c)), c.work)
+    lines = c.table("lineitem").select(F.col("l_partkey").alias("work_id"), F.col("l_suppkey").alias("author_id"))
+    # Lines are made distinct where the join with their authors has them.
+    summary = rd.taste(c.kept_events, c.work_subject, lines.repartition("author_id").distinct(), authors=c.author)
+    return dc.profile_documents(summary, cut(rd.anchors(weighted(c)), "anchors"), c.work)
 
 
 def letters(texts: list[str]) -> list[list[float]]:

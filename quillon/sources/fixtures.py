@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import collaborative, graph
-from quillon.operators.lineage import cut, small, table
+from quillon.operators.lineage import cut, shuffled, small, table
 
 #: The order of "latest line": total over the fixture's rows.
 LATEST = ["o_orderdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
@@ -95,16 +95,30 @@ class Catalogue:
         gb = gb.agg(F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.avg(F.col("l_discount") * 50))).alias("avg"), F.count("*").alias("n")).withColumn("source", F.lit("googlebooks"))
         return ol.unionByName(gb)
 
-    @cached_property
-    def user_event(self) -> DataFrame:
+    @staticmethod
+    def _as_events(latest: DataFrame) -> DataFrame:
         shelf = F.when(F.col("o_orderstatus") == "F", "read").when(F.col("o_orderstatus") == "O", "to-read").when(F.col("l_linestatus") == "F", "dnf").otherwise("currently-reading")
         rating = F.when(F.col("l_returnflag") != "N", F.ceil(F.col("l_quantity") / 10).cast("int"))
-        return self._latest.select("user_id", "work_id", shelf.alias("shelf"), rating.alias("rating"), F.col("o_orderdate").alias("finished_at"), F.lit("library").alias("source"))
+        return latest.select("user_id", "work_id", shelf.alias("shelf"), rating.alias("rating"), F.col("o_orderdate").alias("finished_at"), F.lit("library").alias("source"), *[c for c in latest.columns if c == "l_orderkey"])
+
+    @cached_property
+    def user_event(self) -> DataFrame:
+        return self._as_events(self._latest).drop("l_orderkey")
+
+    def _all_events(self) -> DataFrame:
+        """user_event for all readers: an order's lines of a work are cut to the last one where the join has brought them, so the
+        rows that are shuffled by reader have a day, an order, a shelf and a rating, not all that LATEST names."""
+        lines = self.table("lineitem").join(shuffled(self.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")), F.col("l_orderkey") == F.col("o_orderkey"))
+        keys = [F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("work_id"), "o_orderdate", "l_orderkey"]
+        one = lines.groupBy(*keys).agg(F.max(F.struct(*LATEST[2:], "o_orderstatus")).alias("x")).select("user_id", "work_id", "o_orderdate", "l_orderkey", "x.*")
+        last = F.max(F.struct("finished_at", "l_orderkey", "shelf", "rating", "source")).alias("x")
+        rows = self._as_events(one).repartition("user_id").groupBy("user_id", "work_id").agg(last)
+        return rows.select("user_id", "work_id", "x.shelf", "x.rating", "x.finished_at", "x.source")
 
     @cached_property
     def kept_events(self) -> DataFrame:
         """user_event of all readers, written once for an application: what looks at it several times reads it from there."""
-        return table(self.spark, self.dir, "user-events", lambda: self.user_event)
+        return table(self.spark, self.dir, "user-events", self._all_events)
 
     @cached_property
     def edition(self) -> DataFrame:

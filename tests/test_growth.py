@@ -138,3 +138,97 @@ def test_legacy_equals_a_plain_join_on_odd_titles(spark, monkeypatch):
     got = {(r["id"], r["work_id"], round(r["confidence"], 6)) for r in idn.resolve_legacy(asked, works, names).collect()}
     want = _legacy_plainly(spark, asked, works, names)
     assert got == want and len({c for _, _, c in want}) > 6
+
+
+def _shuffled_rows(df) -> int:
+    """Rows that a query's shuffles wrote."""
+    df.collect()
+
+    def of(plan) -> int:
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return of(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return of(plan.plan())
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(of(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_favourites_are_not_shuffled_value_by_value(spark):
+    """A reader's works have many authors: what is shuffled hangs on the works read, not on their authors. Names that two authors
+    share, that are null, and that hold more than a block of numbers."""
+    import collections
+    import json
+
+    from quillon.operators import reading as rd
+
+    events = [(u, w, "read" if (u + w) % 7 else "dnf", (u * w) % 5 + 1) for u in range(40) for w in range(u % 3, 60, 5)] + [(None, 1, "read", 3), (50, None, "read", None), (51, 999, "read", 4)]
+    name = lambda a: None if a == 8 else f"n{a % 90:03d}"
+    pairs = sorted({(w, (w * 17 + a * a) % 120) for w in range(60) for a in range(50)})
+    subjects = [(w, f"s{(w * k) % 9}") for w in range(60) for k in range(1, 4)] + [(3, None)]
+    e = spark.createDataFrame(events, "user_id long, work_id long, shelf string, rating int")
+    about = spark.createDataFrame(subjects, "work_id long, subject string").distinct()
+    by = spark.createDataFrame(pairs + [(None, 1), (1, None)], "work_id long, author_id long")
+    authors = spark.createDataFrame([(a, name(a)) for a in range(120)] + [(5, "n005")], "author_id long, name string")
+
+    def plainly(values: dict) -> dict:
+        seen = collections.defaultdict(collections.Counter)
+        for u, w, shelf, _ in events:
+            if shelf == "read" and u is not None:
+                seen[u].update(values.get(w, []))
+        return {u: [v for v, _ in sorted(c.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))[:5]] or None for u, c in seen.items()}
+
+    names, kinds = collections.defaultdict(list), collections.defaultdict(list)
+    for w, a in pairs:
+        names[w] += [name(a)] * (2 if a == 5 else 1)
+    for w, s in set(subjects):
+        kinds[w].append(s)
+    got = rd.taste(e, about, by, authors=authors)
+    rows = {r["user_id"]: r for r in got.collect() if r["user_id"] is not None}
+    assert {u: r["top_subjects"] for u, r in rows.items()} == plainly(kinds) and {u: r["top_authors"] for u, r in rows.items()} == plainly(names)
+    named = by.join(authors, "author_id").select("work_id", "name")
+    assert json.dumps(sorted(map(str, got.collect()))) == json.dumps(sorted(map(str, rd.taste(e, about, named).collect())))
+    assert _shuffled_rows(rd.taste(e, about, by, authors=authors)) < 6 * len(events)
+
+
+def test_numbers_beyond_a_block(spark, monkeypatch):
+    from quillon.operators import reading as rd
+
+    monkeypatch.setattr(rd, "PLACES", 4)
+    e = spark.createDataFrame([(1, w, "read", 1) for w in range(6)], "user_id long, work_id long, shelf string, rating int")
+    about = spark.createDataFrame([(w, f"s{w + k:02d}") for w in range(6) for k in range(12)], "work_id long, subject string")
+    assert [r["top_subjects"] for r in rd.taste(e, about, k=8).collect()] == [["s05", "s06", "s07", "s08", "s09", "s10", "s11", "s04"]]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from quillon.operators.lineage import SHUFFLES_GO, cut
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    was, before = spark.conf.get(SHUFFLES_GO), files()
+    rows = cut(spark.range(10_000).repartition(4, "id"))
+    until = time.time() + 10
+    while files() > before and time.time() < until:
+        time.sleep(0.1)
+    assert files() <= before and rows.count() == 10_000 and spark.conf.get(SHUFFLES_GO) == was
+
+
+def test_kept_events_are_the_latest_lines(spark, tmp_path):
+    """Lines of one order and work, of several orders on one day, and orders without a day or a reader."""
+    import datetime
+    import random
+
+    from quillon.sources.fixtures import Catalogue
+
+    draw = random.Random(2)
+    days = [datetime.datetime(2000, 1, k + 1) for k in range(3)] + [None]
+    orders = [(k % 70, draw.choice([1, 2, 3, None]), draw.choice("FOP"), draw.choice(days)) for k in range(80)]
+    lines = [(draw.randrange(80), draw.choice([1, 2, 3, None]), draw.choice([1, 2]), draw.choice([1, 2]), float(draw.choice([7, 48])), float(draw.choice([1, 2])), draw.choice(["A", "N", None]), draw.choice("FO")) for _ in range(2000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = Catalogue(spark, str(tmp_path))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(c.kept_events) == rows(c.user_event) and c.kept_events.columns == c.user_event.columns
